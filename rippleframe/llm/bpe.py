@@ -309,7 +309,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tikt
         bpe = codec(vocabulary)
         gc.disable()  # states refer to each other for good: collecting cycles among them only costs time
         for batch in batches:
-            packed = [bpe.encode_packed(t or "") for t in map(pa.Scalar.as_py, batch.column(len(keep)))]
+            packed = [bpe.encode_packed(t or "") for t in batch.column(len(keep)).to_pylist()]
             if digests_only:
                 n, ids, decoded = [], [], []
                 for p in packed:
