@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, quality, url_filter, warc
 
 QUERIES = {
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op7_warc": warc.op7_warc,
+    "op8_quality": quality.op8_quality,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_url_filter": url_filter.OP3_SQL,
+    "op7_warc": warc.OP7_SQL,
+}
