@@ -18,8 +18,9 @@ _POWERS = np.ones(1, np.uint64)
 def powers(n: int) -> np.ndarray:
     """_ODD ** 0 .. _ODD ** (n - 1) modulo 2 ** 64."""
     global _POWERS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate((_POWERS, _POWERS * (_POWERS[-1] * _ODD)))
+    with np.errstate(over="ignore"):
+        while len(_POWERS) < n:
+            _POWERS = np.concatenate((_POWERS, _POWERS * (_POWERS[-1] * _ODD)))
     return _POWERS[:n]
 
 

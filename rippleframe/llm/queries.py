@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, quality, url_filter, warc
+from . import bpe, near_dedup, quality, repeats, url_filter, warc
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_repeats": repeats.op6_repeats,
     "op7_warc": warc.op7_warc,
     "op8_quality": quality.op8_quality,
     "op9_byte_bpe": bpe.op9_byte_bpe,
