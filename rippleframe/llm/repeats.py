@@ -213,7 +213,11 @@ def _cover_batch(rows):
 
 
 def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same result for classes of very large slices: their windows' digests are counted, with map-side sums."""
+    """The same result for classes of very large slices: their windows' digests are counted, with map-side sums.
+
+    A window counts with its offset from the anchor: equal windows have it in common, while one window that lies in the
+    contexts of two neighbouring anchors does not count twice.
+    """
 
     def run(batches):
         for batch in batches:
@@ -230,8 +234,8 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=["gram", "context", "before", "window"])
 
     windows = contexts.select("gram", "context", "left", "right").dropDuplicates(["gram", "context"]).mapInArrow(run, "gram long, context long, before int, window long")
-    twice = materialize(windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "window"), "windows")
-    covered = windows.join(twice, ["gram", "window"])
+    twice = materialize(windows.groupBy("gram", "before", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows")
+    covered = windows.join(twice, ["gram", "before", "window"])
     return covered.groupBy("gram", "context").agg(F.max("before").alias("left"), (F.lit(length) - F.min("before")).cast("int").alias("right"))
 
 
