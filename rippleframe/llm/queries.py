@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, quality, repeats, url_filter, warc
+from . import bpe, decontaminate, near_dedup, quality, repeats, url_filter, warc
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_repeats": repeats.op6_repeats,
     "op7_warc": warc.op7_warc,
