@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, near_dedup, quality, repeats, url_filter, warc
+from . import bpe, decontaminate, near_dedup, pii, quality, repeats, url_filter, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_near_dedup": near_dedup.op5_near_dedup,
