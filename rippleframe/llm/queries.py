@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, near_dedup, pii, quality, repeats, url_filter, warc
+from . import bpe, compaction, decontaminate, html_text, near_dedup, pii, quality, repeats, url_filter, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op2_compaction": compaction.op2_compaction,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_repeats": repeats.op6_repeats,
     "op7_warc": warc.op7_warc,
     "op8_quality": quality.op8_quality,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE_SQL = {
