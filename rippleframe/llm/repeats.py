@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +133,7 @@ def _contexts(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                 names=["gram", "context", "n", "k", "left", "right"],
             )
 
-    return asked.join(texts, "t").select("text", "asked").mapInArrow(run, "gram long, context long, n long, k long, left binary, right binary")
+    return texts.join(asked, "t").select("text", "asked").mapInArrow(run, "gram long, context long, n long, k long, left binary, right binary")
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:
@@ -239,22 +240,20 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
     return covered.groupBy("gram", "context").agg(F.max("before").alias("left"), (F.lit(length) - F.min("before")).cast("int").alias("right"))
 
 
-def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
-    """(t, spans): of every text of ``texts`` (t, text; equal texts share t) the spans that repeats of ``length`` cover.
+def repeated_spans(once: DataFrame, length: int = 200) -> DataFrame:
+    """(t, spans): of every text of ``once`` (t, text; each text once) the spans that repeats of ``length`` cover.
 
     Spans are [start, end) in bytes and may overlap.  Texts that nothing covers have no row.
     """
-    spark = texts.sparkSession
-    found = anchors(texts, length)
+    spark = once.sparkSession
+    found = anchors(once, length)
     again = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     places = materialize(found.join(again, "gram", "left_semi"), "places")
     _release(spark)
     classes = places.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first("place").alias("place"))
     classes = materialize(classes, "classes")
     slices = materialize(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "slices")
-    mixed = classes.join(slices, "gram")
-    once = texts.groupBy("t").agg(F.first("text").alias("text"))
-    contexts = materialize(_contexts(once, mixed, length), "contexts")
+    contexts = materialize(_contexts(once, classes.join(slices, "gram"), length), "contexts")
     _release(spark)
     cover = _scan_slices(contexts.where(F.col("k") <= SLICE), length)
     if not contexts.where(F.col("k") > SLICE).isEmpty():
@@ -263,7 +262,6 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     cover = materialize(cover.union(whole).groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right")), "cover")
     position = F.shiftright("place", 16)
     spans = places.join(cover, ["gram", "context"]).select("t", (position - F.col("left")).alias("start"), (position + F.col("right")).alias("end"))
-    spans = spans.groupBy("t", "start").agg(F.max("end").alias("end"))
     return spans.groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -273,44 +271,60 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
-    """(t, n_bytes, n_removed, n_spans, kept, kept_sha256) of every distinct text, ``t`` being ``xxhash64`` of it.
+def cut_repeats(docs: DataFrame, text: str = "text", length: int = 200, with_bytes: bool = True) -> DataFrame:
+    """(t, n_bytes, n_removed, n_spans, kept_sha256, kept) of every distinct text, ``t`` being ``xxhash64`` of it.
 
     A byte is removed when a ``length``-byte string that covers it also starts anywhere else in the input, in the same
-    text or another row, judged on the input.  ``kept`` has the remaining bytes (binary).  A null text is empty; texts
-    shorter than ``length`` keep everything; rows with equal texts lose everything if they are long enough.
-    ``length`` is from 64 to 255.
+    text or another row, judged on the input.  ``kept`` has the remaining bytes (binary; left out on request).  A null
+    text is empty; texts shorter than ``length`` keep everything; rows with equal texts lose everything if they are long
+    enough.  ``length`` is from 64 to 255.
+
+    Each distinct text is shuffled once, into a table of the warehouse that is bucketed by ``t``; the joins that need
+    texts read it without another exchange.  The table is dropped when the result is written.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    spans = materialize(repeated_spans(texts, length), "spans")
-    _release(docs.sparkSession)
-    once = texts.groupBy("t").agg(F.first("text").alias("text")).join(spans, "t", "left")
+    name = f"rippleframe_texts_{uuid.uuid4().hex}"
+    distinct = texts.groupBy("t").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    distinct.write.option("compression", "zstd").bucketBy(hash_partitions(spark), "t").sortBy("t").saveAsTable(name)
+    _release(spark)
+    once = spark.table(name)
+    spans = materialize(repeated_spans(once.select("t", "text"), length), "spans")
+    _release(spark)
+    joined = once.join(spans, "t", "left").select("t", "text", "spans", "copies")
 
     def run(batches):
         for batch in batches:
             raw, offsets = flat_bytes(batch.column(1))
             data = raw.tobytes()
             rows = [[], [], [], [], []]
-            for i, spans_of in enumerate(batch.column(2).to_pylist()):
+            for i, (spans_of, copies) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 whole = data[offsets[i] : offsets[i + 1]]
+                found = sorted((x["start"], x["end"]) for x in spans_of or ())
+                if copies > 1 and len(whole) >= length:
+                    found = [(0, len(whole))]
                 kept, at, runs = [], 0, 0
                 end = -1
-                for s in sorted((x["start"], x["end"]) for x in spans_of or ()):
+                for s in found:
                     if s[0] > end:
                         runs += 1
                         kept.append(whole[at : s[0]])
                     end = at = max(end, s[1])
                 kept.append(whole[at:])
                 left = b"".join(kept)
-                for column, value in zip(rows, (len(whole), len(whole) - len(left), runs, left, hashlib.sha256(left).hexdigest()), strict=True):
+                for column, value in zip(rows, (len(whole), len(whole) - len(left), runs, hashlib.sha256(left).hexdigest(), left), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=["t", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            made = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)][: 5 if with_bytes else 4]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["t", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_bytes else 5])
 
-    return once.select("t", "text", "spans").mapInArrow(run, "t long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    schema = "t long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
+    result = materialize(joined.mapInArrow(run, schema), "cut")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return result
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = materialize(cut_repeats(docs).drop("kept"), "cut")
+    cut = cut_repeats(docs, with_bytes=False)
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).join(cut, "t", "left").drop("t")
