@@ -31,6 +31,12 @@ class Shard:
     rows: int
 
 
+def _place(path):
+    """Folder and name of a file, from its path."""
+    parts = F.split(path, "/")
+    return F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
+
+
 class ManifestConflict(RuntimeError):
     """Another writer has committed the version first."""
 
@@ -90,9 +96,10 @@ class ShardStore:
                 files.append((s.getPath().toString(), s.getLen()))
         if not files:
             return []
-        count = self._spark.read.parquet(folder).groupBy(F.col("_metadata.file_name").alias("f")).count()
+        # files of several runs may share a name: the folder tells them apart
+        count = self._spark.read.parquet(folder).groupBy(_place(F.col("_metadata.file_path")).alias("f")).count()
         rows = {r["f"]: r["count"] for r in count.collect()}  # a row for each shard
-        return [Shard(p, n, rows.get(p.rsplit("/", 1)[1], 0)) for p, n in files]
+        return [Shard(p, n, rows.get("/".join(p.rsplit("/", 2)[1:]), 0)) for p, n in files]
 
     def append(self, arrival: DataFrame) -> int:
         """Write an arrival as new shards, one for each of its partitions, and commit them; an empty one adds none."""
@@ -129,8 +136,7 @@ class ShardStore:
             groups = self._spark.createDataFrame(place, "_shard string, _run int")  # a row for each shard
             merged = self._spark.read.parquet(*(s.path for run in runs for s in run))
             columns = merged.columns
-            parts = F.split(F.col("_metadata.file_path"), "/")
-            named = merged.withColumn("_shard", F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)))
+            named = merged.withColumn("_shard", _place(F.col("_metadata.file_path")))
             # a run has at most the target's bytes, so one task can write it
             merged = named.join(F.broadcast(groups), "_shard").repartition(len(runs), "_run")
             folder = f"{self._path}/data/{uuid.uuid4().hex}"
