@@ -119,3 +119,54 @@ def sample_summary(samples: DataFrame, by: list[str], measure: str) -> DataFrame
 def ratio(numerator: Column, base: Column) -> Column:
     """Null (unavailable) where the base is zero."""
     return F.try_divide(numerator, base)
+
+
+def constant_evidence(literals: DataFrame, points: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Constants of class lookups that name a removed class, of service loads that name a baseline service.
+
+    literals (node, origin, call, literal); callers of the JDK are passed over.
+    """
+    own = literals.where("origin <> 'JDK'")
+    removed = points.where("kind = 'CLASS_REMOVED'").select("point_id", F.replace("owner", F.lit("/"), F.lit(".")).alias("literal"))
+    named = own.where("call = 'forName'").join(removed, "literal").select("point_id", "node", F.lit("class_lookup").alias("mechanism"))
+    gone = points.where("kind = 'SERVICE_PROVIDER_REGISTRATION_REMOVED'").select("point_id", F.col("owner").alias("literal"))
+    loads = own.where("call = 'load'").join(registrations.select(F.col("service").alias("literal")).distinct(), "literal", "left_semi")
+    return named.union(loads.join(gone, "literal").select("point_id", "node", F.lit("service_load").alias("mechanism"))).distinct()
+
+
+def dynamic_evidence(calls: DataFrame, points: DataFrame) -> DataFrame:
+    """Dynamic calls by member, by owner of a removed class, or by interface; three equi-joins instead of one condition."""
+    member = calls.join(points.where("kind LIKE 'METHOD%'").select("point_id", "owner", "name"), ["owner", "name"])
+    owner = calls.join(points.where("kind = 'CLASS_REMOVED'").select("point_id", "owner"), "owner")
+    face = calls.join(points.where("kind = 'CLASS_REMOVED'").select("point_id", F.col("owner").alias("interface")), "interface")
+    return reduce(DataFrame.union, (x.select("point_id", "node") for x in (member, owner, face))).distinct()
+
+
+def structural_evidence(references: DataFrame, points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """References to removed or narrowed classes, bound to the member's node where it is a method, else to its class's."""
+    hit = references.join(points.where("kind IN ('CLASS_REMOVED', 'CLASS_ACCESS_NARROWED')").select("point_id", F.col("owner").alias("changed_class")), "changed_class")
+    method = hit.where(F.col("member").contains("(")).join(nodes.select("node", F.col("owner").alias("referencing_class"), F.concat("name", "descriptor").alias("member")), ["referencing_class", "member"])
+    whole = hit.where(~F.col("member").contains("(")).join(nodes.select("node", F.col("owner").alias("referencing_class")), "referencing_class")
+    return method.select("point_id", "node").union(whole.select("point_id", "node")).distinct()
+
+
+def affected(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """By module, distinct PROJECT methods and classes on any path."""
+    on = paths.select("module", F.explode("nodes").alias("node")).distinct().join(nodes.where("origin = 'PROJECT'"), ["module", "node"])
+    return on.groupBy("module").agg(F.count_distinct("owner", "name", "descriptor").alias("methods"), F.count_distinct("owner").alias("classes"))
+
+
+def scope_warnings(findings: DataFrame, examples: int = 5) -> DataFrame:
+    """By artifact, findings, distinct excluded types and the first few examples."""
+    listed = F.slice(F.array_sort(F.collect_set(F.concat_ws(" -> ", "source", "excluded_type"))), 1, examples)
+    return findings.groupBy("artifact").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("excluded_type").alias("excluded_types"), F.array_join(listed, ", ").alias("examples"))
+
+
+def comparison_counters(comparisons: DataFrame, by: list[str]) -> DataFrame:
+    """Outcomes of body comparisons; identical texts are never compared further, unknown outcomes are kept."""
+    identical = F.col("java_status") == "IDENTICAL"
+    matched = ~identical & (F.col("ssa_status") == "MATCHED")
+    return comparisons.groupBy(*by).agg(
+        F.count_if(identical).alias("java_identical"), F.count_if(matched).alias("ssa_matched"), F.count_if(~identical & (F.col("ssa_status") == "DIFFERENT")).alias("ssa_different"),
+        F.count_if(~identical & (F.col("ssa_status") == "UNKNOWN")).alias("ssa_unknown"), F.count_if(identical | matched).alias("suppressed"), F.count_if(~(identical | matched)).alias("retained"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.textdiff import unified_diff
-from ..operators import diff, graph, impact, ownership, versions
+from ..operators import diff, graph, impact, normalize, ownership, selection, versions
 from . import report
 from .bindings import bound, bound_sql
 
@@ -395,3 +395,44 @@ def k01_shard_plan(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority", "o_orderkey", F.length("o_orderpriority").alias("bytes"))
     return report.shard_plan(o, ["o_orderpriority"], "o_orderkey", "bytes", 4096, 100)
 
+
+
+@query("s15_classpath_rows", """, d AS (SELECT module_key, group_id, artifact_id, effective_scope, min(seq) AS seq FROM occ GROUP BY ALL)
+SELECT module_key, group_id, artifact_id, effective_scope, CAST(row_number() OVER (PARTITION BY module_key ORDER BY seq) - 1 AS INT) AS position FROM d""", ("occ",))
+def s15_classpath_rows(spark, sf):
+    rows = normalize.classpath_rows(bound(spark, sf, "occ"), ["module_key"], ["group_id", "artifact_id", "effective_scope"], ["seq"])
+    return rows.select(*MODULE_KEY, "effective_scope", "position")
+
+
+@query("f10_jar_pairs", _FIRST + """, c AS (SELECT *, CASE WHEN in_t THEN ts ELSE bs END AS scope, CASE WHEN CAST(bv AS INT) % 3 = 0 THEN 'war' ELSE 'jar' END AS ot FROM j WHERE in_b AND in_t AND bv <> tv)
+SELECT concat(group_id, ':', artifact_id, ':', bv) AS old_coordinate, concat(group_id, ':', artifact_id, ':', tv) AS new_coordinate, bool_or(scope = 'provided') AS provided_api_risk, count(DISTINCT module_key) AS modules
+FROM c WHERE ot = 'jar' AND scope IN ('compile', 'provided') GROUP BY ALL""", ("occ",))
+def f10_jar_pairs(spark, sf):
+    b, t = _sides(spark, sf, "occ")
+    changes = diff.dependency_changes(_first(b), _first(t), MODULE_KEY)
+    name = lambda v: F.concat_ws(":", "group_id", "artifact_id", v)
+    kinds = {"old_type": F.when(F.col("old_version").cast("int") % 3 == 0, "war").otherwise("jar"), "new_type": F.lit("jar"), "old_coordinate": name("old_version"), "new_coordinate": name("new_version")}
+    return selection.jar_pairs(changes.withColumns(kinds), ["compile", "provided"])
+
+
+@query("j09_dynamic_evidence", """, c AS (SELECT node, owner, name, concat('o', node % 100) AS interface FROM refs WHERE ref_kind = 'invoke')
+SELECT DISTINCT point_id, node FROM c JOIN points p ON (p.kind LIKE 'METHOD%' AND p.owner = c.owner AND p.name = c.name) OR (p.kind = 'CLASS_REMOVED' AND p.owner = c.owner) OR (p.kind = 'CLASS_REMOVED' AND p.owner = c.interface)""", ("points", "refs"))
+def j09_dynamic_evidence(spark, sf):
+    calls = bound(spark, sf, "refs").where("ref_kind = 'invoke'").withColumn("interface", F.concat(F.lit("o"), F.col("node") % 100))
+    return impact.dynamic_evidence(calls, bound(spark, sf, "points"))
+
+
+@query("a18_scope_warnings", """SELECT artifact, count(*) AS findings, count(DISTINCT excluded_type) AS excluded_types, array_to_string(list_sort(list_distinct(list(concat(source, ' -> ', excluded_type))))[1:5], ', ') AS examples
+FROM (SELECT p_brand AS artifact, p_name AS source, p_type AS excluded_type FROM part) GROUP BY artifact""")
+def a18_scope_warnings(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return impact.scope_warnings(p.select(F.col("p_brand").alias("artifact"), F.col("p_name").alias("source"), F.col("p_type").alias("excluded_type")))
+
+
+@query("a19_comparison_counters", """SELECT p_brand, count(*) FILTER (j = 'IDENTICAL') AS java_identical, count(*) FILTER (j <> 'IDENTICAL' AND s = 'MATCHED') AS ssa_matched, count(*) FILTER (j <> 'IDENTICAL' AND s = 'DIFFERENT') AS ssa_different,
+ count(*) FILTER (j <> 'IDENTICAL' AND s = 'UNKNOWN') AS ssa_unknown, count(*) FILTER (j = 'IDENTICAL' OR s = 'MATCHED') AS suppressed, count(*) FILTER (j <> 'IDENTICAL' AND s <> 'MATCHED') AS retained
+FROM (SELECT p_brand, CASE WHEN p_size % 5 = 0 THEN 'IDENTICAL' ELSE 'DIFFERENT' END AS j, CASE p_size % 3 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'DIFFERENT' ELSE 'UNKNOWN' END AS s FROM part) GROUP BY p_brand""")
+def a19_comparison_counters(spark, sf):
+    size = F.col("p_size")
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_brand", F.when(size % 5 == 0, "IDENTICAL").otherwise("DIFFERENT").alias("java_status"), F.when(size % 3 == 0, "MATCHED").when(size % 3 == 1, "DIFFERENT").otherwise("UNKNOWN").alias("ssa_status"))
+    return impact.comparison_counters(rows, ["p_brand"])
