@@ -35,7 +35,7 @@ def selected_tree(nodes: DataFrame, retained: list[str] = RETAINED) -> DataFrame
                 rows.append((pdf["module"].iloc[0], node, above))
         return pd.DataFrame(rows, columns=["module", "node", "parent"]).astype({"parent": "Int64"})
 
-    return nodes.groupBy("module").applyInPandas(promote, "module string, node long, parent long")
+    return nodes.groupBy("module").applyInPandas(promote, f"module {nodes.schema['module'].dataType.simpleString()}, node long, parent long")
 
 
 def normalised_occurrences(raw: DataFrame, winners: DataFrame) -> tuple[DataFrame, DataFrame]:

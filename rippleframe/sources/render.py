@@ -26,7 +26,7 @@ def text_tree(nodes: DataFrame) -> DataFrame:
             lines.append(label if d == 0 else "".join("|  " if later(k) else "   " for k in range(1, d)) + ("+- " if later(d) else "\\- ") + label)
         return pd.DataFrame({"module": pdf["module"].tolist(), "line_no": range(len(lines)), "line": lines})
 
-    return nodes.groupBy("module").applyInPandas(render, "module string, line_no long, line string")
+    return nodes.groupBy("module").applyInPandas(render, f"module {nodes.schema['module'].dataType.simpleString()}, line_no long, line string")
 
 
 def write_records(rows: DataFrame, path: str, kind: str) -> None:

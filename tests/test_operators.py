@@ -144,3 +144,44 @@ def test_profiles(spark):
 def test_all_skipped_is_success(spark):
     rows = spark.createDataFrame([("r", "SKIPPED")], "reactor string, status string")
     assert impact.overall_status(rows, ["reactor"]).first()["status"] == "SUCCESS"
+
+
+def test_selected_tree_splices_reactor_nodes(spark):
+    from rippleframe.operators import normalize
+
+    rows = [(0, 1, None, 0, "", True), (0, 2, 1, 1, "compile", True), (0, 3, 2, 2, "runtime", False), (0, 4, 1, 3, "test", False), (0, 5, 4, 4, "compile", False)]
+    frame = spark.createDataFrame(rows, "module int, node long, parent long, ord int, scope string, reactor boolean")
+    assert {(r["node"], r["parent"]) for r in normalize.selected_tree(frame).collect()} == {(1, None), (3, 1)}
+    paths = spark.createDataFrame([([1, 3],)], "path array<long>")
+    nodes = spark.createDataFrame([(1, True, True), (3, False, False), (9, False, False)], "node long, reactor boolean, is_root boolean")
+    assert {(r["node"], r["body"]) for r in normalize.changed_path_bodies(paths, nodes).collect()} == {(3, "REAL_IR"), (9, "NO_OP")}
+
+
+def test_empty_selection_raises(spark):
+    from rippleframe.operators import selection
+
+    classes = spark.createDataFrame([("a/B", False, "PUBLIC"), ("a/C", True, "PUBLIC"), ("module-info", False, "PUBLIC")], "internal_name string, is_interface boolean, access string")
+    assert [r["internal_name"] for r in selection.entrypoint_classes(classes, ["a/*"]).collect()] == ["a/B"]
+    with pytest.raises(selection.EmptySelection):
+        selection.entrypoint_classes(classes, ["z/*"])
+
+
+def test_constant_and_structural_evidence(spark):
+    points = spark.createDataFrame([(1, "CLASS_REMOVED", "a/B", None), (2, "SERVICE_PROVIDER_REGISTRATION_REMOVED", "svc", None)], "point_id int, kind string, owner string, name string")
+    literals = spark.createDataFrame([(10, "PROJECT", "forName", "a.B"), (11, "JDK", "forName", "a.B"), (12, "PROJECT", "load", "svc")], "node int, origin string, call string, literal string")
+    services = spark.createDataFrame([("svc", "p")], "service string, provider string")
+    assert {(r["point_id"], r["node"]) for r in impact.constant_evidence(literals, points, services).collect()} == {(1, 10), (2, 12)}
+    references = spark.createDataFrame([("X", "m()", "a/B"), ("X", "field", "a/B")], "referencing_class string, member string, changed_class string")
+    nodes = spark.createDataFrame([(5, "X", "m", "()"), (6, "X", "n", "()")], "node int, owner string, name string, descriptor string")
+    assert {(r["point_id"], r["node"]) for r in impact.structural_evidence(references, points, nodes).collect()} == {(1, 5), (1, 6)}
+
+
+def test_streaming_peaks(spark, tmp_path):
+    from rippleframe.streaming.metrics import windowed_peaks
+
+    spark.createDataFrame([("2024-01-01 00:01:00", "a", 1.0), ("2024-01-01 00:02:00", "a", 3.0), ("2024-01-01 01:00:00", "a", 2.0)], "ts string, event_type string, value double").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+    query = windowed_peaks(stream).writeStream.format("memory").queryName("peaks").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    assert [(r["n"], r["peak"]) for r in spark.table("peaks").collect()] == [(2, 3.0)]
