@@ -2,11 +2,16 @@
 
 A document's set are its distinct word shingles.  Equal sets form classes, of which only one representative goes on.
 Its MinHash samples give band keys, and are folded into an odd sketch: a parity bitmap in which every sample flips one
-bit.  The population count of two sketches' XOR estimates their similarity, most precisely where it is high, and decides
-which banded candidates are worth fetching; those are confirmed on the full sets.  Candidates come in two rounds: first
-every member of a bucket with the bucket's smallest member; then, in buckets whose members are not connected yet, all
-members of different components, compared by their sketches block by block.  So copies are never paired with each other,
-and no pair of a bucket that could join two components is left out.
+bit.  The population count of two sketches' XOR estimates their similarity, most precisely where it is high, and
+decides which banded candidates are worth fetching; those are confirmed on the full sets.  Candidates come in rounds:
+
+1. every member of a bucket with the bucket's smallest member;
+2. in buckets whose members are not connected yet, stars around the members with most likely partners;
+3. in buckets that are still open, every pair of members of different components that the sketches do not rule out is
+   checked where the members meet, so that only links leave the task.
+
+Only the last round decides what is linked, so no pair that could join two components is left out; the first two keep it
+small, and copies are never paired with each other.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from ._components import components
 from ._text import distinct, intersection_sizes, mix, shingles, word_hashes
 
 BANDS, ROWS = 40, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Members of a bucket that are compared in one piece; larger buckets are compared as pairs of such blocks.
-BLOCK = 4096
+#: Samples that the sketch folds; the first BANDS * ROWS of them also make the bands.
+SAMPLES = 480
+SKETCH_BITS = 1024
+#: Members of a bucket, and shingles of its members, that are compared in one piece; larger buckets are compared as
+#: pairs of such blocks, each in a task of its own.
+BLOCK, BLOCK_SHINGLES = 4096, 1_000_000
 
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,7 +76,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame
                     for j in range(SAMPLES):
                         least[:, j] = np.minimum.reduceat(values * _FACTORS[j], starts)
                 samples = mix(least ^ _SALTS)
-                keys = mix((samples.reshape(len(full), BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=2, dtype=np.uint64) ^ _SALTS[:BANDS])
+                keys = mix((samples[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=2, dtype=np.uint64) ^ _SALTS[:BANDS])
                 bit = np.arange(len(full))[:, None] * SKETCH_BITS + (samples % np.uint64(SKETCH_BITS)).astype(np.int64)
                 parity = (np.bincount(bit.ravel(), minlength=len(full) * SKETCH_BITS) & 1).astype(np.uint8)
                 sketch = np.packbits(parity).view("<i8").reshape(len(full), -1)
@@ -121,57 +128,126 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, width: in
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of members of one bucket, in different components, whose sketches allow the similarity.
+def _stars(node, inverse, likely):
+    """Pairs that connect the likely partners of a bucket: pivot by pivot, each with one member of every other component."""
+    label = inverse.copy()
+    while True:
+        likely &= label[:, None] != label[None, :]
+        partners = likely.sum(axis=1)
+        pivot = int(partners.argmax())
+        if not partners[pivot]:
+            return
+        j = np.flatnonzero(likely[pivot])
+        j = j[np.unique(label[j], return_index=True)[1]]
+        yield np.maximum(node[j], node[pivot]), np.minimum(node[j], node[pivot])
+        label[np.isin(label, label[j])] = label[pivot]
+
+
+def _dealt(members: DataFrame, blocks) -> DataFrame:
+    """Rows of every bucket dealt to pairs of blocks: all members of block lo and of block hi meet under (key, lo, hi)."""
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "size", "mass")
+    return rows.repartition(hash_partitions(members.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+
+
+def _groups(batches, columns: int):
+    """(key, columns) of every (key, lo, hi); the first three columns are the name, lists become arrays of rows."""
+    group, name = [], None
+    for batch in batches:
+        ids = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1, [len(ids)]))
+        values = []
+        for k in range(3, columns):
+            column = batch.column(k)
+            if pa.types.is_list(column.type):
+                values.append(column.flatten().to_numpy().reshape(len(ids), -1))
+            else:
+                values.append(column.to_numpy(zero_copy_only=False))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if tuple(ids[lo]) != name:
+                if group:
+                    yield name[0], [np.concatenate(c) for c in zip(*group, strict=True)]
+                group, name = [], tuple(ids[lo])
+            group.append([v[lo:hi] for v in values])
+    if group:
+        yield name[0], [np.concatenate(c) for c in zip(*group, strict=True)]
+
+
+def _pair_batch(a, b):
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+
+def _allowed(i, j, n, sketch, similarity, limit):
+    j = j[np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i])]
+    return j[np.bitwise_count((sketch[j] ^ sketch[i]).view(np.uint64)).sum(axis=1) <= limit] if len(j) else j
+
+
+def _likely_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Second round: pairs (a, b) that connect the likely partners of each bucket."""
+    dealt = _dealt(members, F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).select("key", "lo", "hi", "block", "node", "comp", "n", "sketch")
+    limit = sketch_limit(similarity, 0.5)
 
-    ``members`` has key, size (of the bucket), node, comp, n and sketch.
+    def run(batches):
+        for _, (block, node, comp, n, sketch) in _groups(batches, 8):
+            _, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
+            likely = np.zeros((len(node), len(node)), bool)
+            # pairs within the largest component are never needed, so its members are only met from outside
+            for i in np.flatnonzero(inverse != count.argmax()):
+                j = np.flatnonzero((inverse != inverse[i]) & ((block != block[i]) | (block.min() == block.max())))
+                j = _allowed(i, j, n, sketch, similarity, limit)
+                likely[i, j] = likely[j, i] = True
+            for a, b in _stars(node, inverse, likely):
+                yield _pair_batch(a, b)
+
+    kind = members.schema["node"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _remaining_links(members: DataFrame, similarity: float, width: int, percent: int) -> DataFrame:
+    """Last round: the confirmed links between different components of each bucket.
+
+    Every pair that the sketches do not rule out is checked on the full sets, once, in the first bucket that both share;
+    pairs that links of the same task have already connected are passed over.  ``members`` has the texts.
     """
-    spark = members.sparkSession
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "n", "sketch")
-    dealt = dealt.repartition(hash_partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    dealt = _dealt(members, F.ceil(F.col("mass") / F.lit(BLOCK_SHINGLES)).cast("int")).select("key", "lo", "hi", "block", "node", "comp", "n", "sketch", "bands", "text")
     limit = sketch_limit(similarity)
 
-    def compare(group):
-        block, node, comp, n = (np.concatenate([g[k] for g in group]) for k in range(4))
-        sketch = np.concatenate([g[4] for g in group])
-        names, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
-        across = (block.min() != block.max())
-        main = int(count.argmax())
-        for i in np.flatnonzero(inverse != main):
-            other = (inverse != inverse[i]) & ((inverse == main) | (np.arange(len(node)) > i))
-            if across:
-                other &= block != block[i]
-            j = np.flatnonzero(other)
-            j = j[np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i])]
-            j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= limit]
-            if len(j):
-                yield np.maximum(node[j], node[i]), np.minimum(node[j], node[i])
-
-    def emit(group):
-        found = list(compare(group))
-        for at in range(0, len(found), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found[at : at + 1024]])) for k in range(2)], names=["a", "b"])
-
     def run(batches):
-        group, last = [], None
-        for batch in batches:
-            ids = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1).astype(np.int64)
-            cuts = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1, [len(ids)]))
-            columns = [batch.column(k).to_numpy() for k in range(3, 7)]
-            sketches = batch.column(7).flatten().to_numpy().view("<u8").reshape(len(ids), -1)
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                name = tuple(ids[lo])
-                if name != last:
-                    if group:
-                        yield from emit(group)
-                    group, last = [], name
-                group.append([*(c[lo:hi] for c in columns), sketches[lo:hi]])
-        if group:
-            yield from emit(group)
+        for key, (block, node, comp, n, sketch, bands, text) in _groups(batches, 10):
+            _, label, count = np.unique(comp, return_inverse=True, return_counts=True)
+            main, across, order = count.argmax(), block.min() != block.max(), np.arange(len(node))
+            first = label.copy()
+            sets: dict[int, np.ndarray] = {}
+
+            def members_sets(wanted, sets=sets, text=text):
+                new = [k for k in wanted if k not in sets]
+                for at in range(0, len(new), 256):
+                    part = new[at : at + 256]
+                    values, bounds = text_sets(*flat_bytes(pa.array([text[k] for k in part], pa.large_string())), width)
+                    sets.update((k, values[bounds[x] : bounds[x + 1]]) for x, k in enumerate(part))
+                return [sets[k] for k in wanted]
+
+            for i in np.flatnonzero(first != main):
+                other = (label != label[i]) & ((first == main) | (order > i))
+                if across:
+                    other &= block != block[i]
+                j = _allowed(i, np.flatnonzero(other), n, sketch, similarity, limit)
+                if len(j):
+                    j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == key]
+                for at in range(0, len(j), 1024):
+                    part = j[at : at + 1024]
+                    part = part[label[part] != label[i]]
+                    if not len(part):
+                        continue
+                    own, others = members_sets([i])[0], members_sets(part.tolist())
+                    size = np.array([len(x) for x in others])
+                    values = np.concatenate(others)
+                    place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                    shared = np.add.reduceat((own[place] == values).astype(np.int64), np.concatenate(([0], np.cumsum(size)[:-1])))
+                    linked = part[100 * shared >= percent * (size + len(own) - shared)]
+                    if len(linked):
+                        yield _pair_batch(node[linked], np.full(len(linked), node[i]))
+                        label[np.isin(label, label[linked])] = label[i]
 
     kind = members.schema["node"].dataType.simpleString()
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
@@ -181,7 +257,8 @@ def link_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     """For every row: doc_id, n_shingles, component_id, n_links and kept.
 
     Rows are linked when 100 * intersection >= ``percent`` * union of their sets; ``component_id`` is the smallest id
-    that can be reached, ``kept`` whether it is the row's own.  ``n_links`` counts the confirmed links of the row's class.
+    that can be reached, ``kept`` whether it is the row's own.  ``n_links`` counts the links of the
+    row's class that were confirmed on the way.
     A null or empty text, or one without words, has an empty set and is linked with nothing; a row with a null id too
     (its component is null and it is kept); repeated rows fall in one class.  Other columns of ``docs`` are not used.
     ``doc_id`` must be a whole number.
@@ -192,9 +269,9 @@ def link_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     classes = materialize(
         usable.groupBy("f1", "f2").agg(F.min("_id").cast("long").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
     )
-    banded = classes.select("node", F.explode("bands").alias("key"))
-    buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    members = materialize(banded.join(buckets, "key"), "members")
+    banded = classes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass")).where("size > 1"), "buckets")
+    members = materialize(banded.drop("n").join(buckets, "key"), "members")
 
     def sketched(pairs, side):
         facts = classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
@@ -204,16 +281,23 @@ def link_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     first = sketched(sketched(first, "a"), "b").where(_sketch_passes(similarity)).select("a", "b")
     ids = docs.withColumn(doc_id, F.col(doc_id).cast("long"))
     links = materialize(confirm(materialize(first, "candidates"), ids, text, doc_id, width, percent).distinct(), "links")
-    comps = components(links)
-
-    placed = members.join(comps.select("node", F.col("component").alias("comp")), "node", "left")
-    placed = materialize(placed.withColumn("comp", F.coalesce("comp", "node")), "placed")
-    still = materialize(placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
-    opened = placed.join(still, "key", "left_semi").join(classes.select("node", "n", "sketch"), "node").select("key", "size", "node", "comp", "n", "sketch")
-    second = materialize(_open_pairs(opened, similarity), "candidates")
-    more = materialize(confirm(second, ids, text, doc_id, width, percent).distinct(), "links")
-    all_links = links.union(more).distinct()
-    named = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    named = components(links)
+    for last in (False, True):
+        placed = members.join(named.select("node", F.col("component").alias("comp")), "node", "left")
+        placed = materialize(placed.withColumn("comp", F.coalesce("comp", "node")), "placed")
+        still = materialize(placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
+        opened = placed.join(still, "key", "left_semi").join(classes.select("node", "n", "sketch", "bands"), "node").select("key", "size", "mass", "node", "comp", "n", "sketch", "bands")
+        if not last:
+            more = confirm(materialize(_likely_pairs(opened, similarity), "candidates"), ids, text, doc_id, width, percent).distinct()
+        else:
+            opened = materialize(opened, "opened")
+            nodes = opened.select(F.col("node").alias("_id")).distinct()
+            texts = ids.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(nodes, "_id", "left_semi").dropDuplicates(["_id"])
+            more = _remaining_links(opened.join(texts.withColumnRenamed("_id", "node"), "node"), similarity, width, percent)
+        more = materialize(more, "links")
+        named = components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        links = links.union(more)
+    all_links = links.distinct()
     degree = all_links.select(F.col("a").alias("node")).union(all_links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
 
     of_class = classes.select("f1", "f2", "node").join(named, "node", "left").join(degree, "node", "left")
