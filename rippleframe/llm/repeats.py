@@ -133,7 +133,7 @@ def _contexts(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                 names=["gram", "context", "n", "k", "left", "right"],
             )
 
-    return texts.join(asked, "t").select("text", "asked").mapInArrow(run, "gram long, context long, n long, k long, left binary, right binary")
+    return texts.join(asked.hint("merge"), "t").select("text", "asked").mapInArrow(run, "gram long, context long, n long, k long, left binary, right binary")
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:
@@ -246,14 +246,15 @@ def repeated_spans(once: DataFrame, length: int = 200) -> DataFrame:
     Spans are [start, end) in bytes and may overlap.  Texts that nothing covers have no row.
     """
     spark = once.sparkSession
+    # joins are merge joins at every size: none of these sides is bounded
     found = anchors(once, length)
     again = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    places = materialize(found.join(again, "gram", "left_semi"), "places")
+    places = materialize(found.join(again.hint("merge"), "gram", "left_semi"), "places")
     _release(spark)
     classes = places.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first("place").alias("place"))
     classes = materialize(classes, "classes")
     slices = materialize(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "slices")
-    contexts = materialize(_contexts(once, classes.join(slices, "gram"), length), "contexts")
+    contexts = materialize(_contexts(once, classes.join(slices.hint("merge"), "gram"), length), "contexts")
     _release(spark)
     cover = _scan_slices(contexts.where(F.col("k") <= SLICE), length)
     if not contexts.where(F.col("k") > SLICE).isEmpty():
@@ -261,7 +262,7 @@ def repeated_spans(once: DataFrame, length: int = 200) -> DataFrame:
     whole = classes.where("n > 1").select("gram", "context", (F.shiftright("place", 8).bitwiseAND(255)).cast("int").alias("left"), F.col("place").bitwiseAND(255).cast("int").alias("right"))
     cover = materialize(cover.union(whole).groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right")), "cover")
     position = F.shiftright("place", 16)
-    spans = places.join(cover, ["gram", "context"]).select("t", (position - F.col("left")).alias("start"), (position + F.col("right")).alias("end"))
+    spans = places.join(cover.hint("merge"), ["gram", "context"]).select("t", (position - F.col("left")).alias("start"), (position + F.col("right")).alias("end"))
     return spans.groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -291,7 +292,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", length: int = 200, with_byt
     once = spark.table(name)
     spans = materialize(repeated_spans(once.select("t", "text"), length), "spans")
     _release(spark)
-    joined = once.join(spans, "t", "left").select("t", "text", "spans", "copies")
+    joined = once.join(spans.hint("merge"), "t", "left").select("t", "text", "spans", "copies")
 
     def run(batches):
         for batch in batches:
