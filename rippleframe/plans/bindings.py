@@ -18,31 +18,30 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "class_def": """
 SELECT DISTINCT concat('c', l_partkey % 400) AS binary_name, CASE s_nationkey % 5 WHEN 0 THEN 'JDK' WHEN 1 THEN 'PROJECT' WHEN 2 THEN 'REACTOR_DEPENDENCY' WHEN 3 THEN 'DEPENDENCY' ELSE 'SYNTHETIC' END AS origin,
        concat('s', l_suppkey) AS source_key, concat('d', (l_partkey + l_suppkey) % 3) AS digest, concat('e', l_partkey % 7) AS entry_name, l_suppkey * 1000 + l_partkey % 7 AS scan_ord
-FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND l_partkey % 3 = 0""",
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     "class_info": """
 SELECT side, owner, max(access) AS access FROM (
   SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 600) AS owner,
-         CASE (l_suppkey + l_linenumber) % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access FROM {lineitem} WHERE l_orderkey % 16 = 0) x
+         CASE (l_suppkey + l_linenumber) % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access FROM {lineitem}) x
 GROUP BY side, owner""",
     "method_info": """
 SELECT side, owner, name, descriptor, max(access) AS access, max(body_hash) AS body_hash FROM (
   SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 100) AS owner, concat('n', l_suppkey % 30) AS name, concat('(', l_linenumber % 2, ')') AS descriptor,
          CASE l_linenumber % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE concat('h', l_orderkey % 3) END AS body_hash
-  FROM {lineitem} WHERE l_orderkey % 6 = 0) x
+  FROM {lineitem}) x
 GROUP BY side, owner, name, descriptor""",
     "field_info": """
 SELECT side, owner, name, max(descriptor) AS descriptor, max(access) AS access FROM (
   SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 100) AS owner, concat('f', l_suppkey % 40) AS name, concat('T', l_linenumber % 3) AS descriptor,
          CASE l_linenumber % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access
-  FROM {lineitem} WHERE l_orderkey % 5 = 0) x
+  FROM {lineitem}) x
 GROUP BY side, owner, name""",
     "registration": """
-SELECT DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('svc', l_suppkey % 20) AS service, concat('o', l_partkey % 600) AS provider FROM {lineitem} WHERE l_orderkey % 7 = 0""",
+SELECT DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('svc', l_suppkey % 20) AS service, concat('o', l_partkey % 600) AS provider FROM {lineitem}""",
     "edge": """
-SELECT DISTINCT o_custkey % 5 AS module, o_custkey AS src, (1 + (o_orderkey * 31 + 7) % n) * 5 % n + o_custkey % 5 AS dst FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {customer}) c
-WHERE o_orderkey % 5 = 0""",
+SELECT DISTINCT o_custkey % 5 AS module, o_custkey AS src, (1 + (o_orderkey * 31 + 7) % n) * 5 % n + o_custkey % 5 AS dst FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {customer}) c""",
     "edge1": """
-SELECT DISTINCT o_custkey AS src, 1 + (o_orderkey * 31 + 7) % n AS dst FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {customer}) c WHERE o_orderkey % 7 = 0""",
+SELECT DISTINCT o_custkey AS src, 1 + (o_orderkey * 31 + 7) % n AS dst FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {customer}) c""",
     "sites": """
 SELECT o_custkey % 5 AS module, o_custkey % 97 AS caller_id, o_orderkey % 53 AS callee_id, o_orderstatus <> 'P' AS is_dispatch, CAST(1 + o_orderkey % 6 AS INT) AS n_targets,
        CASE WHEN o_orderkey % 4 < 3 THEN 'EXCLUDES' WHEN o_orderkey % 8 = 3 THEN 'REACHES' ELSE 'UNKNOWN' END AS receiver_verdict FROM {orders}""",
@@ -52,7 +51,7 @@ SELECT DISTINCT p_partkey AS point_id, concat('o', p_partkey % 100) AS owner, co
        concat('(', p_size % 2, ')') AS old_descriptor, concat('(', p_size % 3, ')') AS new_descriptor FROM {part}""",
     "refs": """
 SELECT DISTINCT l_orderkey % 500 AS node, CASE l_linenumber % 4 WHEN 0 THEN 'invoke' WHEN 1 THEN 'field' WHEN 2 THEN 'type' ELSE 'declaration' END AS ref_kind, concat('o', l_partkey % 100) AS owner, concat('n', l_suppkey % 30) AS name,
-       concat('(', l_linenumber % 3, ')') AS descriptor FROM {lineitem} WHERE l_orderkey % 4 = 0""",
+       concat('(', l_linenumber % 3, ')') AS descriptor FROM {lineitem}""",
     "access_facts": """
 SELECT c_custkey AS request_id, concat('p', c_nationkey % 4, '/C', c_custkey % 3) AS caller, concat('p', c_custkey % 4, '/C', c_nationkey % 3) AS declaring, CASE c_custkey % 7 WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'PRIVATE' WHEN 2 THEN 'PACKAGE_PRIVATE' ELSE 'PROTECTED' END AS access,
        c_custkey % 3 <> 0 AS is_instance, CASE c_nationkey % 5 WHEN 0 THEN 'THIS' WHEN 1 THEN 'SUPER' WHEN 2 THEN 'POINT' WHEN 3 THEN 'CONE' ELSE 'UNKNOWN' END AS receiver_kind, c_custkey % 4 <> 0 AS caller_sub, c_custkey % 6 <> 0 AS owner_related,
