@@ -21,13 +21,13 @@ from ._common import materialize, table
 # --- fixed values: detection patterns, by type, in order of precedence ---------------------------------------------
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,256}+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.[\p{L}]{2,}",
-    "secret": r"(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[ \t]*[:=][ \t]*[\"'][^\"'\n]{6,}[\"']",
+    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[ \t]*[:=][ \t]*[\"'][^\"'\n]{6,}[\"']",
     "ip": r"(?<![\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{N}]|\.[\p{N}])",
+    "hex_secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
     "card": r"(?<![\p{L}\p{N}\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}])",
-    "hex_secret": r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Sir|Lady|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? [\p{Lu}][\p{Ll}]+(?: [\p{Lu}][\p{Ll}]+)?",
 }
 MALE_TITLES = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Κος"]
@@ -48,7 +48,7 @@ SYLLABLES = {
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _SCRIPT_PATTERNS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 #: A cheap test that every match passes: no backtracking over plain words.
-_HINT = r"@|[0-9]|[tT]oken|secret|passw|key|[a-f]{8}|(?:Mr|Mrs|Ms|Miss|Sir|Lady|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? "
+_HINT = r"@|[0-9]|(?i:token|secret|passw|key|[a-f]{8})|(?:Mr|Mrs|Ms|Miss|Sir|Lady|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? "
 MAX_ATTEMPTS = 20
 
 
@@ -127,7 +127,11 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     # the country code of a telephone number stays; an address of the reserved networks 240 to 255; a reserved mail domain
     phone = F.when(norm.contains("-"), F.concat(F.substring_index(norm, "-", 1), _shaped(F.substring_index(norm, "-", -1), seed))).otherwise(shaped)
     ip = F.concat_ws(".", (F.pmod(number(1), F.lit(16)) + 240).cast("string"), *(F.pmod(number(i), F.lit(256)).cast("string") for i in (5, 9, 13)))
-    hexa = F.substr(F.concat(*(_stream(seed, i) for i in range(4))), F.lit(1), F.length(norm))
+    # hexadecimal digits of any length, in the letter case of the value, or of each of its letters where it has both
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(norm) - 1) / 64).cast("int")), lambda b: F.sha2(F.concat(seed, F.lit("#"), b.cast("string")), 256))
+    lower = F.substr(F.array_join(blocks, ""), F.lit(1), F.length(norm))
+    mixed = F.array_join(F.zip_with(F.split(norm, ""), F.split(lower, ""), lambda c, h: F.when(c.rlike("[A-F]"), F.upper(h)).otherwise(h)), "")
+    hexa = F.when(~norm.rlike("[A-F]"), lower).when(~norm.rlike("[a-f]"), F.upper(lower)).otherwise(mixed)
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     mail = F.concat(_shaped(local, seed), F.lit("@"), _shaped(F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.concat(seed, F.lit("d"))), F.lit(".invalid"))
     # a name: given name of the same gender and script, family name of syllables of that script
@@ -140,7 +144,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         chosen = F.get(F.array(*map(F.lit, given)), F.pmod(number(1), F.lit(len(given))))
         name = F.when((script == s) & (gender == g), F.when(norm.contains(" "), F.concat(chosen, F.lit(" "), family)).otherwise(family)).otherwise(name)
     return (
-        F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(norm.rlike(r"^[0-9a-f]{16,256}$"), hexa).when(kind == "email", mail).when(kind.startswith("name"), name)
+        F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind.isin("secret", "hex_secret") & norm.rlike(r"^[0-9a-fA-F]{16,}$"), hexa).when(kind == "email", mail).when(kind.startswith("name"), name)
         .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substr(shaped, F.lit(3)))).otherwise(shaped)
     )
 

@@ -74,6 +74,21 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert not real & {(r["kind"], r["surrogate"]) for r in rows}
 
 
+def test_secrets_of_any_case_and_length(spark):
+    text = 'token = "abcdef0123456789abcdef0123456789", bare 0123456789abcdef0123456789abcdef and ' + "0123456789abcdef" * 8 + " or " + "ab1" * 100
+    more = 'API_KEY = "Zx81-Qw92", Token: \'Abc123xyz\', Password: "hunter22", IBAN DE89370400440532013000, ' + "AB12CD34EF" * 4 + ", aB12Cd34" * 1 + "eF" * 12
+    rows = spark.createDataFrame([(1, text), (2, text.upper()), (3, more), (4, 'TOKEN = "QQQQ-WWWW"')], "doc_id int, text string")
+    out = {r["doc_id"]: r for r in pii.replace_pii(rows, "secret").collect()}
+    assert [out[i]["n_entities"] for i in (1, 2, 3, 4)] == [4, 4, 6, 1]
+    for i, case in ((1, "a-f"), (2, "A-F")):
+        given = re.findall(f"[0-9{case}]{{32,}}", rows.where(f"doc_id = {i}").first()["text"])
+        drawn = re.findall(f"[0-9{case}]{{32,}}", out[i]["text"])
+        assert [len(x) for x in drawn] == [32, 32, 128, 300] and not set(given) & set(drawn)
+    for leak in ("Zx81", "Qw92", "Abc123", "hunter22", "8937040044", "AB12CD34EF", "eFeFeF"):
+        assert leak not in out[3]["text"]
+    assert "QQQQ" not in out[4]["text"] and re.search(r"IBAN DE[0-9]{20},", out[3]["text"])
+
+
 # --- 2 compaction ----------------------------------------------------------------------------------------------------
 def test_compaction(spark):
     store = compaction.ShardStore(spark, new_path(spark, "store"))
