@@ -20,7 +20,7 @@ from ._common import materialize, table
 
 # --- fixed values: detection patterns, by type, in order of precedence ---------------------------------------------
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,256}+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.[\p{L}]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.[\p{L}]{2,}",
     "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[ \t]*[:=][ \t]*[\"'][^\"'\n]{6,}[\"']",
     "ip": r"(?<![\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{N}]|\.[\p{N}])",
     "hex_secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
@@ -49,6 +49,8 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _SCRIPT_PATTERNS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 #: A cheap test that every match passes: no backtracking over plain words.
 _HINT = r"@|[0-9]|(?i:token|secret|passw|key|[a-f]{8})|(?:Mr|Mrs|Ms|Miss|Sir|Lady|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? "
+#: What may stand before an address in its run without being part of it: dot leaders, form lines, bullets.
+_LEADER = r"^[._%+\-]+"
 MAX_ATTEMPTS = 20
 
 
@@ -58,12 +60,12 @@ def entity_type(value: Column) -> Column:
 
 
 def normal_form(kind: Column, value: Column) -> Column:
-    """What makes two mentions the same entity: digits for numbers, lower case for addresses, the bare quoted secret."""
+    """What makes two mentions the same entity: digits for numbers, lower case for addresses without what leads up to them, the bare quoted secret."""
     return (
         F.when((kind == "phone") & value.rlike(r"^\+[0-9]{1,3}[^0-9]"), F.concat_ws("-", F.regexp_extract(value, r"^\+([0-9]+)", 1), F.regexp_replace(F.regexp_replace(value, r"^\+[0-9]+", ""), r"[^0-9]", "")))
         .when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, r"[^0-9]", ""))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-        .when(kind == "email", F.lower(value))
+        .when(kind == "email", F.lower(F.regexp_replace(value, _LEADER, "")))
         .when(kind == "secret", F.regexp_extract(value, r"[\"'](.*)[\"']$", 1))
         .when(kind == "name", F.regexp_extract(value, r" (.*)$", 1))
         .otherwise(value)
@@ -164,6 +166,7 @@ def _mention(kind: Column, value: Column, replaced: Column) -> Column:
         F.when(kind.isin("card", "phone", "ssn", "iban"), grouped)
         .when(kind == "secret", F.concat(F.regexp_extract(value, r"^([^\"']*[\"'])", 1), replaced, F.substring(value, -1, 1)))
         .when(kind == "name", F.concat(F.regexp_extract(value, r"^([^ ]+ )", 1), replaced))
+        .when(kind == "email", F.concat(F.regexp_extract(value, _LEADER, 0), replaced))
         .otherwise(replaced)
     )
 

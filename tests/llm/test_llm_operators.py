@@ -89,6 +89,15 @@ def test_secrets_of_any_case_and_length(spark):
     assert "QQQQ" not in out[4]["text"] and re.search(r"IBAN DE[0-9]{20},", out[3]["text"])
 
 
+def test_addresses_at_the_end_of_long_runs(spark):
+    address = "John.Doe@example.com"
+    texts = [address, "." * 300 + address, "_" * 257 + address, "x" * 256 + address, "-" * 50_000 + address, "a1." * 50_000 + " " + address, "_@example.com"]
+    out = [r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "secret").orderBy("doc_id").collect()]
+    assert not any("example" in x or "doe" in x.lower() for x in out) and all(x.endswith(".invalid") for x in out)
+    assert out[1] == "." * 300 + out[0] and out[2] == "_" * 257 + out[0] and out[4] == "-" * 50_000 + out[0]  # one address, one surrogate
+    assert "xx@" not in out[3] and len(out[3]) - len(out[0]) == 256 and out[5] == texts[5].replace(address, out[0])
+
+
 # --- 2 compaction ----------------------------------------------------------------------------------------------------
 def test_compaction(spark):
     store = compaction.ShardStore(spark, new_path(spark, "store"))
