@@ -163,7 +163,7 @@ def _mention(kind: Column, value: Column, replaced: Column) -> Column:
         F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(r"[0-9A-Z]"), F.substring(replaced, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), r"[^0-9A-Z]", "")), F.lit(1))).otherwise(c)), ""
     )
     return (
-        F.when(kind.isin("card", "phone", "ssn", "iban"), grouped)
+        F.when(kind.isin("card", "phone", "ssn", "iban"), F.when(replaced.startswith("["), replaced).otherwise(grouped))  # a marker has no grouping
         .when(kind == "secret", F.concat(F.regexp_extract(value, r"^([^\"']*[\"'])", 1), replaced, F.substring(value, -1, 1)))
         .when(kind == "name", F.concat(F.regexp_extract(value, r"^([^ ]+ )", 1), replaced))
         .when(kind == "email", F.concat(F.regexp_extract(value, _LEADER, 0), replaced))
@@ -179,12 +179,14 @@ def entity_dictionary(mentions: DataFrame, key: str) -> DataFrame:
     """
     pending = materialize(mentions.select("kind", "norm").distinct(), "entities")
     real = pending
+    # a telephone number's surrogate is its digits alone; the norm sets the country code apart
+    plain = F.when(F.col("kind") == "phone", F.replace("norm", F.lit("-"), F.lit(""))).otherwise(F.col("norm"))
     settled = None
     for attempt in range(MAX_ATTEMPTS):
         tried = materialize(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key)), "tried")
         base = F.regexp_replace("kind", ":.*", "")
         first = tried.groupBy(base.alias("base"), "surrogate").agg(F.min(F.struct("kind", "norm")).alias("first"))
-        first = first.join(real.select(base.alias("base"), F.col("norm").alias("surrogate")).distinct(), ["base", "surrogate"], "left_anti")
+        first = first.join(real.select(base.alias("base"), plain.alias("surrogate")).distinct(), ["base", "surrogate"], "left_anti")
         if settled is not None:
             first = first.join(settled.select(base.alias("base"), "surrogate"), ["base", "surrogate"], "left_anti")
         won = first.select("first.kind", "first.norm", "surrogate")

@@ -98,6 +98,24 @@ def test_addresses_at_the_end_of_long_runs(spark):
     assert "xx@" not in out[3] and len(out[3]) - len(out[0]) == 256 and out[5] == texts[5].replace(address, out[0])
 
 
+def test_no_surrogate_is_a_real_number_with_country_code(spark):
+    first = spark.createDataFrame([("phone", "1-1685555254")], "kind string, norm string")
+    drawn = first.select(pii.surrogate(F.col("kind"), F.col("norm"), F.lit(0), "k")).first()[0]
+    planted = first.union(spark.createDataFrame([("phone", f"1-{drawn[1:]}")], first.schema))
+    rows = pii.entity_dictionary(planted, "k").collect()
+    assert len({r["surrogate"] for r in rows}) == 2 and not {r["surrogate"] for r in rows} & {r["norm"].replace("-", "") for r in rows}
+    number = "+1 ({}) {}-{}".format(drawn[1:4], drawn[4:7], drawn[7:])
+    docs = spark.createDataFrame([(1, "+1 (168) 555-5254"), (2, number)], "doc_id int, text string")
+    out = {r["text"] for r in pii.replace_pii(docs, "k").collect()}
+    assert number not in out and len(out) == 2 and all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", x) for x in out)
+
+
+def test_markers_stay_whole(spark):
+    marker = "[phone:" + "0f" * 32 + "]"
+    row = spark.range(1).select(pii._mention(F.lit("phone"), F.lit("+1 (168) 555-5254"), F.lit(marker)).alias("x")).first()
+    assert row["x"] == marker
+
+
 # --- 2 compaction ----------------------------------------------------------------------------------------------------
 def test_compaction(spark):
     store = compaction.ShardStore(spark, new_path(spark, "store"))
