@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import DEFAULT_SCOPES, tree_coordinate_parts
+from ..operators.graph import _checkpoint, validate_occurrence_graph
 
 COORDINATES = "struct<groupId:string,artifactId:string,type:string,extension:string,classifier:string,version:string,baseVersion:string>"
-EVIDENCE_SCHEMA = f"""schemaVersion int, module {COORDINATES}, moduleDirectory string,
+EVIDENCE_SCHEMA = f"""schemaVersion int, module {COORDINATES}, moduleDirectory string, dependencies array<string>,
  occurrenceGraph struct<rootId:string,occurrences:array<struct<id:string,coordinates:{COORDINATES},scope:string,moduleRoot:boolean,reactor:boolean>>,edges:array<struct<parentId:string,childId:string>>>,
  selectedReactorKeys array<string>, artifacts array<struct<coordinates:{COORDINATES},absolutePath:string>>"""
 CLASSPATH_SCHEMA = f"""schemaVersion int, javaMajor int, module {COORDINATES}, moduleDirectory string, entries array<struct<`order`:int,origin:string,coordinates:{COORDINATES},scope:string,absolutePath:string>>, issues array<string>"""
 #: The properties a document of each kind may have.
 EVIDENCE_PROPERTIES = {"schemaVersion", "module", "moduleDirectory", "dependencies", "occurrenceGraph", "selectedReactorKeys", "artifacts"}
 CLASSPATH_PROPERTIES = {"schemaVersion", "javaMajor", "module", "moduleDirectory", "entries", "issues"}
+COORDINATE_PROPERTIES = sorted(["groupId", "artifactId", "type", "extension", "classifier", "version", "baseVersion"])
+NESTED_PROPERTIES = {"$.occurrenceGraph.occurrences": ["coordinates", "id", "moduleRoot", "reactor", "scope"], "$.occurrenceGraph.edges": ["childId", "parentId"], "$.artifacts": ["absolutePath", "coordinates"]}
 
 
 class InvalidDocument(ValueError):
@@ -33,14 +36,75 @@ def _strict_json(spark: SparkSession, path: str, schema: str, properties: set[st
     return rows
 
 
+def _artifact(coordinates) -> Column:
+    """What makes two coordinates the same artifact: neither the extension nor a snapshot's own version."""
+    return F.struct(*(coordinates[f].alias(f) for f in ("groupId", "artifactId", "type", "baseVersion", "classifier")))
+
+
+def _unknown_nested(spark: SparkSession, path: str) -> DataFrame:
+    """The objects inside the documents whose properties are not the known ones."""
+    raw = spark.read.text(path, wholetext=True)
+
+    def wrong(df, text, known):
+        keys = F.array_sort(F.json_object_keys(text))
+        return df.where(keys.isNull() | (keys != F.lit(known))).select(F.lit(1))
+
+    out = wrong(raw, F.get_json_object("value", "$.module"), COORDINATE_PROPERTIES).union(wrong(raw, F.get_json_object("value", "$.occurrenceGraph"), ["edges", "occurrences", "rootId"]))
+    for place, known in NESTED_PROPERTIES.items():
+        each = raw.select(F.explode(F.from_json(F.get_json_object("value", place), "array<string>")).alias("text"))
+        out = out.union(wrong(each, F.col("text"), known))
+        if "coordinates" in known:
+            out = out.union(wrong(each, F.get_json_object("text", "$.coordinates"), COORDINATE_PROPERTIES))
+    return out
+
+
+def dependency_nodes(evidence: DataFrame) -> DataFrame:
+    """(file, path, coordinates, scope): the nodes of the nested dependencies to any depth; ``path`` has the positions from the top."""
+    node = f"coordinates {COORDINATES}, scope string, children array<string>"
+    level = evidence.select("file", F.array().cast("array<int>").alias("above"), F.posexplode("dependencies").alias("pos", "text"))
+    found = None
+    while True:
+        parsed = [F.array_sort(F.json_object_keys("text")).alias("k"), F.array_sort(F.json_object_keys(F.get_json_object("text", "$.coordinates"))).alias("c"), F.from_json("text", node, {"mode": "FAILFAST"}).alias("n")]
+        level = _checkpoint(level.select("file", F.concat("above", F.array("pos")).alias("path"), *parsed))
+        if found is not None and level.isEmpty():
+            return found
+        if not level.where(F.col("k").isNull() | (F.col("k") != F.lit(["children", "coordinates", "scope"])) | F.col("c").isNull() | (F.col("c") != F.lit(COORDINATE_PROPERTIES)) | F.col("n.scope").isNull() | F.col("n.children").isNull()).isEmpty():
+            raise InvalidDocument("a dependency has unknown or missing properties")
+        rows = level.select("file", "path", "n.coordinates", "n.scope")
+        found = rows if found is None else found.union(rows)
+        level = level.select("file", F.col("path").alias("above"), F.posexplode("n.children").alias("pos", "text"))
+
+
 def read_dependency_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Schema 3 documents; paths must be absolute, and no artifact may be bound twice."""
+    """Schema 3 documents; ``dependencies`` holds the nested trees as JSON texts (see ``dependency_nodes``).
+
+    Paths must be absolute, the occurrence graph valid and its root the module, reactor keys distinct, and the artifacts
+    of the dependency trees exactly those that are bound, each once.
+    """
     rows = _strict_json(spark, path, EVIDENCE_SCHEMA, EVIDENCE_PROPERTIES, 3)
-    bound = rows.select("file", F.explode("artifacts").alias("a"))
-    if not bound.where(~F.col("a.absolutePath").startswith("/")).isEmpty():
-        raise InvalidDocument("an artifact path is not absolute")
-    if not bound.groupBy("file", "a.coordinates").count().where("count > 1").isEmpty():
-        raise InvalidDocument("an artifact is bound twice")
+    required = ["module", "moduleDirectory", "dependencies", "occurrenceGraph.rootId", "occurrenceGraph.occurrences", "occurrenceGraph.edges", "selectedReactorKeys", "artifacts"]
+    bound = rows.select("file", F.explode("artifacts").alias("a")).select("file", "a.*")
+    graph = rows.select("file", "module", "occurrenceGraph.*")
+    nodes = graph.select(F.col("file").alias("module"), F.explode("occurrences").alias("o")).select("module", F.col("o.id").alias("node"), F.col("o.moduleRoot").alias("is_root"))
+    edges = graph.select(F.col("file").alias("module"), F.explode("edges").alias("e")).select("module", F.col("e.parentId").alias("src"), F.col("e.childId").alias("dst"))
+    root = F.exists("occurrences", lambda o: o["moduleRoot"] & (o["id"] == F.col("rootId")) & (_artifact(o["coordinates"]) == _artifact(F.col("module"))))
+    selected, kept = (df.select("file", _artifact(F.col("coordinates")).alias("coordinates")) for df in (dependency_nodes(rows), bound))
+    for wrong, why in [
+        (rows.where(" OR ".join(f"{c} IS NULL" for c in required)), "a required property is null"),
+        (_unknown_nested(spark, path), "an inner object has unknown or missing properties"),
+        (rows.where("NOT startswith(moduleDirectory, '/')"), "the module directory is not absolute"),
+        (bound.where("NOT coalesce(startswith(absolutePath, '/'), false)"), "an artifact path is not absolute"),
+        (kept.groupBy("file", "coordinates").count().where("count > 1"), "an artifact is bound twice"),
+        (nodes.where("node IS NULL OR is_root IS NULL"), "an occurrence is incomplete"),
+        (nodes.groupBy("module", "node").count().where("count > 1"), "an occurrence id is repeated"),
+        (graph.where(~F.coalesce(root, F.lit(False))), "the occurrence root is not the module"),
+        (validate_occurrence_graph(nodes, edges).where("problem IS NOT NULL"), "the occurrence graph is not valid"),
+        (rows.where("size(array_distinct(selectedReactorKeys)) < size(selectedReactorKeys)"), "a reactor key is repeated"),
+        (selected.join(kept, ["file", "coordinates"], "left_anti"), "a selected dependency is not bound"),
+        (kept.join(selected, ["file", "coordinates"], "left_anti"), "a bound artifact is not selected"),
+    ]:
+        if not wrong.isEmpty():
+            raise InvalidDocument(why)
     return rows
 
 
