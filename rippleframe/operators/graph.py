@@ -60,7 +60,7 @@ def _adjacency(pdf: pd.DataFrame, reverse: bool) -> dict:
 
 
 def reverse_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(module, seed, node, level, next): breadth-first callers of each seed; ``next`` is the first discoverer.
+    """(module, seed, node, level, next): breadth-first callers of each seed; ``next`` is the first discoverer.
 
     Callers are visited in ascending order of their node, so each node's path along ``next`` is the one shortest path
     that the discovery order gives.
