@@ -6,6 +6,8 @@ set-based form for graphs that are larger than a task, one join for each level w
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,13 +31,14 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_levels:
     steps = edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
     frontier = _checkpoint(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("level", F.lit(0)))
     found = frontier
-    for level in range(1, max_levels):
+    for level in count(1):
         step = frontier.join(steps, "node").select("seed", F.col("_next").alias("node")).distinct().join(found, ["seed", "node"], "left_anti")
         frontier = _checkpoint(step.withColumn("level", F.lit(level)))
         if frontier.isEmpty():
-            break
+            return found
+        if level >= max_levels:
+            raise ValueError(f"nodes are further than {max_levels - 1} levels from their seeds")
         found = _checkpoint(found.union(frontier))
-    return found
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, max_length: int = 100) -> DataFrame:

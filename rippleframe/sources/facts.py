@@ -129,7 +129,7 @@ def parse_dependency_text(lines: DataFrame, scopes: list[str] = DEFAULT_SCOPES)
     coordinate = F.regexp_extract(text, r"^\(?([^ ()]+:[^ ()]+)", 1)
     rows = lines.withColumns({"_depth": (F.length(indent) / 3).cast("int"), "_coordinate": coordinate, "_notes": F.regexp_extract(text, r"\((?:version|scope|omitted|[^()]*optional)[^()]*\)|\(.*\)", 0)}).where(F.col("_coordinate") != "")
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    deepest = 32
+    deepest = (rows.agg(F.max("_depth")).first()[0] or 0) + 1
     ancestors = F.array(*(F.last(F.when(F.col("_depth") == d, F.col("_coordinate")), ignorenulls=True).over(w) for d in range(deepest)))
     note = lambda p: F.regexp_extract(F.col("_notes"), p, 1)
     out = rows.withColumn("path", F.slice(ancestors, F.lit(1), F.col("_depth") + 1)).withColumn("_p", tree_coordinate_parts(F.col("_coordinate")))
