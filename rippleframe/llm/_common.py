@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Separators of words in the query contracts: space and TAB..CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
+#: Spark's own switch that deletes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where that is unset (as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="rippleframe-")
@@ -31,18 +34,71 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back (survives lost executors)."""
+def write_once(spark: SparkSession, write) -> None:
+    """Run ``write`` (a call that writes a table) as an execution whose shuffle files go when it has ended."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        write()
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str, replaces: Iterable[DataFrame] = ()) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back (survives lost executors).
+
+    The steps in ``replaces`` are deleted when the new one is complete: nothing may read them any more.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write_once(spark, lambda: df.write.option("compression", "zstd").parquet(path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step_path = path
+    forget(*replaces)
+    return out
+
+
+def forget(*steps: DataFrame) -> None:
+    """Delete the folders of materialised steps that nothing reads any more."""
+    for step in steps:
+        path = getattr(step, "_step_path", None)
+        if path:
+            spark = step.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def hash_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def column(name: str) -> Column:
+    """A top-level column of any name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def outward(names: Iterable[str], results: Iterable[str]) -> list[str]:
+    """The names input columns go out by: their own, with ``_input`` added where a result (or another one) has it."""
+    taken, out = {r.lower() for r in results}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_input"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def kept_columns(df: DataFrame, keep: Iterable[str], results: Iterable[str]) -> tuple[list[Column], list[str], str]:
+    """The columns ``keep`` under their outward names, those names, and their schema text."""
+    keep = list(keep)
+    names = outward(keep, results)
+    kinds = {f.name.lower(): f.dataType.simpleString() for f in df.schema}
+    return [column(k).alias(n) for k, n in zip(keep, names, strict=True)], names, ", ".join(f"`{n.replace('`', '``')}` {kinds[k.lower()]}" for k, n in zip(keep, names, strict=True))
+
+
 def sub_batches(values: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """Row ranges of ``values`` (string or binary) that hold about ``max_bytes`` each; one row may exceed it."""
     import numpy as np

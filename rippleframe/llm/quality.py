@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE_PATTERN, table
+from ._common import SPACE_PATTERN, outward, table
 
 #: Number of bins; the weights (8 bytes each) are the only thing that every task gets.
 BINS = 65_536
@@ -37,27 +37,45 @@ def gram_bins(hashes: Column, bins: int = BINS) -> Column:
     return F.transform(F.concat(hashes, _pairs(hashes)), lambda h: F.pmod(h, F.lit(bins)).cast("int"))
 
 
-def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with ``_hashes`` (of the words), n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+#: Columns that the base measures add.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _inner(docs: DataFrame) -> DataFrame:
+    """The rows under names of our own (c0, c1, ...), which no name of the input can clash with."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def _measured(rows: DataFrame, text: str) -> DataFrame:
+    """The rows with ``hashes`` of the words and the base measures."""
     value = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(value, "\n"), lambda x: F.rtrim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
-    hashed = docs.withColumn("_hashes", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
-    triples = F.col("_triples")
+    hashed = rows.withColumn("hashes", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
+    triples = F.col("triples")
     # positions of windows that occur again, found by sorting (hash, position): equal hashes are neighbours
     ordered = F.sort_array(F.transform(triples, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = F.zip_with(F.slice(F.col("_ordered"), 1, F.size("_ordered") - 1), F.slice(F.col("_ordered"), 2, F.size("_ordered") - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))
+    same = F.zip_with(F.slice(F.col("ordered"), 1, F.size("ordered") - 1), F.slice(F.col("ordered"), 2, F.size("ordered") - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))
     covered = F.size(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
-    hashed = hashed.withColumn("_pairs", _pairs(F.col("_hashes")))
-    last = F.greatest(F.size("_hashes") - 2, F.lit(0))
-    hashed = hashed.withColumn("_triples", F.zip_with(F.slice("_pairs", 1, last), F.slice("_hashes", 3, last), lambda p, c: F.xxhash64(p, c)))
-    hashed = hashed.withColumn("_ordered", F.when(F.size(F.array_distinct(triples)) < F.size(triples), ordered))
+    hashed = hashed.withColumn("pairs", _pairs(F.col("hashes")))
+    last = F.greatest(F.size("hashes") - 2, F.lit(0))
+    hashed = hashed.withColumn("triples", F.zip_with(F.slice("pairs", 1, last), F.slice("hashes", 3, last), lambda p, c: F.xxhash64(p, c)))
+    hashed = hashed.withColumn("ordered", F.when(F.size(F.array_distinct(triples)) < F.size(triples), ordered))
     return hashed.withColumns({
-        "n_words": F.size("_hashes").cast("long"),
+        "n_words": F.size("hashes").cast("long"),
         "word_chars": F.length(F.translate(value, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(value) - F.length(F.translate(value, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.when(F.col("_ordered").isNull(), F.lit(0)).otherwise(covered).cast("long"),
-    }).drop("_pairs", "_triples", "_ordered")
+        "n_repeat_words": F.when(F.col("ordered").isNull(), F.lit(0)).otherwise(covered).cast("long"),
+    }).drop("pairs", "triples", "ordered")
+
+
+def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
+
+    A null text has no words.  An input column that has a measure's name goes out with ``_input`` added to its name.
+    """
+    measured = _measured(_inner(docs), f"c{docs.columns.index(text)}")
+    return measured.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(outward(docs.columns, MEASURES))), *MEASURES)
 
 
 def log_ratio_weights(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", bins: int = BINS, sample: int = TARGET_SAMPLE) -> np.ndarray:
@@ -86,19 +104,26 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_i
     """The rows of ``docs`` with the base measures, base_failed, score and kept.
 
     A null or empty text has no words and fails the base rule.  Without any trusted document all weights are zero, and
-    the base rule alone decides.  Rows are judged one by one, so repeated rows and null ids need no special case.
+    the base rule alone decides.  Rows are judged one by one, so repeated rows and null ids need no special case; an
+    empty table gives no row.  An input column that has a result's name goes out with ``_input`` added to its name.
+
+    ``kept`` is tied to the row number, which the optimizer may not copy or move: a filter on the verdict stays above
+    it, so each text is split and measured once.
     """
     # one string crosses to the JVM and is folded into a constant array there: far quicker than as many single values
     packed = ",".join(map(str, log_ratio_weights(docs, trusted, text, doc_id, bins, sample).tolist()))
     weights = F.split(F.lit(packed), ",").cast("array<bigint>")
-    measured = base_measures(docs, text)
-    grams = gram_bins(F.col("_hashes"), bins)
+    measured = _measured(_inner(docs), f"c{docs.columns.index(text)}")
+    grams = gram_bins(F.col("hashes"), bins)
     total = F.aggregate(grams, F.lit(0).cast("long"), lambda acc, b: acc + F.get(weights, b))
-    n_grams = F.size("_hashes") + F.greatest(F.size("_hashes") - 1, F.lit(0))
+    n_grams = F.size("hashes") + F.greatest(F.size("hashes") - 1, F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = measured.withColumn("base_failed", failed).withColumn("_total", F.when(~F.col("base_failed"), total))
-    kept = ~F.col("base_failed") & (F.col("_total") >= F.lit(threshold * SCALE) * n_grams)
-    return judged.withColumn("score", F.col("_total") / (n_grams * SCALE)).withColumn("kept", kept).drop("_hashes", "_total")
+    judged = measured.withColumn("base_failed", failed).withColumn("total", F.when(~F.col("base_failed"), total))
+    # the score is only missing where the base rule has failed
+    kept = F.coalesce(~F.col("base_failed") & (F.col("total") >= F.lit(threshold * SCALE) * n_grams), F.lit(False)) & (F.monotonically_increasing_id() >= 0)
+    results = [*MEASURES, "base_failed", "score", "kept"]
+    judged = judged.withColumn("score", F.col("total") / (n_grams * SCALE)).withColumn("kept", kept)
+    return judged.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(outward(docs.columns, results))), *results)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -106,7 +131,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every document; null and empty texts have no words and fail, repeated rows repeat."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = judge_quality(docs, trusted_ids(table(spark, sf_dir, "labels")))
-    # a null verdict cannot arise: the score is only missing where the base rule has failed
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("kept", F.lit(False)).alias("kept"))
+    return judged.select("doc_id", *MEASURES, "base_failed", "kept")
