@@ -6,13 +6,13 @@ whose adjacent pairs are all *compatible* (a pair (a, b) is compatible if mergin
 token being read (a node of the vocabulary's trie) and remembers the last token; a completed token must be compatible
 with the one before.  We determinise it by subsets with residual outputs, lazily: a deterministic state is made when a
 text first reaches it.  What all hypotheses of a state agree on is emitted at once, so the lookahead is bounded by the
-longest token.  The memo of states is emptied when it exceeds a bound; results do not depend on it.
+longest token.  What is remembered (states, pieces, pairs) is bounded in bytes and forgotten beyond that; results do
+not depend on it.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -22,7 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
+from ._common import column, kept_columns, sub_batches, table
+
+#: Bytes of text that are encoded before their rows are handed on.
+EMIT_BYTES = 2_000_000
 
 #: Characters for which ``re`` and ``regex`` agree on the pattern's classes: the Latin blocks without superscripts,
 #: fractions and the information separators.
@@ -58,20 +61,26 @@ class _State(dict):
 class MergeTransducer:
     """Deterministic byte-to-token transducer for one rank table, built as texts need it."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 48 << 20):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
-        self._children: list[dict[int, int]] = [{}]
+        #: The trie: (node, byte) to child, both in one number; the token that ends at a node; whether it has children.
+        self._child: dict[int, int] = {}
         self._token_at: list[int] = [-1]
+        self._inner = bytearray(1)
         for raw, token in ranks.items():
             node = 0
             for c in raw:
-                node = self._children[node].setdefault(c, len(self._children))
-                if node == len(self._token_at):
-                    self._children.append({})
+                key = node << 8 | c
+                child = self._child.get(key)
+                if child is None:
+                    child = self._child[key] = len(self._token_at)
                     self._token_at.append(-1)
+                    self._inner.append(0)
+                    self._inner[node] = 1
+                node = child
             self._token_at[node] = token
-        self._max_states = max_states
+        self._max_bytes = max_bytes
         self._compatible: dict[int, bool] = {}
         self._spines: dict[int, tuple[bool, list[int], list[int]]] = {}
         self._never = max(ranks.values()) + 1
@@ -79,6 +88,7 @@ class MergeTransducer:
 
     def _reset(self) -> None:
         self._states: dict[tuple, _State] = {}
+        self._bytes = 0
         self._start = self._state((((), -1, 0),))
 
     def _state(self, hypotheses: tuple) -> _State:
@@ -86,6 +96,7 @@ class MergeTransducer:
         if state is None:
             state = self._states[hypotheses] = _State()
             state.machine, state.hypotheses = self, hypotheses
+            self._bytes += 500 + 130 * len(hypotheses)  # as CPython lays them out, rounded up
         return state
 
     def merge(self, raw: bytes) -> list[int]:
@@ -149,7 +160,7 @@ class MergeTransducer:
         key = (last + 1) * self._never + token
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > 1_000_000:
+            if len(self._compatible) > self._max_bytes // 160:
                 self._compatible.clear()
             known = self._derivation(token)[0] and (last < 0 or not self._crosses(last, token))
             self._compatible[key] = known
@@ -159,13 +170,13 @@ class MergeTransducer:
         """The arc of a state for a byte: the next state and the tokens that are now certain."""
         found = []
         for residual, last, node in state.hypotheses:
-            child = self._children[node].get(byte)
+            child = self._child.get(node << 8 | byte)
             if child is None:
                 continue
             token = self._token_at[child]
             if token >= 0 and self._fits(last, token):
                 found.append(((*residual, token), token, 0))
-            if self._children[child]:
+            if self._inner[child]:
                 found.append((residual, last, child))
         if not found:
             raise ValueError("the rank table has no token for a byte")
@@ -174,6 +185,7 @@ class MergeTransducer:
         while all(len(r) > shared and r[shared] == first[shared] for r, _, _ in found):
             shared += 1
         target = tuple(sorted([(r[shared:], last, node) for r, last, node in found]))
+        self._bytes += 150
         return self._state(target), first[:shared]
 
     def encode_piece(self, raw: bytes) -> list[int]:
@@ -181,7 +193,7 @@ class MergeTransducer:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        if len(self._states) > self._max_states:
+        if self._bytes > self._max_bytes:
             self._reset()
         out: list[int] = []
         state = self._start
@@ -225,18 +237,26 @@ class Utf8Machine:
 
 
 class _PieceCache(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; emptied when it grows beyond its bound."""
+    """piece -> its ids as little-endian unsigned 32-bit integers.
+
+    Two generations of at most ``bound`` bytes each: when the young one is full it becomes the old one, so what is still
+    in use moves on and the rest goes.
+    """
 
-    def __init__(self, transducer: MergeTransducer, bound: int = 600_000):
+    def __init__(self, transducer: MergeTransducer, bound: int = 20 << 20):
         super().__init__()
-        self._transducer, self._bound = transducer, bound
+        self._transducer, self._bound, self._bytes = transducer, bound, 0
+        self._old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self._bound:
-            self.clear()
-        raw = piece.encode("utf-8")
-        packed = np.array(self._transducer.encode_piece(raw), "<u4").tobytes()
+        packed = self._old.get(piece)
+        if packed is None:
+            packed = np.array(self._transducer.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
         if len(piece) <= 64:
+            if self._bytes >= self._bound:
+                self._old, self._bytes = dict(self), 0
+                self.clear()
+            self._bytes += 220 + 2 * len(piece) + len(packed)
             self[piece] = packed
         return packed
 
@@ -295,41 +315,40 @@ def codec(name_or_path: str, pattern: str | None = None) -> ByteBpe:
     return _LOADED[key]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False) -> DataFrame:
-    """Columns ``keep`` of every row, then ``ids`` (array<int>) and ``decoded`` (string).
+def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False, decode: bool = True) -> DataFrame:
+    """Columns ``keep`` of every row, then ``ids`` (array<int>) and, unless ``decode`` is false, ``decoded`` (string).
 
     ``digests_only`` gives n_tokens, ids_sha256 and decoded_sha256 of the same ids and decoded bytes instead, so that
     the arrays never leave the worker.  A null or empty text has no ids; every other column may be null; repeated rows
-    give repeated results.  Each row is worked on alone: no shuffle, and memory in proportion to one text.
+    give repeated results; an empty table gives no row; a column of ``keep`` that has a result's name goes out with
+    ``_input`` added.  Each row is worked on alone: no shuffle, and memory in proportion to one text.
     """
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = f"{kept}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string")
+    results = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests_only else {"ids": pa.list_(pa.int32())} | ({"decoded": pa.string()} if decode else {})
+    columns, names, schema = kept_columns(docs, keep, results)
+    schema += "".join(f", {n} {'bigint' if k == pa.int64() else 'array<int>' if n == 'ids' else 'string'}" for n, k in results.items())
+
+    def digests(bpe, packed):
+        machine, sha = Utf8Machine(), hashlib.sha256()
+        for chunk in bpe.decode_bytes(packed):
+            sha.update(machine.feed(chunk).encode("utf-8"))
+        sha.update(machine.finish().encode("utf-8"))
+        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), sha.hexdigest()
 
     def run(batches):
         bpe = codec(vocabulary)
-        gc.disable()  # states refer to each other for good: collecting cycles among them only costs time
         for batch in batches:
-            packed = [bpe.encode_packed(t or "") for t in batch.column(len(keep)).to_pylist()]
-            if digests_only:
-                n, ids, decoded = [], [], []
-                for p in packed:
-                    machine, sha = Utf8Machine(), hashlib.sha256()
-                    for chunk in bpe.decode_bytes(p):
-                        sha.update(machine.feed(chunk).encode("utf-8"))
-                    sha.update(machine.finish().encode("utf-8"))
-                    n.append(len(p) // 4)
-                    ids.append(hashlib.sha256(p).hexdigest())
-                    decoded.append(sha.hexdigest())
-                made = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            else:
-                made = [pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32())), pa.array([bpe.decode(np.frombuffer(p, "<u4")) for p in packed], pa.string())]
-                names = ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *names])
+            for lo, hi in sub_batches(batch.column(len(names)), EMIT_BYTES):
+                part = batch.slice(lo, hi - lo)
+                packed = [bpe.encode_packed(t or "") for t in part.column(len(names)).to_pylist()]
+                if digests_only:
+                    made = list(zip(*(digests(bpe, p) for p in packed), strict=True))
+                else:
+                    made = [[np.frombuffer(p, "<i4") for p in packed]] + ([[bpe.decode(np.frombuffer(p, "<u4")) for p in packed]] if decode else [])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(list(m), k) for m, k in zip(made, results.values(), strict=True))], names=[*names, *results])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*columns, column(text)).mapInArrow(run, schema.removeprefix(", "))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count and digests of every document's encoding and of what decodes from it."""
+    """Token count and digests of every document's encoding and of what decodes from it; null and empty texts have no token."""
     return encode_documents(table(spark, sf_dir, "documents"), digests_only=True)

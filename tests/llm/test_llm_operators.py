@@ -414,7 +414,7 @@ def test_tokens_of_any_text():
 
 def test_small_state_bound_gives_the_same_tokens():
     ours = bpe.codec("byte_bpe_multi_50k.tiktoken").transducer
-    tight = bpe.MergeTransducer(ours.ranks, max_states=50)
+    tight = bpe.MergeTransducer(ours.ranks, max_bytes=30_000)
     for d in small("documents")[:5]:
         for w in WORD.findall(d["text"]):
             assert tight.encode_piece(w.encode()) == ours.encode_piece(w.encode())
