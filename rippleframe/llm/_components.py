@@ -9,11 +9,11 @@ from ._common import materialize
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
-    """One large-star or small-star step over edges (a > b)."""
+    """One large-star or small-star step over edges (a > b), which are deleted."""
     sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not small:
         sides = sides.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    sides = materialize(sides, "stars")
+    sides = materialize(sides, "stars", [edges])
     least = materialize(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = sides.join(least, "u")
     if small:
@@ -21,16 +21,17 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         moved = moved.where("a <> b")
     else:
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return materialize(moved.distinct(), "edges")
+    return materialize(moved.distinct(), "edges", [sides, least])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, replaces: list[DataFrame] = ()) -> DataFrame:
     """(node, component) of every node that has an edge; a component's name is its smallest node.
 
     ``edges`` has columns a and b (any order, repeats and loops allowed).  Alternates large-star and small-star steps
-    until the edges are stars; a node of high degree only meets map-side minima and joins that Spark can split.
+    until the edges are stars; a node of high degree only meets map-side minima and joins that Spark can split.  The
+    steps in ``replaces`` are deleted when ``edges`` has been read.
     """
-    current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", replaces)
     seen = None
     while True:
         state = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -39,4 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         current = _stars(_stars(current, small=False), small=True)
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return materialize(current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
+    return materialize(current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components", [current])

@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_bytes, hash_partitions, materialize, sub_batches, table
+from ._common import column, flat_bytes, hash_partitions, materialize, sub_batches, table
 from ._components import components
 from ._text import distinct, intersection_sizes, mix, shingles, word_hashes
 
@@ -56,15 +56,19 @@ def text_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return distinct(*shingles(*word_hashes(raw, offsets), width))
 
 
-def signatures(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """Of every row: _id, n_shingles, the set's 128-bit fingerprint (f1, f2), band keys and odd sketch (both null if empty)."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """_id, the text's hash and the text; a row is told by the first two, so an id may stand on several texts."""
+    return docs.select(column(doc_id).cast("long").alias("_id"), F.xxhash64(column(text)).alias("_hash"), column(text).alias("_text"))
+
+
+def signatures(named: DataFrame, width: int) -> DataFrame:
+    """Of every row: _id, _hash, n_shingles, the set's 128-bit fingerprint (f1, f2), band keys and odd sketch (both null if empty)."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi in sub_batches(batch.column(1), 2_000_000):
+            for lo, hi in sub_batches(batch.column(2), 2_000_000):
                 part = batch.slice(lo, hi - lo)
-                values, bounds = text_sets(*flat_bytes(part.column(1)), width)
+                values, bounds = text_sets(*flat_bytes(part.column(2)), width)
                 size = np.diff(bounds)
                 full = np.flatnonzero(size)
                 starts = bounds[:-1][full]
@@ -87,11 +91,11 @@ def signatures(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame
                     return pa.ListArray.from_arrays(pa.array((ends * rows.shape[1]).astype(np.int32)), pa.array(rows.ravel().view("<i8")), mask=pa.array(~present))
 
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size.astype(np.int64)), pa.array(fingerprint[0].view("<i8")), pa.array(fingerprint[1].view("<i8")), lists(keys), lists(sketch)],
-                    names=["_id", "n_shingles", "f1", "f2", "bands", "sketch"],
+                    [part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(fingerprint[0].view("<i8")), pa.array(fingerprint[1].view("<i8")), lists(keys), lists(sketch)],
+                    names=["_id", "_hash", "n_shingles", "f1", "f2", "bands", "sketch"],
                 )
 
-    return docs.select(F.col(doc_id).alias("_id"), text).mapInArrow(run, f"_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    return named.mapInArrow(run, "_id long, _hash long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
 
 def _sketch_passes(similarity: float):
@@ -100,13 +104,18 @@ def _sketch_passes(similarity: float):
     return (odd <= sketch_limit(similarity)) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-    # a representative's id may stand on several rows: their equal sets need one text
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(materialize(ids, "ids"), "_id", "left_semi")
-    texts = materialize(texts, "texts")
-    joined = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b")), "b")
+def _texts(named: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text): the text of each class in ``nodes``, that of its representative row."""
+    wanted = classes.select("node", "_id", "_hash").join(nodes, "node", "left_semi")
+    # a representative's id and text may stand on several rows: one of them is enough
+    return named.join(wanted, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])
+
+
+def confirm(pairs: DataFrame, named: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets have 100 * intersection >= percent * union."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = materialize(_texts(named, classes, nodes), "texts")
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         for batch in batches:
@@ -124,8 +133,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, width: in
                     yield part
                 lo = hi
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    links = materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links", [texts, pairs])
+    return links
 
 
 def _stars(node, inverse, likely):
@@ -199,8 +208,7 @@ def _likely_pairs(members: DataFrame, similarity: float) -> DataFrame:
             for a, b in _stars(node, inverse, likely):
                 yield _pair_batch(a, b)
 
-    kind = members.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _remaining_links(members: DataFrame, similarity: float, width: int, percent: int) -> DataFrame:
@@ -249,64 +257,88 @@ def _remaining_links(members: DataFrame, similarity: float, width: int, percent:
                         yield _pair_batch(node[linked], np.full(len(linked), node[i]))
                         label[np.isin(label, label[linked])] = label[i]
 
-    kind = members.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
-    """For every row: doc_id, n_shingles, component_id, n_links and kept.
-
-    Rows are linked when 100 * intersection >= ``percent`` * union of their sets; ``component_id`` is the smallest id
-    that can be reached, ``kept`` whether it is the row's own.  ``n_links`` counts the links of the
-    row's class that were confirmed on the way.
-    A null or empty text, or one without words, has an empty set and is linked with nothing; a row with a null id too
-    (its component is null and it is kept); repeated rows fall in one class.  Other columns of ``docs`` are not used.
-    ``doc_id`` must be a whole number.
-    """
+def _linked(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
+    """Of every row: _id, _hash, n_shingles, node (its component; null for rows that are linked with nothing), least (the
+    component's smallest id) and n_links (of its class)."""
     similarity = percent / 100
-    found = materialize(signatures(docs, text, doc_id, width), "signatures")
+    named = _named(docs, text, doc_id)
+    found = materialize(signatures(named, width), "signatures")
     usable = found.where(F.col("_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(
-        usable.groupBy("f1", "f2").agg(F.min("_id").cast("long").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
-    )
+    # a class is named by a number of its own: the smallest id may stand on several texts
+    first = F.min_by(F.struct("_id", "_hash", "n_shingles", "bands", "sketch"), F.struct("_id", "_hash"))
+    grouped = materialize(usable.groupBy("f1", "f2").agg(first.alias("r")).select("f1", "f2", F.monotonically_increasing_id().alias("node"), F.col("r._id").alias("_id"), F.col("r._hash").alias("_hash"), F.col("r.n_shingles").alias("n"), "r.bands", "r.sketch"), "classes")
+    classes = grouped
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
     buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass")).where("size > 1"), "buckets")
-    members = materialize(banded.drop("n").join(buckets, "key"), "members")
+    members = materialize(banded.drop("n").join(buckets, "key"), "members", [buckets])
 
     def sketched(pairs, side):
         facts = classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         return pairs.join(facts, side)
 
-    first = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    first = sketched(sketched(first, "a"), "b").where(_sketch_passes(similarity)).select("a", "b")
-    ids = docs.withColumn(doc_id, F.col(doc_id).cast("long"))
-    links = materialize(confirm(materialize(first, "candidates"), ids, text, doc_id, width, percent).distinct(), "links")
-    named = components(links)
+    stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    stars = sketched(sketched(stars, "a"), "b").where(_sketch_passes(similarity)).select("a", "b")
+    links = confirm(materialize(stars, "candidates"), named, classes, width, percent)
+    comps = components(links)
     for last in (False, True):
-        placed = members.join(named.select("node", F.col("component").alias("comp")), "node", "left")
-        placed = materialize(placed.withColumn("comp", F.coalesce("comp", "node")), "placed")
+        placed = members.join(comps.select("node", F.col("component").alias("comp")), "node", "left")
+        placed = materialize(placed.withColumn("comp", F.coalesce("comp", "node")), "placed", [members] if last else [])
         still = materialize(placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
         opened = placed.join(still, "key", "left_semi").join(classes.select("node", "n", "sketch", "bands"), "node").select("key", "size", "mass", "node", "comp", "n", "sketch", "bands")
+        opened = materialize(opened, "opened", [placed, still])
         if not last:
-            more = confirm(materialize(_likely_pairs(opened, similarity), "candidates"), ids, text, doc_id, width, percent).distinct()
+            more = confirm(materialize(_likely_pairs(opened, similarity), "candidates", [opened]), named, classes, width, percent)
         else:
-            opened = materialize(opened, "opened")
-            nodes = opened.select(F.col("node").alias("_id")).distinct()
-            texts = ids.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(nodes, "_id", "left_semi").dropDuplicates(["_id"])
-            more = _remaining_links(opened.join(texts.withColumnRenamed("_id", "node"), "node"), similarity, width, percent)
-        more = materialize(more, "links")
-        named = components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-        links = links.union(more)
-    all_links = links.distinct()
-    degree = all_links.select(F.col("a").alias("node")).union(all_links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-
-    of_class = classes.select("f1", "f2", "node").join(named, "node", "left").join(degree, "node", "left")
-    of_class = materialize(of_class.select("f1", "f2", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    joined = found.select("_id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
-    alone = F.col("_id").isNull() | (F.col("n_shingles") == 0)
-    component = F.when(alone, F.col("_id").cast("long")).otherwise(F.coalesce("component", F.col("_id").cast("long")))
-    return joined.select(F.col("_id").alias(doc_id), "n_shingles", component.alias("component_id"), F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.col("_id").cast("long").eqNullSafe(component).alias("kept"))
+            texts = _texts(named, classes, opened.select("node").distinct())
+            more = materialize(_remaining_links(opened.join(texts, "node"), similarity, width, percent), "links", [opened])
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), [comps])
+        links = materialize(links.union(more).distinct(), "links", [links, more])
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+
+    of_class = classes.select("f1", "f2", "node", "_id").join(comps, "node", "left").join(degree, "node", "left")
+    of_class = materialize(of_class.select("f1", "f2", "_id", F.coalesce("component", "node").alias("node"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named", [classes, comps, links])
+    least = of_class.groupBy("node").agg(F.min("_id").alias("least"))
+    of_class = of_class.join(least, "node").select("f1", "f2", "node", "least", "n_links")
+    usable = F.when(F.col("_id").isNotNull() & (F.col("n_shingles") > 0), F.lit(True))
+    rows = found.select("_id", "_hash", "n_shingles", F.when(usable, F.col("f1")).alias("f1"), F.when(usable, F.col("f2")).alias("f2"))
+    return rows.join(of_class, ["f1", "f2"], "left").drop("f1", "f2")
+
+
+def link_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
+    """For every row: doc_id, n_shingles, component_id, n_links and kept.
+
+    Rows are linked when 100 * intersection >= ``percent`` * union of their sets; ``component_id`` is the smallest id
+    that can be reached, ``kept`` whether it is the row's own.  ``n_links`` counts the links of the
+    row's class that were confirmed on the way.
+    A null or empty text, or one without words, has an empty set and is linked with nothing; a row with a null id too
+    (its component is null and it is kept); repeated rows fall in one class; rows that share an id but not a text are
+    linked by their texts alone; an empty table gives no row.  Other columns of ``docs`` are not used.  ``doc_id`` must
+    be a whole number.
+    """
+    kind = docs.schema[doc_id].dataType
+    rows = _linked(docs, text, doc_id, width, percent)
+    component = F.coalesce("least", "_id")
+    return rows.select(F.col("_id").cast(kind).alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, one of every component: that with the smallest id (of several texts with it, that with the
+    smallest hash; of equal rows, one).  Rows without words or without an id stay; of those, equal texts with one id once.
+    """
+    names = docs.columns
+    linked = _linked(docs, text, doc_id, width, percent).where("_id is not null")
+    grouped = linked.where("node is not null").groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("r")).select("r._id", "r._hash")
+    chosen = materialize(grouped.union(linked.where("node is null").select("_id", "_hash")).distinct(), "chosen")
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    own, of = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    keyed = rows.where(F.col(own).isNotNull()).withColumns({"_id": F.col(own).cast("long"), "_hash": F.xxhash64(of)})
+    one = keyed.join(chosen, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    return one.union(rows.where(F.col(own).isNull())).toDF(*names)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and verdict of every document; empty and null texts are linked with nothing, repeated rows repeat."""
     return link_near_duplicates(table(spark, sf_dir, "documents"))
