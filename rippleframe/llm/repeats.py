@@ -5,14 +5,17 @@ windows have their anchor at the same offset, so all occurrences of a repeat of
 suffixes that begin with one anchor's gram.  A suffix is its context: the bytes right of the anchor, by which it is
 sorted, and those left of it, which tell whether a repeat extends to the left.  Anchors whose gram stands at one place
 in the whole corpus are dropped by narrow counts, and equal contexts become one class with a count before any text is
-moved.  Each gram's classes form a slice of the suffix array; a stack scan over their common prefixes walks the interval
-tree, and in every interval the members' common left extensions give the maximal repeats with all their occurrences.
-Slices of more than ``SLICE`` classes take another exact way: counts of their windows' digests.
+moved.  Each gram's classes form a slice of the suffix array; a stack scan over their common prefixes walks its interval
+tree.  The members of an interval are ordered by what lies left of them, and a second scan tests their left extensions:
+a set of members that neither all extend alike to the left nor all to the right is the group of a maximal repeat, and is
+given with all its occurrences.  A slice that is too large for one task is split along the same tree, by the next bytes
+on either side, until its parts are small; see ``_split``.
+
+Texts are told apart by 128 bits, contexts by 128 bits besides the 64 of their gram; inside a slice bytes are compared.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 
@@ -21,16 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_bytes, hash_partitions, materialize, sub_batches, table
+from ._common import column, flat_bytes, hash_partitions, materialize, sub_batches, table, write_once
 from ._text import BYTE_VALUE, mix, powers
 
 GRAM = 32
-#: Classes of one gram that are scanned as one slice.
-SLICE = 1000
+#: Members of one slice that a task scans; larger slices are split along the interval tree first.
+SLICE = 4096
 _POSITION_BITS = np.uint64(24)
-_CHUNK = 1 << 23
+#: Bytes of text that are worked on at once, however long a text is.
+_CHUNK = 1 << 20
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _INVERSES = np.ones(1, np.uint64)
+#: A second table of byte values: contexts are hashed by two independent functions.
+_OTHER_VALUE = np.random.default_rng(20240518).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _inverses(n: int) -> np.ndarray:
@@ -44,9 +50,9 @@ def _inverses(n: int) -> np.ndarray:
 class _Hashes:
     """Polynomial hashes of any substring of ``raw`` from one prefix sum."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, values: np.ndarray = BYTE_VALUE):
         self._sum = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[raw] * powers(len(raw)), out=self._sum[1:])
+        np.cumsum(values[raw] * powers(len(raw)), out=self._sum[1:])
         self._inverse = _inverses(len(raw) + 1)
 
     def grams(self, size: int) -> np.ndarray:
@@ -58,82 +64,105 @@ class _Hashes:
         return mix(value ^ mix((end - start).astype(np.uint64)))
 
 
-def _chunk_anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Positions of the minimizers of all windows of ``raw`` that end within their text (``ends``: of each position)."""
-    n_windows = len(raw) - length + 1
-    if n_windows <= 0:
-        return np.zeros(0, np.int64)
+def _minimizers(hashes: _Hashes, first: int, owner_end: np.ndarray, length: int) -> np.ndarray:
+    """Positions of the minimizers of the windows that start at ``first``, first + 1, ... and end within their text.
+
+    ``owner_end`` has, for each of these windows, the end of its text.
+    """
     mask = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
-    least = _Hashes(raw).grams(GRAM)
+    width, n = length - GRAM + 1, len(owner_end)
+    least = hashes.grams(GRAM)[first : first + n + width - 1]
     least &= ~mask
     least |= np.arange(len(least), dtype=np.uint64)
-    span, width = 1, length - GRAM + 1
+    span = 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < width:
         least = np.minimum(least[: -(width - span)], least[width - span :])
-    start = np.arange(n_windows)
-    at = (least[:n_windows] & mask).astype(np.int64)[ends[:n_windows] - start >= length]
+    inside = owner_end - (first + np.arange(n)) >= length
+    at = first + (least[:n] & mask).astype(np.int64)[inside]
     return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
 
 
-def text_anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, position in ``raw``) of all anchors of the texts."""
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    found = []
-    for lo in range(0, len(raw), _CHUNK):
-        at = lo + _chunk_anchors(raw[lo : lo + _CHUNK + length - 1], ends[lo : lo + _CHUNK + length - 1], length)
-        found.append(at[at > found[-1][-1]] if found and len(found[-1]) else at)
-    at = np.concatenate(found)
-    return np.searchsorted(offsets, at, side="right") - 1, at
+def chunk_anchors(raw: np.ndarray, offsets: np.ndarray, length: int):
+    """Chunk by chunk: (hashes, second bytes of the chunk, its start, text index and position of its anchors)."""
+    last, n_starts = -1, len(raw) - length + 1
+    for lo in range(0, max(n_starts, 0), _CHUNK):
+        hi = min(lo + _CHUNK, n_starts)
+        begin, stop = max(0, lo - length), min(len(raw), hi + 2 * length)
+        data = raw[begin:stop]
+        a, b = np.searchsorted(offsets, [lo, hi - 1], side="right") - 1
+        bounds = np.clip(offsets[a : b + 2], lo, hi)
+        owner_end = np.repeat(offsets[a + 1 : b + 2], np.diff(bounds)) - begin
+        hashes = _Hashes(data)
+        at = begin + _minimizers(hashes, lo - begin, owner_end, length)
+        at = at[at > last]
+        if len(at):
+            last = int(at[-1])
+            yield hashes, data, begin, np.searchsorted(offsets, at, side="right") - 1, at
+
+
+def anchor_grams(texts: DataFrame, length: int) -> DataFrame:
+    """gram (its hash) of every anchor of ``texts`` (t, u, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in sub_batches(batch.column(0), _CHUNK):
+                raw, offsets = flat_bytes(batch.column(0).slice(lo, hi - lo))
+                for hashes, _, begin, _, at in chunk_anchors(raw, offsets, length):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.spans(at - begin, at - begin + GRAM).view("<i8"))], names=["gram"])
+
+    return texts.select("text").mapInArrow(run, "gram long")
 
 
 def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """gram (its hash), context (hash of the context and its extents), t, place (position, left and right extent)."""
+    """gram, c1 and c2 (hashes of the context and its extents), t, u, place (position, left and right extent)."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi in sub_batches(batch.column(1), 2_000_000):
-                raw, offsets = flat_bytes(batch.column(1).slice(lo, hi - lo))
-                which, at = text_anchors(raw, offsets, length)
-                if not len(at):
-                    continue
-                hashes = _Hashes(raw)
-                left = np.minimum(at - offsets[which], length - GRAM)
-                right = np.minimum(offsets[which + 1] - at, length)
-                context = mix(hashes.spans(at - left, at + right) ^ mix(left.astype(np.uint64)))
-                t = batch.column(0).to_numpy()[lo:hi][which]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.spans(at, at + GRAM).view("<i8")), pa.array(context.view("<i8")), pa.array(t), pa.array((at - offsets[which]) << 16 | left << 8 | right)],
-                    names=["gram", "context", "t", "place"],
-                )
-
-    return texts.select("t", "text").mapInArrow(run, "gram long, context long, t long, place long")
-
-
-def _contexts(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """gram, context, n, k and the bytes left and right of the anchor, of every class in ``reps``."""
-    asked = reps.groupBy("t").agg(F.collect_list(F.struct("gram", "context", "n", "k", "place")).alias("asked"))
+            for lo, hi in sub_batches(batch.column(2), _CHUNK):
+                raw, offsets = flat_bytes(batch.column(2).slice(lo, hi - lo))
+                names = [batch.column(k).to_numpy()[lo:hi] for k in range(2)]
+                for hashes, data, begin, which, at in chunk_anchors(raw, offsets, length):
+                    left = np.minimum(at - offsets[which], length - GRAM)
+                    right = np.minimum(offsets[which + 1] - at, length)
+                    start, end, extent = at - left - begin, at + right - begin, mix(left.astype(np.uint64))
+                    c1 = mix(hashes.spans(start, end) ^ extent)
+                    c2 = mix(_Hashes(data, _OTHER_VALUE).spans(start, end) ^ extent)
+                    gram = hashes.spans(at - begin, at - begin + GRAM)
+                    place = (at - offsets[which]) << 16 | left << 8 | right
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x.view("<i8")) for x in (gram, c1, c2)] + [pa.array(n[which]) for n in names] + [pa.array(place)], names=["gram", "c1", "c2", "t", "u", "place"]
+                    )
+
+    return texts.select("t", "u", "text").mapInArrow(run, "gram long, c1 long, c2 long, t long, u long, place long")
+
+
+def _contexts(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """gram, c1, c2, k, left (reversed: from the anchor outwards) and right, of every class in ``reps``."""
+    asked = reps.groupBy("t", "u").agg(F.collect_list(F.struct("gram", "c1", "c2", "k", "place")).alias("asked"))
+    names = ["gram", "c1", "c2", "k"]
 
     def run(batches):
         for batch in batches:
-            raw, offsets = flat_bytes(batch.column(0))
-            asked = batch.column(1)
-            rows = asked.flatten()
-            owner = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
-            place = rows.field("place").to_numpy()
-            at = offsets[owner] + (place >> 16)
-            left, right = place >> 8 & 255, place & 255
-            data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [rows.field(k) for k in ("gram", "context", "n", "k")] + [pa.array([data[x:y] for x, y in zip((at - left).tolist(), at.tolist(), strict=True)], pa.binary()), pa.array([data[x:y] for x, y in zip(at.tolist(), (at + right).tolist(), strict=True)], pa.binary())],
-                names=["gram", "context", "n", "k", "left", "right"],
-            )
-
-    return texts.join(asked.hint("merge"), "t").select("text", "asked").mapInArrow(run, "gram long, context long, n long, k long, left binary, right binary")
+            for lo, hi in sub_batches(batch.column(0), _CHUNK):
+                raw, offsets = flat_bytes(batch.column(0).slice(lo, hi - lo))
+                asked = batch.column(1).slice(lo, hi - lo)
+                rows = asked.flatten()
+                owner = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+                place = rows.field("place").to_numpy()
+                at = offsets[owner] + (place >> 16)
+                left, right = place >> 8 & 255, place & 255
+                data = raw.tobytes()
+                for i in range(0, len(rows), 20_000):
+                    cut = slice(i, i + 20_000)
+                    lefts = [data[x:y][::-1] for x, y in zip((at[cut] - left[cut]).tolist(), at[cut].tolist(), strict=True)]
+                    rights = [data[x:y] for x, y in zip(at[cut].tolist(), (at[cut] + right[cut]).tolist(), strict=True)]
+                    part = rows.slice(i, 20_000)
+                    yield pa.RecordBatch.from_arrays([part.field(k) for k in names] + [pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=[*names, "left", "right"])
+
+    return texts.join(asked.hint("merge"), ["t", "u"]).select("text", "asked").mapInArrow(run, "gram long, c1 long, c2 long, k long, left binary, right binary")
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:
@@ -150,182 +179,271 @@ def _common_prefix(a: bytes, b: bytes) -> int:
     return lo
 
 
-def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int):
-    """Stack scan of one slice: yields (members, depth, left extensions) of its intervals that hold a long repeat.
-
-    ``rights`` are in order; ``lefts`` are reversed left contexts.  An interval's members share ``depth`` bytes to the
-    right; a member's left extension is the longest that it shares with another member, found between neighbours in the
-    order of the reversed left contexts.  The members of an interval that do not all extend alike form maximal repeats.
-    """
-    n = len(rights)
-    prefix = [_common_prefix(rights[i - 1], rights[i]) for i in range(1, n)] + [-1]
+def _intervals(prefix: list[int]):
+    """Stack scan: (depth, first, last) of every interval of a sorted list whose neighbours share ``prefix``, inner ones first."""
     stack: list[tuple[int, int]] = []  # (depth, first member) of the open intervals
-    for i, depth in enumerate(prefix):
+    for i, depth in enumerate([*prefix, -1]):
         first = i
         while stack and stack[-1][0] > depth:
             top, first = stack.pop()
-            members = sorted(range(first, i + 1), key=lefts.__getitem__)
-            shared = [_common_prefix(lefts[x], lefts[y]) for x, y in zip(members, members[1:])]
-            reach = [max(a, b) for a, b in zip([-1, *shared], [*shared, -1], strict=True)]
-            if max(reach) + top >= length:
-                yield members, top, reach
+            yield top, first, i
         if not stack or stack[-1][0] < depth:
             stack.append((depth, first))
 
 
-def _scan_slices(contexts: DataFrame, length: int) -> DataFrame:
-    """(gram, context, left, right): how far around its anchor every class is covered by repeats; none if not at all."""
-    ordered = contexts.repartition(hash_partitions(contexts.sparkSession), "gram").sortWithinPartitions("gram", "right", "left")
+def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int):
+    """Groups (members, left, right) of one slice's maximal repeats of at least ``length`` bytes around the anchor.
+
+    ``rights`` are in order; ``lefts`` are reversed left contexts.  An interval of the first scan holds the members that
+    share ``right`` bytes; among them, ordered by their left contexts, an interval of the second scan holds those that
+    share ``left`` bytes and do not all extend alike (left diversity, which an interval has by its nature).  It is
+    maximal to the right too if its members do not lie in one child of the first interval.
+    """
+    prefix = [_common_prefix(a, b) for a, b in zip(rights, rights[1:])]
+    for right, first, last in _intervals(prefix):
+        members = sorted(range(first, last + 1), key=lefts.__getitem__)
+        shared = [_common_prefix(lefts[x], lefts[y]) for x, y in zip(members, members[1:])]
+        if max(shared) + right < length:
+            continue
+        child, of = 0, {first: 0}
+        for j in range(first, last):
+            child += prefix[j] == right
+            of[j + 1] = child
+        for left, a, b in _intervals(shared):
+            if left + right >= length:
+                group = members[a : b + 1]
+                if any(of[m] != of[group[0]] for m in group):
+                    yield group, left, right
+
+
+_MEMBER = "gram long, c1 long, c2 long, left int, right int, repeat binary"
+
+
+def _scan(slices: DataFrame, length: int) -> DataFrame:
+    """Members of the maximal repeats of all slices (gram, s1, s2, c1, c2, left, right): see ``repeat_members``."""
+    ordered = slices.repartition(hash_partitions(slices.sparkSession), "gram", "s1", "s2").sortWithinPartitions("gram", "s1", "s2", "right", "left")
+
+    def batch_of(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=["gram", "c1", "c2", "left", "right", "repeat"])
 
     def scan(gram, group):
-        rights = [g[2] for g in group]
-        lefts = [g[1][::-1] for g in group]
-        reach = [[0, 0] for _ in group]
-        for members, depth, left in maximal_repeats(rights, lefts, length):
-            for m, extent in zip(members, left, strict=True):
-                if extent + depth >= length:
-                    reach[m][0] = max(reach[m][0], extent)
-                    reach[m][1] = max(reach[m][1], depth)
-        return [(gram, g[0], a, b) for g, (a, b) in zip(group, reach, strict=True) if b]
+        rights, lefts = [g[3] for g in group], [g[2] for g in group]
+        for members, left, right in maximal_repeats(rights, lefts, length):
+            name = hashlib.blake2b(lefts[members[0]][:left][::-1] + rights[members[0]][:right] + left.to_bytes(2, "big"), digest_size=16).digest()
+            for m in members:
+                yield gram, group[m][0], group[m][1], left, right, name
 
     def run(batches):
         group, last, out = [], None, []
         for batch in batches:
-            for gram, context, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if gram != last:
+            for gram, s1, s2, c1, c2, left, right in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (gram, s1, s2) != last:
                     if len(group) > 1:
-                        out += scan(last, group)
-                    group, last = [], gram
-                if not group or group[-1][0] != context:  # a class stands once, though its text may come twice
-                    group.append((context, left, right))
-            if len(out) > 10_000:
-                yield _cover_batch(out)
-                out = []
+                        for row in scan(last[0], group):
+                            out.append(row)
+                            if len(out) >= 10_000:
+                                yield batch_of(out)
+                                out = []
+                    group, last = [], (gram, s1, s2)
+                group.append((c1, c2, left, right))
         if len(group) > 1:
-            out += scan(last, group)
+            for row in scan(last[0], group):
+                out.append(row)
+                if len(out) >= 10_000:
+                    yield batch_of(out)
+                    out = []
         if out:
-            yield _cover_batch(out)
+            yield batch_of(out)
 
-    return ordered.select("gram", "context", "left", "right").mapInArrow(run, "gram long, context long, left int, right int")
+    return ordered.select("gram", "s1", "s2", "c1", "c2", "left", "right").mapInArrow(run, _MEMBER)
 
 
-def _cover_batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], (pa.int64(), pa.int64(), pa.int32(), pa.int32())[k]) for k in range(4)], names=["gram", "context", "left", "right"])
+def _shared_bytes(least, most):
+    """Length of the common prefix of two binary columns."""
+    n = F.least(F.octet_length(least), F.octet_length(most))
+    other = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(least, i, 1) != F.substring(most, i, 1)))
+    return F.coalesce(F.array_min(other) - 1, n)
 
 
-def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same result for classes of very large slices: their windows' digests are counted, with map-side sums.
+def _split(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """Slices of at most SLICE members for the scan, and the members of the repeats found while splitting (or None).
 
-    A window counts with its offset from the anchor: equal windows have it in common, while one window that lies in the
-    contexts of two neighbouring anchors does not count twice.
+    A slice's least and greatest contexts tell what all members share (A bytes to the left, B to the right): if A + B
+    reaches ``length``, the slice is itself the group of a maximal repeat.  What is longer still shares more to the right
+    or more to the left, so a slice that is too large falls into parts by the next bytes on either side; where A + B is
+    short, a pair must share half of what is lacking to the right, or else the rest of it to the left.  A member alone
+    in its part goes.  Every round adds to A or B, so there are fewer rounds than a context has bytes.
     """
+    sliced = contexts.withColumns({"s1": F.lit(0).cast("long"), "s2": F.lit(0).cast("long")})
+    small = sliced.where(F.col("k") <= SLICE).select("gram", "s1", "s2", "c1", "c2", "left", "right")
+    large = sliced.where(F.col("k") > SLICE).select("gram", "s1", "s2", "c1", "c2", "left", "right")
+    found = None
+    if large.isEmpty():
+        return small, None
+    key = ["gram", "s1", "s2"]
+    while True:
+        facts = large.groupBy(*key).agg(*(f(c).alias(f"{n}_{c}") for c in ("left", "right") for n, f in (("least", F.min), ("most", F.max))))
+        facts = facts.select(*key, _shared_bytes(F.col("least_left"), F.col("most_left")).alias("A"), _shared_bytes(F.col("least_right"), F.col("most_right")).alias("B"))
+        known = materialize(large.join(facts, key), "split")
+        whole = F.col("A") + F.col("B") >= length
+        name = F.unhex(F.md5(F.concat_ws(":", *key, "A", "B")))
+        group = known.where(whole).select("gram", "c1", "c2", F.col("A").alias("left"), F.col("B").alias("right"), name.alias("repeat"))
+        group = materialize(group, "group")
+        found = group if found is None else found.union(group)
+        lacking = length - F.col("A") - F.col("B")
+        more_right = F.when(whole, F.col("B") + 1).otherwise(F.col("B") + F.ceil(lacking / 2).cast("int"))
+        # pairs that share fewer bytes to the right must share so many to the left
+        more_left = F.when(whole, F.col("A") + 1).otherwise(length - more_right + 1)
+        known = known.withColumns({"more_right": more_right, "more_left": more_left})
+
+        def part(left, right):
+            name = lambda seed: F.xxhash64(F.lit(seed), *key, F.lit(left), F.substring("left", F.lit(1), F.col(left)), F.substring("right", F.lit(1), F.col(right)))
+            rows = known.where((F.col(left) <= F.octet_length("left")) & (F.col(right) <= F.octet_length("right")))
+            return rows.select("gram", name(1).alias("s1"), name(2).alias("s2"), "c1", "c2", "left", "right")
+
+        right, left = part("A", "more_right"), part("more_left", "B")
+        parts = materialize(right.union(left), "parts", [known])
+        sizes = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        sized = materialize(parts.join(sizes, key), "parts", [parts])
+        small = small.union(sized.where(F.col("k") <= SLICE).select(*small.columns))
+        large = sized.where(F.col("k") > SLICE).select(*small.columns)
+        if large.isEmpty():
+            return small, found
+
+
+class _Index:
+    """The steps that the scan and its readers share: distinct texts, places of anchors, classes of equal contexts."""
+
+    def __init__(self, once: DataFrame, length: int):
+        self.length = length
+        # joins are merge joins at every size: none of these sides is bounded
+        again = materialize(anchor_grams(once, length).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
+        self.places = materialize(anchors(once, length).join(again.hint("merge"), "gram", "left_semi"), "places", [again])
+        least = F.min(F.struct("t", "u", "place"))
+        classes = self.places.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), least.alias("r")).select("gram", "c1", "c2", "n", "r.t", "r.u", "r.place")
+        self.classes = materialize(classes, "classes")
+        slices = materialize(self.classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "slices")
+        self.contexts = materialize(_contexts(once, self.classes.join(slices.hint("merge"), "gram")), "contexts", [slices])
+
+    def members(self) -> DataFrame:
+        """gram, c1, c2, left, right, repeat: the classes of every group, the repeat's extent around the anchor, its name.
+
+        A class that stands more than once is a group by itself: its whole context repeats.
+        """
+        small, found = _split(self.contexts, self.length)
+        whole = self.classes.where("n > 1").select(
+            "gram", "c1", "c2", F.shiftright("place", 8).bitwiseAND(255).cast("int").alias("left"), F.col("place").bitwiseAND(255).cast("int").alias("right"),
+            F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("c1", "c2")))).alias("repeat"),
+        )
+        out = _scan(small, self.length).union(whole)
+        return out if found is None else out.union(found)
+
+
+def _distinct_texts(docs: DataFrame, text: str) -> str:
+    """Name of a new table of the distinct texts (t, u, text, copies), bucketed by their 128-bit name (t, u).
+
+    Each distinct text is shuffled once; joins that need texts read the table without another exchange.
+    """
+    spark = docs.sparkSession
+    name = f"rippleframe_texts_{uuid.uuid4().hex}"
+    distinct = _named(docs, text).groupBy("t", "u").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    try:
+        write_once(spark, lambda: distinct.write.option("compression", "zstd").bucketBy(hash_partitions(spark), "t", "u").sortBy("t", "u").saveAsTable(name))
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        raise
+    return name
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                rows = [[], [], [], []]
-                for gram, context, left, right in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                    data = np.frombuffer(left + right, np.uint8)
-                    start = np.arange(len(data) - length + 1)
-                    rows[0].append(np.full(len(start), gram))
-                    rows[1].append(np.full(len(start), context))
-                    rows[2].append((len(left) - start).astype(np.int32))
-                    rows[3].append(_Hashes(data).spans(start, start + length).view("<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=["gram", "context", "before", "window"])
-
-    windows = contexts.select("gram", "context", "left", "right").dropDuplicates(["gram", "context"]).mapInArrow(run, "gram long, context long, before int, window long")
-    twice = materialize(windows.groupBy("gram", "before", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows")
-    covered = windows.join(twice, ["gram", "before", "window"])
-    return covered.groupBy("gram", "context").agg(F.max("before").alias("left"), (F.lit(length) - F.min("before")).cast("int").alias("right"))
+
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    value = F.coalesce(column(text), F.lit(""))
+    return docs.select(value.alias("text")).withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), "text")})
+
+
+def repeat_groups(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
+    """Every occurrence of every maximal repeat: repeat (its name), n_bytes, t and u (the text's name) and start.
+
+    A repeat is named once for each anchor it is found around, and seen at most ``length`` bytes to the right and
+    ``length`` - 32 to the left of it.  ``t`` and ``u`` are ``xxhash64(text)`` and ``xxhash64(1, text)``; an occurrence is
+    given once for each distinct text.  Texts shorter than ``length``, null ones and an empty table have no repeat.
+    """
+    spark = docs.sparkSession
+    name = _distinct_texts(docs, text)
+    try:
+        index = _Index(spark.table(name).select("t", "u", "text"), length)
+        found = index.places.join(index.members().hint("merge"), ["gram", "c1", "c2"])
+        position = F.shiftright("place", 16)
+        return materialize(found.select("repeat", (F.col("left") + F.col("right")).alias("n_bytes"), "t", "u", (position - F.col("left")).alias("start")), "occurrences", [index.places, index.classes, index.contexts])
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def repeated_spans(once: DataFrame, length: int = 200) -> DataFrame:
-    """(t, spans): of every text of ``once`` (t, text; each text once) the spans that repeats of ``length`` cover.
+    """(t, u, spans): of every text of ``once`` (t, u, text; each text once) the spans that repeats of ``length`` cover.
 
     Spans are [start, end) in bytes and may overlap.  Texts that nothing covers have no row.
     """
-    spark = once.sparkSession
-    # joins are merge joins at every size: none of these sides is bounded
-    found = anchors(once, length)
-    again = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    places = materialize(found.join(again.hint("merge"), "gram", "left_semi"), "places")
-    _release(spark)
-    classes = places.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first("place").alias("place"))
-    classes = materialize(classes, "classes")
-    slices = materialize(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "slices")
-    contexts = materialize(_contexts(once, classes.join(slices.hint("merge"), "gram"), length), "contexts")
-    _release(spark)
-    cover = _scan_slices(contexts.where(F.col("k") <= SLICE), length)
-    if not contexts.where(F.col("k") > SLICE).isEmpty():
-        cover = cover.union(_count_windows(contexts.where(F.col("k") > SLICE), length))
-    whole = classes.where("n > 1").select("gram", "context", (F.shiftright("place", 8).bitwiseAND(255)).cast("int").alias("left"), F.col("place").bitwiseAND(255).cast("int").alias("right"))
-    cover = materialize(cover.union(whole).groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right")), "cover")
+    index = _Index(once, length)
+    # all groups of a class lie around its anchor, so they cover one span
+    cover = index.members().groupBy("gram", "c1", "c2").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    cover = materialize(cover, "cover", [index.classes, index.contexts])
     position = F.shiftright("place", 16)
-    spans = places.join(cover.hint("merge"), ["gram", "context"]).select("t", (position - F.col("left")).alias("start"), (position + F.col("right")).alias("end"))
-    return spans.groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are already written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spans = index.places.join(cover.hint("merge"), ["gram", "c1", "c2"]).select("t", "u", (position - F.col("left")).alias("start"), (position + F.col("right")).alias("end"))
+    return materialize(spans.groupBy("t", "u").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans", [index.places, cover])
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", length: int = 200, with_bytes: bool = True) -> DataFrame:
-    """(t, n_bytes, n_removed, n_spans, kept_sha256, kept) of every distinct text, ``t`` being ``xxhash64`` of it.
+    """(t, u, n_bytes, n_removed, n_spans, kept_sha256, kept) of every distinct text, named by t and u (128 bits).
 
     A byte is removed when a ``length``-byte string that covers it also starts anywhere else in the input, in the same
     text or another row, judged on the input.  ``kept`` has the remaining bytes (binary; left out on request).  A null
     text is empty; texts shorter than ``length`` keep everything; rows with equal texts lose everything if they are long
-    enough.  ``length`` is from 64 to 255.
-
-    Each distinct text is shuffled once, into a table of the warehouse that is bucketed by ``t``; the joins that need
-    texts read it without another exchange.  The table is dropped when the result is written.
+    enough; an empty table gives no row; other columns are not used.  ``length`` is from 64 to 255.  However long a text
+    is, beyond its own bytes and spans it takes memory for a chunk of it at a time.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    name = f"rippleframe_texts_{uuid.uuid4().hex}"
-    distinct = texts.groupBy("t").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    distinct.write.option("compression", "zstd").bucketBy(hash_partitions(spark), "t").sortBy("t").saveAsTable(name)
-    _release(spark)
-    once = spark.table(name)
-    spans = materialize(repeated_spans(once.select("t", "text"), length), "spans")
-    _release(spark)
-    joined = once.join(spans.hint("merge"), "t", "left").select("t", "text", "spans", "copies")
+    name = _distinct_texts(docs, text)
 
     def run(batches):
         for batch in batches:
-            raw, offsets = flat_bytes(batch.column(1))
-            data = raw.tobytes()
-            rows = [[], [], [], [], []]
-            for i, (spans_of, copies) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                whole = data[offsets[i] : offsets[i + 1]]
-                found = sorted((x["start"], x["end"]) for x in spans_of or ())
-                if copies > 1 and len(whole) >= length:
-                    found = [(0, len(whole))]
-                kept, at, runs = [], 0, 0
-                end = -1
-                for s in found:
-                    if s[0] > end:
-                        runs += 1
-                        kept.append(whole[at : s[0]])
-                    end = at = max(end, s[1])
-                kept.append(whole[at:])
-                left = b"".join(kept)
-                for column, value in zip(rows, (len(whole), len(whole) - len(left), runs, hashlib.sha256(left).hexdigest(), left), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            made = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)][: 5 if with_bytes else 4]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["t", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_bytes else 5])
-
-    schema = "t long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    result = materialize(joined.mapInArrow(run, schema), "cut")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return result
+            for lo, hi in sub_batches(batch.column(2), 4 << 20):
+                part = batch.slice(lo, hi - lo)
+                raw, offsets = flat_bytes(part.column(2))
+                rows = [[], [], [], [], []]
+                for i, copies in enumerate(part.column(4).to_pylist()):
+                    whole = raw[offsets[i] : offsets[i + 1]]
+                    spans = part.column(3)[i].values
+                    if copies > 1 and len(whole) >= length:
+                        start, end = np.array([0]), np.array([len(whole)])
+                    elif spans is None:
+                        start = end = np.zeros(0, np.int64)
+                    else:
+                        start, end = spans.field("start").to_numpy(), spans.field("end").to_numpy()
+                        order = np.argsort(start, kind="stable")
+                        start, end = start[order], np.maximum.accumulate(end[order])
+                    first = np.concatenate(([True], start[1:] > end[:-1])) if len(start) else np.zeros(0, bool)
+                    start, end = start[first], end[np.append(np.flatnonzero(first)[1:] - 1, len(end) - 1)] if len(start) else end
+                    left = b"".join(whole[a:b].tobytes() for a, b in zip([0, *end.tolist()], [*start.tolist(), len(whole)], strict=True))
+                    for values, value in zip(rows, (len(whole), len(whole) - len(left), len(start), hashlib.sha256(left).hexdigest(), left), strict=True):
+                        values.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                made = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)][: 5 if with_bytes else 4]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["t", "u", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 7 if with_bytes else 6])
+
+    schema = "t long, u long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
+    try:
+        once = spark.table(name)
+        spans = repeated_spans(once.select("t", "u", "text"), length)
+        joined = once.join(spans.hint("merge"), ["t", "u"], "left").select("t", "u", "text", "spans", "copies")
+        return materialize(joined.mapInArrow(run, schema), "cut", [spans])
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 200 bytes remove of every document; null texts are empty, repeated rows repeat."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = cut_repeats(docs, with_bytes=False)
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).join(cut, "t", "left").drop("t")
+    value = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(value).alias("t"), F.xxhash64(F.lit(1), value).alias("u")).join(cut, ["t", "u"], "left").drop("t", "u")

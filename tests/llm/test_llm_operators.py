@@ -287,31 +287,80 @@ def brute_cut(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("slice_size", [1000, 1])
+@pytest.mark.parametrize("slice_size", [4096, 3, 1])
 def test_repeats(spark, monkeypatch, slice_size):
     monkeypatch.setattr(repeats, "SLICE", slice_size)
     r = random.Random(3)
     prose = lambda n: "".join(r.choice("abcdeé \n") for _ in range(n))
     shared, other = prose(400), prose(230)
     texts = [prose(500) + shared + prose(100), shared[50:380] + prose(300), prose(80) + shared[:199] + "x" + prose(50), other * 3, "ab" * 600, prose(900), prose(900), None, "", "short", "short", shared, shared, prose(30) + other[5:215] + "é"]
-    frame = spark.createDataFrame([(i, t, 2) for i, t in enumerate(texts)], "doc_id int, text string, t int")
-    cut = repeats.cut_repeats(frame.drop("t")).withColumnRenamed("t", "_t")
-    rows = frame.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t")).join(cut, "_t").orderBy("doc_id").collect()
+    texts += [prose(r.randint(0, 120)) + shared[a : a + r.randint(150, 260)] + prose(r.randint(0, 90)) for a in (0, 3, 9, 20, 21, 60, 61, 62, 100, 100, 130)]
+    frame = spark.createDataFrame([(i, t, 2, 3) for i, t in enumerate(texts)], "doc_id int, text string, t int, u int")
+    cut = repeats.cut_repeats(frame)
+    rows = frame.select("doc_id", *(x.alias(n) for x, n in zip(repeats_names("text"), "tu"))).join(cut, ["t", "u"]).orderBy("doc_id").collect()
     expected = brute_cut([(t or "").encode() for t in texts])
     assert [(x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows] == expected
     assert all(hashlib.sha256(x["kept"]).hexdigest() == x["kept_sha256"] for x in rows)
 
 
+def repeats_names(text):
+    value = F.coalesce(text, F.lit(""))
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)
+
+
 def test_repeats_of_documents(spark):
     docs = small("documents")
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.op6_repeats(spark, SMALL).collect()}
     assert got == dict(zip((d["doc_id"] for d in docs), brute_cut([(d["text"] or "").encode() for d in docs]), strict=True))
     assert repeats.cut_repeats(empty(spark, "text string")).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rippleframe_texts")]
+
+
+def test_repeats_in_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "_CHUNK", 4096)
+    r = random.Random(8)
+    block = "".join(r.choice("abcdefgh é") for _ in range(300))
+    text = "".join("".join(r.choice("abcdefgh é") for _ in range(r.randint(1, 4000))) + block for _ in range(120))
+    rows = repeats.cut_repeats(spark.createDataFrame([(text,), (block,)], "text string")).orderBy("n_bytes").collect()
+    assert sorted((x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows) == sorted(brute_cut([text.encode(), block.encode()]))
 
 
 def test_maximal_repeats():
     found = list(repeats.maximal_repeats([b"abcX", b"abcY", b"abd"], [b"pq", b"pz", b"r"], 4))
-    assert [(sorted(m), d) for m, d, _ in found] == [([0, 1], 3)]
+    assert [(sorted(m), left, right) for m, left, right in found] == [([0, 1], 1, 3)]
+    # every member of the left group lies in one child of the wider interval: only the longer repeat is given
+    r = random.Random(4)
+    for _ in range(60):
+        n = r.randint(2, 9)
+        both = sorted({("".join(r.choice("ab") for _ in range(r.randint(1, 5))), "".join(r.choice("ab") for _ in range(r.randint(0, 4)))) for _ in range(n)})
+        rights, lefts = [a.encode() for a, _ in both], [b.encode() for _, b in both]
+        common = lambda xs: next((k for k in range(min(map(len, xs)) + 1) if k == min(map(len, xs)) or len({x[k] for x in xs}) > 1), 0)
+        expected = set()
+        for i in range(len(both)):
+            for j in range(i):
+                a, b = common([rights[i], rights[j]]), common([lefts[i], lefts[j]])
+                if a + b >= 3:
+                    expected.add((tuple(k for k in range(len(both)) if rights[k].startswith(rights[i][:a]) and lefts[k].startswith(lefts[i][:b])), b, a))
+        assert {(tuple(sorted(m)), left, right) for m, left, right in repeats.maximal_repeats(rights, lefts, 3)} == expected
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    r = random.Random(5)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = prose(230)
+    texts = [prose(50) + shared + prose(40), shared + prose(70) + shared, prose(10) + shared]
+    groups = repeats.repeat_groups(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    names = {tuple(x): t for t in texts for x in spark.createDataFrame([(t,)], "text string").select(*repeats_names("text")).collect()}
+    by_repeat = collections.defaultdict(set)
+    for g in groups:
+        text = names[g["t"], g["u"]]
+        by_repeat[g["repeat"]].add((text[g["start"] : g["start"] + g["n_bytes"]], g["t"], g["start"]))
+    assert by_repeat
+    for members in by_repeat.values():
+        words = {w for w, _, _ in members}
+        assert len(words) == 1
+        word = words.pop()
+        assert len(members) == sum(t.startswith(word, i) for t in texts for i in range(len(t)))
 
 
 # --- 7 archive -------------------------------------------------------------------------------------------------------
