@@ -557,9 +557,70 @@ def test_unmarked_pages_use_the_host_suffix_array(spark):
     assert got == {0: own[0], 1: own[1], 2: own[2], 7: own[0], 8: "", 9: own[1]}
 
 
-def test_shared_prefixes():
-    assert html_text.shared_prefixes([["a", "b", "c"], ["a", "b", "d"], ["a", "x"]], [1, 2, 2], [1, 2, 2]) == [2, 2, 1]
-    assert html_text.shared_prefixes([["a", "b"], ["a", "c"]], [1, 1], [1, 1]) == [0, 0]
+def test_article_text_that_names_only_resemble(spark):
+    cases = ['<p class="side-by-side">', '<p class="legal">', '<div id="related-work">', '<figure class="social-network-chart">', '<p class="content copyright-law">', '<section class="discussion">', "<math>", '<p class="with-sidebar">']
+    for tag in cases:
+        end = re.match(r"<(\w+)", tag)[1]
+        assert html_text.article_text(f"<nav>n</nav><article><p>one</p>{tag}two three</{end}> four</article>").replace("\n\n", " ").replace("  ", " ") == "one two three four", tag
+    for tag in ('<div class="site-footer">', '<div id="comments">', '<div class="comment-list">', '<div class="ad">', '<section class="cookie-notice">', '<ul class="main-menu">', "<span class='ad'>"):
+        end = re.match(r"<(\w+)", tag)[1]
+        assert html_text.article_text(f"<article><p>one</p>{tag}gone</{end}></article>") == "one", tag
+
+
+def test_hinted_blocks_go_where_the_host_repeats_them(spark):
+    shared = " ".join(f"read{i}" for i in range(12))
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    page = lambda k, hint: f"<article><p>{shared}</p><p>{own(k)}</p><div class=related>{hint}</div></article>"
+    rows = [(0, "http://h/", page(0, shared)), (1, "http://h/", page(1, shared)), (2, "http://h/", page(2, own(9))), (3, "http://other/", page(3, shared)), (4, None, page(4, shared)), (5, None, page(5, shared))]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {0: [shared, own(0)], 1: [shared, own(1)], 2: [shared, own(2), own(9)], 3: [shared, own(3), shared], 4: [shared, own(4), shared], 5: [shared, own(5), shared]}
+
+
+def test_copies_of_an_unmarked_page_keep_their_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(k, f"http://h/{k}", f"<p>{text}</p>", 1) for k in range(3)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string, n_chars int"), keep=("page_id", "n_chars")).collect()
+    assert {(r["text"], r["n_chars"], r["n_chars_input"]) for r in got} == {(text, len(text), 1)} and len(got) == 3
+    assert html_text.extract_text(empty(spark, "page_id int, url string, html string")).count() == 0
+
+
+def test_unmarked_pages_by_brute_force(spark):
+    r = random.Random(2)
+    parts = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 9), ("b", 8), ("c", 7), ("d", 15), ("e", 3))]
+    pages = []
+    for k in range(40):
+        body = [r.choice(parts) if r.random() < 0.5 else " ".join(f"u{r.randint(0, 30)}" for _ in range(r.randint(1, 14))) for _ in range(r.randint(0, 6))]
+        pages.append((k, f"http://h{k % 3}/p", "<body>" + "".join(f"<p>{b}</p>" for b in body) + "</body>"))
+    pages.append(pages[0])
+    streams = {k: [t for b in re.findall("<p>(.*?)</p>", h) for t in (*b.split(" "), "|")] for k, _, h in pages}
+    host = {k: u for k, u, _ in pages}
+
+    def on_another(k, i):
+        window = streams[k][i : i + 8]
+        return any(streams[j][x : x + 8] == window for j in streams if host[j] == host[k] and streams[j] != streams[k] for x in range(len(streams[j]) - 7))
+
+    expected = {}
+    for k, tokens in streams.items():
+        gone = {i + d for i in range(len(tokens) - 7) if on_another(k, i) for d in range(8)}
+        blocks, now = [], []
+        for i, t in enumerate(tokens):
+            if t == "|":
+                blocks.append(" ".join(now))
+                now = []
+            elif i not in gone:
+                now.append(t)
+        expected[k] = "\n\n".join(b for b in blocks if b)
+    got = html_text.extract_text(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()
+    assert len(got) == 41 and {x["page_id"]: x["text"] for x in got} == expected
+
+
+def test_html_query_by_brute_force(spark):
+    got = {r["page_id"]: r for r in html_text.op10_html_text(spark, SMALL).collect()}
+    for p in small("pages"):
+        article = re.search(r"<article>(.*)</article>", p["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        text = "\n\n".join(b for b in blocks if b)
+        assert (got[p["page_id"]]["url"], got[p["page_id"]]["text"], got[p["page_id"]]["n_chars"]) == (p["url"], text, len(text))
 
 
 # --- pipeline --------------------------------------------------------------------------------------------------------
