@@ -8,8 +8,9 @@ in the whole corpus are dropped by narrow counts, and equal contexts become one
 moved.  Each gram's classes form a slice of the suffix array; a stack scan over their common prefixes walks its interval
 tree.  The members of an interval are ordered by what lies left of them, and a second scan tests their left extensions:
 a set of members that neither all extend alike to the left nor all to the right is the group of a maximal repeat, and is
-given with all its occurrences.  A slice that is too large for one task is split along the same tree, by the next bytes
-on either side, until its parts are small; see ``_split``.
+given with all its occurrences.  A slice that is too large for one task falls into parts by what pairs must share on
+either side; members without a partner in a part go, small parts are scanned, and what stays large after a few rounds is
+settled by its ``length``-byte strings, one count for each; see ``_split``.  Work and rows stay linear in the members.
 
 Texts are told apart by 128 bits, contexts by 128 bits besides the 64 of their gram; inside a slice bytes are compared.
 """
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from ._common import column, flat_bytes, hash_partitions, materialize, sub_batch
 from ._text import BYTE_VALUE, mix, powers
 
 GRAM = 32
-#: Members of one slice that a task scans; larger slices are split along the interval tree first.
-SLICE = 4096
+#: Members of one slice that a task scans (about 15 MB); larger slices are split first, in so many rounds.
+SLICE, ROUNDS = 32_768, 3
 _POSITION_BITS = np.uint64(24)
 #: Bytes of text that are worked on at once, however long a text is.
 _CHUNK = 1 << 20
@@ -191,6 +194,48 @@ def _intervals(prefix: list[int]):
             stack.append((depth, first))
 
 
+class _Lefts:
+    """Left contexts of one slice, ordered once: any members' order and what neighbours in it share."""
+
+    #: From so many members on, neighbours' common prefixes come from range minima instead of comparisons.
+    MANY = 64
+
+    def __init__(self, lefts: list[bytes]):
+        self._lefts, self._levels = lefts, None
+        if len(lefts) >= self.MANY:
+            order = sorted(range(len(lefts)), key=lefts.__getitem__)
+            self._order = np.array(order)
+            self._rank = np.empty(len(order), np.int64)
+            self._rank[self._order] = np.arange(len(order))
+            level = np.array([_common_prefix(lefts[x], lefts[y]) for x, y in zip(order, order[1:])], np.int16)
+            self._levels = [level]
+            while 1 << len(self._levels) < len(order):
+                half = 1 << len(self._levels) - 1
+                level = np.minimum(level[:-half], level[half:])
+                self._levels.append(level)
+
+    def ordered(self, first: int, last: int) -> tuple[list[int], list[int]]:
+        if self._levels is None or last - first < self.MANY:
+            members = sorted(range(first, last + 1), key=self._lefts.__getitem__)
+            return members, [_common_prefix(self._lefts[x], self._lefts[y]) for x, y in zip(members, members[1:])]
+        rank = np.sort(self._rank[first : last + 1])
+        gap = np.diff(rank)
+        shared, level = np.empty(len(gap), np.int16), np.frexp(gap)[1] - 1
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            shared[at] = np.minimum(self._levels[k][rank[at]], self._levels[k][rank[at + 1] - (1 << k)])
+        return self._order[rank].tolist(), shared.tolist()
+
+
+def _extended(rights: list[bytes], lefts: list[bytes], length: int):
+    """The first scan: (right, first, last, members by their left contexts, what neighbours share), where a repeat is long enough."""
+    prefix, contexts = [_common_prefix(a, b) for a, b in zip(rights, rights[1:])], _Lefts(lefts)
+    for right, first, last in _intervals(prefix):
+        members, shared = contexts.ordered(first, last)
+        if max(shared) + right >= length:
+            yield right, first, members, shared, prefix[first:last]
+
+
 def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int):
     """Groups (members, left, right) of one slice's maximal repeats of at least ``length`` bytes around the anchor.
 
@@ -199,16 +244,11 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int):
     share ``left`` bytes and do not all extend alike (left diversity, which an interval has by its nature).  It is
     maximal to the right too if its members do not lie in one child of the first interval.
     """
-    prefix = [_common_prefix(a, b) for a, b in zip(rights, rights[1:])]
-    for right, first, last in _intervals(prefix):
-        members = sorted(range(first, last + 1), key=lefts.__getitem__)
-        shared = [_common_prefix(lefts[x], lefts[y]) for x, y in zip(members, members[1:])]
-        if max(shared) + right < length:
-            continue
+    for right, first, members, shared, prefix in _extended(rights, lefts, length):
         child, of = 0, {first: 0}
-        for j in range(first, last):
-            child += prefix[j] == right
-            of[j + 1] = child
+        for j, depth in enumerate(prefix):
+            child += depth == right
+            of[first + j + 1] = child
         for left, a, b in _intervals(shared):
             if left + right >= length:
                 group = members[a : b + 1]
@@ -216,100 +256,101 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int):
                     yield group, left, right
 
 
-_MEMBER = "gram long, c1 long, c2 long, left int, right int, repeat binary"
+def widest_repeats(rights: list[bytes], lefts: list[bytes], length: int) -> list[tuple[int, int]]:
+    """Of every member, how far left and right the groups of ``maximal_repeats`` reach that it is in (0, 0 if in none).
 
+    A member's widest group in an interval is the one it forms with the neighbour that shares most with it.
+    """
+    reach = [[0, 0] for _ in rights]
+    for right, _, members, shared, _ in _extended(rights, lefts, length):
+        for m, before, after in zip(members, [-1, *shared], [*shared, -1], strict=True):
+            left = max(before, after)
+            if left + right >= length:
+                own = reach[m]
+                own[0], own[1] = max(own[0], left), max(own[1], right)
+    return [(a, b) for a, b in reach]
 
-def _scan(slices: DataFrame, length: int) -> DataFrame:
-    """Members of the maximal repeats of all slices (gram, s1, s2, c1, c2, left, right): see ``repeat_members``."""
-    ordered = slices.repartition(hash_partitions(slices.sparkSession), "gram", "s1", "s2").sortWithinPartitions("gram", "s1", "s2", "right", "left")
 
-    def batch_of(rows):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=["gram", "c1", "c2", "left", "right", "repeat"])
+_COVER = "gram long, c1 long, c2 long, left int, right int"
+
+
+def _scan(slices: DataFrame, length: int, named: bool) -> DataFrame:
+    """Of all slices (gram, s1, s2, c1, c2, left, right): the members of every group with its name, or each member's widest reach."""
+    ordered = slices.repartition(hash_partitions(slices.sparkSession), "gram", "s1", "s2").sortWithinPartitions("gram", "s1", "s2", "right", "left")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())[: 6 if named else 5]
+    names = ["gram", "c1", "c2", "left", "right", "repeat"][: len(kinds)]
 
     def scan(gram, group):
         rights, lefts = [g[3] for g in group], [g[2] for g in group]
+        if not named:
+            yield from ((gram, *g[:2], left, right) for g, (left, right) in zip(group, widest_repeats(rights, lefts, length), strict=True) if right)
+            return
         for members, left, right in maximal_repeats(rights, lefts, length):
             name = hashlib.blake2b(lefts[members[0]][:left][::-1] + rights[members[0]][:right] + left.to_bytes(2, "big"), digest_size=16).digest()
-            for m in members:
-                yield gram, group[m][0], group[m][1], left, right, name
+            yield from ((gram, *group[m][:2], left, right, name) for m in members)
 
-    def run(batches):
-        group, last, out = [], None, []
+    def groups(batches):
+        group, last = [], None
         for batch in batches:
             for gram, s1, s2, c1, c2, left, right in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if (gram, s1, s2) != last:
-                    if len(group) > 1:
-                        for row in scan(last[0], group):
-                            out.append(row)
-                            if len(out) >= 10_000:
-                                yield batch_of(out)
-                                out = []
+                    yield last, group
                     group, last = [], (gram, s1, s2)
                 group.append((c1, c2, left, right))
-        if len(group) > 1:
-            for row in scan(last[0], group):
-                out.append(row)
-                if len(out) >= 10_000:
-                    yield batch_of(out)
-                    out = []
-        if out:
-            yield batch_of(out)
-
-    return ordered.select("gram", "s1", "s2", "c1", "c2", "left", "right").mapInArrow(run, _MEMBER)
+        yield last, group
 
+    def run(batches):
+        rows = (row for name, group in groups(batches) if len(group) > 1 for row in scan(name[0], group))
+        while part := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
-def _shared_bytes(least, most):
-    """Length of the common prefix of two binary columns."""
-    n = F.least(F.octet_length(least), F.octet_length(most))
-    other = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(least, i, 1) != F.substring(most, i, 1)))
-    return F.coalesce(F.array_min(other) - 1, n)
+    return ordered.select("gram", "s1", "s2", "c1", "c2", "left", "right").mapInArrow(run, _COVER + (", repeat binary" if named else ""))
 
 
 def _split(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
-    """Slices of at most SLICE members for the scan, and the members of the repeats found while splitting (or None).
+    """Slices of at most SLICE members for the scan, and the members of groups that are too large for it (or None).
 
-    A slice's least and greatest contexts tell what all members share (A bytes to the left, B to the right): if A + B
-    reaches ``length``, the slice is itself the group of a maximal repeat.  What is longer still shares more to the right
-    or more to the left, so a slice that is too large falls into parts by the next bytes on either side; where A + B is
-    short, a pair must share half of what is lacking to the right, or else the rest of it to the left.  A member alone
-    in its part goes.  Every round adds to A or B, so there are fewer rounds than a context has bytes.
+    A pair that shares a ``length``-byte string around the anchor shares, for some offset, so many bytes to the left and
+    the rest to the right.  A slice stands for a range of offsets: its members share at least the first of them to the
+    left and what the last one leaves to the right.  A slice that is too large falls into two, one for each half of its
+    offsets, whose members share more on one side or the other; a member without a partner there goes.  What is still
+    too large after ROUNDS has its strings counted, offset by offset: equal ones are a group.
     """
+    columns = ["gram", "s1", "s2", "c1", "c2", "left", "right"]
     sliced = contexts.withColumns({"s1": F.lit(0).cast("long"), "s2": F.lit(0).cast("long")})
-    small = sliced.where(F.col("k") <= SLICE).select("gram", "s1", "s2", "c1", "c2", "left", "right")
-    large = sliced.where(F.col("k") > SLICE).select("gram", "s1", "s2", "c1", "c2", "left", "right")
-    found = None
+    small = sliced.where(F.col("k") <= SLICE).select(*columns)
+    large = sliced.where(F.col("k") > SLICE).select(*columns, F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"))
     if large.isEmpty():
         return small, None
     key = ["gram", "s1", "s2"]
-    while True:
-        facts = large.groupBy(*key).agg(*(f(c).alias(f"{n}_{c}") for c in ("left", "right") for n, f in (("least", F.min), ("most", F.max))))
-        facts = facts.select(*key, _shared_bytes(F.col("least_left"), F.col("most_left")).alias("A"), _shared_bytes(F.col("least_right"), F.col("most_right")).alias("B"))
-        known = materialize(large.join(facts, key), "split")
-        whole = F.col("A") + F.col("B") >= length
-        name = F.unhex(F.md5(F.concat_ws(":", *key, "A", "B")))
-        group = known.where(whole).select("gram", "c1", "c2", F.col("A").alias("left"), F.col("B").alias("right"), name.alias("repeat"))
-        group = materialize(group, "group")
-        found = group if found is None else found.union(group)
-        lacking = length - F.col("A") - F.col("B")
-        more_right = F.when(whole, F.col("B") + 1).otherwise(F.col("B") + F.ceil(lacking / 2).cast("int"))
-        # pairs that share fewer bytes to the right must share so many to the left
-        more_left = F.when(whole, F.col("A") + 1).otherwise(length - more_right + 1)
-        known = known.withColumns({"more_right": more_right, "more_left": more_left})
-
-        def part(left, right):
-            name = lambda seed: F.xxhash64(F.lit(seed), *key, F.lit(left), F.substring("left", F.lit(1), F.col(left)), F.substring("right", F.lit(1), F.col(right)))
-            rows = known.where((F.col(left) <= F.octet_length("left")) & (F.col(right) <= F.octet_length("right")))
-            return rows.select("gram", name(1).alias("s1"), name(2).alias("s2"), "c1", "c2", "left", "right")
-
-        right, left = part("A", "more_right"), part("more_left", "B")
-        parts = materialize(right.union(left), "parts", [known])
-        sizes = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        sized = materialize(parts.join(sizes, key), "parts", [parts])
-        small = small.union(sized.where(F.col("k") <= SLICE).select(*small.columns))
-        large = sized.where(F.col("k") > SLICE).select(*small.columns)
-        if large.isEmpty():
-            return small, found
+
+    def named(left, right):
+        return [F.xxhash64(F.lit(seed), "gram", left, F.substring("left", F.lit(1), left), F.substring("right", F.lit(1), right)) for seed in (1, 2)]
+
+    def partnered(rows, name, replaces=()):
+        rows = materialize(rows, name, replaces)
+        sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        return materialize(rows.join(sizes, key), name, [rows])
+
+    def shared(rows, lo, hi):
+        left, right = lo, length - hi
+        s1, s2 = named(left, right)
+        fits = rows.where((left <= F.octet_length("left")) & (right <= F.octet_length("right")))
+        return fits.select("gram", s1.alias("s1"), s2.alias("s2"), "c1", "c2", "left", "right", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    lo, hi = F.col("lo"), F.col("hi")
+    middle = F.floor((lo + hi) / 2).cast("int")
+    steps = []
+    for _ in range(ROUNDS):
+        parts = partnered(shared(large.where("lo < hi"), lo, middle).union(shared(large.where("lo < hi"), middle + 1, hi)).union(large.where("lo = hi").select(*columns, "lo", "hi")), "parts")
+        steps.append(parts)
+        small = small.union(parts.where(F.col("k") <= SLICE).select(*columns))
+        large = parts.where(F.col("k") > SLICE).select(*columns, "lo", "hi")
+    offset = F.col("offset")
+    windows = large.withColumn("offset", F.explode(F.sequence("lo", "hi"))).where((offset <= F.octet_length("left")) & (length - offset <= F.octet_length("right")))
+    s1, s2 = named(offset, length - offset)
+    found = partnered(windows.select("gram", s1.alias("s1"), s2.alias("s2"), "c1", "c2", offset.cast("int").alias("left"), (length - offset).cast("int").alias("right")), "windows")
+    return small, found.select("gram", "c1", "c2", "left", "right", F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("s1", "s2")))).alias("repeat"))
 
 
 class _Index:
@@ -326,18 +367,19 @@ class _Index:
         slices = materialize(self.classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "slices")
         self.contexts = materialize(_contexts(once, self.classes.join(slices.hint("merge"), "gram")), "contexts", [slices])
 
-    def members(self) -> DataFrame:
-        """gram, c1, c2, left, right, repeat: the classes of every group, the repeat's extent around the anchor, its name.
+    def members(self, named: bool) -> DataFrame:
+        """gram, c1, c2, left, right: the classes of every group and the repeat's extent around the anchor.
 
-        A class that stands more than once is a group by itself: its whole context repeats.
+        With ``named`` each group has its name in ``repeat``; without, a class has its widest extents in place of all
+        groups of its slice.  A class that stands more than once is a group by itself: its whole context repeats.
         """
         small, found = _split(self.contexts, self.length)
         whole = self.classes.where("n > 1").select(
             "gram", "c1", "c2", F.shiftright("place", 8).bitwiseAND(255).cast("int").alias("left"), F.col("place").bitwiseAND(255).cast("int").alias("right"),
             F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("c1", "c2")))).alias("repeat"),
         )
-        out = _scan(small, self.length).union(whole)
-        return out if found is None else out.union(found)
+        out = _scan(small, self.length, named)
+        return reduce(DataFrame.union, (x.select(*out.columns) for x in (out, whole, found) if x is not None))
 
 
 def _distinct_texts(docs: DataFrame, text: str) -> str:
@@ -372,7 +414,7 @@ def repeat_groups(docs: DataFrame, text: str = "text", length: int = 200) -> Dat
     name = _distinct_texts(docs, text)
     try:
         index = _Index(spark.table(name).select("t", "u", "text"), length)
-        found = index.places.join(index.members().hint("merge"), ["gram", "c1", "c2"])
+        found = index.places.join(index.members(named=True).hint("merge"), ["gram", "c1", "c2"])
         position = F.shiftright("place", 16)
         return materialize(found.select("repeat", (F.col("left") + F.col("right")).alias("n_bytes"), "t", "u", (position - F.col("left")).alias("start")), "occurrences", [index.places, index.classes, index.contexts])
     finally:
@@ -386,7 +428,7 @@ def repeated_spans(once: DataFrame, length: int = 200) -> DataFrame:
     """
     index = _Index(once, length)
     # all groups of a class lie around its anchor, so they cover one span
-    cover = index.members().groupBy("gram", "c1", "c2").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    cover = index.members(named=False).groupBy("gram", "c1", "c2").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     cover = materialize(cover, "cover", [index.classes, index.contexts])
     position = F.shiftright("place", 16)
     spans = index.places.join(cover.hint("merge"), ["gram", "c1", "c2"]).select("t", "u", (position - F.col("left")).alias("start"), (position + F.col("right")).alias("end"))

@@ -332,7 +332,7 @@ def brute_cut(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("slice_size", [4096, 3, 1])
+@pytest.mark.parametrize("slice_size", [32_768, 3, 1])
 def test_repeats(spark, monkeypatch, slice_size):
     monkeypatch.setattr(repeats, "SLICE", slice_size)
     r = random.Random(3)
@@ -370,7 +370,7 @@ def test_repeats_in_a_very_long_text(spark, monkeypatch):
     assert sorted((x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows) == sorted(brute_cut([text.encode(), block.encode()]))
 
 
-def test_maximal_repeats():
+def test_maximal_repeats(monkeypatch):
     found = list(repeats.maximal_repeats([b"abcX", b"abcY", b"abd"], [b"pq", b"pz", b"r"], 4))
     assert [(sorted(m), left, right) for m, left, right in found] == [([0, 1], 1, 3)]
     # every member of the left group lies in one child of the wider interval: only the longer repeat is given
@@ -386,7 +386,12 @@ def test_maximal_repeats():
                 a, b = common([rights[i], rights[j]]), common([lefts[i], lefts[j]])
                 if a + b >= 3:
                     expected.add((tuple(k for k in range(len(both)) if rights[k].startswith(rights[i][:a]) and lefts[k].startswith(lefts[i][:b])), b, a))
-        assert {(tuple(sorted(m)), left, right) for m, left, right in repeats.maximal_repeats(rights, lefts, 3)} == expected
+        for many in (64, 2):
+            monkeypatch.setattr(repeats._Lefts, "MANY", many)
+            found = {(tuple(sorted(m)), left, right) for m, left, right in repeats.maximal_repeats(rights, lefts, 3)}
+            assert found == expected
+            widest = [(max((b for m, b, _ in found if k in m), default=0), max((a for m, _, a in found if k in m), default=0)) for k in range(len(both))]
+            assert repeats.widest_repeats(rights, lefts, 3) == widest
 
 
 def test_repeat_groups_have_all_occurrences(spark):
