@@ -48,20 +48,10 @@ class PieceSplitter:
         return [m.group() for m in self._regex.finditer(text)]
 
 
-class _State(dict):
-    """A deterministic state: its hypotheses (residual output, last token, trie node), and its arcs as they are made."""
-
-    __slots__ = ("hypotheses", "machine")
-
-    def __missing__(self, byte: int) -> tuple[_State, tuple[int, ...]]:
-        arc = self[byte] = self.machine.step(self, byte)
-        return arc
-
-
 class MergeTransducer:
     """Deterministic byte-to-token transducer for one rank table, built as texts need it."""
 
-    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 48 << 20):
+    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 96 << 20):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
         #: The trie: (node, byte) to child, both in one number; the token that ends at a node; whether it has children.
@@ -87,17 +77,21 @@ class MergeTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        self._states: dict[tuple, _State] = {}
+        #: States by number: their hypotheses (residual output, last token, trie node), and the number of each such set.
+        self._hypotheses: list[tuple] = []
+        self._numbers: dict[tuple, int] = {}
+        #: (state, byte) in one number to the next state, or to it and the tokens that are then certain.
+        self._arcs: dict[int, int | tuple[int, tuple[int, ...]]] = {}
         self._bytes = 0
         self._start = self._state((((), -1, 0),))
 
-    def _state(self, hypotheses: tuple) -> _State:
-        state = self._states.get(hypotheses)
-        if state is None:
-            state = self._states[hypotheses] = _State()
-            state.machine, state.hypotheses = self, hypotheses
-            self._bytes += 500 + 130 * len(hypotheses)  # as CPython lays them out, rounded up
-        return state
+    def _state(self, hypotheses: tuple) -> int:
+        number = self._numbers.get(hypotheses)
+        if number is None:
+            number = self._numbers[hypotheses] = len(self._hypotheses)
+            self._hypotheses.append(hypotheses)
+            self._bytes += 190 + 150 * len(hypotheses)  # as CPython lays them out, rounded up
+        return number
 
     def merge(self, raw: bytes) -> list[int]:
         """The defining procedure: join the adjacent pair of lowest rank, leftmost first, until none is left."""
@@ -160,16 +154,16 @@ class MergeTransducer:
         key = (last + 1) * self._never + token
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > self._max_bytes // 160:
+            if len(self._compatible) > self._max_bytes // 240:
                 self._compatible.clear()
             known = self._derivation(token)[0] and (last < 0 or not self._crosses(last, token))
             self._compatible[key] = known
         return known
 
-    def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        """The arc of a state for a byte: the next state and the tokens that are now certain."""
+    def step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """The arc of a state for a byte: the next state, and the tokens that are now certain if there are any."""
         found = []
-        for residual, last, node in state.hypotheses:
+        for residual, last, node in self._hypotheses[state]:
             child = self._child.get(node << 8 | byte)
             if child is None:
                 continue
@@ -185,8 +179,9 @@ class MergeTransducer:
         while all(len(r) > shared and r[shared] == first[shared] for r, _, _ in found):
             shared += 1
         target = tuple(sorted([(r[shared:], last, node) for r, last, node in found]))
-        self._bytes += 150
-        return self._state(target), first[:shared]
+        arc = self._arcs[state << 8 | byte] = (self._state(target), first[:shared]) if shared else self._state(target)
+        self._bytes += 260 if shared else 150
+        return arc
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """Tokens of one piece; a piece that is itself a token stays whole."""
@@ -196,12 +191,17 @@ class MergeTransducer:
         if self._bytes > self._max_bytes:
             self._reset()
         out: list[int] = []
-        state = self._start
+        state, known = self._start, self._arcs.get
         for byte in raw:
-            state, emitted = state[byte]
-            if emitted:
+            arc = known(state << 8 | byte)
+            if arc is None:
+                arc = self.step(state, byte)
+            if arc.__class__ is int:
+                state = arc
+            else:
+                state, emitted = arc
                 out += emitted
-        for residual, _, node in state.hypotheses:
+        for residual, _, node in self._hypotheses[state]:
             if node == 0:
                 return out + list(residual)
         raise ValueError("no token sequence ends here")
@@ -243,7 +243,7 @@ class _PieceCache(dict):
     in use moves on and the rest goes.
     """
 
-    def __init__(self, transducer: MergeTransducer, bound: int = 20 << 20):
+    def __init__(self, transducer: MergeTransducer, bound: int = 48 << 20):
         super().__init__()
         self._transducer, self._bound, self._bytes = transducer, bound, 0
         self._old: dict[str, bytes] = {}
