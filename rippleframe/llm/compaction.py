@@ -16,12 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, table
+from ._common import new_path, table, write_once
 
 #: The query's sizes: merged files of this many bytes, runs of at least so many shards, tiers a factor of FAN apart.
 TARGET_BYTES, MIN_RUN, FAN = 64 << 20, 4, 4
 #: Appends of the query.
 ARRIVALS = 4
+#: Shards that one round merges at most (its list goes to every task); what is left waits for the next round.
+ROUND_SHARDS = 10_000
 
 
 @dataclass(frozen=True)
@@ -31,9 +33,9 @@ class Shard:
     rows: int
 
 
-def _place(path):
-    """Folder and name of a file, from its path."""
-    parts = F.split(path, "/")
+def _place(rows: DataFrame):
+    """Folder and name of the file that a row of ``rows`` was read from, whatever its columns are called."""
+    parts = F.split(rows.metadataColumn("_metadata")["file_path"], "/")
     return F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
 
 
@@ -97,50 +99,62 @@ class ShardStore:
         if not files:
             return []
         # files of several runs may share a name: the folder tells them apart
-        count = self._spark.read.parquet(folder).groupBy(_place(F.col("_metadata.file_path")).alias("f")).count()
+        written = self._spark.read.parquet(folder)
+        count = written.groupBy(_place(written).alias("f")).count()
         rows = {r["f"]: r["count"] for r in count.collect()}  # a row for each shard
         return [Shard(p, n, rows.get("/".join(p.rsplit("/", 2)[1:]), 0)) for p, n in files]
 
     def append(self, arrival: DataFrame) -> int:
-        """Write an arrival as new shards, one for each of its partitions, and commit them; an empty one adds none."""
+        """Write an arrival as new shards, one for each of its partitions, and commit them.
+
+        Rows are stored as they are: nulls, repeated rows and columns of any name.  An empty arrival adds no shard.
+        """
         version = self.version()
         folder = f"{self._path}/data/{uuid.uuid4().hex}"
         arrival.write.option("compression", "zstd").parquet(folder)
         return self._commit(self.shards(version) + [s for s in self._written(folder) if s.rows], version)
 
     def plan(self, shards: list[Shard], target: int, min_run: int, fan: int) -> list[list[Shard]]:
-        """Runs to merge: shards of one tier, smallest first, packed up to the target; full-sized shards rest."""
+        """Runs to merge: shards of one tier, smallest first, packed up to the target.
+
+        Shards of half the target or more rest, and so do tiers with fewer than ``min_run`` shards, until others of
+        their size arrive.
+        """
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             if s.bytes < target / 2:
                 tiers.setdefault(int(math.log(max(s.bytes, 1), fan)), []).append(s)
-        runs, short = [], []
+        runs = []
         for tier in sorted(tiers):
             run, size = [], 0
-            # what a smaller tier could not fill moves up one tier
-            for s in sorted([*short, *tiers[tier]], key=lambda s: (s.bytes, s.path)):
+            for s in sorted(tiers[tier], key=lambda s: (s.bytes, s.path)):
                 if run and size + s.bytes > target:
                     runs.append(run)
                     run, size = [], 0
                 run.append(s)
                 size += s.bytes
-            short = run if len(run) < min_run else []
             if len(run) >= min_run:
                 runs.append(run)
         return [r for r in runs if len(r) > 1]
 
     def compact(self, target: int = TARGET_BYTES, min_run: int = MIN_RUN, fan: int = FAN) -> int:
-        """Merge until no tier has a run left; every round is one job and one version."""
-        while runs := self.plan(shards := self.shards(version := self.version()), target, min_run, fan):
-            place = [(s.path.rsplit("/", 2)[-2] + "/" + s.path.rsplit("/", 1)[-1], k) for k, run in enumerate(runs) for s in run]
-            groups = self._spark.createDataFrame(place, "_shard string, _run int")  # a row for each shard
-            merged = self._spark.read.parquet(*(s.path for run in runs for s in run))
-            columns = merged.columns
-            named = merged.withColumn("_shard", _place(F.col("_metadata.file_path")))
-            # a run has at most the target's bytes, so one task can write it
-            merged = named.join(F.broadcast(groups), "_shard").repartition(len(runs), "_run")
+        """Merge until no tier has a run left; every round is one job and one version, every run one task and one file.
+
+        A run has at most the target's bytes, so a task can write it.  A store without shards stays as it is.
+        """
+        while planned := self.plan(shards := self.shards(version := self.version()), target, min_run, fan):
+            runs: list[list[Shard]] = []
+            for r in planned:
+                if not runs or sum(map(len, runs)) + len(r) <= ROUND_SHARDS:
+                    runs.append(r)
+            place = [("/".join(s.path.rsplit("/", 2)[1:]), k) for k, run in enumerate(runs) for s in run]
+            mark = uuid.uuid4().hex  # names that no column of the store has
+            groups = self._spark.createDataFrame(place, f"shard_{mark} string, run_{mark} int")
+            source = self._spark.read.parquet(*(s.path for run in runs for s in run))
+            named = source.withColumn(f"shard_{mark}", _place(source)).join(F.broadcast(groups), f"shard_{mark}")
+            merged = named.repartitionById(len(runs), F.col(f"run_{mark}")).drop(f"shard_{mark}", f"run_{mark}")
             folder = f"{self._path}/data/{uuid.uuid4().hex}"
-            merged.select(*columns, "_run").sortWithinPartitions("_run").write.partitionBy("_run").option("compression", "zstd").parquet(folder)
+            write_once(self._spark, lambda merged=merged, folder=folder: merged.write.option("compression", "zstd").parquet(folder))
             gone = {s.path for run in runs for s in run}
             made = self._written(folder)
             if sum(s.rows for s in made) != sum(s.rows for run in runs for s in run):
@@ -179,8 +193,8 @@ def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
     version = store.compact()
     store.vacuum()
-    shards = [(s.path.rsplit("/", 1)[1], s.path.rsplit("/", 2)[-2], s.rows, s.bytes) for s in store.shards(version)]
-    sizes = spark.createDataFrame(shards, "_file string, _folder string, shard_rows long, shard_bytes long")
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    rows = store.read(docs.schema, version).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.element_at(parts, -1).alias("_file"), F.element_at(parts, -2).alias("_folder"))
-    return rows.join(F.broadcast(sizes), ["_file", "_folder"], "left").select("doc_id", "n_bytes", F.concat_ws("/", "_folder", "_file").alias("shard"), "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
+    shards = [("/".join(s.path.rsplit("/", 2)[1:]), s.rows, s.bytes) for s in store.shards(version)]
+    sizes = spark.createDataFrame(shards, "shard string, shard_rows long, shard_bytes long")
+    stored = store.read(docs.schema, version)
+    rows = stored.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), _place(stored).alias("shard")) if shards else stored.select("doc_id", F.lit(None).cast("long").alias("n_bytes"), F.lit("").alias("shard"))
+    return rows.join(sizes, "shard", "left").select("doc_id", "n_bytes", "shard", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
