@@ -5,7 +5,8 @@ diagonals (text position less item position) span at most k + 1 values.  The sca
 shared q-grams in diagonal bands of k + 1; two neighbouring bands overlap any span of that size, so a region whose two
 bands together stay below the bound holds no copy.  Regions that meet it are verified by a banded alignment.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_CHARS`` characters, one pass over the documents each.
+The benchmark goes to the executors in blocks of about ``BLOCK_CHARS`` characters, one pass over the documents each; a
+pass is written before the next block is sent, so that one block at a time is held.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import sub_batches, table
+from ._common import column, kept_columns, materialize, sub_batches, table
 from ._text import mix, powers
 from .repeats import _inverses
 
@@ -84,10 +85,9 @@ class ItemIndex:
         text, at, item, position = np.repeat(text, count), np.repeat(at, count), self.item[index].astype(np.int64), self.position[index]
         # a cheap count over the whole text drops most items before bands are formed
         pair = text * len(self.ids) + item
-        enough = np.bincount(pair, minlength=1) if pair.max(initial=0) < 5_000_000 else None
-        if enough is not None:
-            keep = enough[pair] >= self.bound[item]
-            text, at, item, position, pair = text[keep], at[keep], item[keep], position[keep], pair[keep]
+        _, which, enough = np.unique(pair, return_inverse=True, return_counts=True)
+        keep = enough[which] >= self.bound[item]
+        text, at, item, position, pair = text[keep], at[keep], item[keep], position[keep], pair[keep]
         if not len(pair):
             return []
         width = self.budget[item] + 1
@@ -179,34 +179,39 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     A match is a stretch of the text (positions in the normalised text) within edit_share * length edits of a whole
     item, both lower-cased and with single spaces; of several copies of one item the best is given.  Null or empty
     texts match nothing; items that are null or shorter than ``q`` characters match nothing; an empty benchmark leaves
-    every list empty; repeated rows give repeated results.  ``item_id`` must be a whole number.
+    every list empty; repeated rows give repeated results; an empty table gives no row; a column of ``keep`` that is
+    called matches goes out as matches_input.  ``item_id`` must be a whole number.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    items = benchmark.select(column(item_id).cast("long").alias("i"), column(item_text).alias("t")).where("t is not null and i is not null")
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-total // block_chars))
-    fields = [f for f in docs.select(*keep).schema]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["matches array<struct<item_id:long,start:int,end:int,edits:int>>"])
-    out = None
+    columns, names, schema = kept_columns(docs, keep, ["matches", "_text"])
+    schema = f"{schema}, matches array<struct<item_id:bigint,start:int,end:int,edits:int>>".removeprefix(", ")
+    source, held = docs.select(*columns, column(text).alias("_text")), None
     for block in range(n_blocks):
+        last = block == n_blocks - 1
         chosen = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block)
-        index = spark.sparkContext.broadcast(ItemIndex(sorted((r["i"], r["t"]) for r in chosen.toLocalIterator() if r["i"] is not None), q, edit_share))
-        source = docs.select(*keep, text) if out is None else out
-        out = _scan(source, index, [f.name for f in fields], text, schema if block == n_blocks - 1 else f"{schema}, `{text}` string", out is not None, block == n_blocks - 1)
-    return out
+        index = spark.sparkContext.broadcast(ItemIndex(sorted((r["i"], r["t"]) for r in chosen.toLocalIterator()), q, edit_share))
+        out = _scan(source, index, names, schema if last else f"{schema}, _text string", block > 0, last)
+        if last:
+            return out
+        source = materialize(out, "scanned", [held] if held is not None else [])
+        held = source
+        index.unpersist()
 
 
-def _scan(source: DataFrame, index, keep: list[str], text: str, schema: str, later: bool, last: bool) -> DataFrame:
+def _scan(source: DataFrame, index, keep: list[str], schema: str, later: bool, last: bool) -> DataFrame:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
     def run(batches):
         items = index.value
         for batch in batches:
-            values = batch.column(batch.num_columns - 1)
-            before = batch.column(len(keep)).to_pylist() if later else None
-            matches = [list(before[i] or ()) if later else [] for i in range(len(values))]
-            for lo, hi in sub_batches(values, 2_000_000):
-                texts = [normalise(t) for t in values.slice(lo, hi - lo).to_pylist()]
+            for lo, hi in sub_batches(batch.column(batch.num_columns - 1), 2_000_000):
+                part = batch.slice(lo, hi - lo)
+                values = part.column(part.num_columns - 1)
+                matches = [list(x or ()) for x in part.column(len(keep)).to_pylist()] if later else [[] for _ in range(len(values))]
+                texts = [normalise(t) for t in values.to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
                 best: dict[tuple[int, int], tuple] = {}
                 for t, i, first in items.regions(_codes("".join(texts)), offsets):
@@ -217,15 +222,18 @@ def _scan(source: DataFrame, index, keep: list[str], text: str, schema: str, lat
                     if found and (known is None or found[2] < known[2]):
                         best[t, i] = found
                 for (t, i), (start, end, edits) in sorted(best.items()):
-                    matches[lo + t].append({"item_id": items.ids[i], "start": start, "end": end, "edits": edits})
-            columns = [*batch.columns[: len(keep)], pa.array(matches, kind)]
-            yield pa.RecordBatch.from_arrays(columns if last else [*columns, values], names=[*keep, "matches"] if last else [*keep, "matches", text])
+                    matches[t].append({"item_id": items.ids[i], "start": start, "end": end, "edits": edits})
+                columns = [*part.columns[: len(keep)], pa.array(matches, kind)]
+                yield pa.RecordBatch.from_arrays(columns if last else [*columns, values], names=[*keep, "matches"] if last else [*keep, "matches", "_text"])
 
     return source.mapInArrow(run, schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for every document: whether it holds a benchmark item, which ones, and whether it is kept."""
+    """One row for every document: whether it holds a benchmark item, which ones, and whether it is kept.
+
+    Null and empty texts hold none and are kept; repeated rows repeat.
+    """
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.transform("matches", lambda m: m["item_id"])
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), (F.size("matches") == 0).alias("kept"), F.size("matches").cast("long").alias("n_items"), ids.alias("item_ids"))

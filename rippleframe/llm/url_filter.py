@@ -48,7 +48,7 @@ class DigestArray:
         n = head["n"]
         self.verdicts, self.lengths, self.n = head["verdicts"], head["path_lengths"], n
         parts = []
-        for kind, count in (("<i8", n), ("<i8", n + 1), ("u1", n), ("u1", head["bytes"])):
+        for kind, count in (("<i8", n), ("<i8", n + 1), ("<i4", n), ("u1", head["bytes"])):
             size = np.dtype(kind).itemsize * count
             parts.append(np.memmap(path, kind, "r", at, (count,)) if count else np.zeros(0, kind))
             at += size
@@ -96,7 +96,7 @@ def build_digest_array(rules: DataFrame, path: str) -> None:
             verdicts.append(row["verdict"])
         lengths.add(row["path_length"])
         n, total = n + 1, total + len(raw)
-        for f, x in zip(files, (np.array([row["digest"]], "<i8").tobytes(), np.array([total], "<i8").tobytes(), bytes([verdicts.index(row["verdict"])]), raw), strict=True):
+        for f, x in zip(files, (np.array([row["digest"]], "<i8").tobytes(), np.array([total], "<i8").tobytes(), np.array([verdicts.index(row["verdict"])], "<i4").tobytes(), raw), strict=True):
             f.write(x)
     for f in files:
         f.close()

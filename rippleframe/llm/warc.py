@@ -41,7 +41,7 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", url:
     firsts = spark.read.parquet(f"{path}/firsts")
     joined = facts.join(firsts, "digest", "left")
     again = (F.col("n") >= min_revisit_bytes) & ~F.col("record_id").eqNullSafe(F.col("first_id"))
-    uri = lambda c: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat(F.lit("record:"), F.coalesce(c.cast("string"), F.lit("")))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+    uri = lambda c: F.concat(F.lit("<urn:x-record:"), F.url_encode(F.coalesce(c.cast("string"), F.lit(""))), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     fields = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(again, "revisit").otherwise("response"),
@@ -53,13 +53,15 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", url:
         F.lit("\r\n\r\n"),
     )
     joined.select(
-        "record_id", F.when(again, F.col("first_id")).alias("refers_to"), F.concat(fields, http).cast("binary").alias("header"), "digest"
+        "record_id", F.concat(fields, http).cast("binary").alias("header"), "digest"
     ).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """All records: record_id, record_type and refers_to, header and payload bytes, payload_bytes and payload_digest.
 
+    The type and what a revisit refers to are read from the header that was stored.
+
     ``header`` then ``payload`` (of a response) then two line ends are the record's exact bytes; a revisit's payload is
     that of the record it refers to.  Columns that are not used are not read: without ``payload``, the join is narrow.
     """
@@ -68,8 +70,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     stored = stored.select("digest", checked.alias("payload"))
     stored = stored.select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
     headers = spark.read.parquet(f"{path}/headers")
-    kind = F.regexp_extract(F.col("header").cast("string"), r"\r\nWARC-Type: (\w+)\r\n", 1)
-    return headers.select("record_id", "refers_to", kind.alias("record_type"), "header", "digest").join(stored, "digest", "left")
+    named = lambda field: F.regexp_extract(F.col("header").cast("string"), rf"(?s)^WARC/1\.1\r\n(?:[^\r]*\r\n)*?{field}: ([^\r]*)\r\n", 1)
+    first = F.url_decode(F.regexp_extract(named("WARC-Refers-To"), "^<urn:x-record:(.*)>$", 1))
+    refers_to = F.when(first != "", first).cast(headers.schema["record_id"].dataType)
+    return headers.select("record_id", refers_to.alias("refers_to"), named("WARC-Type").alias("record_type"), "header", "digest").join(stored, "digest", "left")
 
 
 def rebuilt_records(spark: SparkSession, path: str) -> DataFrame:
