@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Separators of words in the query contracts: space and TAB..CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
-#: Spark's own switch that deletes an execution's shuffle files when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the executions that write a step: shuffle files go when it has ended, Arrow batches are small.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,15 +36,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def write_once(spark: SparkSession, write) -> None:
     """Run ``write`` (a call that writes a table) as an execution whose shuffle files go when it has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _STEP}
+    for k, v in _STEP.items():
+        spark.conf.set(k, v)
     try:
         write()
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str, replaces: Iterable[DataFrame] = ()) -> DataFrame:

@@ -35,7 +35,7 @@ GRAM = 32
 SLICE, ROUNDS = 32_768, 3
 _POSITION_BITS = np.uint64(24)
 #: Bytes of text that are worked on at once, however long a text is.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _INVERSES = np.ones(1, np.uint64)
 #: A second table of byte values: contexts are hashed by two independent functions.
@@ -158,11 +158,11 @@ def _contexts(texts: DataFrame, reps: DataFrame) -> DataFrame:
                 at = offsets[owner] + (place >> 16)
                 left, right = place >> 8 & 255, place & 255
                 data = raw.tobytes()
-                for i in range(0, len(rows), 20_000):
-                    cut = slice(i, i + 20_000)
+                for i in range(0, len(rows), 5_000):
+                    cut = slice(i, i + 5_000)
                     lefts = [data[x:y][::-1] for x, y in zip((at[cut] - left[cut]).tolist(), at[cut].tolist(), strict=True)]
                     rights = [data[x:y] for x, y in zip(at[cut].tolist(), (at[cut] + right[cut]).tolist(), strict=True)]
-                    part = rows.slice(i, 20_000)
+                    part = rows.slice(i, 5_000)
                     yield pa.RecordBatch.from_arrays([part.field(k) for k in names] + [pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=[*names, "left", "right"])
 
     return texts.join(asked.hint("merge"), ["t", "u"]).select("text", "asked").mapInArrow(run, "gram long, c1 long, c2 long, k long, left binary, right binary")
