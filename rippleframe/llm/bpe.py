@@ -51,7 +51,7 @@ class PieceSplitter:
 class MergeTransducer:
     """Deterministic byte-to-token transducer for one rank table, built as texts need it."""
 
-    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 96 << 20):
+    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 288 << 20):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
         #: The trie: (node, byte) to child, both in one number; the token that ends at a node; whether it has children.
@@ -154,7 +154,7 @@ class MergeTransducer:
         key = (last + 1) * self._never + token
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > self._max_bytes // 240:
+            if len(self._compatible) > self._max_bytes // 480:
                 self._compatible.clear()
             known = self._derivation(token)[0] and (last < 0 or not self._crosses(last, token))
             self._compatible[key] = known
@@ -243,7 +243,7 @@ class _PieceCache(dict):
     in use moves on and the rest goes.
     """
 
-    def __init__(self, transducer: MergeTransducer, bound: int = 48 << 20):
+    def __init__(self, transducer: MergeTransducer, bound: int = 72 << 20):
         super().__init__()
         self._transducer, self._bound, self._bytes = transducer, bound, 0
         self._old: dict[str, bytes] = {}
