@@ -106,7 +106,7 @@ def _sketch_passes(similarity: float):
 
 def _texts(named: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text): the text of each class in ``nodes``, that of its representative row."""
-    wanted = classes.select("node", "_id", "_hash").join(nodes, "node", "left_semi")
+    wanted = materialize(classes.select("node", "_id", "_hash").join(nodes, "node", "left_semi"), "wanted")
     # a representative's id and text may stand on several rows: one of them is enough
     return named.join(wanted, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])
 
@@ -268,9 +268,9 @@ def _linked(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -
     found = materialize(signatures(named, width), "signatures")
     usable = found.where(F.col("_id").isNotNull() & (F.col("n_shingles") > 0))
     # a class is named by a number of its own: the smallest id may stand on several texts
-    first = F.min_by(F.struct("_id", "_hash", "n_shingles", "bands", "sketch"), F.struct("_id", "_hash"))
-    grouped = materialize(usable.groupBy("f1", "f2").agg(first.alias("r")).select("f1", "f2", F.monotonically_increasing_id().alias("node"), F.col("r._id").alias("_id"), F.col("r._hash").alias("_hash"), F.col("r.n_shingles").alias("n"), "r.bands", "r.sketch"), "classes")
-    classes = grouped
+    facts = (F.min(F.struct("_id", "_hash")).alias("r"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    grouped = usable.groupBy("f1", "f2").agg(*facts)
+    classes = materialize(grouped.select("f1", "f2", F.monotonically_increasing_id().alias("node"), F.col("r._id").alias("_id"), F.col("r._hash").alias("_hash"), F.col("n_shingles").alias("n"), "bands", "sketch"), "classes")
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
     buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass")).where("size > 1"), "buckets")
     members = materialize(banded.drop("n").join(buckets, "key"), "members", [buckets])
@@ -288,18 +288,19 @@ def _linked(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -
         placed = materialize(placed.withColumn("comp", F.coalesce("comp", "node")), "placed", [members] if last else [])
         still = materialize(placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
         opened = placed.join(still, "key", "left_semi").join(classes.select("node", "n", "sketch", "bands"), "node").select("key", "size", "mass", "node", "comp", "n", "sketch", "bands")
-        opened = materialize(opened, "opened", [placed, still])
         if not last:
-            more = confirm(materialize(_likely_pairs(opened, similarity), "candidates", [opened]), named, classes, width, percent)
+            more = confirm(materialize(_likely_pairs(opened, similarity), "candidates", [placed, still]), named, classes, width, percent)
         else:
+            opened = materialize(opened, "opened", [placed, still])
             texts = _texts(named, classes, opened.select("node").distinct())
             more = materialize(_remaining_links(opened.join(texts, "node"), similarity, width, percent), "links", [opened])
         comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), [comps])
-        links = materialize(links.union(more).distinct(), "links", [links, more])
+        links = links.union(more)
+    links = links.distinct()
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
 
     of_class = classes.select("f1", "f2", "node", "_id").join(comps, "node", "left").join(degree, "node", "left")
-    of_class = materialize(of_class.select("f1", "f2", "_id", F.coalesce("component", "node").alias("node"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named", [classes, comps, links])
+    of_class = materialize(of_class.select("f1", "f2", "_id", F.coalesce("component", "node").alias("node"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named", [classes, comps])
     least = of_class.groupBy("node").agg(F.min("_id").alias("least"))
     of_class = of_class.join(least, "node").select("f1", "f2", "node", "least", "n_links")
     usable = F.when(F.col("_id").isNotNull() & (F.col("n_shingles") > 0), F.lit(True))
