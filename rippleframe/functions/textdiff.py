@@ -33,27 +33,43 @@ def _script(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def _lines(text: str) -> list[str]:
+    """Lines between line feeds (CR LF and CR count as one); what follows the last one is a line too, empty or not."""
+    return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+
+
 def unified(old: str, new: str) -> str:
-    """Hunks with three lines of context; hunks whose contexts touch are one.  Equal texts give an empty string."""
-    script = _script(old.splitlines(), new.splitlines())
-    changed = [k for k, (mark, _) in enumerate(script) if mark != " "]
-    if not changed:
-        return ""
-    hunks: list[list[int]] = []
-    for k in changed:
-        if hunks and k - hunks[-1][1] <= 2 * CONTEXT + 1:
-            hunks[-1][1] = k
-        else:
-            hunks.append([k, k])
-    out = []
-    for first, last in hunks:
-        lo, hi = max(0, first - CONTEXT), min(len(script), last + CONTEXT + 1)
-        a = sum(mark != "+" for mark, _ in script[:lo])
-        b = sum(mark != "-" for mark, _ in script[:lo])
-        part = script[lo:hi]
-        na, nb = sum(mark != "+" for mark, _ in part), sum(mark != "-" for mark, _ in part)
-        out.append(f"@@ -{a + 1 if na else a},{na} +{b + 1 if nb else b},{nb} @@")
-        out += [mark + line for mark, line in part]
+    """The unified format: hunks around the changes, each with its ranges of both texts; empty for equal lines.
+
+    A line of context is one at most CONTEXT lines from a change, so hunks whose context would meet are one.  A range is
+    the hunk's first line and number of lines; an empty one names the line before it.
+    """
+    script = _script(_lines(old), _lines(new))
+    near = bytearray(len(script))
+    for k, (mark, _) in enumerate(script):
+        if mark != " ":
+            near[max(0, k - CONTEXT) : k + CONTEXT + 1] = b"\x01" * (min(len(script), k + CONTEXT + 1) - max(0, k - CONTEXT))
+    out: list[str] = []
+    seen, hunk = {"-": 0, "+": 0}, []
+
+    def close():
+        if hunk:
+            ranges = []
+            for side in "-+":
+                n = sum(mark in (side, " ") for mark, _ in hunk)
+                ranges.append(f"{side}{seen[side] - n + (n > 0)},{n}")
+            out.append(f"@@ {' '.join(ranges)} @@")
+            out.extend(mark + line for mark, line in hunk)
+            hunk.clear()
+
+    for k, (mark, line) in enumerate(script):
+        if not near[k]:
+            close()
+        for side in "-+":
+            seen[side] += mark in (side, " ")
+        if near[k]:
+            hunk.append((mark, line))
+    close()
     return "\n".join(out)
 
 

@@ -51,6 +51,20 @@ def diff_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(*map(count, ("ADDED", "REMOVED", "VERSION_CHANGED", "RESOLVED_UNCHANGED")), F.count_if("scope_changed").alias("scope_changed"))
 
 
+def gated_metrics(rows: DataFrame, statuses: DataFrame, by: list[str]) -> DataFrame:
+    """The metrics of every module in ``statuses``: null where it is not COMPARABLE, zero where nothing differs."""
+    counts = diff_metrics(rows.join(statuses.where("status = 'COMPARABLE'").select(*by), by, "left_semi"), by)
+    names = [c for c in counts.columns if c not in by]
+    joined = statuses.select(*by, "status").join(counts, by, "left")
+    return joined.select(*by, "status", *(F.when(F.col("status") == "COMPARABLE", F.coalesce(c, F.lit(0))).alias(c) for c in names))
+
+
+def total_metrics(metrics: DataFrame) -> DataFrame:
+    """One row: the sums over the modules that have metrics; null ones are passed over."""
+    names = [c for c in metrics.columns if c in ("added", "removed", "version_changed", "resolved_unchanged", "scope_changed")]
+    return metrics.agg(F.count("added").alias("modules"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+
+
 def chain_diff(baseline: DataFrame, target: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """Paths without their root, of dependency keys alone, on either side; an array column is the join key."""
     paths = lambda df: df.select(*keys, F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))).alias("chain")).distinct()

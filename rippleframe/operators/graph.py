@@ -1,15 +1,17 @@
-"""Graph operators: reachability, shortest representative paths, components, validation and rankings.
+"""Graph operators: reachability, first-discoverer paths, components, validation, call graphs.
 
-Modules are independent graphs.  The exact-order kernels run on one module at a time (``applyInPandas``); ``reach`` is the
-set-based form for graphs that are larger than a task, one join for each level with its lineage cut by checkpoints.
+Modules are independent graphs.  Everything that may be as large as a module is set-based: a level or a round is one
+join, with its lineage cut by checkpoints, so no module is ever held by one task.  Only the validation of occurrence
+graphs, which are bounded by one document each, works on a group at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,8 +24,8 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_levels: int = 10_000) -> DataFrame:
-    """(seed, node, level): every node that a seed reaches over (module, src, dst), and its distance.
+def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
+    """(seed, node, level): every node that a seed reaches over (src, dst), and its distance.
 
     One frontier for all seeds, a level at a time; each level is an equi-join and an anti-join with what is known.
     """
@@ -36,22 +38,22 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_levels:
         frontier = _checkpoint(step.withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             return found
-        if level >= max_levels:
-            raise ValueError(f"nodes are further than {max_levels - 1} levels from their seeds")
         found = _checkpoint(found.union(frontier))
 
 
-def simple_paths(edges: DataFrame, seeds: DataFrame, max_length: int = 100) -> DataFrame:
-    """Every simple path from a seed to a node without predecessors, as (seed, path); for small graphs."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_rf_edges")
-    seeds.createOrReplaceTempView("_rf_seeds")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(seed, node, path) AS (
-          SELECT node, node, array(node) FROM _rf_seeds
-          UNION ALL
-          SELECT w.seed, e.src, array_prepend(w.path, e.src) FROM walk w JOIN _rf_edges e ON e.dst = w.node WHERE NOT array_contains(w.path, e.src) AND size(w.path) < {max_length})
-        SELECT seed, path FROM walk w LEFT ANTI JOIN _rf_edges e ON e.dst = w.node""")
+def simple_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Every simple path from a seed to a node without predecessors, as (seed, path); for small graphs.
+
+    Paths grow by one caller in each round until none can; a node that is on a path already ends it.
+    """
+    callers = edges.select(F.col("dst").alias("node"), F.col("src").alias("_caller")).distinct()
+    open_paths = _checkpoint(seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path")).distinct())
+    ended = []
+    while not open_paths.isEmpty():
+        ended.append(_checkpoint(open_paths.join(callers.select("node"), "node", "left_anti").select("seed", "path")))
+        longer = open_paths.join(callers, "node").where(~F.array_contains("path", F.col("_caller")))
+        open_paths = _checkpoint(longer.select("seed", F.col("_caller").alias("node"), F.array_prepend("path", F.col("_caller")).alias("path")))
+    return reduce(DataFrame.union, ended) if ended else open_paths.select("seed", "path")
 
 
 def _adjacency(pdf: pd.DataFrame, reverse: bool) -> dict:
@@ -62,28 +64,33 @@ def _adjacency(pdf: pd.DataFrame, reverse: bool) -> dict:
     return out
 
 
-def reverse_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(module, seed, node, level, next): breadth-first callers of each seed; ``next`` is the first discoverer.
+def reverse_paths(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, pruned: DataFrame | None = None) -> DataFrame:
+    """(module, seed, node, level, next, path): breadth-first callers of each seed; ``next`` is the first discoverer.
 
-    Callers are visited in ascending order of their node, so each node's path along ``next`` is the one shortest path
-    that the discovery order gives.
+    Callers are visited in the order of (method, node) of ``nodes`` (module, node, method, synthetic), or of the node
+    alone; synthetic nodes and the edges in ``pruned`` (module, caller_id, callee_id) are passed over.  The queue's order
+    within a level is that of the discoverers' own trails, so a node's first discoverer is the one with the least trail:
+    a minimum in each level's join stands for the queue.  ``path`` leads from the node to the seed.
     """
-
-    def search(key, pdf_edges, pdf_seeds):
-        callers = _adjacency(pdf_edges, reverse=True)
-        rows = []
-        for seed in sorted(set(pdf_seeds["node"].tolist())):
-            level, queue = {seed: 0}, [seed]
-            rows.append((key[0], seed, seed, 0, None))
-            for node in queue:
-                for caller in callers.get(node, ()):
-                    if caller not in level:
-                        level[caller] = level[node] + 1
-                        queue.append(caller)
-                        rows.append((key[0], seed, caller, level[caller], node))
-        return pd.DataFrame(rows, columns=["module", "seed", "node", "level", "next"]).astype({"next": "Int64"})
-
-    return edges.groupBy("module").cogroup(seeds.groupBy("module")).applyInPandas(search, f"module {_kind(edges)}, seed long, node long, level int, next long")
+    steps = edges.select("module", F.col("dst").alias("node"), F.col("src").alias("_caller")).distinct()
+    if pruned is not None:
+        steps = steps.join(pruned.select("module", F.col("caller_id").alias("_caller"), F.col("callee_id").alias("node")).distinct(), ["module", "_caller", "node"], "left_anti")
+    if nodes is None:
+        steps = steps.withColumn("_order", F.struct(F.lit("").alias("method"), F.col("_caller").alias("node")))
+    else:
+        known = nodes.where("NOT synthetic").select("module", F.col("node").alias("_caller"), F.struct("method", "node").alias("_order"))
+        steps = steps.join(known, ["module", "_caller"])
+    steps = _checkpoint(steps)
+    trail = F.array(F.struct(F.lit("").alias("method"), F.col("node")))
+    frontier = _checkpoint(seeds.select("module", F.col("node").alias("seed"), "node", F.lit(0).alias("level"), F.lit(None).cast(seeds.schema["node"].dataType).alias("next"), trail.alias("_trail")).distinct())
+    found = frontier
+    for level in count(1):
+        callers = frontier.join(steps, ["module", "node"]).groupBy("module", "seed", "_caller").agg(F.min(F.struct("_trail", "node")).alias("_first"), F.first("_order").alias("_order"))
+        new = callers.withColumnRenamed("_caller", "node").join(found.select("module", "seed", "node"), ["module", "seed", "node"], "left_anti")
+        frontier = _checkpoint(new.select("module", "seed", "node", F.lit(level).alias("level"), F.col("_first.node").alias("next"), F.concat("_first._trail", F.array("_order")).alias("_trail")))
+        if frontier.isEmpty():
+            return found.select("module", "seed", "node", "level", "next", F.reverse(F.transform("_trail", lambda x: x["node"])).alias("path"))
+        found = _checkpoint(found.union(frontier))
 
 
 def _kind(rows: DataFrame) -> str:
@@ -130,18 +137,61 @@ def _strong(adjacency: dict, nodes) -> dict:
     return out
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(module, node, component, size, cyclic); a component's name is its smallest node."""
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(module, node, component, size, cyclic); a component's name is its smallest node.
 
-    def solve(key, pdf):
-        forward = _adjacency(pdf, reverse=False)
-        nodes = sorted(set(pdf["src"].tolist()) | set(pdf["dst"].tolist()))
-        comp = _strong(forward, nodes)
-        size = pd.Series(comp).value_counts().to_dict()
-        loops = {n for n in nodes if n in forward.get(n, ())}
-        return pd.DataFrame([(key[0], n, comp[n], size[comp[n]], size[comp[n]] > 1 or n in loops) for n in nodes], columns=["module", "node", "component", "size", "cyclic"])
-
-    return edges.groupBy("module").applyInPandas(solve, f"module {_kind(edges)}, node long, component long, size long, cyclic boolean")
+    ``nodes`` (module, node) adds nodes without edges.  Nodes without a live predecessor or successor are components by
+    themselves and go first.  Of the rest, every node learns the smallest node that reaches it; where that is the node
+    itself, what reaches it back among the nodes of the same name is its component.  Rounds go on until no node is left.
+    """
+    key = ["module", "node"]
+    pairs = edges.select("module", "src", "dst").distinct()
+    loops = pairs.where("src = dst").select("module", F.col("src").alias("node"), F.lit(True).alias("_loop"))
+    ends = pairs.select("module", F.col("src").alias("node")).union(pairs.select("module", F.col("dst").alias("node")))
+    live = _checkpoint((ends if nodes is None else ends.union(nodes.select(*key))).distinct())
+    links = _checkpoint(pairs.where("src <> dst"))
+    settled = []
+
+    def within(links, live):
+        kept = links.join(live.select("module", F.col("node").alias("src")), ["module", "src"], "left_semi")
+        return _checkpoint(kept.join(live.select("module", F.col("node").alias("dst")), ["module", "dst"], "left_semi").select("module", "src", "dst"))
+
+    while not live.isEmpty():
+        while True:
+            inner = live.join(links.select("module", F.col("dst").alias("node")).distinct(), key, "left_semi").join(links.select("module", F.col("src").alias("node")).distinct(), key, "left_semi")
+            inner = _checkpoint(inner)
+            gone = _checkpoint(live.join(inner, key, "left_anti"))
+            if gone.isEmpty():
+                break
+            settled.append(gone.withColumn("component", F.col("node")))
+            live, links = inner, within(links, inner)
+        if live.isEmpty():
+            break
+        named = _checkpoint(live.withColumn("_least", F.col("node")))
+        fresh = named
+        while not fresh.isEmpty():
+            sent = fresh.withColumnRenamed("node", "src").join(links, ["module", "src"]).groupBy("module", F.col("dst").alias("node")).agg(F.min("_least").alias("_sent"))
+            fresh = _checkpoint(sent.join(named, key).where("_sent < _least").select(*key, F.col("_sent").alias("_least")))
+            changed = named.join(fresh.withColumnRenamed("_least", "_new"), key, "left")
+            named = _checkpoint(changed.select(*key, F.coalesce("_new", "_least").alias("_least")))
+        back = _checkpoint(named.where("node = _least"))
+        members = back
+        alike = links.join(named.select("module", F.col("node").alias("src"), F.col("_least").alias("_a")), ["module", "src"]).join(named.select("module", F.col("node").alias("dst"), F.col("_least").alias("_b")), ["module", "dst"])
+        alike = _checkpoint(alike.where("_a = _b").select("module", "src", "dst", F.col("_a").alias("_least")))
+        while not back.isEmpty():
+            step = back.withColumnRenamed("node", "dst").join(alike, ["module", "dst", "_least"]).select("module", F.col("src").alias("node"), "_least").distinct()
+            back = _checkpoint(step.join(members, [*key, "_least"], "left_anti"))
+            members = _checkpoint(members.union(back))
+        settled.append(members.select(*key, F.col("_least").alias("component")))
+        live = _checkpoint(live.join(members, key, "left_anti"))
+        links = within(links, live)
+    if not settled:
+        found = live.withColumn("component", F.col("node"))
+    else:
+        found = reduce(DataFrame.union, settled)
+    sizes = found.groupBy("module", "component").agg(F.count(F.lit(1)).alias("size"))
+    out = found.join(sizes, ["module", "component"]).join(loops, key, "left")
+    return out.select("module", "node", "component", "size", ((F.col("size") > 1) | F.coalesce("_loop", F.lit(False))).alias("cyclic"))
 
 
 def source_components(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -153,10 +203,32 @@ def source_components(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def impact_roots(edges: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of each source component with PROJECT nodes its root: an entry point if it has one, else the smallest node."""
-    project = components.join(nodes.where("origin = 'PROJECT'").select("module", "node", "is_entrypoint"), ["module", "node"])
+    """(module, component, root, root_method, cycle) of the source components that hold PROJECT nodes.
+
+    The root is an entry point if there is one, else any PROJECT node, the least by (method, node).  A component that is
+    no cycle goes if its root's method is called elsewhere: if another PROJECT node of that method has a predecessor.
+    ``nodes`` has module, node, method, origin, is_entrypoint.
+    """
+    own = nodes.where("origin = 'PROJECT'").select("module", "node", "method", "is_entrypoint")
+    called = own.join(edges.select("module", F.col("dst").alias("node")).distinct(), ["module", "node"], "left_semi").select("module", F.col("method").alias("root_method")).distinct()
+    project = components.join(own, ["module", "node"])
     chosen = project.join(source_components(edges, components).select("module", "component"), ["module", "component"], "left_semi")
-    return chosen.groupBy("module", "component").agg(F.min_by("node", F.struct(~F.col("is_entrypoint"), F.col("node"))).alias("root"), F.bool_or("cyclic").alias("cycle"))
+    least = F.min(F.struct(~F.col("is_entrypoint"), F.col("method"), F.col("node"))).alias("r")
+    roots = chosen.groupBy("module", "component").agg(least, F.bool_or("cyclic").alias("cycle")).select("module", "component", F.col("r.node").alias("root"), F.col("r.method").alias("root_method"), "cycle")
+    return roots.where("cycle").union(roots.where("NOT cycle").join(called, ["module", "root_method"], "left_anti").select(*roots.columns))
+
+
+def root_paths(reverse: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(module, seed, root_method, root, path, classification, root_kind): the path of each root method to each seed.
+
+    ``reverse`` is of ``reverse_paths``, ``roots`` (module, seed, root, root_method, cycle).  Of several roots of one
+    method the first in the order of nodes stands; a path is DIRECT if its seed is PROJECT code, else TRANSITIVE.
+    """
+    found = roots.join(reverse.select("module", "seed", F.col("node").alias("root"), "path"), ["module", "seed", "root"])
+    kind = F.when(F.col("cycle"), "STRONGLY_CONNECTED_COMPONENT").otherwise("METHOD")
+    first = found.groupBy("module", "seed", "root_method").agg(F.min_by(F.struct("root", "path", kind.alias("root_kind")), "root").alias("r"))
+    origin = nodes.select("module", F.col("node").alias("seed"), F.when(F.col("origin") == "PROJECT", "DIRECT").otherwise("TRANSITIVE").alias("classification"))
+    return first.join(origin, ["module", "seed"]).select("module", "seed", "root_method", "r.root", "r.path", "classification", "r.root_kind")
 
 
 def validate_occurrence_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -187,18 +259,6 @@ def validate_occurrence_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("module").cogroup(edges.groupBy("module")).applyInPandas(check, f"module {_kind(nodes)}, problem string")
 
 
-def degrees(edges: DataFrame, direction: str = "out") -> DataFrame:
-    """Distinct related nodes and raw edges of every node."""
-    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    return edges.groupBy("module", F.col(a).alias("node")).agg(F.count_distinct(b).alias("related_nodes"), F.count(F.lit(1)).alias("raw_edges"))
-
-
-def top_ranked(edges: DataFrame, direction: str = "out", n: int = 10) -> DataFrame:
-    """Each module's nodes of the highest degree, ties by node."""
-    w = Window.partitionBy("module").orderBy(F.desc("related_nodes"), F.desc("raw_edges"), "node")
-    return degrees(edges, direction).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
 def dispatch_edges(sites: DataFrame, methods: DataFrame, subtypes: DataFrame) -> DataFrame:
     """Candidate call edges: each site's target method in every concrete subtype of the declared owner.
 
@@ -209,8 +269,60 @@ def dispatch_edges(sites: DataFrame, methods: DataFrame, subtypes: DataFrame) ->
     return wide.join(found, ["_sub", "name", "descriptor"]).select(F.col("caller").alias("src"), "dst").distinct()
 
 
+def call_graph(sites: DataFrame, methods: DataFrame, subtypes: DataFrame, entrypoints: DataFrame, providers: DataFrame | None = None) -> DataFrame:
+    """(src, dst) edges that the entry points reach.
+
+    ``methods`` also has origin and no_op: methods of the JDK and without a body are leaves.  A site whose declared owner
+    is JDK code keeps JDK targets alone.  ``providers`` (caller, constructor) adds the constructors that service loading
+    gives a caller.  The worklist is a frontier: what it reaches does not depend on its order.
+    """
+    owners = methods.groupBy("owner").agg(F.max(F.when(F.col("origin") == "JDK", 1).otherwise(0)).alias("_jdk"))
+    jdk_only = dispatch_edges(sites.join(owners.where("_jdk = 1"), "owner", "left_semi"), methods.where("origin = 'JDK'"), subtypes)
+    other = dispatch_edges(sites.join(owners.where("_jdk = 1"), "owner", "left_anti"), methods, subtypes)
+    candidates = jdk_only.union(other)
+    if providers is not None:
+        candidates = candidates.union(providers.select(F.col("caller").alias("src"), F.col("constructor").alias("dst")))
+    leaves = methods.where("origin = 'JDK' OR no_op").select(F.col("node").alias("src"))
+    live = _checkpoint(candidates.distinct().join(leaves, "src", "left_anti"))
+    reached = reach(live, entrypoints.select("node")).select(F.col("node").alias("src")).distinct()
+    return live.join(reached, "src", "left_semi").select("src", "dst")
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """Reflexive transitive closure of (sub, super)."""
     nodes = pairs.select(F.col("sub").alias("node")).union(pairs.select(F.col("super").alias("node"))).distinct()
     found = reach(pairs.select(F.col("sub").alias("src"), F.col("super").alias("dst")), nodes)
     return found.select(F.col("seed").alias("sub"), F.col("node").alias("super"))
+
+
+def retained_ancestors(types: DataFrame, parents: DataFrame) -> DataFrame:
+    """(name) of the NO_OP dependency types above code whose bodies are analysed.
+
+    types (name, origin, body), parents (sub, super).  The walk starts at the parents of PROJECT and REACTOR_DEPENDENCY
+    types and of dependencies with REAL_IR bodies, and stops at JDK and synthetic types.
+    """
+    open_types = types.where("origin NOT IN ('JDK', 'SYNTHETIC')")
+    start = open_types.where("origin IN ('PROJECT', 'REACTOR_DEPENDENCY') OR (origin = 'DEPENDENCY' AND body = 'REAL_IR')").select("name")
+    up = parents.join(open_types.select(F.col("name").alias("super")), "super", "left_semi").select("sub", "super")
+    frontier = _checkpoint(up.join(start.withColumnRenamed("name", "sub"), "sub", "left_semi").select(F.col("super").alias("name")).distinct())
+    seen = frontier
+    while not frontier.isEmpty():
+        step = up.join(frontier.withColumnRenamed("name", "sub"), "sub", "left_semi").select(F.col("super").alias("name")).distinct()
+        frontier = _checkpoint(step.join(seen, "name", "left_anti"))
+        seen = _checkpoint(seen.union(frontier))
+    return open_types.where("origin = 'DEPENDENCY' AND body = 'NO_OP'").select("name").join(seen, "name", "left_semi")
+
+
+def preorder(nodes: DataFrame) -> DataFrame:
+    """(module, node, depth, place): the nodes of each tree in depth-first order, from (module, node, parent, ord).
+
+    A node's place is the array of the sibling positions from the root down: arrays sort as the walk visits.
+    """
+    frontier = _checkpoint(nodes.where("parent IS NULL").select("module", "node", F.lit(0).alias("depth"), F.array("ord").alias("place")))
+    found = [frontier]
+    children = nodes.where("parent IS NOT NULL").select("module", F.col("parent").alias("_above"), "node", "ord")
+    while not frontier.isEmpty():
+        above = frontier.select("module", F.col("node").alias("_above"), "depth", "place")
+        frontier = _checkpoint(children.join(above, ["module", "_above"]).select("module", "node", (F.col("depth") + 1).alias("depth"), F.array_append("place", F.col("ord")).alias("place")))
+        found.append(frontier)
+    return reduce(DataFrame.union, found)

@@ -65,9 +65,13 @@ def access_decision(caller: Column, declaring: Column, access: Column, instance:
 
 
 def pruned_edges(sites: DataFrame) -> DataFrame:
-    """edges of which every call site's receiver excludes the callee; fixed, single-target or unknown sites keep them."""
-    keeps = ~F.col("is_dispatch") | (F.col("n_targets") <= 1) | (F.col("receiver_verdict") != "EXCLUDES")
-    return sites.groupBy("module", "caller_id", "callee_id").agg(F.bool_or(keeps).alias("_kept")).where(~F.col("_kept")).drop("_kept")
+    """edges of which every call site's receiver excludes the callee.
+
+    Fixed and single-target sites keep their edge, and so does anything unknown: a null counts as unknown.
+    """
+    excludes = F.col("is_dispatch") & (F.col("n_targets") > 1) & (F.col("receiver_verdict") == "EXCLUDES")
+    every = F.bool_and(F.coalesce(excludes, F.lit(False))).alias("_gone")
+    return sites.groupBy("module", "caller_id", "callee_id").agg(every).where("_gone").drop("_gone")
 
 
 def representative_paths(paths: DataFrame) -> DataFrame:
@@ -84,9 +88,15 @@ def disposition(kind: Column, analysed: Column, shadowed: Column, path: Column,
     )
 
 
-def impact_totals(paths: DataFrame) -> DataFrame:
-    """By module, distinct paths, roots and changed members."""
-    return paths.groupBy("module").agg(F.count_distinct("nodes", "point_id").alias("unique_paths"), F.count_distinct("root").alias("root_methods"), F.count_distinct("point_id").alias("changed_members"))
+def impact_totals(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """By module, distinct paths, root methods, PROJECT methods on any path, and changed members.
+
+    A path is told by its nodes.  ``nodes`` (module, node, method, origin) names the methods.
+    """
+    on = paths.select("module", F.explode("nodes").alias("node")).distinct().join(nodes.where("origin = 'PROJECT'").select("module", "node", "method"), ["module", "node"])
+    methods = on.groupBy("module").agg(F.count_distinct("method").alias("_methods"))
+    totals = paths.groupBy("module").agg(F.count_distinct("nodes").alias("unique_paths"), F.count_distinct("root").alias("root_methods"), F.count_distinct("point_id").alias("changed_members"))
+    return totals.join(methods, "module", "left").select("module", "unique_paths", "root_methods", F.coalesce("_methods", F.lit(0)).alias("affected_methods"), "changed_members")
 
 
 def member_metrics(points: DataFrame, paths: DataFrame) -> DataFrame:
@@ -135,11 +145,20 @@ def constant_evidence(literals: DataFrame, points: DataFrame, registrations: Dat
 
 
 def dynamic_evidence(calls: DataFrame, points: DataFrame) -> DataFrame:
-    """Dynamic calls by member, by owner of a removed class, or by interface; three equi-joins instead of one condition."""
-    member = calls.join(points.where("kind LIKE 'METHOD%'").select("point_id", "owner", "name"), ["owner", "name"])
-    owner = calls.join(points.where("kind = 'CLASS_REMOVED'").select("point_id", "owner"), "owner")
-    face = calls.join(points.where("kind = 'CLASS_REMOVED'").select("point_id", F.col("owner").alias("interface")), "interface")
-    return reduce(DataFrame.union, (x.select("point_id", "node") for x in (member, owner, face))).distinct()
+    """(point_id, node, evidence) of dynamic calls (node, owner, name, descriptor, field_handle) by change point.
+
+    Removed, re-described and narrowed methods are met by owner, name and old descriptor; narrowed classes by owner;
+    narrowed fields by a field handle's owner, name and new descriptor.  Three equi-joins instead of one condition.
+    """
+    of = lambda *kinds: points.where(F.col("kind").isin(*kinds))
+    methods = of("METHOD_REMOVED", "METHOD_DESCRIPTOR_CHANGED", "METHOD_ACCESS_NARROWED").select("point_id", "owner", "name", F.col("old_descriptor").alias("descriptor"))
+    fields = of("FIELD_ACCESS_NARROWED").select("point_id", "owner", "name", F.col("new_descriptor").alias("descriptor"))
+    parts = [
+        (calls.join(methods, ["owner", "name", "descriptor"]), "METHOD_REFERENCE"),
+        (calls.join(of("CLASS_ACCESS_NARROWED").select("point_id", "owner"), "owner"), "TYPE_REFERENCE"),
+        (calls.where("field_handle").join(fields, ["owner", "name", "descriptor"]), "FIELD_REFERENCE"),
+    ]
+    return reduce(DataFrame.union, (x.select("point_id", "node", F.lit(kind).alias("evidence")) for x, kind in parts)).distinct()
 
 
 def structural_evidence(references: DataFrame, points: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import ORIGIN_PRIORITY, ranked
@@ -40,3 +40,13 @@ def shadowed_changes(points: DataFrame, defs: DataFrame) -> DataFrame:
     winners = class_winners(defs).select("binary_name", F.col("source_key").alias("_winner"))
     losers = defs.join(winners, "binary_name").where("source_key <> _winner").select(F.col("binary_name").alias("owner"), F.col("source_key").alias("artifact")).distinct()
     return points.join(losers, ["owner", "artifact"], "left_semi")
+
+
+def duplicate_probe(entries: DataFrame, indexed: DataFrame, wanted: Column) -> DataFrame:
+    """Of an archive's entries only those whose name is indexed already and that the predicate wants are read."""
+    return entries.where(wanted).join(indexed.select("binary_name").distinct(), "binary_name", "left_semi")
+
+
+def candidate_entries(candidates: DataFrame, entries: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The candidates with their classpath entry, and those without one, which are issues."""
+    return candidates.join(entries, keys), candidates.join(entries.select(*keys).distinct(), keys, "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,9 @@ def jar_pairs(changes: DataFrame, scopes: list[str]) -> DataFrame:
     """Distinct version changes of jars on both sides in the scopes, and whether they risk a provided API."""
     rows = changes.where((F.col("change_type") == "VERSION_CHANGED") & (F.col("old_type") == "jar") & (F.col("new_type") == "jar") & F.col("scope").isin(*scopes))
     return rows.groupBy("old_coordinate", "new_coordinate").agg(F.bool_or(F.col("scope") == "provided").alias("provided_api_risk"), F.count_distinct("module_key").alias("modules"))
+
+
+def all_points(*parts: DataFrame) -> DataFrame:
+    """The change points of all sources, each once, in order."""
+    found = reduce(DataFrame.unionByName, parts).distinct()
+    return found.orderBy(*found.columns)

@@ -9,10 +9,21 @@ KEY = ["group_id", "artifact_id"]
 _blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def aggregate_dependencies(occ: DataFrame, module: list[str]) -> DataFrame:
-    """By module and key, the first occurrence's version and scope, whether any path is direct, and the paths."""
-    first = F.min_by(F.struct("selected_version", "effective_scope"), "seq")
-    return occ.groupBy(*module, *KEY).agg(first["selected_version"].alias("selected_version"), first["effective_scope"].alias("effective_scope"), F.bool_or(F.col("depth") == 1).alias("direct"), F.count(F.lit(1)).alias("n_paths"))
+def aggregate_dependencies(occ: DataFrame, module: list[str], path: str = "path") -> DataFrame:
+    """By module and key, the first occurrence's version and scope, whether any path is direct, and the paths.
+
+    Of the occurrences on one path the last stands: ``paths`` has each distinct path once with its version and scope, in
+    order.
+    """
+    last = F.max_by(F.struct(F.col("effective_version").alias("version"), F.col("effective_scope").alias("scope")), "seq")
+    each = occ.groupBy(*module, *KEY, path).agg(
+        F.min_by(F.struct("selected_version", "effective_scope"), "seq").alias("_first"), F.min("seq").alias("_seq"), F.bool_or(F.col("depth") == 1).alias("_direct"), last.alias("_last")
+    )
+    first = F.min_by("_first", "_seq")
+    paths = F.array_sort(F.collect_list(F.struct(F.col(path).alias("path"), F.col("_last.version"), F.col("_last.scope"))))
+    return each.groupBy(*module, *KEY).agg(
+        first["selected_version"].alias("selected_version"), first["effective_scope"].alias("effective_scope"), F.bool_or("_direct").alias("direct"), F.count(F.lit(1)).alias("n_paths"), paths.alias("paths")
+    )
 
 
 def internal_conflicts(occ: DataFrame, module: list[str], complete: str | None = None) -> DataFrame:

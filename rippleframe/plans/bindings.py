@@ -13,7 +13,7 @@ SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' EL
        CAST(1 + (l_linenumber + l_suppkey) % 4 AS STRING) AS effective_version, CASE WHEN l_partkey % 11 = 0 THEN '' ELSE CAST(1 + l_linenumber % 4 AS STRING) END AS selected_version,
        CASE l_returnflag WHEN 'A' THEN 'compile' WHEN 'R' THEN 'runtime' ELSE 'provided' END AS effective_scope, l_linestatus = 'O' AS selected,
        CASE l_suppkey % 4 WHEN 0 THEN 'conflict' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'cycle' ELSE '' END AS omitted_reason, 1 + l_partkey % 3 AS depth,
-       row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS seq
+       concat('p', l_suppkey % 4, '>', p_size % 3) AS path, row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS seq
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "class_def": """
 SELECT DISTINCT concat('c', l_partkey % 400) AS binary_name, CASE s_nationkey % 5 WHEN 0 THEN 'JDK' WHEN 1 THEN 'PROJECT' WHEN 2 THEN 'REACTOR_DEPENDENCY' WHEN 3 THEN 'DEPENDENCY' ELSE 'SYNTHETIC' END AS origin,
@@ -42,12 +42,20 @@ SELECT DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'bas
 SELECT DISTINCT o_custkey % 5 AS module, o_custkey AS src, (1 + (o_orderkey * 31 + 7) % n) * 5 % n + o_custkey % 5 AS dst FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {customer}) c""",
     "edge1": """
 SELECT DISTINCT o_custkey AS src, 1 + (o_orderkey * 31 + 7) % n AS dst FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {customer}) c""",
+    # a call graph whose edges lead from greater to smaller nodes, but for a few that close cycles
+    "flow": """
+SELECT module, CASE WHEN back THEN least(a, b) ELSE greatest(a, b) END AS src, CASE WHEN back THEN greatest(a, b) ELSE least(a, b) END AS dst, count(*) AS n_sites FROM (
+  SELECT o_custkey % 5 AS module, o_custkey AS a, (1 + (o_orderkey * 31 + 7) % n) * 5 % n + o_custkey % 5 AS b, o_orderkey % 997 = 0 AS back FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {customer}) c) x
+GROUP BY ALL""",
+    "flow_node": """
+SELECT module, node, concat('m', node % 211) AS method, CASE node % 4 WHEN 0 THEN 'DEPENDENCY' ELSE 'PROJECT' END AS origin, node % 10 = 3 AS is_entrypoint, node % 29 = 11 AS synthetic FROM (
+  SELECT o_custkey % 5 AS module, o_custkey AS node FROM {orders} UNION SELECT o_custkey % 5, (1 + (o_orderkey * 31 + 7) % n) * 5 % n + o_custkey % 5 FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {customer}) c) x""",
     "sites": """
 SELECT o_custkey % 5 AS module, o_custkey % 97 AS caller_id, o_orderkey % 53 AS callee_id, o_orderstatus <> 'P' AS is_dispatch, CAST(1 + o_orderkey % 6 AS INT) AS n_targets,
-       CASE WHEN o_orderkey % 4 < 3 THEN 'EXCLUDES' WHEN o_orderkey % 8 = 3 THEN 'REACHES' ELSE 'UNKNOWN' END AS receiver_verdict FROM {orders}""",
+       CASE WHEN o_orderkey % 4 < 3 THEN 'EXCLUDES' WHEN o_orderkey % 8 = 3 THEN 'REACHES' WHEN o_orderkey % 16 = 7 THEN NULL ELSE 'UNKNOWN' END AS receiver_verdict FROM {orders}""",
     "points": """
-SELECT DISTINCT p_partkey AS point_id, concat('o', p_partkey % 100) AS owner, concat('n', p_size % 30) AS name, CASE p_partkey % 9 WHEN 0 THEN 'METHOD_REMOVED' WHEN 1 THEN 'METHOD_DESCRIPTOR_CHANGED' WHEN 2 THEN 'METHOD_ACCESS_NARROWED'
-         WHEN 3 THEN 'FIELD_REMOVED' WHEN 4 THEN 'FIELD_DESCRIPTOR_CHANGED' WHEN 5 THEN 'CLASS_REMOVED' WHEN 6 THEN 'CLASS_ACCESS_NARROWED' WHEN 7 THEN 'METHOD_BODY_CHANGED' ELSE 'METHOD_ADDED' END AS kind,
+SELECT DISTINCT p_partkey AS point_id, concat('o', p_partkey % 100) AS owner, concat('n', p_size % 30) AS name, CASE p_partkey % 10 WHEN 0 THEN 'METHOD_REMOVED' WHEN 1 THEN 'METHOD_DESCRIPTOR_CHANGED' WHEN 2 THEN 'METHOD_ACCESS_NARROWED'
+         WHEN 3 THEN 'FIELD_REMOVED' WHEN 4 THEN 'FIELD_DESCRIPTOR_CHANGED' WHEN 5 THEN 'CLASS_REMOVED' WHEN 6 THEN 'CLASS_ACCESS_NARROWED' WHEN 7 THEN 'METHOD_BODY_CHANGED' WHEN 8 THEN 'METHOD_ADDED' ELSE 'FIELD_ACCESS_NARROWED' END AS kind,
        concat('(', p_size % 2, ')') AS old_descriptor, concat('(', p_size % 3, ')') AS new_descriptor FROM {part}""",
     "refs": """
 SELECT DISTINCT l_orderkey % 500 AS node, CASE l_linenumber % 4 WHEN 0 THEN 'invoke' WHEN 1 THEN 'field' WHEN 2 THEN 'type' ELSE 'declaration' END AS ref_kind, concat('o', l_partkey % 100) AS owner, concat('n', l_suppkey % 30) AS name,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.textdiff import unified_diff
-from ..operators import diff, graph, impact, normalize, ownership, selection, versions
+from ..operators import diff, graph, impact, normalize, ownership, selection, topology, versions
 from . import report
 from .bindings import bound, bound_sql
 
@@ -142,16 +142,40 @@ def d10_removed_registrations(spark, sf):
 
 @query("d11_text_diff")
 def d11_text_diff(spark, sf):
-    """Unified difference of each document and the next one of its source, over whole texts."""
+    """Unified difference of each document and the next one of its source, over whole texts; null where there is none."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 20).alias("doc_id"), F.col("text").alias("new_text"))
-    return docs.join(after, "doc_id").select("doc_id", unified_diff("text", "new_text").alias("difference"))
+    return docs.join(after, "doc_id", "left").select("doc_id", unified_diff("text", "new_text").alias("difference"))
 
 
-@query("a02_dependency_aggregate", """ SELECT side, module_key, group_id, artifact_id, arg_min(selected_version, seq) AS selected_version, arg_min(effective_scope, seq) AS effective_scope, bool_or(depth = 1) AS direct, count(*) AS n_paths
-FROM occ GROUP BY ALL""", ("occ",))
+@query("d04_gated_metrics", _FIRST + """, s AS (SELECT module_key, bool_and(side <> 'target' OR l <> 'm3') AND bool_and(NOT (omitted_reason = 'cycle' AND depth = 3 AND module_key LIKE '%7')) AS ok, count(DISTINCT side) AS sides FROM (SELECT *, module_key AS l FROM occ) GROUP BY module_key),
+st AS (SELECT module_key, CASE WHEN NOT ok THEN 'UNAVAILABLE' WHEN sides = 2 THEN 'COMPARABLE' ELSE 'STRUCTURE_MISMATCH' END AS status FROM s)
+SELECT st.module_key, status, CASE WHEN status = 'COMPARABLE' THEN count(*) FILTER (NOT in_b) END AS added, CASE WHEN status = 'COMPARABLE' THEN count(*) FILTER (NOT in_t) END AS removed,
+       CASE WHEN status = 'COMPARABLE' THEN count(*) FILTER (in_b AND in_t AND bv <> tv) END AS version_changed, CASE WHEN status = 'COMPARABLE' THEN count(*) FILTER (in_b AND in_t AND bv = tv) END AS resolved_unchanged,
+       CASE WHEN status = 'COMPARABLE' THEN count(*) FILTER (in_b AND in_t AND bs <> ts) END AS scope_changed FROM st JOIN j USING (module_key) GROUP BY st.module_key, status""", ("occ",))
+def d04_gated_metrics(spark, sf):
+    occ = bound(spark, sf, "occ")
+    bad = (F.col("omitted_reason") == "cycle") & (F.col("depth") == 3) & F.col("module_key").endswith("7")
+    b, t = (occ.where(f"side = '{s}'").groupBy("module_key").agg(F.bool_and(~bad).alias("available")) for s in ("baseline", "target"))
+    t = t.withColumn("available", F.col("available") & (F.col("module_key") != "m3"))
+    return diff.gated_metrics(_tree_diff(spark, sf), diff.comparability(b, t, ["module_key"]), ["module_key"])
+
+
+@query("a03_total_metrics", _FIRST + """SELECT count(DISTINCT module_key) AS modules, count(*) FILTER (NOT in_b) AS added, count(*) FILTER (NOT in_t) AS removed, count(*) FILTER (in_b AND in_t AND bv <> tv) AS version_changed,
+       count(*) FILTER (in_b AND in_t AND bv = tv) AS resolved_unchanged, count(*) FILTER (in_b AND in_t AND bs <> ts) AS scope_changed FROM j WHERE module_key <> 'm5'""", ("occ",))
+def a03_total_metrics(spark, sf):
+    rows = _tree_diff(spark, sf)
+    statuses = rows.select("module_key").distinct().withColumn("status", F.when(F.col("module_key") == "m5", "UNAVAILABLE").otherwise("COMPARABLE"))
+    return diff.total_metrics(diff.gated_metrics(rows, statuses, ["module_key"]))
+
+
+@query("a02_dependency_aggregate", """, p AS (SELECT side, module_key, group_id, artifact_id, path, arg_max(effective_version, seq) AS v, arg_max(effective_scope, seq) AS sc FROM occ GROUP BY ALL),
+q AS (SELECT side, module_key, group_id, artifact_id, count(*) AS n_paths, string_agg(concat(path, ':', v, ':', sc), ', ' ORDER BY path) AS paths FROM p GROUP BY ALL),
+o AS (SELECT side, module_key, group_id, artifact_id, arg_min(selected_version, seq) AS selected_version, arg_min(effective_scope, seq) AS effective_scope, bool_or(depth = 1) AS direct FROM occ GROUP BY ALL)
+SELECT * FROM o JOIN q USING (side, module_key, group_id, artifact_id)""", ("occ",))
 def a02_dependency_aggregate(spark, sf):
-    return versions.aggregate_dependencies(bound(spark, sf, "occ"), ["side", "module_key"])
+    rows = versions.aggregate_dependencies(bound(spark, sf, "occ"), ["side", "module_key"])
+    return rows.withColumn("paths", F.array_join(F.transform("paths", lambda p: F.concat_ws(":", p["path"], p["version"], p["scope"])), ", "))
 
 
 _CONFLICTS = """, v AS (SELECT *, unnest(list_distinct([requested_version, CASE WHEN trim(managed_from_version) <> '' THEN effective_version ELSE requested_version END])) AS v FROM occ),
@@ -267,7 +291,7 @@ def f22_access_check(spark, sf):
     return a.select("request_id", impact.access_decision(*map(F.col, names)).alias("decision"))
 
 
-@query("f23_pruned_edges", """ SELECT module, caller_id, callee_id FROM sites GROUP BY ALL HAVING NOT bool_or(NOT is_dispatch OR n_targets <= 1 OR receiver_verdict <> 'EXCLUDES')""", ("sites",))
+@query("f23_pruned_edges", """ SELECT module, caller_id, callee_id FROM sites GROUP BY ALL HAVING bool_and(coalesce(is_dispatch AND n_targets > 1 AND receiver_verdict = 'EXCLUDES', false))""", ("sites",))
 def f23_pruned_edges(spark, sf):
     return impact.pruned_edges(bound(spark, sf, "sites"))
 
@@ -316,10 +340,28 @@ c AS (SELECT n.node, least(n.node, coalesce(min(x.b), n.node)) AS component, cou
 SELECT node, component, count(*) OVER (PARTITION BY component) AS size, cyclic FROM c""")
 
 
-@query("a12_top_degrees", """, d AS (SELECT module, src AS node, count(DISTINCT dst) AS related_nodes, count(*) AS raw_edges FROM edge GROUP BY ALL)
-SELECT module, node, related_nodes, raw_edges, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY module ORDER BY related_nodes DESC, raw_edges DESC, node) AS INT) AS rank FROM d) WHERE rank <= 10""", ("edge",))
+_DEGREES = """ d AS (SELECT e.module, e.src AS node, count(DISTINCT e.dst) AS related_nodes, count(DISTINCT g.method) AS related_methods, CAST(sum(e.n_sites) AS BIGINT) AS raw_edges FROM flow e JOIN flow_node g ON g.module = e.module AND g.node = e.dst GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY module ORDER BY related_nodes DESC, related_methods DESC, raw_edges DESC, node) AS INT) AS rank FROM d)"""
+
+
+def _flow(spark, sf):
+    """The stand-in call graph, an edge for each of its sites, and its nodes."""
+    edges = bound(spark, sf, "flow")
+    return edges.withColumn("_site", F.explode(F.sequence(F.lit(1), F.col("n_sites")))).select("module", "src", "dst"), bound(spark, sf, "flow_node")
+
+
+@query("a12_top_degrees", "," + _DEGREES + "SELECT module, node, related_nodes, related_methods, raw_edges, rank FROM k WHERE rank <= 10", ("flow", "flow_node"))
 def a12_top_degrees(spark, sf):
-    return graph.top_ranked(bound(spark, sf, "edge"))
+    return topology.top_ranked(*_flow(spark, sf))
+
+
+@query("a13_related_methods", "," + _DEGREES + """, m AS (SELECT e.module, e.src AS node, g.method, count(DISTINCT e.dst) AS related_nodes, string_agg(DISTINCT CAST(e.dst AS VARCHAR), ',' ORDER BY CAST(e.dst AS VARCHAR)) AS nodes
+  FROM flow e JOIN flow_node g ON g.module = e.module AND g.node = e.dst JOIN k ON k.module = e.module AND k.node = e.src AND k.rank <= 10 GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY module, node ORDER BY related_nodes DESC, method) AS INT) AS rank FROM m) WHERE rank <= 10""", ("flow", "flow_node"))
+def a13_related_methods(spark, sf):
+    edges, nodes = _flow(spark, sf)
+    rows = topology.related_methods(edges, nodes, topology.top_ranked(edges, nodes))
+    return rows.withColumn("nodes", F.array_join(F.array_sort(F.transform("nodes", lambda x: x.cast("string"))), ","))
 
 
 @query("g12_representative_paths", """, p AS (SELECT o_custkey % 60 AS point_id, o_orderkey % 7 AS root, [o_orderkey % 7, o_orderkey % 11, o_custkey % 13][1:1 + CAST(o_orderkey % 3 AS INT)] AS nodes, o_orderpriority AS evidence_key FROM orders)
@@ -396,7 +438,6 @@ def k01_shard_plan(spark, sf):
     return report.shard_plan(o, ["o_orderpriority"], "o_orderkey", "bytes", 4096, 100)
 
 
-
 @query("s15_classpath_rows", """, d AS (SELECT module_key, group_id, artifact_id, effective_scope, min(seq) AS seq FROM occ GROUP BY ALL)
 SELECT module_key, group_id, artifact_id, effective_scope, CAST(row_number() OVER (PARTITION BY module_key ORDER BY seq) - 1 AS INT) AS position FROM d""", ("occ",))
 def s15_classpath_rows(spark, sf):
@@ -415,10 +456,12 @@ def f10_jar_pairs(spark, sf):
     return selection.jar_pairs(changes.withColumns(kinds), ["compile", "provided"])
 
 
-@query("j09_dynamic_evidence", """, c AS (SELECT node, owner, name, concat('o', node % 100) AS interface FROM refs WHERE ref_kind = 'invoke')
-SELECT DISTINCT point_id, node FROM c JOIN points p ON (p.kind LIKE 'METHOD%' AND p.owner = c.owner AND p.name = c.name) OR (p.kind = 'CLASS_REMOVED' AND p.owner = c.owner) OR (p.kind = 'CLASS_REMOVED' AND p.owner = c.interface)""", ("points", "refs"))
+@query("j09_dynamic_evidence", """, c AS (SELECT node, owner, name, descriptor, node % 3 = 0 AS field_handle FROM refs WHERE ref_kind IN ('invoke', 'field'))
+SELECT DISTINCT point_id, node, 'METHOD_REFERENCE' AS evidence FROM c JOIN points p ON p.kind IN ('METHOD_REMOVED', 'METHOD_DESCRIPTOR_CHANGED', 'METHOD_ACCESS_NARROWED') AND p.owner = c.owner AND p.name = c.name AND p.old_descriptor = c.descriptor
+UNION SELECT DISTINCT point_id, node, 'TYPE_REFERENCE' FROM c JOIN points p ON p.kind = 'CLASS_ACCESS_NARROWED' AND p.owner = c.owner
+UNION SELECT DISTINCT point_id, node, 'FIELD_REFERENCE' FROM c JOIN points p ON p.kind = 'FIELD_ACCESS_NARROWED' AND c.field_handle AND p.owner = c.owner AND p.name = c.name AND p.new_descriptor = c.descriptor""", ("points", "refs"))
 def j09_dynamic_evidence(spark, sf):
-    calls = bound(spark, sf, "refs").where("ref_kind = 'invoke'").withColumn("interface", F.concat(F.lit("o"), F.col("node") % 100))
+    calls = bound(spark, sf, "refs").where("ref_kind IN ('invoke', 'field')").withColumn("field_handle", F.col("node") % 3 == 0)
     return impact.dynamic_evidence(calls, bound(spark, sf, "points"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import artifact_selected
+from ..operators.graph import _checkpoint
 
 
 @dataclass(frozen=True)
@@ -77,25 +78,29 @@ def merged_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
 def dense_ids(keys: DataFrame, order: list[str], id_column: str = "id") -> DataFrame:
     """Ids from 0 in the order of the distinct keys, without a single-partition sort.
 
-    A range partitioning sorts the keys; each partition's start is the sum of the counts before it.
+    A range partitioning sorts the keys; it is written once, so that counting and numbering see the same partitions.
+    Each partition's start is the sum of the counts before it.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = keys.select(*order).distinct().repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = _checkpoint(keys.select(*order).distinct().repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").count()
     starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return parts.join(F.broadcast(starts), "_part").select(*order, (F.col("_start") + local - 1).alias(id_column))
 
 
-def shard_plan(records: DataFrame, by: list[str], order: str, size: str, max_bytes: int, max_records: int) -> DataFrame:
-    """Greedy shards of each kind: a record opens a new one when bytes (with a separator each) or records run out."""
+def shard_plan(records: DataFrame, by: list[str], order: str, size: str, max_bytes: int, max_records: int, starts: str | None = None) -> DataFrame:
+    """Greedy shards of each kind: a record opens a new one when bytes (with a separator each) or records run out.
+
+    A record that is larger than a shard has one of its own; ``starts`` names a column that forces a record to open one.
+    """
     import pandas as pd
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         shard, used, n, out = 0, 0, 0, []
-        for bytes_ in pdf[size].tolist():
-            if n and (n >= max_records or used + 1 + bytes_ > max_bytes):
+        for bytes_, opens in zip(pdf[size].tolist(), pdf[starts].tolist() if starts else [False] * len(pdf), strict=True):
+            if n and (n >= max_records or opens or used + 1 + bytes_ > max_bytes):
                 shard, used, n = shard + 1, 0, 0
             used += bytes_ + (1 if n else 0)
             n += 1
@@ -104,3 +109,10 @@ def shard_plan(records: DataFrame, by: list[str], order: str, size: str, max_byt
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*by, order).schema) + ", shard_id long"
     return records.groupBy(*by).applyInPandas(plan, schema)
+
+
+def shard_descriptors(planned: DataFrame, kind: str, order: str, size: str) -> DataFrame:
+    """(kind, shard_id, file, first_id, last_id, records, bytes) of every shard; a separator stands between records."""
+    file = F.format_string("%s-%05d.js", F.col(kind), F.col("shard_id"))
+    rows = planned.groupBy(kind, "shard_id").agg(F.min(order).alias("first_id"), F.max(order).alias("last_id"), F.count(F.lit(1)).alias("records"), (F.sum(size) + F.count(F.lit(1)) - 1).cast("long").alias("bytes"))
+    return rows.select(kind, "shard_id", file.alias("file"), "first_id", "last_id", "records", "bytes")

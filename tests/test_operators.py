@@ -1,13 +1,14 @@
 """Fixtures for semantics that the stand-in tables do not reach."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rippleframe.functions import keys as K
 from rippleframe.functions.textdiff import unified
-from rippleframe.operators import diff, graph, impact
+from rippleframe.operators import diff, graph, impact, versions
 from rippleframe.plans import report
 from rippleframe.sources import facts, render
 
@@ -69,9 +70,71 @@ def test_graph_kernels(spark):
     assert paths == {3: (0, None), 2: (1, 3), 4: (1, 3), 1: (2, 2)}
     found = {tuple(r["path"]) for r in graph.simple_paths(edges.where("src <> dst and not (src = 2 and dst = 1)"), spark.createDataFrame([(3,)], "node long")).collect()}
     assert found == {(1, 2, 3), (4, 3)}
-    nodes = spark.createDataFrame([(0, n, "PROJECT" if n in (1, 4) else "DEPENDENCY", n == 4) for n in range(1, 6)], "module int, node long, origin string, is_entrypoint boolean")
+    nodes = spark.createDataFrame([(0, n, f"m{n}", "PROJECT" if n in (1, 4) else "DEPENDENCY", n == 4) for n in range(1, 6)], "module int, node long, method string, origin string, is_entrypoint boolean")
     roots = {(r["root"], r["cycle"]) for r in graph.impact_roots(edges, graph.strong_components(edges), nodes).collect()}
     assert roots == {(1, True), (4, False)}
+    # another context of the root's method is called: a root that is no cycle goes
+    again = edges.union(spark.createDataFrame([(0, 1, 6)], edges.schema))
+    called = nodes.union(spark.createDataFrame([(0, 6, "m4", "PROJECT", False)], nodes.schema))
+    assert {(r["root"], r["cycle"]) for r in graph.impact_roots(again, graph.strong_components(again), called).collect()} == {(1, True)}
+
+
+def test_components_by_brute_force(spark):
+    r = random.Random(1)
+    for _ in range(2):
+        edges = sorted({(m, r.randrange(14), r.randrange(14)) for m in (0, 1) for _ in range(16)})
+        reach = {(m, a): {a} for m in (0, 1) for a in range(14)}
+        for _ in range(14):
+            for m, a, b in edges:
+                for k in reach:
+                    if k[0] == m and a in reach[k]:
+                        reach[k].add(b)
+        nodes = spark.createDataFrame([(m, a) for m in (0, 1) for a in range(14)], "module int, node long")
+        got = {(x["module"], x["node"]): (x["component"], x["size"], x["cyclic"]) for x in graph.strong_components(spark.createDataFrame(edges, "module int, src long, dst long"), nodes).collect()}
+        for (m, a), there in reach.items():
+            members = [b for b in there if a in reach[m, b]]
+            assert got[m, a] == (min(members), len(members), len(members) > 1 or (m, a, a) in edges)
+
+
+def test_first_discoverers_by_a_queue(spark):
+    r = random.Random(3)
+    method = {n: f"m{r.randrange(5)}" for n in range(30)}
+    edges = sorted({(r.randrange(30), r.randrange(30)) for _ in range(70)})
+    gone, synthetic = set(edges[::9]), {7}
+    callers = {}
+    for a, b in edges:
+        if (a, b) not in gone and a not in synthetic:
+            callers.setdefault(b, []).append(a)
+    level, following, queue = {0: 0}, {0: None}, [0]
+    for node in queue:
+        for c in sorted(callers.get(node, ()), key=lambda n: (method[n], n)):
+            if c not in level:
+                level[c], following[c] = level[node] + 1, node
+                queue.append(c)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = graph.reverse_paths(
+        frame([(0, a, b) for a, b in edges], "module int, src long, dst long"), frame([(0, 0)], "module int, node long"),
+        frame([(0, n, method[n], n in synthetic) for n in range(30)], "module int, node long, method string, synthetic boolean"), frame([(0, a, b) for a, b in gone], "module int, caller_id long, callee_id long"),
+    ).collect()
+    assert {x["node"]: (x["level"], x["next"]) for x in got} == {n: (level[n], following[n]) for n in level}
+    for x in got:
+        path = [x["node"]]
+        while following[path[-1]] is not None:
+            path.append(following[path[-1]])
+        assert x["path"] == path
+
+
+def test_unknown_verdicts_keep_edges(spark):
+    rows = [(0, 1, 2, True, 3, "EXCLUDES"), (0, 1, 2, True, 3, None), (0, 1, 3, True, 3, "EXCLUDES"), (0, 1, 4, None, 3, "EXCLUDES"), (0, 1, 5, True, None, "EXCLUDES"), (0, 1, 6, True, 1, "EXCLUDES")]
+    sites = spark.createDataFrame(rows, "module int, caller_id long, callee_id long, is_dispatch boolean, n_targets int, receiver_verdict string")
+    assert [r["callee_id"] for r in impact.pruned_edges(sites).collect()] == [3]
+
+
+def test_last_occurrence_of_a_path_stands(spark):
+    rows = [(1, "1", "1", "compile", 1, "a"), (2, "1", "2", "test", 1, "a"), (3, "3", "3", "runtime", 2, "b")]
+    occ = spark.createDataFrame([("m", "g", "x", *r) for r in rows], "module_key string, group_id string, artifact_id string, seq long, selected_version string, effective_version string, effective_scope string, depth int, path string")
+    r = versions.aggregate_dependencies(occ, ["module_key"]).first()
+    assert (r["selected_version"], r["effective_scope"], r["direct"], r["n_paths"], [tuple(p) for p in r["paths"]]) == ("1", "compile", True, 2, [("a", "2", "test"), ("b", "3", "runtime")])
 
 
 @pytest.mark.parametrize(
@@ -107,6 +170,8 @@ def test_greedy_shards(spark):
 
 def test_text_difference():
     assert unified("a\nb", "a\nb") == ""
+    assert unified("a\r\nb\rc", "a\nb\nc") == "" and unified("a\x0cb", "a\nb") != ""
+    assert unified("a\n", "a") == "@@ -1,2 +1,1 @@\n a\n-" and unified("", "x") == "@@ -1,1 +1,1 @@\n-\n+x"
     assert unified("a\nb\nc", "a\nx\nc") == "@@ -1,3 +1,3 @@\n a\n-b\n+x\n c"
     far = "\n".join(map(str, range(20)))
     assert unified(far, far.replace("0\n1\n", "z\n1\n", 1).replace("18", "y")).count("@@ -") == 2
