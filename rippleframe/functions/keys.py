@@ -116,6 +116,11 @@ def jdk_excluded(internal_name: Column) -> Column:
     return reduce(lambda a, b: a | b, (bare.rlike(p) for p in EXCLUDED_JDK))
 
 
+def jar_excluded(path: Column) -> Column:
+    """archives of the JDK that are left out by their name."""
+    return F.element_at(F.split(path, r"[/\\\\]"), -1).isin(*EXCLUDED_JDK_JARS)
+
+
 def property_active(condition: Column, wanted: Column, actual: Column) -> Column:
     """F16: ``!name`` asks for absence, ``!value`` for another value, a blank value for presence; ``actual`` null is absent."""
     negated = condition.startswith("!")
@@ -163,6 +168,12 @@ def search_text(*columns: Column) -> Column:
     return F.lower(F.concat_ws(" ", *columns))
 
 
+# --- fixed values: how a resolution is told, by what was omitted ---------------------------------------------------------
+OMISSIONS = {"conflict": "Conflict mediation", "duplicate": "Duplicate mediation", "cycle": "Cycle omission"}
+OTHER_OMISSION, MANAGEMENT, DIRECT, ARROW = "Maven omission", "Dependency management", "Direct selection", " → "
+# ---------------------------------------------------------------------------------------------------------------------
+
+
 def _shown(version: Column) -> Column:
     return F.when(F.trim(version) == "", "—").otherwise(version)
 
@@ -170,8 +181,8 @@ def _shown(version: Column) -> Column:
 def resolution_source(managed_from: Column, selected: Column, omitted: Column) -> Column:
     """where a version comes from, steps joined by an arrow."""
     managed = F.trim(managed_from) != ""
-    how = F.when(omitted == "conflict", "Conflict mediation").when(omitted == "duplicate", "Duplicate mediation").when(omitted == "cycle", "Cycle omission").otherwise("Maven omission")
-    return F.concat_ws(" → ", F.when(managed, "Dependency management"), F.when(selected & ~managed, "Direct selection"), F.when(~selected, how))
+    how = reduce(lambda rest, kv: F.when(omitted == kv[0], kv[1]).otherwise(rest), OMISSIONS.items(), F.lit(OTHER_OMISSION))
+    return F.concat_ws(ARROW, F.when(managed, MANAGEMENT), F.when(selected & ~managed, DIRECT), F.when(~selected, how))
 
 
 def resolution_detail(requested: Column, effective: Column, chosen: Column, managed_from: Column, selected: Column, omitted: Column) -> Column:
@@ -197,5 +208,20 @@ def member_signature(owner: Column, name: Column, descriptor: Column) -> Column:
     return F.concat(F.replace(owner, F.lit("/"), F.lit(".")), F.lit("#"), name, descriptor)
 
 
+def changed_signature(owner: Column, name: Column, old: Column, new: Column) -> Column:
+    """``owner#name:descriptor``, with both descriptors where they differ."""
+    shown = F.when(old.isNotNull() & new.isNotNull() & (old != new), F.concat(old, F.lit(" → "), new)).otherwise(F.coalesce(new, old, F.lit("")))
+    return F.concat(F.replace(owner, F.lit("/"), F.lit(".")), F.lit("#"), F.coalesce(name, F.lit("")), F.lit(":"), shown)
+
+
+def maven_supported(version: Column) -> Column:
+    """Whether a Maven version is at least 3.6.3 and below 4."""
+    return (compare_versions(version, F.lit("3.6.3")) >= 0) & (compare_versions(version, F.lit("4")) < 0)
+
+
+def mebibytes(size: Column) -> Column:
+    return F.format_string("%.1f MiB", size / F.lit(1024.0 * 1024.0))
+
+
 def package_of(internal_name: Column) -> Column:
     return F.when(internal_name.contains("/"), F.regexp_extract(internal_name, "^(.*)/[^/]*$", 1)).otherwise("")

@@ -41,9 +41,15 @@ def evidence(refs: DataFrame, points: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
-def access_decision(caller: Column, declaring: Column, access: Column, instance: Column, receiver_kind: Column, caller_sub: Column, owner_related: Column, receiver_assignable: Column) -> Column:
-    """``decision:reason`` of one access; the hierarchy's answers come as columns."""
+def access_decision(caller: Column, declaring: Column, access: Column, instance: Column, receiver_kind: Column, caller_sub: Column, owner_related: Column, receiver_assignable: Column, caller_loader: Column | None = None, declaring_loader: Column | None = None) -> Column:
+    """``decision:reason`` of one access; the hierarchy's answers come as columns, and one that is null is no.
+
+    A runtime package is a loader's: where loaders are given, they must be the same.
+    """
     same_package = package_of(caller) == package_of(declaring)
+    if caller_loader is not None:
+        same_package &= caller_loader.eqNullSafe(declaring_loader)
+    caller_sub, owner_related, receiver_assignable = (F.coalesce(c, F.lit(False)) for c in (caller_sub, owner_related, receiver_assignable))
     receiver = (
         F.when(receiver_kind == "THIS", "ACCESSIBLE:PROTECTED_THIS_RECEIVER")
         .when(receiver_kind == "SUPER", "ACCESSIBLE:PROTECTED_SUPER_RECEIVER")
@@ -121,9 +127,10 @@ def diff_terminal_state(modules: DataFrame, by: list[str]) -> DataFrame:
     return modules.groupBy(*by).agg(F.when(F.count_if(F.col("status") == "COMPARABLE") == 0, "FAILED").when(F.bool_or("has_issue"), "COMPLETED_WITH_ISSUES").otherwise("SUCCESS").alias("state"))
 
 
-def sample_summary(samples: DataFrame, by: list[str], measure: str) -> DataFrame:
-    """Minimum, median and maximum."""
-    return samples.groupBy(*by).agg(F.min(measure).alias("min_value"), F.median(measure).alias("median_value"), F.max(measure).alias("max_value"), F.count(F.lit(1)).alias("samples"))
+def sample_summary(samples: DataFrame, by: list[str], measure: str, first: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """Minimum, median and maximum; the counters in ``first`` come from the first row by ``order``."""
+    others = [F.min_by(c, order).alias(c) for c in first]
+    return samples.groupBy(*by).agg(F.min(measure).alias("min_value"), F.median(measure).alias("median_value"), F.max(measure).alias("max_value"), F.count(F.lit(1)).alias("samples"), *others)
 
 
 def ratio(numerator: Column, base: Column) -> Column:
@@ -182,10 +189,15 @@ def scope_warnings(findings: DataFrame, examples: int = 5) -> DataFrame:
 
 
 def comparison_counters(comparisons: DataFrame, by: list[str]) -> DataFrame:
-    """Outcomes of body comparisons; identical texts are never compared further, unknown outcomes are kept."""
-    identical = F.col("java_status") == "IDENTICAL"
-    matched = ~identical & (F.col("ssa_status") == "MATCHED")
+    """Outcomes of body comparisons and the time they took.
+
+    Identical texts are never compared further: their second comparison is skipped.  Unknown outcomes are kept.
+    """
+    java, ssa = F.col("java_status"), F.col("ssa_status")
+    identical = java == "IDENTICAL"
+    matched = ~identical & (ssa == "MATCHED")
+    n = lambda condition, name: F.count_if(condition).alias(name)
     return comparisons.groupBy(*by).agg(
-        F.count_if(identical).alias("java_identical"), F.count_if(matched).alias("ssa_matched"), F.count_if(~identical & (F.col("ssa_status") == "DIFFERENT")).alias("ssa_different"),
-        F.count_if(~identical & (F.col("ssa_status") == "UNKNOWN")).alias("ssa_unknown"), F.count_if(identical | matched).alias("suppressed"), F.count_if(~(identical | matched)).alias("retained"),
+        n(identical, "java_identical"), n(java == "DIFFERENT", "java_different"), n(java == "UNKNOWN", "java_unknown"), n(matched, "ssa_matched"), n(~identical & (ssa == "DIFFERENT"), "ssa_different"), n(~identical & (ssa == "UNKNOWN"), "ssa_unknown"),
+        n(identical, "ssa_skipped"), n(identical | matched, "suppressed"), n(~(identical | matched), "retained"), F.coalesce(F.sum("elapsed_ms"), F.lit(0)).alias("elapsed_ms"),
     )

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import reach, validate_occurrence_graph
+
 #: Scopes that a selected tree retains.
 RETAINED = ["compile", "runtime", "provided", "system"]
 
@@ -38,9 +40,15 @@ def selected_tree(nodes: DataFrame, retained: list[str] = RETAINED) -> DataFrame
     return nodes.groupBy("module").applyInPandas(promote, f"module {nodes.schema['module'].dataType.simpleString()}, node long, parent long")
 
 
-def normalised_occurrences(raw: DataFrame, winners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw nodes with their key's winning version, and those whose key has no winner (none may be left)."""
-    joined = raw.join(winners.select("module_key", "group_id", "artifact_id", F.col("version").alias("winning_version")), ["module_key", "group_id", "artifact_id"], "left")
+def normalised_occurrences(raw: DataFrame, winners: DataFrame, retained: list[str] = RETAINED) -> tuple[DataFrame, DataFrame]:
+    """Raw nodes with their key's winning version, and those whose key has no winner (none may be left).
+
+    raw: module_key, node, parent (null for the root), scope, group_id, artifact_id.  Nodes of other scopes go with all
+    that hangs on them.
+    """
+    gone = reach(raw.where("parent IS NOT NULL").select(F.struct("module_key", F.col("parent").alias("node")).alias("src"), F.struct("module_key", "node").alias("dst")), raw.where(F.col("parent").isNotNull() & ~F.col("scope").isin(*retained)).select(F.struct("module_key", "node").alias("node")))
+    kept = raw.join(gone.select("node.module_key", "node.node").distinct(), ["module_key", "node"], "left_anti")
+    joined = kept.join(winners.select("module_key", "group_id", "artifact_id", F.col("version").alias("winning_version")), ["module_key", "group_id", "artifact_id"], "left")
     return joined.where("winning_version IS NOT NULL"), joined.where("winning_version IS NULL").drop("winning_version")
 
 
@@ -55,3 +63,20 @@ def changed_path_bodies(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     on = paths.select(F.explode("path").alias("node")).distinct().withColumn("_on", F.lit(True))
     external = nodes.where(~F.col("reactor") & ~F.col("is_root"))
     return external.join(on, "node", "left").select("node", F.when(F.col("_on"), "REAL_IR").otherwise("NO_OP").alias("body"))
+
+
+def dependency_scopes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(module, node, body, mode, reason) of the external nodes of every module.
+
+    nodes: module, node, is_root, reactor; seeds: module, node.  CHANGED_PATHS gives a body to nodes on a path from the
+    root to a seed; a module falls back to FULL, with every body, if its graph is not valid or has not every seed.
+    """
+    problems = validate_occurrence_graph(nodes.select("module", "node", "is_root"), edges)
+    lacking = seeds.join(nodes.select("module", "node"), ["module", "node"], "left_anti").select("module").distinct().withColumn("_lacking", F.lit("SEED_MISSING"))
+    state = problems.join(lacking, "module", "left").select("module", F.coalesce("problem", "_lacking").alias("reason"))
+    one = lambda df, *names: df.select(*(F.struct("module", F.col(n).alias("node")).alias(n) for n in names))
+    usable = seeds.join(state.where("reason IS NULL"), "module", "left_semi")
+    on = reach(one(edges, "src", "dst"), one(usable, "node"), reverse=True).select("node.module", "node.node").distinct().withColumn("_on", F.lit(True))
+    external = nodes.where(~F.col("reactor") & ~F.col("is_root")).select("module", "node").join(state, "module").join(on, ["module", "node"], "left")
+    full = F.col("reason").isNotNull()
+    return external.select("module", "node", F.when(full | F.col("_on"), "REAL_IR").otherwise("NO_OP").alias("body"), F.when(full, "FULL").otherwise("CHANGED_PATHS").alias("mode"), "reason")

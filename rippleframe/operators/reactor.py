@@ -22,7 +22,7 @@ def module_pom(owner: Column, module: Column) -> Column:
     parts = F.filter(F.split(joined, "/"), lambda p: ~p.isin("", "."))
     walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when((p == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)))
     path = F.array_join(walked, "/")
-    return F.when(path.rlike(r"(^|/)pom\.xml$"), path).otherwise(F.concat_ws("/", F.nullif(path, F.lit("")), F.lit("pom.xml")))
+    return F.when(module.isNull(), None).when(path.rlike(r"(^|/)pom\.xml$"), path).otherwise(F.concat_ws("/", F.nullif(path, F.lit("")), F.lit("pom.xml")))
 
 
 def active_closure(poms: DataFrame) -> DataFrame:

@@ -22,6 +22,12 @@ def entrypoint_classes(classes: DataFrame, include: list[str], exclude: list[str
     return chosen
 
 
+def entrypoint_counts(classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """(internal_name, n_methods) of the entry classes: all their methods that are neither private nor abstract, constructors too."""
+    n = methods.where(~F.col("is_abstract") & (F.col("access") != "PRIVATE")).groupBy(F.col("owner").alias("internal_name")).agg(F.count(F.lit(1)).alias("n_methods"))
+    return classes.select("internal_name").join(n, "internal_name", "left").na.fill(0, ["n_methods"])
+
+
 def entrypoint_methods(methods: DataFrame) -> DataFrame:
     """F08."""
     return methods.where(~F.col("is_abstract") & (F.col("access") != "PRIVATE")).orderBy("owner", "name", "descriptor")

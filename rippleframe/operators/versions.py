@@ -29,13 +29,15 @@ def aggregate_dependencies(occ: DataFrame, module: list[str], path: str = "path"
 def internal_conflicts(occ: DataFrame, module: list[str], complete: str | None = None) -> DataFrame:
     """Keys with two or more distinct versions among requested ones and, where managed, effective ones.
 
-    Reports the first selected occurrence's version (else the first one's).  Modules whose mediation is incomplete
-    (``complete`` false) give nothing.
+    Reports the first selected occurrence's version and scope (else the first one's), and on how many distinct paths
+    which versions stand.  Modules whose mediation is incomplete (``complete`` false) give nothing.
     """
     rows = occ.where(F.col(complete)) if complete else occ
     rows = rows.withColumn("_v", F.explode(F.array_distinct(F.array("requested_version", F.when(~_blank(F.col("managed_from_version")), F.col("effective_version")).otherwise(F.col("requested_version"))))))
     rows = rows.where(~_blank(F.col("_v")))
-    return rows.groupBy(*module, *KEY).agg(F.count_distinct("_v").alias("n_versions"), F.min_by("selected_version", F.struct(~F.col("selected"), F.col("seq"))).alias("reported_version")).where("n_versions > 1")
+    shown = F.min_by(F.struct("selected_version", "effective_scope"), F.struct(~F.col("selected"), F.col("seq")))
+    found = rows.groupBy(*module, *KEY).agg(F.count_distinct("_v").alias("n_versions"), shown["selected_version"].alias("reported_version"), shown["effective_scope"].alias("reported_scope"), F.count_distinct("path", "_v").alias("version_paths"))
+    return found.where("n_versions > 1")
 
 
 def resolved_versions(occ: DataFrame, by: list[str]) -> DataFrame:

@@ -179,7 +179,8 @@ def a02_dependency_aggregate(spark, sf):
 
 
 _CONFLICTS = """, v AS (SELECT *, unnest(list_distinct([requested_version, CASE WHEN trim(managed_from_version) <> '' THEN effective_version ELSE requested_version END])) AS v FROM occ),
-conf AS (SELECT side, module_key, group_id, artifact_id, count(DISTINCT v) AS n_versions, arg_min(selected_version, CASE WHEN selected THEN 0 ELSE 1 END * 100000000 + seq) AS reported_version FROM v WHERE trim(v) <> '' GROUP BY ALL HAVING count(DISTINCT v) > 1)
+conf AS (SELECT side, module_key, group_id, artifact_id, count(DISTINCT v) AS n_versions, arg_min(selected_version, CASE WHEN selected THEN 0 ELSE 1 END * 100000000 + seq) AS reported_version,
+  arg_min(effective_scope, CASE WHEN selected THEN 0 ELSE 1 END * 100000000 + seq) AS reported_scope, count(DISTINCT concat(path, '|', v)) AS version_paths FROM v WHERE trim(v) <> '' GROUP BY ALL HAVING count(DISTINCT v) > 1)
 """
 
 
@@ -401,9 +402,9 @@ def a21_overall_status(spark, sf):
     return impact.overall_status(c.select("c_nationkey", s.alias("status")), ["c_nationkey"])
 
 
-@query("a23_sample_summary", """SELECT event_type, min(value) AS min_value, median(value) AS median_value, max(value) AS max_value, count(*) AS samples FROM events GROUP BY event_type""")
+@query("a23_sample_summary", """SELECT event_type, min(value) AS min_value, median(value) AS median_value, max(value) AS max_value, count(*) AS samples, arg_min(user_id, event_id) AS user_id FROM events GROUP BY event_type""")
 def a23_sample_summary(spark, sf):
-    return impact.sample_summary(spark.read.parquet(f"{sf}/events.parquet"), ["event_type"], "value")
+    return impact.sample_summary(spark.read.parquet(f"{sf}/events.parquet"), ["event_type"], "value", ("user_id",), "event_id")
 
 
 @query("w04_id_ranges", """SELECT l_suppkey, min(l_orderkey) AS start, count(*) AS n FROM (SELECT l_suppkey, l_orderkey, l_orderkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS island FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)) GROUP BY l_suppkey, island""")
@@ -472,10 +473,12 @@ def a18_scope_warnings(spark, sf):
     return impact.scope_warnings(p.select(F.col("p_brand").alias("artifact"), F.col("p_name").alias("source"), F.col("p_type").alias("excluded_type")))
 
 
-@query("a19_comparison_counters", """SELECT p_brand, count(*) FILTER (j = 'IDENTICAL') AS java_identical, count(*) FILTER (j <> 'IDENTICAL' AND s = 'MATCHED') AS ssa_matched, count(*) FILTER (j <> 'IDENTICAL' AND s = 'DIFFERENT') AS ssa_different,
- count(*) FILTER (j <> 'IDENTICAL' AND s = 'UNKNOWN') AS ssa_unknown, count(*) FILTER (j = 'IDENTICAL' OR s = 'MATCHED') AS suppressed, count(*) FILTER (j <> 'IDENTICAL' AND s <> 'MATCHED') AS retained
-FROM (SELECT p_brand, CASE WHEN p_size % 5 = 0 THEN 'IDENTICAL' ELSE 'DIFFERENT' END AS j, CASE p_size % 3 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'DIFFERENT' ELSE 'UNKNOWN' END AS s FROM part) GROUP BY p_brand""")
+@query("a19_comparison_counters", """SELECT p_brand, count(*) FILTER (j = 'IDENTICAL') AS java_identical, count(*) FILTER (j = 'DIFFERENT') AS java_different, count(*) FILTER (j = 'UNKNOWN') AS java_unknown, count(*) FILTER (j <> 'IDENTICAL' AND s = 'MATCHED') AS ssa_matched,
+ count(*) FILTER (j <> 'IDENTICAL' AND s = 'DIFFERENT') AS ssa_different, count(*) FILTER (j <> 'IDENTICAL' AND s = 'UNKNOWN') AS ssa_unknown, count(*) FILTER (j = 'IDENTICAL') AS ssa_skipped, count(*) FILTER (j = 'IDENTICAL' OR s = 'MATCHED') AS suppressed,
+ count(*) FILTER (j <> 'IDENTICAL' AND s <> 'MATCHED') AS retained, CAST(sum(ms) AS BIGINT) AS elapsed_ms
+FROM (SELECT p_brand, p_size * 3 AS ms, CASE WHEN p_size % 5 = 0 THEN 'IDENTICAL' WHEN p_size % 7 = 1 THEN 'UNKNOWN' ELSE 'DIFFERENT' END AS j, CASE p_size % 3 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'DIFFERENT' ELSE 'UNKNOWN' END AS s FROM part) GROUP BY p_brand""")
 def a19_comparison_counters(spark, sf):
     size = F.col("p_size")
-    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_brand", F.when(size % 5 == 0, "IDENTICAL").otherwise("DIFFERENT").alias("java_status"), F.when(size % 3 == 0, "MATCHED").when(size % 3 == 1, "DIFFERENT").otherwise("UNKNOWN").alias("ssa_status"))
+    java = F.when(size % 5 == 0, "IDENTICAL").when(size % 7 == 1, "UNKNOWN").otherwise("DIFFERENT")
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_brand", java.alias("java_status"), F.when(size % 3 == 0, "MATCHED").when(size % 3 == 1, "DIFFERENT").otherwise("UNKNOWN").alias("ssa_status"), (size * 3).alias("elapsed_ms"))
     return impact.comparison_counters(rows, ["p_brand"])

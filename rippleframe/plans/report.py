@@ -48,6 +48,11 @@ class ReportQuery:
             raise ValueError("pages have 10, 50 or 100 rows")
         return replace(self, page_size=size, page=max(0, page))
 
+    def clamped(self) -> ReportQuery:
+        """The page, or the last one there is."""
+        rows = reduce(DataFrame.where, self.conditions, self.rows).count()
+        return replace(self, page=min(self.page, max(0, -(-rows // self.page_size) - 1)))
+
     def result(self) -> DataFrame:
         out = reduce(DataFrame.where, self.conditions, self.rows)
         out = out.orderBy(*self.order) if self.order else out

@@ -158,9 +158,11 @@ def read_model_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
-    """Class files below a directory (binary_name, digest, content), without module descriptors."""
+    """Class files below a directory (binary_name, path, digest, content) in the order of their paths, without module descriptors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.class").load(path)
-    return files.where(~F.col("path").endswith("module-info.class")).select("path", F.sha2("content", 256).alias("digest"), "content")
+    below = F.substring_index(F.regexp_replace("path", "^file:/*", "/"), path.rstrip("/").removeprefix("file:") + "/", -1)
+    named = files.withColumn("binary_name", F.regexp_replace(below, r"\.class$", ""))
+    return named.where(~F.col("binary_name").rlike("(^|/)module-info$")).select("binary_name", "path", F.sha2("content", 256).alias("digest"), "content").orderBy("path")
 
 
 def read_jar_entries(spark: SparkSession, path: str, java_major: int | None = None) -> DataFrame:
