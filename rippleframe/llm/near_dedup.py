@@ -83,7 +83,7 @@ def signatures(named: DataFrame, width: int) -> DataFrame:
                 keys = mix((samples[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=2, dtype=np.uint64) ^ _SALTS[:BANDS])
                 bit = np.arange(len(full))[:, None] * SKETCH_BITS + (samples % np.uint64(SKETCH_BITS)).astype(np.int64)
                 parity = (np.bincount(bit.ravel(), minlength=len(full) * SKETCH_BITS) & 1).astype(np.uint8)
-                sketch = np.packbits(parity).view("<i8").reshape(len(full), -1)
+                sketch = np.packbits(parity).view("<i8").reshape(len(full), SKETCH_BITS // 64)
                 present = size > 0
                 ends = np.concatenate(([0], np.cumsum(present)))
 
@@ -107,8 +107,8 @@ def _sketch_passes(similarity: float):
 def _texts(named: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text): the text of each class in ``nodes``, that of its representative row."""
     wanted = materialize(classes.select("node", "_id", "_hash").join(nodes, "node", "left_semi"), "wanted")
-    # a representative's id and text may stand on several rows: one of them is enough
-    return named.join(wanted, ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])
+    # a representative's id and text may stand on several rows: one of them is enough; neither side is bounded
+    return named.join(wanted.hint("merge"), ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])
 
 
 def confirm(pairs: DataFrame, named: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:

@@ -116,7 +116,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_i
     measured = _measured(_inner(docs), f"c{docs.columns.index(text)}")
     grams = gram_bins(F.col("hashes"), bins)
     total = F.aggregate(grams, F.lit(0).cast("long"), lambda acc, b: acc + F.get(weights, b))
-    n_grams = F.size("hashes") + F.greatest(F.size("hashes") - 1, F.lit(0))
+    n_grams = (F.size("hashes") + F.greatest(F.size("hashes") - 1, F.lit(0))).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = measured.withColumn("base_failed", failed).withColumn("total", F.when(~F.col("base_failed"), total))
     # the score is only missing where the base rule has failed
