@@ -13,7 +13,6 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not small:
         sides = sides.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    sides = materialize(sides, "stars", [edges])
     least = materialize(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = sides.join(least, "u")
     if small:
@@ -21,7 +20,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         moved = moved.where("a <> b")
     else:
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return materialize(moved.distinct(), "edges", [sides, least])
+    return materialize(moved.distinct(), "edges", [edges, least])
 
 
 def components(edges: DataFrame, replaces: list[DataFrame] = ()) -> DataFrame:

@@ -106,7 +106,7 @@ def _sketch_passes(similarity: float):
 
 def _texts(named: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text): the text of each class in ``nodes``, that of its representative row."""
-    wanted = materialize(classes.select("node", "_id", "_hash").join(nodes, "node", "left_semi"), "wanted")
+    wanted = classes.select("node", "_id", "_hash").join(nodes, "node", "left_semi")
     # a representative's id and text may stand on several rows: one of them is enough; neither side is bounded
     return named.join(wanted.hint("merge"), ["_id", "_hash"]).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])
 
@@ -272,8 +272,8 @@ def _linked(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -
     grouped = usable.groupBy("f1", "f2").agg(*facts)
     classes = materialize(grouped.select("f1", "f2", F.monotonically_increasing_id().alias("node"), F.col("r._id").alias("_id"), F.col("r._hash").alias("_hash"), F.col("n_shingles").alias("n"), "bands", "sketch"), "classes")
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass")).where("size > 1"), "buckets")
-    members = materialize(banded.drop("n").join(buckets, "key"), "members", [buckets])
+    buckets = banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass")).where("size > 1")
+    members = materialize(banded.drop("n").join(buckets, "key"), "members")
 
     def sketched(pairs, side):
         facts = classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
@@ -286,16 +286,17 @@ def _linked(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -
     for last in (False, True):
         placed = members.join(comps.select("node", F.col("component").alias("comp")), "node", "left")
         placed = materialize(placed.withColumn("comp", F.coalesce("comp", "node")), "placed", [members] if last else [])
-        still = materialize(placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
+        still = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
         opened = placed.join(still, "key", "left_semi").join(classes.select("node", "n", "sketch", "bands"), "node").select("key", "size", "mass", "node", "comp", "n", "sketch", "bands")
         if not last:
-            more = confirm(materialize(_likely_pairs(opened, similarity), "candidates", [placed, still]), named, classes, width, percent)
+            more = confirm(materialize(_likely_pairs(opened, similarity), "candidates", [placed]), named, classes, width, percent)
         else:
-            opened = materialize(opened, "opened", [placed, still])
+            opened = materialize(opened, "opened", [placed])
             texts = _texts(named, classes, opened.select("node").distinct())
             more = materialize(_remaining_links(opened.join(texts, "node"), similarity, width, percent), "links", [opened])
-        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), [comps])
-        links = links.union(more)
+        if not more.isEmpty():
+            comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), [comps])
+            links = links.union(more)
     links = links.distinct()
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
 
