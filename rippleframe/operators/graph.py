@@ -31,7 +31,7 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFram
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
-    frontier = _checkpoint(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("level", F.lit(0)))
+    frontier = _checkpoint(seeds.select("node").distinct()).select(F.col("node").alias("seed"), "node", F.lit(0).alias("level"))
     found = frontier
     for level in count(1):
         step = frontier.join(steps, "node").select("seed", F.col("_next").alias("node")).distinct().join(found, ["seed", "node"], "left_anti")

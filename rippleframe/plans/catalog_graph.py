@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import jdk_excluded
 from ..operators import graph, impact, ownership, reactor, seeds, selection, topology
-from . import affected, report
+from . import affected, catalog_facts, report  # noqa: F401
 from .bindings import bound, bound_sql
 from .catalog import ORACLE_SQL, QUERIES, _flow, query
 
