@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import ACCESS_RANK, CHANGE_KINDS, CHANGE_TYPE_ORDER, ranked
+from .graph import reach
 
 
 def two_sided(baseline: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,6 +140,28 @@ def removed_registrations(baseline: DataFrame, target: DataFrame, valid: DataFra
     return gone.join(marked, "provider", "left").select("service", "provider", F.coalesce("_gone", F.lit(False)).alias("suppressed"))
 
 
+def valid_providers(registrations: DataFrame, classes: DataFrame, parents: DataFrame) -> DataFrame:
+    """The registrations (artifact, service, provider) whose provider can be loaded.
+
+    The provider is a concrete public class of the artifact with a public constructor without arguments, and the service
+    is among its ancestors.  The walk goes through classes of the same artifact alone; a name outside it counts once it
+    is reached.  classes: artifact, owner, is_public, is_abstract, has_constructor; parents: artifact, sub, super.
+    """
+    usable = classes.where("is_public AND NOT is_abstract AND has_constructor").select("artifact", F.col("owner").alias("provider"))
+    asked = registrations.select("artifact", "service", "provider").distinct().join(usable, ["artifact", "provider"], "left_semi")
+    one = lambda c: F.struct("artifact", F.col(c).alias("name"))
+    known = classes.select("artifact", F.col("owner").alias("sub")).distinct()
+    steps = parents.join(known, ["artifact", "sub"], "left_semi").select(one("sub").alias("src"), one("super").alias("dst"))
+    above = reach(steps, asked.select(one("provider").alias("node")))
+    found = above.select(F.col("seed.artifact").alias("artifact"), F.col("seed.name").alias("provider"), F.col("node.name").alias("service")).distinct()
+    return asked.join(found, ["artifact", "provider", "service"], "left_semi").select("artifact", "service", "provider")
+
+
+def ordered_changes(changes: DataFrame, by: list[str]) -> DataFrame:
+    """Changes by their first key (the module), then by kind of change, then by the other keys."""
+    return changes.orderBy(by[0], "change_order", *by[1:])
+
+
 def text_identical(old: Column, new: Column) -> Column:
     """IDENTICAL, DIFFERENT or UNKNOWN after line ends are made equal."""
     even = lambda c: F.regexp_replace(c, "\r\n?", "\n")

@@ -48,3 +48,9 @@ def all_points(*parts: DataFrame) -> DataFrame:
     """The change points of all sources, each once, in order."""
     found = reduce(DataFrame.unionByName, parts).distinct()
     return found.orderBy(*found.columns)
+
+
+def pair_modules(pairs: DataFrame, changes: DataFrame) -> DataFrame:
+    """What was found once for each pair of jars (``pairs``), joined back to every module that has the pair."""
+    used = changes.select("module_key", "old_coordinate", "new_coordinate").distinct()
+    return used.join(pairs, ["old_coordinate", "new_coordinate"])

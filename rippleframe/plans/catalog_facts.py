@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..operators import diff, graph, impact, normalize, selection
+from ..operators import diff, graph, impact, normalize, ownership, selection
 from ..sources import facts
+from . import report
 from .bindings import bound
-from .catalog import ORACLE_SQL, _sides, query
+from .catalog import _FIRST, MODULE_KEY, ORACLE_SQL, _first, _sides, query
 
 
 def _part(spark, sf):
@@ -241,3 +242,52 @@ def g02_graph_problems(spark, sf):
 
 ORACLE_SQL["g02_graph_problems"] = """SELECT s_nationkey AS module, CASE WHEN s_nationkey % 5 = 1 THEN 'ROOT_MISSING' WHEN n > 1 AND s_nationkey % 5 = 2 THEN 'MULTIPLE_ROOTS' WHEN n > 1 AND s_nationkey % 5 = 3 THEN 'EDGE_INCOMPLETE' WHEN n > 1 AND s_nationkey % 5 = 4 THEN 'CYCLE' END AS problem
 FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)"""
+
+
+# --- orders, joins back, providers -----------------------------------------------------------------------------------
+@query("w09_first_changes", _FIRST + """, c AS (SELECT module_key, group_id, artifact_id, CASE WHEN NOT in_b THEN 0 WHEN NOT in_t THEN 1 ELSE 2 END AS change_order FROM j WHERE NOT in_b OR NOT in_t OR bv <> tv)
+SELECT * FROM c ORDER BY module_key, change_order, group_id, artifact_id LIMIT 200""", ("occ",))
+def w09_first_changes(spark, sf):
+    b, t = _sides(spark, sf, "occ")
+    changes = diff.dependency_changes(_first(b), _first(t), MODULE_KEY)
+    return diff.ordered_changes(changes, MODULE_KEY).limit(200).select(*MODULE_KEY, "change_order")
+
+
+@query("w06_sorted_groups", """ SELECT group_id, artifact_id, count(*) AS n, string_agg(module_key, ',' ORDER BY module_key, seq) AS modules FROM occ GROUP BY ALL""", ("occ",))
+def w06_sorted_groups(spark, sf):
+    rows = report.sorted_groups(bound(spark, sf, "occ"), ["group_id", "artifact_id"], ["module_key", "seq"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("module_key", "seq"))), lambda x: x["module_key"])
+    return rows.groupBy("group_id", "artifact_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, ",").alias("modules"))
+
+
+@query("j12_pair_modules", _FIRST + """, c AS (SELECT module_key, concat(group_id, ':', artifact_id, ':', bv) AS old_coordinate, concat(group_id, ':', artifact_id, ':', tv) AS new_coordinate FROM j WHERE in_b AND in_t AND bv <> tv)
+SELECT DISTINCT module_key, old_coordinate, new_coordinate, length(old_coordinate) % 5 AS n_points FROM c WHERE old_coordinate LIKE '%:a1%'""", ("occ",))
+def j12_pair_modules(spark, sf):
+    b, t = _sides(spark, sf, "occ")
+    name = lambda v: F.concat_ws(":", "group_id", "artifact_id", v)
+    changes = diff.dependency_changes(_first(b), _first(t), MODULE_KEY).where("change_type = 'VERSION_CHANGED'").withColumns({"old_coordinate": name("old_version"), "new_coordinate": name("new_version")})
+    pairs = changes.where("old_coordinate LIKE '%:a1%'").select("old_coordinate", "new_coordinate").distinct().withColumn("n_points", F.length("old_coordinate") % 5)
+    return selection.pair_modules(pairs, changes).select("module_key", "old_coordinate", "new_coordinate", "n_points")
+
+
+@query("a11_text_risks", """, t AS (SELECT binary_name, digest, CASE WHEN scan_ord % 31 = 0 THEN NULL ELSE concat('t', scan_ord % 2) END AS text FROM class_def)
+SELECT binary_name, CASE WHEN CASE WHEN count(*) = count(text) THEN count(DISTINCT text) ELSE count(DISTINCT digest) END > 1 THEN 'HIGH' ELSE 'LOW' END AS risk FROM t GROUP BY binary_name""", ("class_def",))
+def a11_text_risks(spark, sf):
+    text = F.when(F.col("scan_ord") % 31 != 0, F.concat(F.lit("t"), F.col("scan_ord") % 2))
+    return ownership.text_risk(bound(spark, sf, "class_def").withColumn("text", text))
+
+
+@query("d10_valid_providers")
+def d10_valid_providers(spark, sf):
+    """Every part is a class of one of ten artifacts, below a half and a fifth of itself, and offers what a seventh of it names."""
+    key = F.col("p_partkey")
+    rows = _part(spark, sf).select((F.col("p_size") % 3).alias("artifact"), key.alias("owner"), (key % 5 != 0).alias("is_public"), (key % 7 == 3).alias("is_abstract"), (key % 11 != 1).alias("has_constructor"))
+    parents = rows.select("artifact", F.col("owner").alias("sub"), F.floor(F.col("owner") / 2).alias("super")).union(rows.select("artifact", "owner", F.floor(F.col("owner") / 5)))
+    offers = rows.select("artifact", F.explode(F.array(F.floor(F.col("owner") / 4), F.floor(F.col("owner") / 10), F.floor(F.col("owner") / 3))).alias("service"), F.col("owner").alias("provider"))
+    return diff.valid_providers(offers, rows, parents)
+
+
+ORACLE_SQL["d10_valid_providers"] = """WITH RECURSIVE c AS (SELECT p_size % 3 AS artifact, p_partkey AS owner, p_partkey % 5 <> 0 AND p_partkey % 7 <> 3 AND p_partkey % 11 <> 1 AS usable FROM part),
+u AS (SELECT artifact, owner AS sub, owner // 2 AS super FROM c UNION SELECT artifact, owner, owner // 5 FROM c),
+w(artifact, provider, name) AS (SELECT artifact, owner, owner FROM c WHERE usable UNION SELECT w.artifact, w.provider, u.super FROM w JOIN u ON u.artifact = w.artifact AND u.sub = w.name)
+SELECT DISTINCT w.artifact, w.name AS service, w.provider FROM w WHERE w.name IN (w.provider // 4, w.provider // 10, w.provider // 3)"""

@@ -94,6 +94,11 @@ def dense_ids(keys: DataFrame, order: list[str], id_column: str = "id") -> DataF
     return parts.join(F.broadcast(starts), "_part").select(*order, (F.col("_start") + local - 1).alias(id_column))
 
 
+def sorted_groups(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The rows of each key together and in order; Spark's sort spills what does not fit into memory."""
+    return rows.repartition(*key).sortWithinPartitions(*key, *order)
+
+
 def shard_plan(records: DataFrame, by: list[str], order: str, size: str, max_bytes: int, max_records: int, starts: str | None = None) -> DataFrame:
     """Greedy shards of each kind: a record opens a new one when bytes (with a separator each) or records run out.
 
