@@ -1,8 +1,9 @@
 """Graph operators: reachability, first-discoverer paths, components, validation, call graphs.
 
 Modules are independent graphs.  Everything that may be as large as a module is set-based: a level or a round is one
-join, with its lineage cut by checkpoints, so no module is ever held by one task.  Only the validation of occurrence
-graphs, which are bounded by one document each, works on a group at a time.
+join, with its lineage cut by checkpoints.  A group at a time is worked on only where its size is known to be small: the
+occurrence graphs of one document each, and for components the modules of at most ``SMALL_MODULE`` edges and nodes,
+which are counted first; both ways are exact.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges and nodes of a module whose components one task finds (a few MB).
+SMALL_MODULE = 200_000
+
+
 def _checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -140,15 +145,44 @@ def _strong(adjacency: dict, nodes) -> dict:
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(module, node, component, size, cyclic); a component's name is its smallest node.
 
-    ``nodes`` (module, node) adds nodes without edges.  Nodes without a live predecessor or successor are components by
-    themselves and go first.  Of the rest, every node learns the smallest node that reaches it; where that is the node
-    itself, what reaches it back among the nodes of the same name is its component.  Rounds go on until no node is left.
+    ``nodes`` (module, node) adds nodes without edges.  Modules are counted: small ones are solved in a task each, the
+    others by rounds of joins.
+    """
+    rows = edges.select("module", "src", "dst", F.lit(True).alias("edge")).distinct()
+    if nodes is not None:
+        rows = rows.union(nodes.select("module", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(False)).distinct())
+    rows = _checkpoint(rows)
+    large = _checkpoint(rows.groupBy("module").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_MODULE).select("module"))
+    if large.isEmpty():
+        return _small_components(rows)
+    inside = rows.join(large, "module", "left_semi")
+    found = _large_components(inside.where("edge").select("module", "src", "dst"), inside.select("module", F.col("src").alias("node")))
+    return found.unionByName(_small_components(rows.join(large, "module", "left_anti")))
+
+
+def _small_components(rows: DataFrame) -> DataFrame:
+    def solve(key, pdf):
+        links = pdf[pdf["edge"]]
+        forward = _adjacency(links, reverse=False)
+        nodes = sorted(set(pdf["src"].tolist()) | set(pdf["dst"].tolist()))
+        comp = _strong(forward, nodes)
+        size = pd.Series(comp).value_counts().to_dict()
+        module = pdf["module"].iloc[0]
+        return pd.DataFrame([(module, n, comp[n], size[comp[n]], size[comp[n]] > 1 or n in forward.get(n, ())) for n in nodes], columns=["module", "node", "component", "size", "cyclic"])
+
+    return rows.groupBy("module").applyInPandas(solve, f"module {_kind(rows)}, node long, component long, size long, cyclic boolean")
+
+
+def _large_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same by rounds.  Nodes without a live predecessor or successor are components by themselves and go first.  Of
+    the rest, every node learns the smallest node that reaches it; where that is the node itself, what reaches it back
+    among the nodes of the same name is its component.  Rounds go on until no node is left.
     """
     key = ["module", "node"]
     pairs = edges.select("module", "src", "dst").distinct()
     loops = pairs.where("src = dst").select("module", F.col("src").alias("node"), F.lit(True).alias("_loop"))
     ends = pairs.select("module", F.col("src").alias("node")).union(pairs.select("module", F.col("dst").alias("node")))
-    live = _checkpoint((ends if nodes is None else ends.union(nodes.select(*key))).distinct())
+    live = _checkpoint(ends.union(nodes.select(*key)).distinct())
     links = _checkpoint(pairs.where("src <> dst"))
     settled = []
 

@@ -79,10 +79,11 @@ def test_graph_kernels(spark):
     assert {(r["root"], r["cycle"]) for r in graph.impact_roots(again, graph.strong_components(again), called).collect()} == {(1, True)}
 
 
-def test_components_by_brute_force(spark):
+def test_components_by_brute_force(spark, monkeypatch):
     r = random.Random(1)
-    for _ in range(2):
-        edges = sorted({(m, r.randrange(14), r.randrange(14)) for m in (0, 1) for _ in range(16)})
+    for limit in (200_000, 26, 0):  # all modules small, one of them large, both large
+        monkeypatch.setattr(graph, "SMALL_MODULE", limit)
+        edges = sorted({(m, r.randrange(14), r.randrange(14)) for m in (0, 1) for _ in range(11 + 8 * m)})
         reach = {(m, a): {a} for m in (0, 1) for a in range(14)}
         for _ in range(14):
             for m, a, b in edges:
