@@ -85,6 +85,10 @@ class MergeTransducer:
         self._bytes = 0
         self._start = self._state((((), -1, 0),))
 
+    def forget(self) -> None:
+        """Give back what was remembered of texts; pairs of tokens stay."""
+        self._reset()
+
     def _state(self, hypotheses: tuple) -> int:
         number = self._numbers.get(hypotheses)
         if number is None:
@@ -154,7 +158,7 @@ class MergeTransducer:
         key = (last + 1) * self._never + token
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > self._max_bytes // 480:
+            if len(self._compatible) > 300_000:
                 self._compatible.clear()
             known = self._derivation(token)[0] and (last < 0 or not self._crosses(last, token))
             self._compatible[key] = known
@@ -248,6 +252,10 @@ class _PieceCache(dict):
         self._transducer, self._bound, self._bytes = transducer, bound, 0
         self._old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.clear()
+        self._old, self._bytes = {}, 0
+
     def __missing__(self, piece: str) -> bytes:
         packed = self._old.get(piece)
         if packed is None:
@@ -278,6 +286,11 @@ class ByteBpe:
         self._start = np.concatenate(([0], np.cumsum(self._length)))[:-1]
         self._pool = np.frombuffer(b"".join(table_), np.uint8)
 
+    def forget(self) -> None:
+        """Keep the tables alone: for a worker that waits for its next task."""
+        self.transducer.forget()
+        self._cache.forget()
+
     def encode_packed(self, text: str) -> bytes:
         get = self._cache.__getitem__
         return b"".join(map(get, self._split(text)))
@@ -334,8 +347,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tikt
         sha.update(machine.finish().encode("utf-8"))
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), sha.hexdigest()
 
-    def run(batches):
-        bpe = codec(vocabulary)
+    def encoded(bpe, batches):
         for batch in batches:
             for lo, hi in sub_batches(batch.column(len(names)), EMIT_BYTES):
                 part = batch.slice(lo, hi - lo)
@@ -346,6 +358,13 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tikt
                     made = [[np.frombuffer(p, "<i4") for p in packed]] + ([[bpe.decode(np.frombuffer(p, "<u4")) for p in packed]] if decode else [])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(list(m), k) for m, k in zip(made, results.values(), strict=True))], names=[*names, *results])
 
+    def run(batches):
+        bpe = codec(vocabulary)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.forget()
+
     return docs.select(*columns, column(text)).mapInArrow(run, schema.removeprefix(", "))
 
 
