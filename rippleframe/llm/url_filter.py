@@ -9,9 +9,11 @@ with one vectorised binary search, and every digest that is found is confirmed o
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import column, flat_bytes, kept_columns, table
 
 _SPLIT = re.compile(r".*?://([^/?#]*)([^?#]*)", re.S)
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -74,38 +76,42 @@ class DigestArray:
 def build_digest_array(rules: DataFrame, path: str) -> None:
     """Write the array's file at a local ``path`` of the driver.
 
-    Spark sorts the rules by digest and the driver streams them one partition at a time into the file, so its memory
-    holds one partition.  Null hosts or paths count as empty; of equal keys the smallest verdict stays.
+    Spark sorts the rules by digest, and executors pack them into column blocks; the driver appends the blocks one
+    partition at a time, so its memory holds one partition's bytes and it touches no single rule.  Null hosts or paths
+    count as empty; of equal keys the smallest verdict stays; an empty list gives an empty array.
     """
     n_parts = max(1, int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.concat(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit("")))
+    host, prefix = F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))
     flipped = F.xxhash64("key").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order, as signed numbers
-    rows = (
-        rules.groupBy(key.alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("path_length")).agg(F.min("verdict").alias("verdict"))
-        .withColumn("digest", flipped).repartitionByRange(n_parts, "digest").sortWithinPartitions("digest", "key")
-    )
-    verdicts: list[str] = []
-    lengths: set[int] = set()
-    n = total = 0
+    entries = rules.groupBy(F.concat(host, prefix).alias("key"), F.length(prefix).alias("path_length")).agg(F.min("verdict").alias("verdict"))
+    facts = entries.agg(F.array_sort(F.collect_set("verdict")).alias("verdicts"), F.array_sort(F.collect_set("path_length")).alias("lengths")).first()
+    verdicts = list(facts["verdicts"])
+    code = F.array_position(F.lit(verdicts).cast("array<string>"), F.col("verdict")).cast("int") - 1
+    ordered = entries.withColumns({"digest": flipped, "code": code}).repartitionByRange(n_parts, "digest").sortWithinPartitions("digest", "key")
+
+    def pack(batches):
+        for batch in batches:
+            raw, offsets = flat_bytes(batch.column(1))
+            columns = [batch.column(0).to_numpy().astype("<i8").tobytes(), np.diff(offsets).astype("<i8").tobytes(), batch.column(2).to_numpy().astype("<i4").tobytes(), raw.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["keys", "sizes", "codes", "strings"])
+
+    blocks = ordered.select("digest", "key", "code").mapInArrow(pack, "keys binary, sizes binary, codes binary, strings binary")
     names = [f"{path}.{x}" for x in ("keys", "offsets", "codes", "strings")]
     files = [open(x, "wb") for x in names]
     files[1].write(np.zeros(1, "<i8").tobytes())
-    for row in rows.toLocalIterator():
-        raw = row["key"].encode()
-        if row["verdict"] not in verdicts:
-            verdicts.append(row["verdict"])
-        lengths.add(row["path_length"])
-        n, total = n + 1, total + len(raw)
-        for f, x in zip(files, (np.array([row["digest"]], "<i8").tobytes(), np.array([total], "<i8").tobytes(), np.array([verdicts.index(row["verdict"])], "<i4").tobytes(), raw), strict=True):
-            f.write(x)
+    n = total = 0
+    for block in blocks.toLocalIterator():
+        ends = total + np.cumsum(np.frombuffer(block["sizes"], "<i8"))
+        for f, data in zip(files, (block["keys"], ends.astype("<i8").tobytes(), block["codes"], block["strings"]), strict=True):
+            f.write(data)
+        n, total = n + len(ends), int(ends[-1]) if len(ends) else total
     for f in files:
         f.close()
     with open(path, "wb") as out:
-        out.write(json.dumps({"n": n, "bytes": total, "verdicts": verdicts, "path_lengths": sorted(lengths)}).encode() + b"\n")
+        out.write(json.dumps({"n": n, "bytes": total, "verdicts": verdicts, "path_lengths": list(facts["lengths"])}).encode() + b"\n")
         for name in names:
             with open(name, "rb") as f:
-                while chunk := f.read(1 << 20):
-                    out.write(chunk)
+                shutil.copyfileobj(f, out)
             os.remove(name)
 
 
@@ -124,22 +130,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
     A rule fits its host and all subdomains when the path starts with the rule's; of the rules that fit, the longest
     wins (of equal length that with the longer host), and its verdict stands.  Where the array has no rule, ``rule`` is
     null and the verdict is ``default``.  A null url or one without ``://`` has empty host and path; repeated rows give
-    repeated results; an empty rule list leaves every verdict at ``default``.  One pass, no shuffle of the pages.
+    repeated results; an empty rule list leaves every verdict at ``default``, an empty page list gives no row; a column
+    of ``keep`` that has a result's name goes out with ``_input`` added.  One pass, no shuffle of the pages.
     """
     spark = pages.sparkSession
     name = f"digests-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as tmp:  # the driver's copy: addFile hands it to the executors at once
-        build_digest_array(rules, f"{tmp}/{name}")
-        kept_dir = tempfile.mkdtemp(prefix="digests-")
-        os.replace(f"{tmp}/{name}", f"{kept_dir}/{name}")
-    spark.sparkContext.addFile(f"{kept_dir}/{name}")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
+    # the driver's copy, which executors fetch while the session lasts
+    folder = tempfile.mkdtemp(prefix="digests-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    build_digest_array(rules, f"{folder}/{name}")
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    columns, names, schema = kept_columns(pages, keep, ["host", "path", "rule", "verdict"])
 
     def run(batches):
         array = _mapped(name)
         for batch in batches:
             hosts, paths, keys, owner, rank = [], [], [], [], []
-            for i, value in enumerate(batch.column(len(keep)).to_pylist()):
+            for i, value in enumerate(batch.column(len(names)).to_pylist()):
                 host, path = split_url(value)
                 hosts.append(host)
                 paths.append(path)
@@ -161,9 +168,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
             for i, (_, k) in best.items():
                 rule[i] = array.strings[array.offsets[k] : array.offsets[k + 1]].tobytes().decode()
                 verdict[i] = array.verdicts[array.codes[k]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, pa.string()) for x in (hosts, paths, rule, verdict))], names=[*keep, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(x, pa.string()) for x in (hosts, paths, rule, verdict))], names=[*names, "host", "path", "rule", "verdict"])
 
-    return pages.select(*keep, url).mapInArrow(run, f"{kept}, host string, path string, rule string, verdict string")
+    return pages.select(*columns, column(url)).mapInArrow(run, f"{schema}, host string, path string, rule string, verdict string".removeprefix(", "))
 
 
 #: Fixed values of the query: the rules it applies.
@@ -171,6 +178,7 @@ OP3_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; null urls have empty hosts, repeated rows repeat."""
     rules = spark.createDataFrame(OP3_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 

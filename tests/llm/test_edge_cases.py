@@ -82,7 +82,8 @@ def test_urls_of_any_kind(spark):
     rules = spark.createDataFrame([("a.org", "/x", "block"), ("a.org", "/x", "allow"), (None, None, "allow"), ("long.org", "/" + "y" * 5000, "block"), *[(f"h{i}.net", "/", f"v{i}") for i in range(300)]], "host string, path string, verdict string")
     urls = ["http://a.org/xy", "http://a.org/xy", "http://h299.net/", "http://long.org/" + "y" * 300_000, "http://" + "s." * 2000 + "a.org/x", "://", None]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id int, url string, verdict string")
-    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules, keep=("page_id", "verdict")).collect()}
+    assert {r["verdict_input"] for r in got.values()} == {"h"}
     # of equal keys the smallest verdict stays
     assert [got[i]["verdict"] for i in range(7)] == ["allow", "allow", "v299", "block", "allow", "allow", "allow"] and got[4]["rule"] == "a.org/x"
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
