@@ -137,20 +137,20 @@ def j10_structural_evidence(spark, sf):
     return impact.structural_evidence(references, bound(spark, sf, "points"), refs.select("node", "owner", "name", "descriptor").distinct())
 
 
-@query("a15_member_metrics", """, t AS (SELECT l_partkey AS point_id, CASE l_returnflag WHEN 'A' THEN 'impact' WHEN 'R' THEN 'structural' ELSE 'other' END AS path_kind FROM lineitem WHERE l_linenumber > 4)
+@query("a15_member_metrics", """, t AS (SELECT l_partkey AS point_id, CASE l_returnflag WHEN 'A' THEN 'impact' WHEN 'R' THEN 'structural' ELSE 'other' END AS path_kind FROM lineitem)
 SELECT p.point_id, count(*) FILTER (path_kind = 'impact') AS impact, count(*) FILTER (path_kind = 'structural') AS structural FROM points p LEFT JOIN t USING (point_id) GROUP BY p.point_id""", ("points",))
 def a15_member_metrics(spark, sf):
     kind = F.when(F.col("l_returnflag") == "A", "impact").when(F.col("l_returnflag") == "R", "structural").otherwise("other")
-    paths = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber > 4").select(F.col("l_partkey").alias("point_id"), kind.alias("path_kind"))
+    paths = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_partkey").alias("point_id"), kind.alias("path_kind"))
     return impact.member_metrics(bound(spark, sf, "points"), paths)
 
 
-@query("a16_affected", """, x AS (SELECT DISTINCT module, node FROM flow_node WHERE origin = 'PROJECT'), p AS (SELECT DISTINCT module, unnest([src, dst]) AS node FROM flow WHERE n_sites > 1 OR src % 2 = 0)
+@query("a16_affected", """, x AS (SELECT DISTINCT module, node FROM flow_node WHERE origin = 'PROJECT'), p AS (SELECT DISTINCT module, unnest([src, dst]) AS node FROM flow)
 SELECT module, count(DISTINCT concat('o', node % 50, '|', 'n', node % 9, '|()')) AS methods, count(DISTINCT node % 50) AS classes FROM p JOIN x USING (module, node) GROUP BY module""", ("flow", "flow_node"))
 def a16_affected(spark, sf):
     node = F.col("node")
     nodes = bound(spark, sf, "flow_node").select("module", "node", "origin", F.concat(F.lit("o"), node % 50).alias("owner"), F.concat(F.lit("n"), node % 9).alias("name"), F.lit("()").alias("descriptor"))
-    return impact.affected(bound(spark, sf, "flow").where("n_sites > 1 OR src % 2 = 0").select("module", F.array("src", "dst").alias("nodes")), nodes)
+    return impact.affected(bound(spark, sf, "flow").select("module", F.array("src", "dst").alias("nodes")), nodes)
 
 
 @query("a22_terminal_states", """SELECT c_nationkey, CASE WHEN count(*) FILTER (s = 'COMPARABLE') = 0 THEN 'FAILED' WHEN bool_or(i) THEN 'COMPLETED_WITH_ISSUES' ELSE 'SUCCESS' END AS state
@@ -187,12 +187,13 @@ def d09_suppressed_bodies(spark, sf):
 def s13_selected_tree(spark, sf):
     """A tree of the parts (a node's parent is a quarter of it) for each of five modules."""
     key = F.col("p_partkey")
-    scope = F.when(key % 11 == 7, "test").otherwise("compile")
-    rows = _part(spark, sf).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("module"), key.alias("node"), F.when(key > 1, F.greatest(F.floor(key / 4), F.lit(1))).alias("parent"), key.alias("ord"), scope.alias("scope"), (key % 5 == 3).alias("reactor"))
-    return normalize.selected_tree(rows.where((F.col("node") % 7 != F.col("module") + 1) | (F.col("node") < 40)))
+    scope = F.when(key % 11 == F.col("module") + 5, "test").otherwise("compile")
+    parts = _part(spark, sf).withColumn("module", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows = parts.select("module", key.alias("node"), F.when(key > 1, F.greatest(F.floor(key / 4), F.lit(1))).alias("parent"), key.alias("ord"), scope.alias("scope"), (key % 5 == 3).alias("reactor"))
+    return normalize.selected_tree(rows)
 
 
-ORACLE_SQL["s13_selected_tree"] = """WITH RECURSIVE n AS (SELECT m AS module, p_partkey AS node, CASE WHEN p_partkey > 1 THEN greatest(p_partkey // 4, 1) END AS parent, p_partkey % 11 = 7 AS bad, p_partkey % 5 = 3 AS reactor FROM part, range(5) t(m) WHERE p_partkey % 7 <> m + 1 OR p_partkey < 40),
+ORACLE_SQL["s13_selected_tree"] = """WITH RECURSIVE n AS (SELECT m AS module, p_partkey AS node, CASE WHEN p_partkey > 1 THEN greatest(p_partkey // 4, 1) END AS parent, p_partkey % 11 = m + 5 AS bad, p_partkey % 5 = 3 AS reactor FROM part, range(5) t(m)),
 w(module, node, place, above) AS (SELECT module, node, node, CAST(NULL AS BIGINT) FROM n WHERE parent IS NULL
 UNION ALL SELECT n.module, n.node, CASE WHEN n.reactor THEN w.place ELSE n.node END, w.place FROM w JOIN n ON n.module = w.module AND n.parent = w.node AND NOT n.bad)
 SELECT module, node, above AS parent FROM w WHERE place = node"""
@@ -215,14 +216,14 @@ SELECT CAST(0 AS BIGINT) AS seed, array_to_string(path, '>') AS path FROM w WHER
 def g04_dependency_scopes(spark, sf):
     """Trees of parts for five modules: a quarter of a node is its parent; module 3 has a seed that is not there."""
     key = F.col("p_partkey")
-    nodes = _part(spark, sf).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("module"), key.alias("node"), (key == 0).alias("is_root"), (key % 6 == 5).alias("reactor"))
+    nodes = _part(spark, sf).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("module"), key.alias("node"), (key == 0).alias("is_root"), (key % 6 == 5).alias("reactor"), F.col("p_size").alias("size"))
     edges = nodes.where("node > 0").select("module", F.floor(F.col("node") / 4).alias("src"), F.col("node").alias("dst"))
-    seeds = nodes.where("node % 50 = module").select("module", "node").union(spark.createDataFrame([(3, -1)], "module int, node long"))
+    seeds = nodes.where("size = module + 1").select("module", "node").union(spark.createDataFrame([(3, -1)], "module int, node long"))
     return normalize.dependency_scopes(nodes, edges, seeds)
 
 
-ORACLE_SQL["g04_dependency_scopes"] = """WITH RECURSIVE n AS (SELECT m AS module, p_partkey AS node, p_partkey % 6 = 5 AS reactor FROM part, range(5) t(m)),
-u(module, node) AS (SELECT module, node FROM n WHERE node % 50 = module UNION SELECT module, node // 4 FROM u WHERE node > 0)
+ORACLE_SQL["g04_dependency_scopes"] = """WITH RECURSIVE n AS (SELECT m AS module, p_partkey AS node, p_partkey % 6 = 5 AS reactor, p_size AS size FROM part, range(5) t(m)),
+u(module, node) AS (SELECT module, node FROM n WHERE size = module + 1 UNION SELECT module, node // 4 FROM u WHERE node > 0)
 SELECT CAST(n.module AS INT) AS module, n.node, CASE WHEN n.module = 3 OR u.node IS NOT NULL THEN 'REAL_IR' ELSE 'NO_OP' END AS body, CASE WHEN n.module = 3 THEN 'FULL' ELSE 'CHANGED_PATHS' END AS mode, CASE WHEN n.module = 3 THEN 'SEED_MISSING' END AS reason
 FROM n LEFT JOIN u USING (module, node) WHERE NOT reactor AND n.node <> 0"""
 

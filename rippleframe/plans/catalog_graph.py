@@ -186,18 +186,18 @@ SELECT t.name FROM t JOIN w USING (name) WHERE t.origin = 'DEPENDENCY' AND t.bod
 def g06_call_graph(spark, sf):
     p, key = spark.read.parquet(f"{sf}/part.parquet"), F.col("p_partkey")
     owner = lambda n: F.concat(F.lit("o"), n % 60)
-    rows = p.select(key.alias("node"), owner(key).alias("owner"), F.concat(F.lit("n"), F.col("p_size") % 6).alias("name"), F.lit("()").alias("descriptor"), (key % 4 != 0).alias("concrete"), F.when(key % 60 % 9 == 0, "JDK").otherwise("PROJECT").alias("origin"), (key % 13 == 5).alias("no_op"))
+    rows = p.select(key.alias("node"), owner(key).alias("owner"), F.concat(F.lit("n"), F.col("p_size") % 6).alias("name"), F.lit("()").alias("descriptor"), (key % 4 != 0).alias("concrete"), F.when(key % 60 % 9 == 0, "JDK").otherwise("PROJECT").alias("origin"), (key % 13 == 5).alias("no_op"), F.col("p_size").alias("size"))
     sites = p.select(key.alias("caller"), owner(key * 7).alias("owner"), F.concat(F.lit("n"), F.col("p_size") % 5).alias("name"), F.lit("()").alias("descriptor"))
     up = spark.range(1, 60).select(F.concat(F.lit("o"), F.col("id")).alias("sub"), F.concat(F.lit("o"), F.floor(F.col("id") / 2)).alias("super"))
-    return graph.call_graph(sites, rows, graph.closure(up), rows.where("node % 20 = 1"))
+    return graph.call_graph(sites, rows, graph.closure(up), rows.where("size = 1"))
 
 
-ORACLE_SQL["g06_call_graph"] = """WITH RECURSIVE m AS (SELECT p_partkey AS node, p_partkey % 60 AS o, p_size % 6 AS n, p_partkey % 4 <> 0 AS concrete, p_partkey % 60 % 9 = 0 AS jdk, p_partkey % 13 = 5 AS no_op FROM part),
+ORACLE_SQL["g06_call_graph"] = """WITH RECURSIVE m AS (SELECT p_partkey AS node, p_partkey % 60 AS o, p_size % 6 AS n, p_partkey % 4 <> 0 AS concrete, p_partkey % 60 % 9 = 0 AS jdk, p_partkey % 13 = 5 AS no_op, p_size AS size FROM part),
 s AS (SELECT p_partkey AS caller, (p_partkey * 7) % 60 AS o, p_size % 5 AS n FROM part),
 c(sub, super) AS (SELECT range, range FROM range(60) UNION SELECT c.sub, c.super // 2 FROM c WHERE c.super > 0),
 e AS (SELECT DISTINCT s.caller AS src, m.node AS dst FROM s JOIN c ON c.super = s.o JOIN m ON m.o = c.sub AND m.n = s.n AND m.concrete WHERE (s.o % 9 <> 0 OR s.o NOT IN (SELECT o FROM m)) OR m.jdk),
 l AS (SELECT e.* FROM e JOIN m ON m.node = e.src WHERE NOT m.jdk AND NOT m.no_op),
-r(node) AS (SELECT node FROM m WHERE node % 20 = 1 UNION SELECT l.dst FROM r JOIN l ON l.src = r.node)
+r(node) AS (SELECT node FROM m WHERE size = 1 UNION SELECT l.dst FROM r JOIN l ON l.src = r.node)
 SELECT l.src, l.dst FROM l JOIN r ON r.node = l.src"""
 
 
@@ -236,10 +236,10 @@ UNION ALL SELECT concat('r', ss.r, '/n', ss.n, '/s', s, '/pom.xml'), CASE WHEN l
 
 
 # --- lookups ---------------------------------------------------------------------------------------------------------
-@query("j13_candidate_entries", """, c AS (SELECT DISTINCT binary_name, source_key FROM class_def), e AS (SELECT s_suppkey, concat('s', s_suppkey) AS source_key FROM supplier WHERE s_nationkey <> 7)
+@query("j13_candidate_entries", """, c AS (SELECT DISTINCT binary_name, source_key FROM class_def), e AS (SELECT s_suppkey, concat(CASE WHEN s_nationkey = 7 THEN 'x' ELSE 's' END, s_suppkey) AS source_key FROM supplier)
 SELECT binary_name, source_key, s_suppkey AS position, s_suppkey IS NULL AS issue FROM c LEFT JOIN e USING (source_key)""", ("class_def",))
 def j13_candidate_entries(spark, sf):
-    entries = spark.read.parquet(f"{sf}/supplier.parquet").where("s_nationkey <> 7").select(F.concat(F.lit("s"), "s_suppkey").alias("source_key"), F.col("s_suppkey").alias("position"))
+    entries = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.when(F.col("s_nationkey") == 7, "x").otherwise("s"), "s_suppkey").alias("source_key"), F.col("s_suppkey").alias("position"))
     found, missing = ownership.candidate_entries(bound(spark, sf, "class_def").select("binary_name", "source_key").distinct(), entries, ["source_key"])
     return found.withColumn("issue", F.lit(False)).unionByName(missing.withColumn("issue", F.lit(True)), allowMissingColumns=True).select("binary_name", "source_key", "position", "issue")
 
@@ -259,12 +259,12 @@ def s06_duplicate_probe(spark, sf):
     return rows.select("binary_name", "source_key", "digest")
 
 
-@query("j17_range_intersections", """WITH l AS (SELECT DISTINCT o_custkey % 40 AS g, unnest(range(o_orderkey, o_orderkey + 1 + o_orderkey % 9)) AS x FROM orders), r AS (SELECT DISTINCT o_custkey % 40 AS g, unnest(range(o_orderkey - 3, o_orderkey + o_orderkey % 7)) AS x FROM orders WHERE o_orderpriority < '3'),
+@query("j17_range_intersections", """WITH l AS (SELECT DISTINCT o_custkey % 40 AS g, unnest(range(o_orderkey, o_orderkey + 1 + o_orderkey % 9)) AS x FROM orders), r AS (SELECT DISTINCT o_custkey % 40 AS g, unnest(range(o_orderkey * 2 - 3, o_orderkey * 2 + o_orderkey % 7)) AS x FROM orders),
 b AS (SELECT g, x, x - row_number() OVER (PARTITION BY g ORDER BY x) AS i FROM l JOIN r USING (g, x)) SELECT g, min(x) AS start, max(x) + 1 AS stop FROM b GROUP BY g, i""")
 def j17_range_intersections(spark, sf):
     o, key = spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderkey")
     g = (F.col("o_custkey") % 40).alias("g")
-    left, right = o.select(g, key.alias("start"), (key + 1 + key % 9).alias("stop")), o.where("o_orderpriority < '3'").select(g, (key - 3).alias("start"), (key + key % 7).alias("stop"))
+    left, right = o.select(g, key.alias("start"), (key + 1 + key % 9).alias("stop")), o.select(g, (key * 2 - 3).alias("start"), (key * 2 + key % 7).alias("stop"))
     return affected.intersect_ranges(left, right, ["g"])
 
 
