@@ -51,7 +51,7 @@ class PieceSplitter:
 class MergeTransducer:
     """Deterministic byte-to-token transducer for one rank table, built as texts need it."""
 
-    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 288 << 20):
+    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 192 << 20):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
         #: The trie: (node, byte) to child, both in one number; the token that ends at a node; whether it has children.
@@ -85,10 +85,6 @@ class MergeTransducer:
         self._bytes = 0
         self._start = self._state((((), -1, 0),))
 
-    def forget(self) -> None:
-        """Give back what was remembered of texts; pairs of tokens stay."""
-        self._reset()
-
     def _state(self, hypotheses: tuple) -> int:
         number = self._numbers.get(hypotheses)
         if number is None:
@@ -247,15 +243,11 @@ class _PieceCache(dict):
     in use moves on and the rest goes.
     """
 
-    def __init__(self, transducer: MergeTransducer, bound: int = 72 << 20):
+    def __init__(self, transducer: MergeTransducer, bound: int = 56 << 20):
         super().__init__()
         self._transducer, self._bound, self._bytes = transducer, bound, 0
         self._old: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        self.clear()
-        self._old, self._bytes = {}, 0
-
     def __missing__(self, piece: str) -> bytes:
         packed = self._old.get(piece)
         if packed is None:
@@ -286,11 +278,6 @@ class ByteBpe:
         self._start = np.concatenate(([0], np.cumsum(self._length)))[:-1]
         self._pool = np.frombuffer(b"".join(table_), np.uint8)
 
-    def forget(self) -> None:
-        """Keep the tables alone: for a worker that waits for its next task."""
-        self.transducer.forget()
-        self._cache.forget()
-
     def encode_packed(self, text: str) -> bytes:
         get = self._cache.__getitem__
         return b"".join(map(get, self._split(text)))
@@ -347,7 +334,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tikt
         sha.update(machine.finish().encode("utf-8"))
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), sha.hexdigest()
 
-    def encoded(bpe, batches):
+    def run(batches):
+        bpe = codec(vocabulary)
         for batch in batches:
             for lo, hi in sub_batches(batch.column(len(names)), EMIT_BYTES):
                 part = batch.slice(lo, hi - lo)
@@ -358,13 +346,6 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tikt
                     made = [[np.frombuffer(p, "<i4") for p in packed]] + ([[bpe.decode(np.frombuffer(p, "<u4")) for p in packed]] if decode else [])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(list(m), k) for m, k in zip(made, results.values(), strict=True))], names=[*names, *results])
 
-    def run(batches):
-        bpe = codec(vocabulary)
-        try:
-            yield from encoded(bpe, batches)
-        finally:
-            bpe.forget()
-
     return docs.select(*columns, column(text)).mapInArrow(run, schema.removeprefix(", "))
 
 

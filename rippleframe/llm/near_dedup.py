@@ -35,6 +35,8 @@ SKETCH_BITS = 1024
 #: Members of a bucket, and shingles of its members, that are compared in one piece; larger buckets are compared as
 #: pairs of such blocks, each in a task of its own.
 BLOCK, BLOCK_SHINGLES = 4096, 1_000_000
+#: Bytes of text whose shingles are made at once (some 50 bytes of memory for each); one text may exceed it.
+TEXT_BYTES = 500_000
 
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,7 +68,7 @@ def signatures(named: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, hi in sub_batches(batch.column(2), 2_000_000):
+            for lo, hi in sub_batches(batch.column(2), TEXT_BYTES):
                 part = batch.slice(lo, hi - lo)
                 values, bounds = text_sets(*flat_bytes(part.column(2)), width)
                 size = np.diff(bounds)
@@ -123,7 +125,7 @@ def confirm(pairs: DataFrame, named: DataFrame, classes: DataFrame, width: int,
             size = np.cumsum(both.to_numpy(zero_copy_only=False))
             lo = 0
             while lo < len(size):
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 4_000_000, "right")))
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 2 * TEXT_BYTES, "right")))
                 part = batch.slice(lo, hi - lo)
                 sets = [text_sets(*flat_bytes(part.column(k)), width) for k in (2, 3)]
                 shared = intersection_sizes(*sets[0], *sets[1])
@@ -229,8 +231,8 @@ def _remaining_links(members: DataFrame, similarity: float, width: int, percent:
 
             def members_sets(wanted, sets=sets, text=text):
                 new = [k for k in wanted if k not in sets]
-                for at in range(0, len(new), 256):
-                    part = new[at : at + 256]
+                for at in range(0, len(new), 64):
+                    part = new[at : at + 64]
                     values, bounds = text_sets(*flat_bytes(pa.array([text[k] for k in part], pa.large_string())), width)
                     sets.update((k, values[bounds[x] : bounds[x + 1]]) for x, k in enumerate(part))
                 return [sets[k] for k in wanted]
