@@ -26,6 +26,8 @@ from ._common import column, kept_columns, sub_batches, table
 
 #: Bytes of text that are encoded before their rows are handed on.
 EMIT_BYTES = 2_000_000
+#: Bytes of states that a worker remembers; pieces get a quarter of it, twice.
+MEMORY = 288 << 20
 
 #: Characters for which ``re`` and ``regex`` agree on the pattern's classes: the Latin blocks without superscripts,
 #: fractions and the information separators.
@@ -51,7 +53,7 @@ class PieceSplitter:
 class MergeTransducer:
     """Deterministic byte-to-token transducer for one rank table, built as texts need it."""
 
-    def __init__(self, ranks: dict[bytes, int], max_bytes: int = 192 << 20):
+    def __init__(self, ranks: dict[bytes, int], max_bytes: int = MEMORY):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
         #: The trie: (node, byte) to child, both in one number; the token that ends at a node; whether it has children.
@@ -243,7 +245,7 @@ class _PieceCache(dict):
     in use moves on and the rest goes.
     """
 
-    def __init__(self, transducer: MergeTransducer, bound: int = 56 << 20):
+    def __init__(self, transducer: MergeTransducer, bound: int = MEMORY // 4):
         super().__init__()
         self._transducer, self._bound, self._bytes = transducer, bound, 0
         self._old: dict[str, bytes] = {}
@@ -264,12 +266,12 @@ class _PieceCache(dict):
 class ByteBpe:
     """Encoder and decoder over one public rank file."""
 
-    def __init__(self, rank_file: str, pattern: str):
+    def __init__(self, rank_file: str, pattern: str, memory: int = MEMORY):
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(raw): int(rank) for raw, rank in map(bytes.split, lines)}
-        self.transducer = MergeTransducer(ranks)
+        self.transducer = MergeTransducer(ranks, memory)
         self._split = PieceSplitter(pattern)
-        self._cache = _PieceCache(self.transducer)
+        self._cache = _PieceCache(self.transducer, memory // 4)
         size = max(ranks.values()) + 1
         table_ = [b""] * size
         for raw, rank in ranks.items():
@@ -300,28 +302,29 @@ class ByteBpe:
         return "".join(map(machine.feed, self.decode_bytes(np.asarray(ids, "<u4").tobytes()))) + machine.finish()
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+_LOADED: dict[tuple[str, str, int], ByteBpe] = {}
 
 
-def codec(name_or_path: str, pattern: str | None = None) -> ByteBpe:
+def codec(name_or_path: str, pattern: str | None = None, memory: int = MEMORY) -> ByteBpe:
     """The codec of a public rank file (its name, or any path), loaded once in each Python process."""
     import public_tokenizers
 
     pattern = pattern or public_tokenizers.PATTERN
-    key = (name_or_path, pattern)
+    key = (name_or_path, pattern, memory)
     if key not in _LOADED:
         path = name_or_path if "/" in name_or_path else public_tokenizers.path(name_or_path)
-        _LOADED[key] = ByteBpe(path, pattern)
+        _LOADED[key] = ByteBpe(path, pattern, memory)
     return _LOADED[key]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False, decode: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False, decode: bool = True, memory: int = MEMORY) -> DataFrame:
     """Columns ``keep`` of every row, then ``ids`` (array<int>) and, unless ``decode`` is false, ``decoded`` (string).
 
     ``digests_only`` gives n_tokens, ids_sha256 and decoded_sha256 of the same ids and decoded bytes instead, so that
     the arrays never leave the worker.  A null or empty text has no ids; every other column may be null; repeated rows
     give repeated results; an empty table gives no row; a column of ``keep`` that has a result's name goes out with
-    ``_input`` added.  Each row is worked on alone: no shuffle, and memory in proportion to one text.
+    ``_input`` added.  Each row is worked on alone: no shuffle, and memory in proportion to one text beside ``memory``
+    for what a worker remembers, on which results do not depend.
     """
     results = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests_only else {"ids": pa.list_(pa.int32())} | ({"decoded": pa.string()} if decode else {})
     columns, names, schema = kept_columns(docs, keep, results)
@@ -335,7 +338,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tikt
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), sha.hexdigest()
 
     def run(batches):
-        bpe = codec(vocabulary)
+        bpe = codec(vocabulary, memory=memory)
         for batch in batches:
             for lo, hi in sub_batches(batch.column(len(names)), EMIT_BYTES):
                 part = batch.slice(lo, hi - lo)
