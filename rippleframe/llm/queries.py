@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, compaction, decontaminate, html_text, near_dedup, pii, quality, repeats, url_filter, warc
+from . import bpe, compaction, decontaminate, html_text, near_dedup, pii, quality, repeats, url_filter, warc, word_bpe
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_html_text": html_text.op10_html_text,
+    "op11_word_bpe": word_bpe.op11_word_bpe,
 }
 
 ORACLE_SQL = {
