@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, compaction, decontaminate, html_text, near_dedup, pii, quality, repeats, url_filter, warc, word_bpe
+from . import bpe, collocations, compaction, conversations, decontaminate, html_text, near_dedup, pii, quality, repeats, url_filter, warc, word_bpe
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
     "op11_word_bpe": word_bpe.op11_word_bpe,
     "op12_collocations": collocations.op12_collocations,
+    "op13_repair": conversations.op13_repair,
 }
 
 ORACLE_SQL = {
     "op3_url_filter": url_filter.OP3_SQL,
     "op7_warc": warc.OP7_SQL,
     "op12_collocations": collocations.OP12_SQL,
+    "op13_repair": conversations.OP13_SQL,
 }
