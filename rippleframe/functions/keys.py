@@ -146,8 +146,9 @@ def compare_versions(a: Column, b: Column) -> Column:
 
 def jdk_in_range(condition: Column, jdk: Column) -> Column:
     """``[a,b)`` ranges with open ends; otherwise a string prefix; a leading ``!`` negates either."""
-    bare = F.regexp_replace(condition, "^!", "")
-    is_range = bare.rlike(r"^[\[(].*,.*[\])]$")
+    condition = F.trim(condition)
+    bare = F.trim(F.regexp_replace(condition, "^!", ""))
+    is_range = bare.rlike(r"^[\[(][^,]*,[^,]*[\])]$")
     low = F.trim(F.regexp_extract(bare, r"^[\[(]([^,]*),", 1))
     high = F.trim(F.regexp_extract(bare, r",([^,]*)[\])]$", 1))
     below, above = compare_versions(jdk, low), compare_versions(jdk, high)
@@ -156,11 +157,34 @@ def jdk_in_range(condition: Column, jdk: Column) -> Column:
     return F.when(condition.startswith("!"), ~fits).otherwise(fits)
 
 
-def os_matches(condition: Column, actual: Column) -> Column:
-    """case-blind equality, ``!`` negates, ``regex:`` patterns must fit the whole value."""
-    bare = F.regexp_replace(condition, "^!", "")
-    fits = F.when(bare.startswith("regex:"), F.expr("false") | F.regexp_like(actual, F.concat(F.lit("^(?:"), F.substring(bare, 7, 1 << 20), F.lit(")$")))).otherwise(F.lower(bare) == F.lower(actual))
-    return F.when(condition.startswith("!"), ~fits).otherwise(fits)
+def os_value(condition: Column, actual: Column) -> Column:
+    """case-blind equality, a leading ``!`` negates; a blank condition, or none, asks nothing."""
+    wanted, found = F.lower(F.coalesce(condition, F.lit(""))), F.lower(F.coalesce(actual, F.lit("")))
+    return F.when(F.trim(wanted) == "", True).when(wanted.startswith("!"), F.substring(wanted, 2, 1 << 20) != found).otherwise(wanted == found)
+
+
+def os_version(condition: Column, actual: Column) -> Column:
+    """as ``os_value``; a pattern behind ``regex:`` must fit the whole lower-cased version."""
+    pattern = F.substring(condition, 7, 1 << 20)
+    return F.when(F.lower(condition).startswith("regex:"), F.regexp_like(F.lower(F.coalesce(actual, F.lit(""))), F.concat(F.lit(r"\A(?:"), pattern, F.lit(r")\z")))).otherwise(os_value(condition, actual))
+
+
+# --- fixed values: what a system's lower-cased name holds if it is of a family, and what it must not hold ---------------
+OS_FAMILIES = {"windows": [["windows"]], "win9x": [["windows", "95"], ["windows", "98"], ["windows", "me"], ["windows", "ce"]], "dos": [["dos"]], "mac": [["mac"]]}
+NOT_UNIX = ["windows", "openvms", "os/2"]
+# ---------------------------------------------------------------------------------------------------------------------
+
+
+def os_family(condition: Column, name: Column) -> Column:
+    """whether a system of this name is of the family; ``!`` negates, a blank family asks nothing, a family of no
+    fixed meaning is looked for in the name."""
+    asked, found = F.lower(F.coalesce(condition, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    family = F.when(asked.startswith("!"), F.substring(asked, 2, 1 << 20)).otherwise(asked)
+    fits = F.when(family == "unix", ~reduce(lambda x, y: x | y, [found.contains(w) for w in NOT_UNIX]))
+    for known, ways in OS_FAMILIES.items():
+        fits = fits.when(family == known, reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [found.contains(w) for w in way]) for way in ways]))
+    fits = fits.otherwise(found.contains(family))
+    return F.when(F.trim(asked) == "", True).when(asked.startswith("!"), ~fits).otherwise(fits)
 
 
 def search_text(*columns: Column) -> Column:

@@ -1,7 +1,7 @@
 """Graph operators: reachability, first-discoverer paths, components, validation, call graphs.
 
 Modules are independent graphs.  Everything that may be as large as a module is set-based: a level or a round is one
-join, with its lineage cut by checkpoints.  A group at a time is worked on only where its size is known to be small: the
+join, written as a step of its own.  A group at a time is worked on only where its size is known to be small: the
 occurrence graphs of one document each, and for components the modules of at most ``SMALL_MODULE`` edges and nodes,
 which are counted first; both ways are exact.
 """
@@ -15,20 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .steps import forget, step
 
 #: Edges and nodes of a module whose components one task finds (a few MB).
 SMALL_MODULE = 200_000
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rippleframe-"))
-    return df.checkpoint()
-
-
 def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
     """(seed, node, level): every node that a seed reaches over (src, dst), and its distance.
 
@@ -36,14 +28,11 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFram
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
-    frontier = _checkpoint(seeds.select("node").distinct()).select(F.col("node").alias("seed"), "node", F.lit(0).alias("level"))
-    found = frontier
+    levels = _Levels(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("level")).distinct())
     for level in count(1):
-        step = frontier.join(steps, "node").select("seed", F.col("_next").alias("node")).distinct().join(found, ["seed", "node"], "left_anti")
-        frontier = _checkpoint(step.withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            return found
-        found = _checkpoint(found.union(frontier))
+        levels.add(levels.last.join(steps, "node").select("seed", F.col("_next").alias("node")).distinct().join(levels.all(), ["seed", "node"], "left_anti").withColumn("level", F.lit(level)))
+        if levels.last.isEmpty():
+            return levels.all()
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -52,12 +41,12 @@ def simple_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     Paths grow by one caller in each round until none can; a node that is on a path already ends it.
     """
     callers = edges.select(F.col("dst").alias("node"), F.col("src").alias("_caller")).distinct()
-    open_paths = _checkpoint(seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path")).distinct())
+    open_paths = step(seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path")).distinct())
     ended = []
     while not open_paths.isEmpty():
-        ended.append(_checkpoint(open_paths.join(callers.select("node"), "node", "left_anti").select("seed", "path")))
+        ended.append(step(open_paths.join(callers.select("node"), "node", "left_anti").select("seed", "path")))
         longer = open_paths.join(callers, "node").where(~F.array_contains("path", F.col("_caller")))
-        open_paths = _checkpoint(longer.select("seed", F.col("_caller").alias("node"), F.array_prepend("path", F.col("_caller")).alias("path")))
+        open_paths = step(longer.select("seed", F.col("_caller").alias("node"), F.array_prepend("path", F.col("_caller")).alias("path")))
     return reduce(DataFrame.union, ended) if ended else open_paths.select("seed", "path")
 
 
@@ -70,32 +59,48 @@ def _adjacency(pdf: pd.DataFrame, reverse: bool) -> dict:
 
 
 def reverse_paths(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, pruned: DataFrame | None = None) -> DataFrame:
-    """(module, seed, node, level, next, path): breadth-first callers of each seed; ``next`` is the first discoverer.
+    """(module, seed, node, level, next): breadth-first callers of each seed; ``next`` is the first discoverer.
 
     Callers are visited in the order of (method, node) of ``nodes`` (module, node, method, synthetic), or of the node
     alone; synthetic nodes and the edges in ``pruned`` (module, caller_id, callee_id) are passed over.  The queue's order
-    within a level is that of the discoverers' own trails, so a node's first discoverer is the one with the least trail:
-    a minimum in each level's join stands for the queue.  ``path`` leads from the node to the seed.
+    is a number: a level's nodes stand in the order of (number of the discoverer, method, node), which a range sort of
+    the level turns into their own numbers.  A node's first discoverer is the one with the least number.
     """
     steps = edges.select("module", F.col("dst").alias("node"), F.col("src").alias("_caller")).distinct()
     if pruned is not None:
         steps = steps.join(pruned.select("module", F.col("caller_id").alias("_caller"), F.col("callee_id").alias("node")).distinct(), ["module", "_caller", "node"], "left_anti")
     if nodes is None:
-        steps = steps.withColumn("_order", F.struct(F.lit("").alias("method"), F.col("_caller").alias("node")))
+        steps = steps.withColumn("_method", F.lit(""))
     else:
-        known = nodes.where("NOT synthetic").select("module", F.col("node").alias("_caller"), F.struct("method", "node").alias("_order"))
+        known = nodes.where("NOT synthetic").select("module", F.col("node").alias("_caller"), F.col("method").alias("_method"))
         steps = steps.join(known, ["module", "_caller"])
-    steps = _checkpoint(steps)
-    trail = F.array(F.struct(F.lit("").alias("method"), F.col("node")))
-    frontier = _checkpoint(seeds.select("module", F.col("node").alias("seed"), "node", F.lit(0).alias("level"), F.lit(None).cast(seeds.schema["node"].dataType).alias("next"), trail.alias("_trail")).distinct())
-    found = frontier
+    steps = step(steps)
+    columns = ["module", "seed", "node", "level", "next", "_number"]
+    levels = _Levels(seeds.select("module", F.col("node").alias("seed"), "node", F.lit(0).alias("level"), F.lit(None).cast(seeds.schema["node"].dataType).alias("next"), F.lit(0).cast("long").alias("_number")).distinct())
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for level in count(1):
-        callers = frontier.join(steps, ["module", "node"]).groupBy("module", "seed", "_caller").agg(F.min(F.struct("_trail", "node")).alias("_first"), F.first("_order").alias("_order"))
-        new = callers.withColumnRenamed("_caller", "node").join(found.select("module", "seed", "node"), ["module", "seed", "node"], "left_anti")
-        frontier = _checkpoint(new.select("module", "seed", "node", F.lit(level).alias("level"), F.col("_first.node").alias("next"), F.concat("_first._trail", F.array("_order")).alias("_trail")))
-        if frontier.isEmpty():
-            return found.select("module", "seed", "node", "level", "next", F.reverse(F.transform("_trail", lambda x: x["node"])).alias("path"))
-        found = _checkpoint(found.union(frontier))
+        first = F.min(F.struct("_number", "node")).alias("_first")
+        callers = levels.last.join(steps, ["module", "node"]).groupBy("module", "seed", "_caller").agg(first, F.first("_method").alias("_method")).withColumnRenamed("_caller", "node")
+        new = step(callers.join(levels.all(), ["module", "seed", "node"], "left_anti"))
+        order = ["module", "seed", "_first._number", "_method", "node"]
+        numbered = new.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_number", F.monotonically_increasing_id())
+        levels.add(numbered.select("module", "seed", "node", F.lit(level).alias("level"), F.col("_first.node").alias("next"), "_number").select(*columns))
+        forget(new)
+        if levels.last.isEmpty():
+            return levels.all().drop("_number")
+
+
+def follow(pointers: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, node, path): the nodes from each start (*keys, node) along ``pointers`` (*keys, node, next) to their end.
+
+    A round moves all starts by one pointer and writes only the nodes it has reached; paths are put together once.
+    """
+    ahead = pointers.where("next IS NOT NULL").select(*keys, F.col("node").alias("_at"), "next")
+    levels = _Levels(starts.select(*keys, "node", F.col("node").alias("_at"), F.lit(0).alias("_hop")).distinct())
+    while not levels.last.isEmpty():
+        levels.add(levels.last.join(ahead, [*keys, "_at"]).select(*keys, "node", F.col("next").alias("_at"), (F.col("_hop") + 1).alias("_hop")))
+    hops = F.sort_array(F.collect_list(F.struct("_hop", "_at")))
+    return levels.all().groupBy(*keys, "node").agg(F.transform(hops, lambda x: x["_at"]).alias("path"))
 
 
 def _kind(rows: DataFrame) -> str:
@@ -151,8 +156,8 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     rows = edges.select("module", "src", "dst", F.lit(True).alias("edge")).distinct()
     if nodes is not None:
         rows = rows.union(nodes.select("module", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(False)).distinct())
-    rows = _checkpoint(rows)
-    large = _checkpoint(rows.groupBy("module").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_MODULE).select("module"))
+    rows = step(rows)
+    large = step(rows.groupBy("module").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_MODULE).select("module"))
     if large.isEmpty():
         return _small_components(rows)
     inside = rows.join(large, "module", "left_semi")
@@ -182,42 +187,42 @@ def _large_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = edges.select("module", "src", "dst").distinct()
     loops = pairs.where("src = dst").select("module", F.col("src").alias("node"), F.lit(True).alias("_loop"))
     ends = pairs.select("module", F.col("src").alias("node")).union(pairs.select("module", F.col("dst").alias("node")))
-    live = _checkpoint(ends.union(nodes.select(*key)).distinct())
-    links = _checkpoint(pairs.where("src <> dst"))
+    live = step(ends.union(nodes.select(*key)).distinct())
+    links = step(pairs.where("src <> dst"))
     settled = []
 
     def within(links, live):
         kept = links.join(live.select("module", F.col("node").alias("src")), ["module", "src"], "left_semi")
-        return _checkpoint(kept.join(live.select("module", F.col("node").alias("dst")), ["module", "dst"], "left_semi").select("module", "src", "dst"))
+        return step(kept.join(live.select("module", F.col("node").alias("dst")), ["module", "dst"], "left_semi").select("module", "src", "dst"))
 
     while not live.isEmpty():
         while True:
             inner = live.join(links.select("module", F.col("dst").alias("node")).distinct(), key, "left_semi").join(links.select("module", F.col("src").alias("node")).distinct(), key, "left_semi")
-            inner = _checkpoint(inner)
-            gone = _checkpoint(live.join(inner, key, "left_anti"))
+            inner = step(inner)
+            gone = step(live.join(inner, key, "left_anti"))
             if gone.isEmpty():
                 break
             settled.append(gone.withColumn("component", F.col("node")))
             live, links = inner, within(links, inner)
         if live.isEmpty():
             break
-        named = _checkpoint(live.withColumn("_least", F.col("node")))
+        named = step(live.withColumn("_least", F.col("node")))
         fresh = named
         while not fresh.isEmpty():
             sent = fresh.withColumnRenamed("node", "src").join(links, ["module", "src"]).groupBy("module", F.col("dst").alias("node")).agg(F.min("_least").alias("_sent"))
-            fresh = _checkpoint(sent.join(named, key).where("_sent < _least").select(*key, F.col("_sent").alias("_least")))
+            fresh = step(sent.join(named, key).where("_sent < _least").select(*key, F.col("_sent").alias("_least")))
             changed = named.join(fresh.withColumnRenamed("_least", "_new"), key, "left")
-            named = _checkpoint(changed.select(*key, F.coalesce("_new", "_least").alias("_least")))
-        back = _checkpoint(named.where("node = _least"))
+            named = step(changed.select(*key, F.coalesce("_new", "_least").alias("_least")))
+        back = step(named.where("node = _least"))
         members = back
         alike = links.join(named.select("module", F.col("node").alias("src"), F.col("_least").alias("_a")), ["module", "src"]).join(named.select("module", F.col("node").alias("dst"), F.col("_least").alias("_b")), ["module", "dst"])
-        alike = _checkpoint(alike.where("_a = _b").select("module", "src", "dst", F.col("_a").alias("_least")))
+        alike = step(alike.where("_a = _b").select("module", "src", "dst", F.col("_a").alias("_least")))
         while not back.isEmpty():
-            step = back.withColumnRenamed("node", "dst").join(alike, ["module", "dst", "_least"]).select("module", F.col("src").alias("node"), "_least").distinct()
-            back = _checkpoint(step.join(members, [*key, "_least"], "left_anti"))
-            members = _checkpoint(members.union(back))
+            before = back.withColumnRenamed("node", "dst").join(alike, ["module", "dst", "_least"]).select("module", F.col("src").alias("node"), "_least").distinct()
+            back = step(before.join(members, [*key, "_least"], "left_anti"))
+            members = step(members.union(back))
         settled.append(members.select(*key, F.col("_least").alias("component")))
-        live = _checkpoint(live.join(members, key, "left_anti"))
+        live = step(live.join(members, key, "left_anti"))
         links = within(links, live)
     if not settled:
         found = live.withColumn("component", F.col("node"))
@@ -228,16 +233,107 @@ def _large_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("module", "node", "component", "size", ((F.col("size") > 1) | F.coalesce("_loop", F.lit(False))).alias("cyclic"))
 
 
+def reached(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), reverse: bool = False) -> DataFrame:
+    """(*keys, node): what any of ``seeds`` (*keys, node) reaches over ``edges`` (*keys, src, dst), the seeds included.
+
+    Nodes alone are carried, and each level is a step of its own: a node is met once, however many seeds lead to it.
+    """
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    on = [*keys, "node"]
+    steps = edges.select(*keys, F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
+    levels = _Levels(seeds.select(*on).distinct())
+    while not levels.last.isEmpty():
+        levels.add(levels.last.join(steps, on).select(*keys, F.col("_next").alias("node")).distinct().join(levels.all(), on, "left_anti"))
+    return levels.all()
+
+
+class _Levels:
+    """The levels of a walk, each written once; eight of a size become one, so what is read stays a short union."""
+
+    def __init__(self, first: DataFrame):
+        self._pieces: list[tuple[int, DataFrame]] = []
+        self.add(first)
+
+    def add(self, level: DataFrame) -> None:
+        self.last = step(level)
+        self._pieces.append((0, self.last))
+        while len(self._pieces) >= 8 and self._pieces[-8][0] == self._pieces[-1][0]:
+            tier, merged = self._pieces[-1][0] + 1, step(reduce(DataFrame.union, [x for _, x in self._pieces[-8:]]))
+            if any(x is self.last for _, x in self._pieces[-8:]):
+                old, self._pieces[-8:] = self._pieces[-8:-1], [(tier, merged)]
+                forget(*(x for _, x in old))
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, [x for _, x in self._pieces])
+
+
+def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(module, src, dst): distinct edges between different components, named by their smallest nodes."""
+    of = components.select("module", "node", "component")
+    inner = edges.join(of.withColumnsRenamed({"node": "src", "component": "_a"}), ["module", "src"]).join(of.withColumnsRenamed({"node": "dst", "component": "_b"}), ["module", "dst"])
+    return inner.where("_a <> _b").select("module", F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct()
+
+
 def source_components(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Components that no edge enters from outside."""
-    of = components.select("module", "node", "component")
-    inner = edges.join(of.withColumnsRenamed({"node": "src", "component": "c_src"}), ["module", "src"]).join(of.withColumnsRenamed({"node": "dst", "component": "c_dst"}), ["module", "dst"])
-    entered = inner.where("c_src <> c_dst").select("module", F.col("c_dst").alias("component")).distinct()
+    entered = condensation(edges, components).select("module", F.col("dst").alias("component")).distinct()
     return components.select("module", "component", "size", "cyclic").groupBy("module", "component").agg(F.max("size").alias("size"), F.bool_or("cyclic").alias("cyclic")).join(entered, ["module", "component"], "left_anti")
 
 
+def traced_edges(edges: DataFrame, nodes: DataFrame, pruned: DataFrame | None = None) -> DataFrame:
+    """(module, src, dst): the calls that a reverse walk follows: without synthetic callers and without ``pruned``
+    (module, caller_id, callee_id)."""
+    kept = edges.select("module", "src", "dst").distinct()
+    if pruned is not None:
+        kept = kept.join(pruned.select("module", F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")).distinct(), ["module", "src", "dst"], "left_anti")
+    return kept.join(nodes.where("NOT synthetic").select("module", F.col("node").alias("src")), ["module", "src"], "left_semi")
+
+
+def seed_roots(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, pruned: DataFrame | None = None) -> DataFrame:
+    """(module, seed, component, root, root_method, cycle): the impact roots of every seed.
+
+    ``edges`` (module, src, dst) is the whole call graph, ``nodes`` has module, node, method, origin, is_entrypoint and
+    synthetic, ``seeds`` module and node.  A seed's trace is all that reaches it over ``traced_edges``.  A trace holds
+    every caller of its nodes, so it is a union of whole components of the module, and what enters a component is the
+    same in every trace: components and their sources are found once, and a seed only decides which of them it sees.
+    A root is the least entry point of a source component with PROJECT nodes, else its least PROJECT node, by (method,
+    node).  A component that is no cycle goes for a seed whose trace has a PROJECT node of the root's method with a
+    caller.  Repeated seeds count once; seeds without callers are their own trace.
+    """
+    graph = step(traced_edges(edges, nodes, pruned))
+    seeds = seeds.select("module", "node").distinct()
+    components = step(strong_components(graph, nodes.select("module", "node").union(seeds)))
+    links = step(condensation(graph, components))
+    own = components.join(nodes.where("origin = 'PROJECT'").select("module", "node", "method", "is_entrypoint"), ["module", "node"])
+    sources = own.join(links.select("module", F.col("dst").alias("component")).distinct(), ["module", "component"], "left_anti")
+    least = F.min(F.struct(~F.col("is_entrypoint"), F.col("method"), F.col("node"))).alias("r")
+    roots = sources.groupBy("module", "component").agg(least, F.bool_or("cyclic").alias("cycle"))
+    roots = step(roots.select("module", "component", F.col("r.node").alias("root"), F.col("r.method").alias("root_method"), "cycle"))
+    # where a method that is the root of no cycle has a caller, and whether a seed sees that place
+    asked = roots.where("NOT cycle").select("module", F.col("root_method").alias("method")).distinct()
+    called = own.join(graph.select("module", F.col("dst").alias("node")).distinct(), ["module", "node"], "left_semi").join(asked, ["module", "method"]).select("module", "component", F.col("method").alias("root_method")).distinct()
+    placed = step(seeds.join(components.select("module", "node", "component"), ["module", "node"]).select("module", F.col("node").alias("seed"), F.col("component").alias("goal")))
+    # only components on a way to a root or a called method matter, and seeds of one component share a walk
+    ends = roots.select("module", F.col("component").alias("node")).union(called.select("module", F.col("component").alias("node")))
+    useful = reached(links, ends, ("module",))
+    steps = links.join(useful.withColumnRenamed("node", "src"), ["module", "src"], "left_semi").select("module", F.col("dst").alias("component"), F.col("src").alias("_above"))
+    on = ["module", "goal", "component"]
+    goals = placed.select("module", "goal", F.col("goal").alias("component")).distinct()
+    levels = _Levels(goals.join(useful.withColumnRenamed("node", "component"), ["module", "component"], "left_semi").select(*on))
+    while not levels.last.isEmpty():
+        above = levels.last.join(steps, ["module", "component"]).select("module", "goal", F.col("_above").alias("component")).distinct()
+        levels.add(above.join(levels.all(), on, "left_anti"))
+    seen = levels.all()
+    found = seen.join(roots, ["module", "component"])
+    elsewhere = seen.join(called, ["module", "component"]).select("module", "goal", "root_method").distinct()
+    kept = found.where("cycle").select(*on, "root", "root_method", "cycle").union(found.where("NOT cycle").join(elsewhere, ["module", "goal", "root_method"], "left_anti").select(*on, "root", "root_method", "cycle"))
+    return placed.join(kept, ["module", "goal"]).select("module", "seed", "component", "root", "root_method", "cycle")
+
+
 def impact_roots(edges: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(module, component, root, root_method, cycle) of the source components that hold PROJECT nodes.
+    """G10 of one trace: (module, component, root, root_method, cycle) of the source components that hold PROJECT nodes.
+
+    ``edges`` and ``nodes`` are those of a single seed's trace in each module; several seeds go to ``seed_roots``.
 
     The root is an entry point if there is one, else any PROJECT node, the least by (method, node).  A component that is
     no cycle goes if its root's method is called elsewhere: if another PROJECT node of that method has a predecessor.
@@ -258,11 +354,13 @@ def root_paths(reverse: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFr
     ``reverse`` is of ``reverse_paths``, ``roots`` (module, seed, root, root_method, cycle).  Of several roots of one
     method the first in the order of nodes stands; a path is DIRECT if its seed is PROJECT code, else TRANSITIVE.
     """
-    found = roots.join(reverse.select("module", "seed", F.col("node").alias("root"), "path"), ["module", "seed", "root"])
+    known = roots.join(reverse.select("module", "seed", F.col("node").alias("root")), ["module", "seed", "root"], "left_semi")
     kind = F.when(F.col("cycle"), "STRONGLY_CONNECTED_COMPONENT").otherwise("METHOD")
-    first = found.groupBy("module", "seed", "root_method").agg(F.min_by(F.struct("root", "path", kind.alias("root_kind")), "root").alias("r"))
+    first = step(known.groupBy("module", "seed", "root_method").agg(F.min(F.struct("root", kind.alias("root_kind"))).alias("r")).select("module", "seed", "root_method", "r.*"))
+    paths = follow(reverse.select("module", "seed", "node", "next"), first.select("module", "seed", F.col("root").alias("node")), ["module", "seed"])
+    first = first.join(paths.withColumnRenamed("node", "root"), ["module", "seed", "root"])
     origin = nodes.select("module", F.col("node").alias("seed"), F.when(F.col("origin") == "PROJECT", "DIRECT").otherwise("TRANSITIVE").alias("classification"))
-    return first.join(origin, ["module", "seed"]).select("module", "seed", "root_method", "r.root", "r.path", "classification", "r.root_kind")
+    return first.join(origin, ["module", "seed"]).select("module", "seed", "root_method", "root", "path", "classification", "root_kind")
 
 
 def validate_occurrence_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -317,9 +415,8 @@ def call_graph(sites: DataFrame, methods: DataFrame, subtypes: DataFrame, entryp
     if providers is not None:
         candidates = candidates.union(providers.select(F.col("caller").alias("src"), F.col("constructor").alias("dst")))
     leaves = methods.where("origin = 'JDK' OR no_op").select(F.col("node").alias("src"))
-    live = _checkpoint(candidates.distinct().join(leaves, "src", "left_anti"))
-    reached = reach(live, entrypoints.select("node")).select(F.col("node").alias("src")).distinct()
-    return live.join(reached, "src", "left_semi").select("src", "dst")
+    live = step(candidates.distinct().join(leaves, "src", "left_anti"))
+    return live.join(reached(live, entrypoints).withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
 
 
 def closure(pairs: DataFrame) -> DataFrame:
@@ -338,12 +435,12 @@ def retained_ancestors(types: DataFrame, parents: DataFrame) -> DataFrame:
     open_types = types.where("origin NOT IN ('JDK', 'SYNTHETIC')")
     start = open_types.where("origin IN ('PROJECT', 'REACTOR_DEPENDENCY') OR (origin = 'DEPENDENCY' AND body = 'REAL_IR')").select("name")
     up = parents.join(open_types.select(F.col("name").alias("super")), "super", "left_semi").select("sub", "super")
-    frontier = _checkpoint(up.join(start.withColumnRenamed("name", "sub"), "sub", "left_semi").select(F.col("super").alias("name")).distinct())
+    frontier = step(up.join(start.withColumnRenamed("name", "sub"), "sub", "left_semi").select(F.col("super").alias("name")).distinct())
     seen = frontier
     while not frontier.isEmpty():
-        step = up.join(frontier.withColumnRenamed("name", "sub"), "sub", "left_semi").select(F.col("super").alias("name")).distinct()
-        frontier = _checkpoint(step.join(seen, "name", "left_anti"))
-        seen = _checkpoint(seen.union(frontier))
+        above = up.join(frontier.withColumnRenamed("name", "sub"), "sub", "left_semi").select(F.col("super").alias("name")).distinct()
+        frontier = step(above.join(seen, "name", "left_anti"))
+        seen = step(seen.union(frontier))
     return open_types.where("origin = 'DEPENDENCY' AND body = 'NO_OP'").select("name").join(seen, "name", "left_semi")
 
 
@@ -352,11 +449,11 @@ def preorder(nodes: DataFrame) -> DataFrame:
 
     A node's place is the array of the sibling positions from the root down: arrays sort as the walk visits.
     """
-    frontier = _checkpoint(nodes.where("parent IS NULL").select("module", "node", F.lit(0).alias("depth"), F.array("ord").alias("place")))
+    frontier = step(nodes.where("parent IS NULL").select("module", "node", F.lit(0).alias("depth"), F.array("ord").alias("place")))
     found = [frontier]
     children = nodes.where("parent IS NOT NULL").select("module", F.col("parent").alias("_above"), "node", "ord")
     while not frontier.isEmpty():
         above = frontier.select("module", F.col("node").alias("_above"), "depth", "place")
-        frontier = _checkpoint(children.join(above, ["module", "_above"]).select("module", "node", (F.col("depth") + 1).alias("depth"), F.array_append("place", F.col("ord")).alias("place")))
+        frontier = step(children.join(above, ["module", "_above"]).select("module", "node", (F.col("depth") + 1).alias("depth"), F.array_append("place", F.col("ord")).alias("place")))
         found.append(frontier)
     return reduce(DataFrame.union, found)

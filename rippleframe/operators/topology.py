@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _checkpoint
+from .graph import _Levels, follow
+from .steps import step
 
 #: Fixed value: how many nodes and related methods a ranking shows.
 RANK_LIMIT = 10
@@ -46,20 +45,14 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> Da
     Distances come from a reverse walk of all targets at once; then each path takes, of the successors that are one step
     nearer, the smallest.
     """
-    links = _checkpoint(edges.select("module", "src", "dst").distinct())
-    frontier = _checkpoint(targets.select("module", F.col("node").alias("target"), "node", F.lit(0).alias("distance")).distinct())
-    near = frontier
-    while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("node", "dst").join(links, ["module", "dst"]).select("module", "target", F.col("src").alias("node"), (F.col("distance") + 1).alias("distance")).distinct()
-        frontier = _checkpoint(step.join(near, ["module", "target", "node"], "left_anti"))
-        near = _checkpoint(near.union(frontier))
-    started = near.join(roots.select("module", "node"), ["module", "node"], "left_semi")
-    walk = _checkpoint(started.select("module", F.col("node").alias("root"), "target", "distance", F.col("node").alias("_at"), F.col("distance").alias("_left"), F.array("node").alias("path")))
-    done = []
-    while not walk.isEmpty():
-        done.append(walk.where("_left = 0").select("module", "root", "target", "distance", "path"))
-        nearer = near.select("module", "target", F.col("node").alias("dst"), F.col("distance").alias("_left"))
-        going = walk.where("_left > 0").withColumn("_left", F.col("_left") - 1).join(links.withColumnRenamed("src", "_at"), ["module", "_at"]).join(nearer, ["module", "target", "dst", "_left"])
-        walk = _checkpoint(going.groupBy("module", "root", "target", "distance", "_left", "path").agg(F.min("dst").alias("_at")).withColumn("path", F.array_append("path", F.col("_at"))))
-        walk = walk.select("module", "root", "target", "distance", "_at", "_left", "path")
-    return reduce(DataFrame.union, done) if done else walk.select("module", "root", "target", "distance", "path")
+    links = step(edges.select("module", "src", "dst").distinct())
+    on = ["module", "target", "node"]
+    levels = _Levels(targets.select("module", F.col("node").alias("target"), "node", F.lit(0).alias("distance")).distinct())
+    while not levels.last.isEmpty():
+        above = levels.last.withColumnRenamed("node", "dst").join(links, ["module", "dst"]).select("module", "target", F.col("src").alias("node"), (F.col("distance") + 1).alias("distance")).distinct()
+        levels.add(above.join(levels.all(), on, "left_anti"))
+    near = levels.all()
+    nearer = near.select("module", "target", F.col("node").alias("dst"), (F.col("distance") + 1).alias("distance"))
+    pointers = step(near.join(links.withColumnRenamed("src", "node"), ["module", "node"]).join(nearer, ["module", "target", "dst", "distance"]).groupBy(*on).agg(F.min("dst").alias("next")))
+    started = step(near.join(roots.select("module", "node"), ["module", "node"], "left_semi"))
+    return started.join(follow(pointers, started, ["module", "target"]), on).select("module", F.col("node").alias("root"), "target", "distance", "path")

@@ -62,11 +62,21 @@ def f16_properties(spark, sf):
     return _part(spark, sf).select("p_partkey", (size % 5).alias("k"), K.property_active(condition, wanted, actual).alias("active"))
 
 
-@query("f18_systems", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_partkey % 2 = 0 WHEN 1 THEN p_partkey % 2 <> 0 WHEN 2 THEN true ELSE p_partkey % 2 = 0 END AS fits FROM part""")
+_SYSTEMS = ["Linux", "Windows 98", "Mac OS X", "OpenVMS", "FreeBSD", "Windows 11", "OS/2", "MS-DOS"]
+_FAMILIES = ["unix", "Windows", "!unix", "win9x", "mac", "dos", " ", "bsd", "!win9x", None]
+
+
+@query("f18_systems", """, n AS (SELECT p_partkey, lower(['Linux', 'Windows 98', 'Mac OS X', 'OpenVMS', 'FreeBSD', 'Windows 11', 'OS/2', 'MS-DOS'][1 + p_partkey % 8]) AS s, p_size % 10 AS f, concat('10.', p_size % 4) AS v, p_retailprice::bigint % 5 AS k FROM part)
+SELECT p_partkey, CASE f WHEN 0 THEN s NOT LIKE '%windows%' AND s NOT IN ('openvms', 'os/2') WHEN 1 THEN s LIKE '%windows%' WHEN 2 THEN s LIKE '%windows%' OR s IN ('openvms', 'os/2') WHEN 3 THEN s = 'windows 98' WHEN 4 THEN s = 'mac os x' WHEN 5 THEN s = 'ms-dos' WHEN 7 THEN s = 'freebsd' WHEN 8 THEN s <> 'windows 98' ELSE true END AS of_family,
+  CASE k WHEN 0 THEN s = 'linux' WHEN 1 THEN s <> 'linux' ELSE true END AS of_name, CASE k WHEN 0 THEN v = '10.1' WHEN 1 THEN v <> '10.1' WHEN 2 THEN v IN ('10.1', '10.2') WHEN 3 THEN v = '10.3' ELSE true END AS of_version FROM n""".replace(", n AS", "WITH n AS", 1))
 def f18_systems(spark, sf):
-    kind = F.col("p_size") % 4
-    condition = F.when(kind == 0, "LINUX").when(kind == 1, "!linux").when(kind == 2, "regex:[A-Z].*").otherwise("regex:L.*x")
-    return _part(spark, sf).select("p_partkey", K.os_matches(condition, F.when(F.col("p_partkey") % 2 == 0, "Linux").otherwise("Mac OS X")).alias("fits"))
+    pick = lambda values, at: F.element_at(F.array(*(F.lit(v) for v in values)), at.cast("int") + 1)
+    kind = F.col("p_retailprice").cast("bigint") % 5
+    name, version = pick(_SYSTEMS, F.col("p_partkey") % 8), F.concat(F.lit("10."), (F.col("p_size") % 4).cast("string"))
+    return _part(spark, sf).select(
+        "p_partkey", K.os_family(pick(_FAMILIES, F.col("p_size") % 10), name).alias("of_family"), K.os_value(pick(["LINUX", "!Linux", "", " ", None], kind), name).alias("of_name"),
+        K.os_version(pick(["10.1", "!10.1", "regex:10\\.[12]", "REGEX:.*3", None], kind), version).alias("of_version"),
+    )
 
 
 @query("f15_profiles", """WITH p AS (SELECT p_size AS pom, p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'INACTIVE' WHEN 1 THEN 'ACTIVE' END AS forced, p_partkey % 7 < 2 AS by_default, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN p_partkey % 13 = 0 ELSE p_partkey % 17 = 0 END AS own FROM part),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.keys import jdk_excluded
 from ..operators import graph, impact, ownership, reactor, seeds, selection, topology
@@ -89,6 +90,34 @@ FROM p JOIN w ON w.module = p.module AND w.node = p.here AND w.next IS NULL JOIN
 )
 
 
+# several seeds a module: the first five nodes and every one that ends in 7, each with a trace of its own
+_SEEDS = """sd AS MATERIALIZED (SELECT module, node FROM (SELECT module, node, row_number() OVER (PARTITION BY module ORDER BY node) AS nth FROM flow_node) x WHERE nth <= 5 OR node % 100 = 7),
+e AS MATERIALIZED (SELECT f.module, f.src, f.dst FROM flow f JOIN flow_node g ON g.module = f.module AND g.node = f.src WHERE NOT g.synthetic),
+t(module, seed, node) AS (SELECT module, node, node FROM sd UNION SELECT t.module, t.seed, e.src FROM t JOIN e ON e.module = t.module AND e.dst = t.node),
+cyc(module, a, b) AS (SELECT module, src, dst FROM e UNION SELECT c.module, c.a, e.dst FROM cyc c JOIN e ON e.module = c.module AND e.src = c.b),
+x AS MATERIALIZED (SELECT p.module, p.a, p.b FROM cyc p JOIN cyc q ON q.module = p.module AND q.a = p.b AND q.b = p.a),
+cp AS MATERIALIZED (SELECT t.module, t.seed, t.node, least(t.node, coalesce(min(x.b), t.node)) AS component, count(x.b) > 0 AS cyclic FROM t LEFT JOIN x ON x.module = t.module AND x.a = t.node GROUP BY t.module, t.seed, t.node),
+inn AS MATERIALIZED (SELECT DISTINCT d.module, d.seed, d.node, d.component, s.component AS above FROM e JOIN cp d ON d.module = e.module AND d.node = e.dst JOIN cp s ON s.module = e.module AND s.seed = d.seed AND s.node = e.src),
+pj AS (SELECT c.module, c.seed, c.component, g.node, g.method, g.is_entrypoint, c.cyclic FROM cp c JOIN flow_node g ON g.module = c.module AND g.node = c.node AND g.origin = 'PROJECT'
+  WHERE NOT EXISTS (SELECT 1 FROM inn WHERE inn.module = c.module AND inn.seed = c.seed AND inn.component = c.component AND inn.above <> inn.component)),
+rt AS (SELECT module, seed, component, arg_min(node, CASE WHEN is_entrypoint THEN '0' ELSE '1' END || method || ' ' || lpad(CAST(node AS VARCHAR), 12, '0')) AS root, bool_or(cyclic) AS cycle FROM pj GROUP BY ALL),
+cl AS (SELECT DISTINCT inn.module, inn.seed, g.method FROM inn JOIN flow_node g ON g.module = inn.module AND g.node = inn.node AND g.origin = 'PROJECT')
+SELECT rt.module, rt.seed, rt.component, rt.root, g.method AS root_method, rt.cycle FROM rt JOIN flow_node g ON g.module = rt.module AND g.node = rt.root
+WHERE rt.cycle OR NOT EXISTS (SELECT 1 FROM cl WHERE cl.module = rt.module AND cl.seed = rt.seed AND cl.method = g.method)"""
+
+
+@query("g10_seed_roots")
+def g10_seed_roots(spark, sf):
+    """Roots of several seeds in each module, each judged by its own trace."""
+    edges, nodes = _flow(spark, sf)
+    nth = F.row_number().over(Window.partitionBy("module").orderBy("node"))
+    seeds_ = nodes.select("module", "node", nth.alias("nth")).where("nth <= 5 OR node % 100 = 7")
+    return graph.seed_roots(edges, nodes, seeds_)
+
+
+ORACLE_SQL["g10_seed_roots"] = _recursive(("flow", "flow_node"), ", " + _SEEDS)
+
+
 @query("g17_topology_paths")
 def g17_topology_paths(spark, sf):
     """Shortest paths from the entry points to each module's smallest node."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import artifact_selected
-from ..operators.graph import _checkpoint
+from ..operators.steps import step
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def dense_ids(keys: DataFrame, order: list[str], id_column: str = "id") -> DataF
     Each partition's start is the sum of the counts before it.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = _checkpoint(keys.select(*order).distinct().repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    parts = step(keys.select(*order).distinct().repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").count()
     starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import DEFAULT_SCOPES, tree_coordinate_parts
-from ..operators.graph import _checkpoint, validate_occurrence_graph
+from ..operators.graph import validate_occurrence_graph
+from ..operators.steps import step
 
 COORDINATES = "struct<groupId:string,artifactId:string,type:string,extension:string,classifier:string,version:string,baseVersion:string>"
 EVIDENCE_SCHEMA = f"""schemaVersion int, module {COORDINATES}, moduleDirectory string, dependencies array<string>,
@@ -65,7 +66,7 @@ def dependency_nodes(evidence: DataFrame) -> DataFrame:
     found = None
     while True:
         parsed = [F.array_sort(F.json_object_keys("text")).alias("k"), F.array_sort(F.json_object_keys(F.get_json_object("text", "$.coordinates"))).alias("c"), F.from_json("text", node, {"mode": "FAILFAST"}).alias("n")]
-        level = _checkpoint(level.select("file", F.concat("above", F.array("pos")).alias("path"), *parsed))
+        level = step(level.select("file", F.concat("above", F.array("pos")).alias("path"), *parsed))
         if found is not None and level.isEmpty():
             return found
         if not level.where(F.col("k").isNull() | (F.col("k") != F.lit(["children", "coordinates", "scope"])) | F.col("c").isNull() | (F.col("c") != F.lit(COORDINATE_PROPERTIES)) | F.col("n.scope").isNull() | F.col("n.children").isNull()).isEmpty():

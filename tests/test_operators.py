@@ -118,7 +118,9 @@ def test_first_discoverers_by_a_queue(spark):
         frame([(0, n, method[n], n in synthetic) for n in range(30)], "module int, node long, method string, synthetic boolean"), frame([(0, a, b) for a, b in gone], "module int, caller_id long, callee_id long"),
     ).collect()
     assert {x["node"]: (x["level"], x["next"]) for x in got} == {n: (level[n], following[n]) for n in level}
-    for x in got:
+    paths = graph.follow(frame([tuple(x) for x in got], "module int, seed long, node long, level int, next long"), frame([(0, 0, n) for n in level], "module int, seed long, node long"), ["module", "seed"]).collect()
+    assert {x["node"] for x in paths} == set(level)
+    for x in paths:
         path = [x["node"]]
         while following[path[-1]] is not None:
             path.append(following[path[-1]])

@@ -41,6 +41,32 @@ def test_poms_and_scopes(spark, tmp_path):
     assert {r["problem"] for r in reactor.scope_problems(reactor.reactor_scopes(twice, twice.select("path")), twice).collect()} == {"DUPLICATE_MODULE"}
 
 
+def test_profile_conditions(spark, tmp_path):
+    conditions = {
+        "fam": "<os><family>unix</family></os>", "file": "<file><exists>${basedir}/src/../here.txt</exists></file>", "miss": "<file><missing>here.txt</missing></file>", "prop": "<property><name>own</name></property>",
+        "win": "<os><family>windows</family></os>", "empty": "<os/>", "folder": "<file><exists>src</exists><missing>gone</missing></file>", "user": "<property><name>given</name><value>!no</value></property>",
+        "absent": "<property><name>!own</name></property>", "both": "<jdk>17</jdk><os><arch>!amd64</arch></os>", "env": "<property><name>env.X</name><value>1</value></property>", "none": "", "blank": "<property/>",
+    }
+    profiles = "".join(f"<profile><id>{k}</id><activation>{v}</activation><modules><module>{k}</module></modules></profile>" for k, v in conditions.items())
+    write(tmp_path, "pom.xml", f"<artifactId>r</artifactId><version>${{sys}}</version><properties><own>1</own><given>pom</given></properties><profiles>{profiles}<profile><id>d</id><activation><activeByDefault>TRUE</activeByDefault></activation><modules><module>d</module><module>d</module></modules></profile></profiles>")
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.txt").write_text("x")
+    (tmp_path / "here.txt").write_text("x")
+    system = {"java.version": "17.0.1", "os.name": "Linux", "os.arch": "amd64", "os.version": "6.1", "env.X": "1", "sys": "5"}
+    row = poms.read_poms(spark, str(tmp_path), system, **poms.command_line(["-q", "-Dgiven=yes", "clean"])).first()
+    assert row["active_modules"] == sorted(["fam", "file", "empty", "folder", "user", "absent", "env"]) and row["coordinate"] == "?:r:5"
+    assert row["declared_modules"] == sorted([*conditions, "d", "d"])
+    off = poms.read_poms(spark, str(tmp_path), {"os.name": "Windows 11", "own": "x", "given": "no"}, inactive=("empty", "file", "folder", "win"))
+    assert off.first()["active_modules"] == ["prop"]
+    none = poms.read_poms(spark, str(tmp_path), {"os.name": "Windows 11", "own": "x", "given": "no"}, inactive=("empty", "file", "folder", "win", "prop"))
+    assert none.first()["active_modules"] == ["d", "d"]
+
+
+def test_command_lines():
+    got = poms.command_line(["-Pa,!b, -c,,", "-D", "k=v=w", "--activate-profiles", "d", "-P=e", "--define=x", "-Dy", "--activate-profiles=-f", "install"])
+    assert got == {"active": ("a", "d", "e"), "inactive": ("b", "c", "f"), "user_properties": {"k": "v=w", "x": "true", "y": "true"}}
+
+
 def test_poms_that_are_refused(spark, tmp_path):
     (tmp_path / "pom.xml").write_text('<!DOCTYPE project [<!ENTITY x "y">]><project/>')
     with pytest.raises(Exception, match="document type"):
