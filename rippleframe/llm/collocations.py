@@ -31,7 +31,9 @@ TEXT_CHARS = 500_000
 #: Bytes of fragments that are counted at once.
 MINE_BYTES = 2_000_000
 #: A pivot that may have more than this part of an average task's words is dealt to several tasks.
-HOT_SHARE = 0.25
+HOT_SHARE = 1.0
+#: Phrases of one pivot whose counts wait for the pivot's end; beyond that they go out as parts and are added up later.
+HELD = 400_000
 #: Words of a phrase at most, occurrences of a candidate, per cent at which a longer phrase replaces it, rows of a language.
 MAX_WORDS, MIN_COUNT, COVERED, TOP = 4, 30, 80, 2000
 
@@ -203,17 +205,33 @@ def fragments(docs: DataFrame, counts: np.ndarray, limit: float, text: str = "te
 
 
 class _Miner:
-    """Counts the phrases that contain their fragment's pivot, for a run of fragments in the order of pivots."""
+    """Counts the phrases that contain their fragment's pivot, for runs of fragments in the order of pivots.
 
-    def __init__(self, max_words: int, min_count: int):
-        self._max_words, self._min_count, self._before = max_words, min_count, None
+    The counts of a run's last pivot wait for the next run, so a pivot is counted as a whole wherever runs are cut, and
+    only what is frequent goes out.  Pivots that are dealt to several tasks, and those with more phrases than can wait,
+    go out as parts.
+    """
 
-    def mine(self, rows: pa.Table) -> pa.Table:
+    def __init__(self, max_words: int, min_count: int):
+        self._max_words, self._min_count = max_words, min_count
+        self._pivot, self._held, self._in_parts = None, None, False
+
+    def _merged(self, rows: pa.Table) -> pa.Table:
+        if self._held is None:
+            return rows
+        both = pa.concat_tables([self._held, rows]).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("f", "sum")])
+        return both.rename_columns(["lang", "phrase", "words", "f"])
+
+    def finish(self) -> pa.Table | None:
+        """What waits, now that its pivot has ended."""
+        held, self._held = self._held, None
+        if held is None or self._in_parts:
+            return held
+        return held.filter(pc.greater_equal(held["f"], self._min_count))
+
+    def mine(self, rows: pa.Table) -> list[pa.Table]:
         names, lang = _lang_ids(rows["lang"].combine_chunks())
-        pivot, weight = rows["pivot"].to_numpy(), rows["weight"].to_numpy()
-        # a pivot is whole here if it is not dealt out and neither goes on from the run before nor into the next one
-        whole = (rows["parts"].to_numpy() == 1) & (pivot != pivot[-1]) & (pivot != self._before if self._before is not None else True)
-        self._before = pivot[-1]
+        pivot, weight, divided = rows["pivot"].to_numpy(), rows["weight"].to_numpy(), rows["parts"].to_numpy() > 1
         raw, offsets = flat_bytes(rows["fragment"].combine_chunks())
         gap = raw == 32
         begins = np.zeros(len(raw), bool)
@@ -246,11 +264,32 @@ class _Miner:
             counted = np.flatnonzero(has > 0)
             place = np.zeros(len(first), np.int64)
             place[code[counted]] = at[counted]
-            keep = np.flatnonzero((total > 0) & ((total >= self._min_count) | ~whole[row[place]]))
+            keep = np.flatnonzero(total > 0)
             found.append((place[keep], np.full(len(keep), m), total[keep]))
         place, length, total = (np.concatenate(x) for x in zip(*found, strict=True))
-        phrase = _ranges(raw, start[place], end[place + length - 1] - start[place])
-        return pa.table({"lang": pa.array(names, pa.string()).take(pa.array(lang[row[place]])), "phrase": phrase, "words": pa.array(length, pa.int32()), "f": pa.array(total, pa.int64())})
+        of, last = pivot[row[place]], pivot[-1]
+
+        def table_of(chosen: np.ndarray) -> pa.Table:
+            at, m = place[chosen], length[chosen]
+            phrase = _ranges(raw, start[at], end[at + m - 1] - start[at])
+            return pa.table({"lang": pa.array(names, pa.string()).take(pa.array(lang[row[at]])), "phrase": phrase, "words": pa.array(m, pa.int32()), "f": pa.array(total[chosen], pa.int64())})
+
+        out = []
+        if self._pivot is not None and self._pivot != last:
+            self._held = self._merged(table_of(np.flatnonzero(of == self._pivot)))
+            out.append(self.finish())
+        inside = (of != last) & (of != self._pivot if self._pivot is not None else True)
+        out.append(table_of(np.flatnonzero(inside & ((total >= self._min_count) | divided[row[place]]))))
+        waiting = table_of(np.flatnonzero(of == last))
+        if self._pivot == last:
+            self._held = self._merged(waiting)
+        else:
+            self._pivot, self._held, self._in_parts = last, waiting, bool(divided[-1])
+        if self._held is not None and self._held.num_rows > HELD:
+            self._in_parts = True
+            out.append(self._held)
+            self._held = None
+        return [x for x in out if x is not None and x.num_rows]
 
 
 def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, bins: int = BINS, hot_share: float = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
@@ -275,10 +314,12 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", max_wo
                 held.append(batch.slice(lo, hi - lo))
                 size += held[-1].nbytes
                 if size >= MINE_BYTES:
-                    yield from miner.mine(pa.Table.from_batches(held)).to_batches(max_chunksize=20_000)
+                    for made in miner.mine(pa.Table.from_batches(held)):
+                        yield from made.to_batches(max_chunksize=20_000)
                     held, size = [], 0
-        if held:
-            yield from miner.mine(pa.Table.from_batches(held)).to_batches(max_chunksize=20_000)
+        for made in [*(miner.mine(pa.Table.from_batches(held)) if held else ()), miner.finish()]:
+            if made is not None:
+                yield from made.to_batches(max_chunksize=20_000)
 
     dealt = fragments(docs, counts, limit, text, lang, max_words, min_count).repartition(hash_partitions(spark), "pivot", "part").sortWithinPartitions("pivot")
     mined = dealt.mapInArrow(run, "lang string, phrase string, words int, f long")
@@ -321,7 +362,8 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 with pieces as (
     select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) piece
+-
+]')) piece
     from documents),
 worded as (select lang, regexp_extract_all(piece, '[^ 	]+') w from pieces),
 sizes as (select lang, sum(len(w))::bigint n from worded group by lang),

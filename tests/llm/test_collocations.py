@@ -55,7 +55,7 @@ def rows():
     return made + [("ha " * 3000, "en"), ("New York City " * 40, "de"), (None, None)]
 
 
-@pytest.mark.parametrize("setting", [{}, {"bins": 3}, {"hot_share": 1e-4}])
+@pytest.mark.parametrize("setting", [{}, {"bins": 3}, {"hot_share": 1e-3}])
 def test_phrases_by_brute_force(spark, rows, setting, monkeypatch):
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
     counts, sizes = brute(rows, 4, 5)
@@ -66,10 +66,7 @@ def test_phrases_by_brute_force(spark, rows, setting, monkeypatch):
     assert got == brute_scores(counts, sizes, 80, 40)
 
 
-def test_small_pieces_of_text_and_of_fragments(rows):
-    import numpy as np
-    import pyarrow as pa
-
+def test_small_pieces_of_text(rows):
     texts = [t for t, _ in rows if t]
     old = collocations.TEXT_CHARS
     try:
@@ -79,17 +76,25 @@ def test_small_pieces_of_text_and_of_fragments(rows):
             assert "".join(parts) == t and all(len(p) <= 50 or not any(c in p[50:-1] for c in ".,;:!?\n\r\x0b\x0c") for p in parts)
     finally:
         collocations.TEXT_CHARS = old
-    # the same fragments in runs of one row: nothing is whole, and the parts add up
-    table = pa.table({"lang": ["x"] * 3, "pivot": [0] * 3, "part": [0] * 3, "parts": [1] * 3, "fragment": ["a b a", "b a", "a"], "weight": [2, 3, 4]})
-    value = collocations._word_values(np.frombuffer(b"b", np.uint8), np.array([0]), np.array([1]))
-    pivot = collocations.mix(value ^ collocations._lang_values(["x"])).view(np.int64)
-    table = table.set_column(1, "pivot", pa.array(np.repeat(pivot, 3)))
-    total = collections.Counter()
-    miner = collocations._Miner(3, 100)
-    for i in range(3):
-        for r in miner.mine(table.slice(i, 1)).to_pylist():
+
+
+@pytest.mark.parametrize("held", [400_000, 1])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_runs_of_fragments_of_any_length(held, parts, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "HELD", held)
+    pivot = lambda w: int(collocations.mix(collocations._word_values(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])) ^ collocations._lang_values(["x"])).view(np.int64)[0])
+    rows = [("a b a", 2, b"b"), ("b a", 3, b"b"), ("a", 1, b"b"), ("c a", 1, b"c"), ("c b", 2, b"c"), ("dd a", 9, b"dd"), ("dd a", 1, b"dd")]
+    table = pa.table({"lang": ["x"] * 7, "pivot": [pivot(w) for *_, w in rows], "part": [0] * 7, "parts": [parts] * 7, "fragment": [f for f, *_ in rows], "weight": [n for _, n, _ in rows]})
+    for size in (1, 2, 7):
+        total, miner = collections.Counter(), collocations._Miner(3, 4)
+        made = [t for i in range(0, 7, size) for t in miner.mine(table.slice(i, size))]
+        for r in pa.concat_tables([t for t in [*made, miner.finish()] if t is not None]).to_pylist():
             total[r["phrase"]] += r["f"]
-    assert total == {"b": 5, "a b": 2, "b a": 5, "a b a": 2}
+        assert {k: v for k, v in total.items() if v >= 4} == {"b": 5, "b a": 5, "dd": 10, "dd a": 10}
+        assert held == 1 or parts > 1 or not any(v < 4 for v in total.values())
 
 
 def test_empty_and_foreign_columns(spark):
