@@ -432,11 +432,15 @@ def q01_dependency_table(spark, sf):
     return q.sorted("group_id", "artifact_id", "module_key", "seq").paged(100, 1).result().select("seq", "module_key", "group_id", "artifact_id")
 
 
-@query("k01_shard_plan")
+@query("k01_shard_plan", """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderpriority, o_orderkey, length(o_orderpriority) AS bytes, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS nth FROM orders),
+s(o_orderpriority, o_orderkey, nth, shard_id, used, n) AS (SELECT o_orderpriority, o_orderkey, nth, 0::bigint, bytes, 1 FROM o WHERE nth = 1 UNION ALL
+  SELECT o.o_orderpriority, o.o_orderkey, o.nth, s.shard_id + (s.n >= 100 OR s.used + 1 + o.bytes > 900)::int, CASE WHEN s.n >= 100 OR s.used + 1 + o.bytes > 900 THEN o.bytes ELSE s.used + 1 + o.bytes END, CASE WHEN s.n >= 100 OR s.used + 1 + o.bytes > 900 THEN 1 ELSE s.n + 1 END
+  FROM s JOIN o ON o.o_orderpriority = s.o_orderpriority AND o.nth = s.nth + 1)
+SELECT o_orderpriority, o_orderkey, shard_id FROM s""")
 def k01_shard_plan(spark, sf):
-    """Greedy size-bounded shards of each customer segment's orders."""
+    """Greedy size-bounded shards of each priority's orders: some are full by bytes, some by records."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority", "o_orderkey", F.length("o_orderpriority").alias("bytes"))
-    return report.shard_plan(o, ["o_orderpriority"], "o_orderkey", "bytes", 4096, 100)
+    return report.shard_plan(o, ["o_orderpriority"], "o_orderkey", "bytes", 900, 100)
 
 
 @query("s15_classpath_rows", """, d AS (SELECT module_key, group_id, artifact_id, effective_scope, min(seq) AS seq FROM occ GROUP BY ALL)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import artifact_selected
-from ..operators.steps import step
+from ..operators.steps import forget, step
 
 
 @dataclass(frozen=True)
@@ -99,26 +99,62 @@ def sorted_groups(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
     return rows.repartition(*key).sortWithinPartitions(*key, *order)
 
 
+def running_sums(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """The rows with running sums (the row's own value included) in the order of ``order``, over all rows.
+
+    A range partitioning sorts the rows and is written once; each partition adds up alone, from the sum of the
+    partitions before it.  Rows of equal order would share a sum's place, so ``order`` must tell rows apart.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = step(rows.repartitionByRange(n, *order).withColumns({"_part": F.spark_partition_id(), **{f"_v_{name}": value.cast("long") for name, value in sums.items()}}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part").agg(*(F.sum(f"_v_{name}").alias(name) for name in sums))
+    starts = totals.select("_part", *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_s_{name}") for name in sums))  # a row for each partition
+    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return parts.join(F.broadcast(starts), "_part").select(*rows.columns, *((F.col(f"_s_{name}") + F.sum(f"_v_{name}").over(local)).alias(name) for name in sums))
+
+
 def shard_plan(records: DataFrame, by: list[str], order: str, size: str, max_bytes: int, max_records: int, starts: str | None = None) -> DataFrame:
     """Greedy shards of each kind: a record opens a new one when bytes (with a separator each) or records run out.
 
     A record that is larger than a shard has one of its own; ``starts`` names a column that forces a record to open one.
+    ``order`` tells the records of a kind apart.  Every record learns which one would open the next shard if it opened
+    one itself: the first forced one, the one after ``max_records``, or the first whose running size is out of reach, a
+    range search by counting.  From the forced records on, those pointers are doubled until nothing new opens a shard,
+    so a kind of any size takes rounds in the logarithm of its shards and is never in one task.
     """
-    import pandas as pd
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        shard, used, n, out = 0, 0, 0, []
-        for bytes_, opens in zip(pdf[size].tolist(), pdf[starts].tolist() if starts else [False] * len(pdf), strict=True):
-            if n and (n >= max_records or opens or used + 1 + bytes_ > max_bytes):
-                shard, used, n = shard + 1, 0, 0
-            used += bytes_ + (1 if n else 0)
-            n += 1
-            out.append(shard)
-        return pdf.assign(shard_id=out)[[*by, order, "shard_id"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*by, order).schema) + ", shard_id long"
-    return records.groupBy(*by).applyInPandas(plan, schema)
+    names = [*by, order]
+    forced = F.coalesce(F.col(starts), F.lit(False)) if starts else F.lit(False)
+    rows = records.select(*names, F.col(size).cast("long").alias("_size"), forced.alias("_forced"))
+    kinds = rows.groupBy(*by).agg(F.min(order).alias("_least"))
+    same = lambda x, y, on: reduce(lambda p, q: p & q, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in on])
+    rows = rows.alias("r").join(kinds.alias("k"), same("r", "k", by)).select("r.*", (F.col("_forced") | (F.col(order) == F.col("_least"))).alias("_opens"))
+    # place of each record among all kinds, bytes up to it with a separator each, and records that must open up to it
+    placed = step(running_sums(rows, names, {"_place": F.lit(1), "_bytes": F.col("_size") + 1, "_nth": F.col("_opens").cast("int")}))
+    musts = placed.where("_opens").select(F.col("_nth").alias("_of"), F.col("_place").alias("_must"))
+    # the last byte that a shard which begins here may hold; how many records end before it
+    reach = placed.select((F.col("_bytes") - F.col("_size") + F.lit(max_bytes)).alias("_key"), F.lit(1).alias("_asks"), F.col("_place").alias("_at"))
+    ends = placed.select(F.col("_bytes").alias("_key"), F.lit(0).alias("_asks"), F.col("_place").alias("_at"))
+    found = running_sums(ends.union(reach), ["_key", "_asks", "_at"], {"_fit": 1 - F.col("_asks")}).where("_asks = 1").select(F.col("_at").alias("_place"), (F.col("_fit") + 1).alias("_full"))
+    joined = placed.select("_place", (F.col("_nth") + 1).alias("_of")).join(found, "_place").join(musts, "_of", "left")
+    # a record opens the next shard at the soonest one place further on
+    ahead = F.least(F.greatest("_full", F.col("_place") + 1), F.col("_place") + max_records, F.col("_must"))
+    pointers = step(joined.select("_place", ahead.alias("_next")).join(placed.select(F.col("_place").alias("_next")), "_next", "left_semi").select("_place", "_next"))
+    opened = step(placed.where("_opens").select("_place"))
+    while True:
+        new = step(opened.join(pointers, "_place").select(F.col("_next").alias("_place")).distinct().join(opened, "_place", "left_anti"))
+        grown = step(opened.union(new))
+        further = step(pointers.join(pointers.select(F.col("_place").alias("_next"), F.col("_next").alias("_then")), "_next").select("_place", F.col("_then").alias("_next")))
+        forget(opened, pointers)
+        opened, pointers = grown, further
+        done = new.isEmpty()
+        forget(new)
+        if done:
+            break
+    marked = placed.join(opened.withColumn("_new", F.lit(1)), "_place", "left").select(*names, "_place", F.coalesce("_new", F.lit(0)).alias("_new"))
+    numbered = step(running_sums(marked, ["_place"], {"_shard": F.col("_new")}))
+    first = numbered.groupBy(*by).agg(F.min("_shard").alias("_first"))
+    return numbered.alias("r").join(first.alias("k"), same("r", "k", by)).select(*(F.col(f"r.{c}").alias(c) for c in names), (F.col("_shard") - F.col("_first")).alias("shard_id"))
 
 
 def shard_descriptors(planned: DataFrame, kind: str, order: str, size: str) -> DataFrame:

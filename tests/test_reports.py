@@ -1,5 +1,7 @@
 """Readers of POMs and writers of reports on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +185,21 @@ def test_member_filters(spark):
         ids(chain="some")
     with pytest.raises(ValueError, match="view"):
         affected.view_type(rows, "x")
+
+
+def test_shards_equal_a_fold(spark):
+    rng = random.Random(8)
+    rows = [(kind, i * 3, rng.choice([0, 1, 2, 5, 9, 10, 11, 40]), rng.random() < 0.06 or None) for kind in ("a", "b", None, "c") for i in range(rng.randint(1, 160))]
+    frame = spark.createDataFrame(rows, "kind string, id long, bytes int, opens boolean").repartition(7)
+    for most, n in ((10, 4), (25, 1000), (1000, 7), (0, 3)):
+        want = {}
+        for kind in {r[0] for r in rows}:
+            shard = used = count = 0
+            for _, i, size, opens in sorted((r for r in rows if r[0] == kind), key=lambda r: r[1]):
+                if count and (count >= n or opens or used + 1 + size > most):
+                    shard, used, count = shard + 1, 0, 0
+                used += size + (count > 0)
+                count += 1
+                want[kind, i] = shard
+        got = {(r["kind"], r["id"]): r["shard_id"] for r in report.shard_plan(frame, ["kind"], "id", "bytes", most, n, "opens").collect()}
+        assert got == want
