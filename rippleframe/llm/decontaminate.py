@@ -21,7 +21,11 @@ from ._text import mix, powers
 from .repeats import _inverses
 
 Q = 10
+#: The length of q-grams for items that are too short for ``Q`` and their edit budget.
+SHORT_Q = 5
 EDIT_SHARE = 0.08
+#: Pairs of a text's and an item's position that are held at once, and bands whose hits are counted at once.
+PAIRS, BAND_COUNTS = 1 << 20, 1 << 22
 #: Benchmark characters that are indexed at once.
 BLOCK_CHARS = 8_000_000
 
@@ -45,17 +49,20 @@ def _codes(text: str) -> np.ndarray:
 
 
 class ItemIndex:
-    """q-grams of a block of items: sorted, with the places (item, position) of each."""
+    """q-grams of a block of items: sorted, with the places (item, position) of each.
+
+    Only items are taken that share at least one q-gram with every copy within their edit budget.
+    """
 
     def __init__(self, items: list[tuple[int, str]], q: int, edit_share: float):
         self.q = q
-        items = [(i, t) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= q]
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         size = np.array([len(t) for t in self.texts], np.int64)
-        # the budget never exceeds what the bound can filter: at least one shared q-gram is asked for
-        self.budget = np.minimum((edit_share * size).astype(np.int64), (size - q) // q) if len(size) else size
+        self.budget = (edit_share * size).astype(np.int64)
         self.bound = size - q + 1 - q * self.budget
+        #: A shift that keeps diagonals non-negative.
+        self.shift = int(size.max()) if len(size) else 0
         gram = [_grams(_codes(t), q) for t in self.texts]
         count = np.array([len(g) for g in gram], np.int64)
         flat = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
@@ -67,49 +74,96 @@ class ItemIndex:
         self.first = np.append(self.first, len(flat))
         self.seen = np.zeros(1 << 21, bool)
         self.seen[self.grams >> np.uint64(43)] = True
+        # how often an item has a gram: the runs of equal items in each gram's list
+        gram_of = np.repeat(np.arange(len(self.grams)), np.diff(self.first))
+        run = np.flatnonzero(np.concatenate(([True], (gram_of[1:] != gram_of[:-1]) | (self.item[1:] != self.item[:-1])))) if len(flat) else np.zeros(0, np.int64)
+        self.run_item, self.run_size = self.item[run].astype(np.int64), np.diff(np.append(run, len(flat)))
+        self.run_first = np.searchsorted(gram_of[run], np.arange(len(self.grams) + 1)) if len(run) else np.zeros(1, np.int64)
+
+    @classmethod
+    def build(cls, items: list[tuple[int, str]], q: int, edit_share: float) -> list[ItemIndex]:
+        """An index of the items that ``q`` suits, and one of shorter q-grams for the others of at least SHORT_Q characters."""
+        suits = lambda t, q: len(t) - q + 1 - q * int(edit_share * len(t)) >= 1
+        items = [(i, normalise(t)) for i, t in items]
+        lists = [[x for x in items if suits(x[1], q)], [x for x in items if not suits(x[1], q) and suits(x[1], SHORT_Q)]]
+        return [cls(own, n, edit_share) for own, n in zip(lists, (q, SHORT_Q), strict=True) if own]
+
+    @staticmethod
+    def _expanded(first: np.ndarray, count: np.ndarray, size: int):
+        """Pieces of at most ``size`` of: (which entry, place in its list) of all entries' lists, one after the other."""
+        ends = np.cumsum(count)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, size):
+            index = np.arange(lo, min(lo + size, int(ends[-1])))
+            which = np.searchsorted(ends, index, side="right")
+            yield which, first[which] + index - (ends[which] - count[which])
+
+    def _likely(self, text: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The pairs (text * number of items + item) that share enough q-grams anywhere; nothing is paired by position."""
+        n_grams = len(self.grams)
+        both, times = np.unique(text * n_grams + place, return_counts=True)
+        gram = both % n_grams
+        kept: list[np.ndarray] = [np.zeros(0, np.int64)]
+        # texts one by one, so a text's pairs are all in one count
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(both // n_grams) > 0, [True]))) if len(both) else []
+        lo = 0
+        while lo < len(cuts) - 1:
+            hi = lo + 1
+            weight = int((self.run_first[gram[cuts[lo] : cuts[hi]] + 1] - self.run_first[gram[cuts[lo] : cuts[hi]]]).sum())
+            while hi < len(cuts) - 1 and weight < PAIRS:
+                weight += int((self.run_first[gram[cuts[hi] : cuts[hi + 1]] + 1] - self.run_first[gram[cuts[hi] : cuts[hi + 1]]]).sum())
+                hi += 1
+            part = slice(cuts[lo], cuts[hi])
+            total: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for which, run in self._expanded(self.run_first[gram[part]], self.run_first[gram[part] + 1] - self.run_first[gram[part]], PAIRS):
+                pair = np.concatenate((total[0], both[part][which] // n_grams * len(self.ids) + self.run_item[run]))
+                hits = np.concatenate((total[1], times[part][which] * self.run_size[run]))
+                names, inverse = np.unique(pair, return_inverse=True)
+                total = names, np.bincount(inverse, weights=hits, minlength=len(names)).astype(np.int64)
+            kept.append(total[0][total[1] >= self.bound[total[0] % len(self.ids)]])
+            lo = hi
+        return np.concatenate(kept)
 
     def regions(self, codes: np.ndarray, offsets: np.ndarray):
-        """(text, item, first diagonal) of all pairs of bands that meet the bound; diagonals count from the text's start."""
+        """(text, item, first diagonal) of all pairs of bands that meet the bound; diagonals count from the text's start.
+
+        Positions are paired in pieces of PAIRS, and hits counted for so many pairs of a text and an item at once that
+        their bands stay within BAND_COUNTS (one pair may exceed it: its bands grow with the text alone).
+        """
         grams = _grams(codes, self.q)
         at = np.flatnonzero(self.seen[grams >> np.uint64(43)]) if len(grams) else np.zeros(0, np.int64)
         place = np.minimum(np.searchsorted(self.grams, grams[at]), max(len(self.grams) - 1, 0))
         if not len(at):
-            return []
+            return
         same = self.grams[place] == grams[at]
         at, place = at[same], place[same]
         text = np.searchsorted(offsets, at, side="right") - 1
         inside = at + self.q <= offsets[text + 1]
         at, place, text = at[inside], place[inside], text[inside]
-        count = self.first[place + 1] - self.first[place]
-        index = np.repeat(self.first[place] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        text, at, item, position = np.repeat(text, count), np.repeat(at, count), self.item[index].astype(np.int64), self.position[index]
-        # a cheap count over the whole text drops most items before bands are formed
-        pair = text * len(self.ids) + item
-        _, which, enough = np.unique(pair, return_inverse=True, return_counts=True)
-        keep = enough[which] >= self.bound[item]
-        text, at, item, position, pair = text[keep], at[keep], item[keep], position[keep], pair[keep]
-        if not len(pair):
-            return []
-        width = self.budget[item] + 1
-        band = (at - offsets[text] - position + len_max(self)) // width
-        order = np.lexsort((band, pair))
-        pair, band = pair[order], band[order]
-        new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])))
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(pair)))
-        pair, band = pair[start], band[start]
-        follow = np.concatenate(((pair[1:] == pair[:-1]) & (band[1:] == band[:-1] + 1), [False]))
-        both = size + np.where(follow, np.append(size[1:], 0), 0)
-        item = pair % len(self.ids)
-        good = np.flatnonzero(both >= self.bound[item])
-        return [(int(pair[g]) // len(self.ids), int(item[g]), int(band[g]) * int(self.budget[item[g]] + 1) - len_max(self)) for g in good]
-
-
-def len_max(index: ItemIndex) -> int:
-    """A shift that keeps diagonals non-negative: the longest item of the block, rounded up."""
-    if not hasattr(index, "_shift"):
-        index._shift = max((len(t) for t in index.texts), default=0)
-    return index._shift
+        likely = np.sort(self._likely(text, place))
+        n_items, size = len(self.ids), np.diff(offsets)
+        bands = (size[likely // n_items] + self.shift) // (self.budget[likely % n_items] + 1) + 2
+        group = np.concatenate(([0], np.cumsum(bands))) // BAND_COUNTS
+        for g in np.unique(group[:-1]):
+            own = likely[group[:-1] == g]
+            base = np.concatenate(([0], np.cumsum(bands[group[:-1] == g])))
+            hits = np.zeros(int(base[-1]), np.int64)
+            there = np.isin(text, own // n_items)
+            at_, place_, text_ = at[there], place[there], text[there]
+            for which, index in self._expanded(self.first[place_], self.first[place_ + 1] - self.first[place_], PAIRS):
+                item = self.item[index].astype(np.int64)
+                pair = text_[which] * n_items + item
+                slot = np.minimum(np.searchsorted(own, pair), len(own) - 1)
+                keep = np.flatnonzero(own[slot] == pair)
+                slot, item, t = slot[keep], item[keep], text_[which[keep]]
+                band = (at_[which[keep]] - offsets[t] - self.position[index[keep]] + self.shift) // (self.budget[item] + 1)
+                hits += np.bincount(base[slot] + band, minlength=len(hits))
+            # two neighbouring bands of a pair; every pair has an empty last band
+            both = hits.copy()
+            both[:-1] += hits[1:]
+            slot = np.repeat(np.arange(len(own)), np.diff(base))
+            for k in np.flatnonzero((both >= self.bound[own[slot] % n_items]) & (hits > 0)).tolist():
+                pair = int(own[slot[k]])
+                yield pair // n_items, pair % n_items, (k - int(base[slot[k]])) * int(self.budget[pair % n_items] + 1) - self.shift
 
 
 def align(item: str, text: str, first: int, budget: int) -> tuple[int, int, int] | None:
@@ -178,7 +232,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
     A match is a stretch of the text (positions in the normalised text) within edit_share * length edits of a whole
     item, both lower-cased and with single spaces; of several copies of one item the best is given.  Null or empty
-    texts match nothing; items that are null or shorter than ``q`` characters match nothing; an empty benchmark leaves
+    texts match nothing; items that are null or shorter than ``SHORT_Q`` characters match nothing; an empty benchmark leaves
     every list empty; repeated rows give repeated results; an empty table gives no row; a column of ``keep`` that is
     called matches goes out as matches_input.  ``item_id`` must be a whole number.
     """
@@ -192,7 +246,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     for block in range(n_blocks):
         last = block == n_blocks - 1
         chosen = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block)
-        index = spark.sparkContext.broadcast(ItemIndex(sorted((r["i"], r["t"]) for r in chosen.toLocalIterator()), q, edit_share))
+        index = spark.sparkContext.broadcast(ItemIndex.build(sorted((r["i"], r["t"]) for r in chosen.toLocalIterator()), q, edit_share))
         out = _scan(source, index, names, schema if last else f"{schema}, _text string", block > 0, last)
         if last:
             return out
@@ -205,7 +259,7 @@ def _scan(source: DataFrame, index, keep: list[str], schema: str, later: bool, l
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
     def run(batches):
-        items = index.value
+        indexes = index.value
         for batch in batches:
             for lo, hi in sub_batches(batch.column(batch.num_columns - 1), 2_000_000):
                 part = batch.slice(lo, hi - lo)
@@ -213,16 +267,18 @@ def _scan(source: DataFrame, index, keep: list[str], schema: str, later: bool, l
                 matches = [list(x or ()) for x in part.column(len(keep)).to_pylist()] if later else [[] for _ in range(len(values))]
                 texts = [normalise(t) for t in values.to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-                best: dict[tuple[int, int], tuple] = {}
-                for t, i, first in items.regions(_codes("".join(texts)), offsets):
-                    known = best.get((t, i))
-                    if known and known[2] == 0:
-                        continue
-                    found = align(items.texts[i], texts[t], first, int(items.budget[i]))
-                    if found and (known is None or found[2] < known[2]):
-                        best[t, i] = found
-                for (t, i), (start, end, edits) in sorted(best.items()):
-                    matches[t].append({"item_id": items.ids[i], "start": start, "end": end, "edits": edits})
+                codes = _codes("".join(texts))
+                for items in indexes:
+                    best: dict[tuple[int, int], tuple] = {}
+                    for t, i, first in items.regions(codes, offsets):
+                        known = best.get((t, i))
+                        if known and known[2] == 0:
+                            continue
+                        found = align(items.texts[i], texts[t], first, int(items.budget[i]))
+                        if found and (known is None or found[2] < known[2]):
+                            best[t, i] = found
+                    for (t, i), (start, end, edits) in sorted(best.items()):
+                        matches[t].append({"item_id": items.ids[i], "start": start, "end": end, "edits": edits})
                 columns = [*part.columns[: len(keep)], pa.array(matches, kind)]
                 yield pa.RecordBatch.from_arrays(columns if last else [*columns, values], names=[*keep, "matches"] if last else [*keep, "matches", "_text"])
 
