@@ -249,33 +249,32 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int):
         for j, depth in enumerate(prefix):
             child += depth == right
             of[first + j + 1] = child
+        # how many members up to a place come from another child than their neighbour
+        changes = [0]
+        for x, y in zip(members, members[1:]):
+            changes.append(changes[-1] + (of[x] != of[y]))
         for left, a, b in _intervals(shared):
-            if left + right >= length:
-                group = members[a : b + 1]
-                if any(of[m] != of[group[0]] for m in group):
-                    yield group, left, right
+            if left + right >= length and changes[b] > changes[a]:
+                yield members[a : b + 1], left, right
 
 
-def widest_repeats(rights: list[bytes], lefts: list[bytes], length: int) -> list[tuple[int, int]]:
+def covered(rights: list[bytes], lefts: list[bytes], length: int) -> list[tuple[int, int]]:
     """Of every member, how far left and right the groups of ``maximal_repeats`` reach that it is in (0, 0 if in none).
 
-    A member's widest group in an interval is the one it forms with the neighbour that shares most with it.
+    All of a member's groups lie around its anchor, so together they cover one span.
     """
-    reach = [[0, 0] for _ in rights]
-    for right, _, members, shared, _ in _extended(rights, lefts, length):
-        for m, before, after in zip(members, [-1, *shared], [*shared, -1], strict=True):
-            left = max(before, after)
-            if left + right >= length:
-                own = reach[m]
-                own[0], own[1] = max(own[0], left), max(own[1], right)
-    return [(a, b) for a, b in reach]
+    left_reach, right_reach = np.zeros(len(rights), np.int64), np.zeros(len(rights), np.int64)
+    for members, left, right in maximal_repeats(rights, lefts, length):
+        left_reach[members] = np.maximum(left_reach[members], left)
+        right_reach[members] = np.maximum(right_reach[members], right)
+    return list(zip(left_reach.tolist(), right_reach.tolist(), strict=True))
 
 
 _COVER = "gram long, c1 long, c2 long, left int, right int"
 
 
 def _scan(slices: DataFrame, length: int, named: bool) -> DataFrame:
-    """Of all slices (gram, s1, s2, c1, c2, left, right): the members of every group with its name, or each member's widest reach."""
+    """Of all slices (gram, s1, s2, c1, c2, left, right): the members of every group with its name, or what each member's groups cover."""
     ordered = slices.repartition(hash_partitions(slices.sparkSession), "gram", "s1", "s2").sortWithinPartitions("gram", "s1", "s2", "right", "left")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())[: 6 if named else 5]
     names = ["gram", "c1", "c2", "left", "right", "repeat"][: len(kinds)]
@@ -283,7 +282,7 @@ def _scan(slices: DataFrame, length: int, named: bool) -> DataFrame:
     def scan(gram, group):
         rights, lefts = [g[3] for g in group], [g[2] for g in group]
         if not named:
-            yield from ((gram, *g[:2], left, right) for g, (left, right) in zip(group, widest_repeats(rights, lefts, length), strict=True) if right)
+            yield from ((gram, *g[:2], left, right) for g, (left, right) in zip(group, covered(rights, lefts, length), strict=True) if right)
             return
         for members, left, right in maximal_repeats(rights, lefts, length):
             name = hashlib.blake2b(lefts[members[0]][:left][::-1] + rights[members[0]][:right] + left.to_bytes(2, "big"), digest_size=16).digest()
@@ -370,8 +369,8 @@ class _Index:
     def members(self, named: bool) -> DataFrame:
         """gram, c1, c2, left, right: the classes of every group and the repeat's extent around the anchor.
 
-        With ``named`` each group has its name in ``repeat``; without, a class has its widest extents in place of all
-        groups of its slice.  A class that stands more than once is a group by itself: its whole context repeats.
+        With ``named`` each group has its name in ``repeat``; without, a class has what all groups of its slice that
+        hold it cover.  A class that stands more than once is a group by itself: its whole context repeats.
         """
         small, found = _split(self.contexts, self.length)
         whole = self.classes.where("n > 1").select(

@@ -391,7 +391,7 @@ def test_maximal_repeats(monkeypatch):
             found = {(tuple(sorted(m)), left, right) for m, left, right in repeats.maximal_repeats(rights, lefts, 3)}
             assert found == expected
             widest = [(max((b for m, b, _ in found if k in m), default=0), max((a for m, _, a in found if k in m), default=0)) for k in range(len(both))]
-            assert repeats.widest_repeats(rights, lefts, 3) == widest
+            assert repeats.covered(rights, lefts, 3) == widest
 
 
 def test_repeat_groups_have_all_occurrences(spark):
