@@ -22,19 +22,28 @@ from pyspark.sql import functions as F
 
 from ._common import column, forget, materialize, outward, table
 
-# --- fixed values: detection patterns, by type, in order of precedence ---------------------------------------------
+# --- fixed values: titles, and detection patterns by type, in order of precedence ------------------------------------
+MALE_TITLES = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Κος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Κα"]
+#: Titles of any gender: the given name decides.
+OTHER_TITLES = ["Dr", "Doctor", "Doktor", "Prof", "Professor"]
+_TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES) + r")\.? (?:(?:" + "|".join(OTHER_TITLES) + r")\.? )*"
+_PARTICLES = r"(?:(?:de|da|di|du|del|della|la|le|van|von|der|den|zu|zur|bin|ibn|al) ){0,2}"
+#: A name's word: letters in any case after a capital, with hyphens and apostrophes inside.
+_WORD = r"\p{Lu}\p{L}*(?:['’\-]\p{L}+)*"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.[\p{L}]{2,}",
-    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[ \t]*[:=][ \t]*[\"'][^\"'\n]{6,}[\"']",
+    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[ \t]*[:=][ \t]*(?:[\"'][^\"'\n]{6,}[\"']|(?=[A-Za-z0-9_\-./+=]*[0-9])[A-Za-z0-9_\-./+=]{8,}(?<![.=]))",
+    "key": r"(?<![\p{L}\p{N}_])(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,}|xox[abpr]-[A-Za-z0-9\-]{10,})(?![\p{L}\p{N}_])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9a-fA-F:]*[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ip": r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{N}]|\.[\p{N}])",
     "hex_secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
     "card": r"(?<![\p{L}\p{N}\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Sir|Lady|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? [\p{Lu}][\p{Ll}]+(?: [\p{Lu}][\p{Ll}]+)?",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}|(?=0(?:[ \-/]?[0-9]){8,12}(?![0-9]))0[0-9]{1,4}[ \-/][0-9]{3,8}(?:[ \-][0-9]{2,8}){0,3})(?![\p{L}\p{N}])",
+    "name": rf"(?<![\p{{L}}]){_TITLE}{_PARTICLES}{_WORD}(?: {_PARTICLES}{_WORD}){{0,2}}",
 }
-MALE_TITLES = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Κος"]
 NAMES = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Marco", "Noel", "Oscar", "Paul"],
     ("latin", "f"): ["Anna", "Berta", "Clara", "Diana", "Emma", "Fiona", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"],
@@ -52,11 +61,11 @@ SYLLABLES = {
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _SCRIPT_PATTERNS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 #: A cheap test that every match passes: no backtracking over plain words.
-_HINT = r"@|[0-9]|(?i:token|secret|passw|key|[a-f]{8})|(?:Mr|Mrs|Ms|Miss|Sir|Lady|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? "
+_HINT = r"@|[0-9]|(?i:token|secret|passw|key|[a-f]{8})|" + _TITLE
 #: What may stand before an address in its run without being part of it: dot leaders, form lines, bullets.
 _LEADER = r"^[._%+\-]+"
 MAX_ATTEMPTS = 12
-_TITLED = r"^(?:Mr|Mrs|Ms|Miss|Sir|Lady|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? "
+_TITLED = "^" + _TITLE
 
 
 def _digits(text: Column) -> Column:
@@ -82,7 +91,9 @@ def normal_form(kind: Column, value: Column) -> Column:
         .when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, r"[^0-9]", ""))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .when(kind == "email", F.lower(F.regexp_replace(value, _LEADER, "")))
-        .when(kind == "secret", F.regexp_extract(value, r"[\"'](.*)[\"']$", 1))
+        .when((kind == "secret") & value.rlike(r"[\"']$"), F.regexp_extract(value, r"[\"'](.*)[\"']$", 1))
+        .when(kind == "secret", F.regexp_extract(value, r"[:=][ \t]*(.*)$", 1))
+        .when(kind == "ip6", F.lower(value))
         .otherwise(value)
     )
 
@@ -140,6 +151,8 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     lower = F.substr(F.array_join(blocks, ""), F.lit(1), F.length(norm))
     mixed = F.array_join(F.zip_with(F.split(norm, ""), F.split(lower, ""), lambda c, h: F.when(c.rlike("[A-F]"), F.upper(h)).otherwise(h)), "")
     hexa = F.when(~norm.rlike("[A-F]"), lower).when(~norm.rlike("[a-f]"), F.upper(lower)).otherwise(mixed)
+    # a network address of the longer kind: its digits and letters, in its own groups
+    six = F.array_join(F.zip_with(F.split(norm, ""), F.split(F.sha2(F.concat(seed, F.lit("#6")), 256), ""), lambda c, h: F.when(c.rlike("[0-9a-f]"), h).otherwise(c)), "")
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     mail = F.concat(_shaped(local, seed), F.lit("@"), _shaped(F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.concat(seed, F.lit("d"))), F.lit(".invalid"))
     # a given name of the same gender and script, joined with others in later attempts; a family name of syllables
@@ -149,7 +162,7 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     given = reduce(lambda rest, k: F.when((script == k[0]) & (kind == f"given:{k[1]}"), F.concat_ws("-", *(pick(1 + 4 * i, NAMES[k]) for i in range(1 + longer)))).otherwise(rest), NAMES, F.lit(None).cast("string"))
     family = reduce(lambda rest, k: F.when(script == k, F.initcap(F.concat(*(pick(1 + 4 * i, SYLLABLES[k]) for i in range(4 + longer))))).otherwise(rest), SYLLABLES, F.lit(None).cast("string"))
     return (
-        F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind.isin("secret", "hex_secret") & norm.rlike(r"^[0-9a-fA-F]{16,}$"), hexa).when(kind == "email", mail)
+        F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "ip6", F.substr(six, F.lit(1), F.length(norm))).when(kind == "key", F.concat(F.substring(norm, 1, 4), F.substr(shaped, F.lit(5)))).when(kind == "phone", phone).when(kind.isin("secret", "hex_secret") & norm.rlike(r"^[0-9a-fA-F]{16,}$"), hexa).when(kind == "email", mail)
         .when(kind.startswith("given"), given).when(kind == "family", family).when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substr(shaped, F.lit(3)))).otherwise(shaped)
     )
 
@@ -160,8 +173,10 @@ def _keys(kind: Column, value: Column) -> Column:
     The whole name carries its gender, which the title tells; without a title it may be either that the text has introduced.
     """
     titled = value.rlike(_TITLED)
-    rest = F.when(titled, F.regexp_extract(value, r"^[^ ]+ (.*)$", 1)).otherwise(value)
-    male = F.regexp_extract(value, r"^([^ .]+)", 1).isin(*MALE_TITLES)
+    rest = F.initcap(F.regexp_replace(value, _TITLED, ""))
+    title = F.regexp_extract(value, r"^([^ .]+)", 1)
+    known = F.substring_index(rest, " ", 1)
+    male = F.when(title.isin(*OTHER_TITLES), ~(known.isin(*(n for (_, g), own in NAMES.items() if g == "f" for n in own)) | known.rlike("[aаα]$"))).otherwise(title.isin(*MALE_TITLES))
     entry = lambda k, n: F.struct(F.lit(k).alias("kind"), n.alias("norm"))
     whole = lambda k, fits: F.when(rest.contains(" ") & fits, entry(k, rest))
     names = F.array(entry("family", F.substring_index(rest, " ", -1)), whole("given:m", ~titled | male), whole("given:f", ~titled | ~male))
@@ -175,7 +190,9 @@ def _mention(kind: Column, value: Column, replaced: Column) -> Column:
     )
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), grouped)
-        .when(kind == "secret", F.concat(F.regexp_extract(value, r"^([^\"']*[\"'])", 1), replaced, F.substring(value, -1, 1)))
+        .when((kind == "secret") & value.rlike(r"[\"']$"), F.concat(F.regexp_extract(value, r"^([^\"']*[\"'])", 1), replaced, F.substring(value, -1, 1)))
+        .when(kind == "secret", F.concat(F.regexp_extract(value, r"^([^:=]*[:=][ \t]*)", 1), replaced))
+        .when((kind == "ip6") & value.rlike("[A-F]"), F.upper(replaced))
         .when(kind == "email", F.concat(F.regexp_extract(value, _LEADER, 0), replaced))
         .otherwise(replaced)
     )
@@ -257,7 +274,7 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     # ``_key`` names a text by its content, so that repeated rows share one entry
     found = packed.where(hit).withColumn("_key", F.sha2("_text", 256)).withColumn("_first", F.regexp_extract_all("_text", F.lit(_ANY), F.lit(0)))
     # names that a title has introduced are looked for in the whole text, with and without the given name
-    titled = F.transform(F.filter("_first", lambda v: v.rlike(_TITLED)), lambda v: F.regexp_extract(v, r"^[^ ]+ (.*)$", 1))
+    titled = F.transform(F.filter("_first", lambda v: v.rlike(_TITLED)), lambda v: F.regexp_replace(v, _TITLED, ""))
     found = found.withColumn("_names", F.array_union(titled, F.transform(titled, lambda v: F.substring_index(v, " ", -1))))
     longest_first = F.array_join(F.array_sort("_names", lambda a, b: F.length(b) - F.length(a)), "|")
     found = found.withColumn("_pattern", F.when(F.size("_names") == 0, F.lit(_ANY)).otherwise(F.concat(F.lit(_ANY + r"|(?<![\p{L}])(?:"), longest_first, F.lit(r")(?![\p{L}\p{N}])"))))
@@ -275,7 +292,9 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     def replaced(z):
         of = lambda i: F.element_at(F.col("_map"), F.get(z["_keys"], F.lit(i)))
         title = F.regexp_extract(z["_values"], _TITLED, 0)
-        name = F.concat(title, F.concat_ws(" ", F.coalesce(of(1), of(2)), of(0)))
+        own = F.regexp_replace(z["_values"], _TITLED, "")
+        name = F.concat_ws(" ", F.coalesce(of(1), of(2)), of(0))
+        name = F.concat(title, F.when((own == F.upper(own)) & (F.length(own) > 1), F.upper(name)).otherwise(name))
         return F.when(z["_kinds"].isNull(), z["_values"]).when(z["_kinds"] == "name", name).otherwise(_mention(z["_kinds"], z["_values"], of(0)))
 
     pieces = F.split("_text", F.col("_pattern"), -1)
