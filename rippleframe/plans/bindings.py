@@ -53,6 +53,14 @@ SELECT module, node, concat('m', node % 211) AS method, CASE node % 4 WHEN 0 THE
     "sites": """
 SELECT o_custkey % 5 AS module, o_custkey % 97 AS caller_id, o_orderkey % 53 AS callee_id, o_orderstatus <> 'P' AS is_dispatch, CAST(1 + o_orderkey % 6 AS INT) AS n_targets,
        CASE WHEN o_orderkey % 4 < 3 THEN 'EXCLUDES' WHEN o_orderkey % 8 = 3 THEN 'REACHES' WHEN o_orderkey % 16 = 7 THEN NULL ELSE 'UNKNOWN' END AS receiver_verdict FROM {orders}""",
+    # bodies of a few values each: constants, allocations, casts and phis, some of them in circles
+    "ir_values": """
+SELECT body, value, CASE k WHEN 0 THEN 'string' WHEN 1 THEN 'new' WHEN 2 THEN 'cast' WHEN 3 THEN 'pi' WHEN 4 THEN 'phi' WHEN 5 THEN 'phi' WHEN 6 THEN 'string' WHEN 7 THEN 'null' ELSE 'param' END AS kind, concat('T', t) AS type, concat('c', c) AS text
+FROM (SELECT l_orderkey AS body, l_linenumber AS value, max((l_partkey + l_suppkey) % 9) AS k, max(l_partkey % 9) AS t, max(l_suppkey % 2) AS c FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x""",
+    "ir_uses": """
+SELECT body, value, o AS ord, CASE o WHEN 0 THEN 1 + a ELSE 1 + b END AS input
+FROM (SELECT l_orderkey AS body, l_linenumber AS value, max((l_partkey + l_suppkey) % 9) AS k, max(l_suppkey % 6) AS a, max(l_partkey % 6) AS b FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x CROSS JOIN (SELECT 0 AS o UNION ALL SELECT 1) y
+WHERE k BETWEEN 4 AND 5 OR (k BETWEEN 2 AND 3 AND o = 0)""",
     "points": """
 SELECT DISTINCT p_partkey AS point_id, concat('o', p_partkey % 100) AS owner, concat('n', p_size % 30) AS name, CASE p_partkey % 10 WHEN 0 THEN 'METHOD_REMOVED' WHEN 1 THEN 'METHOD_DESCRIPTOR_CHANGED' WHEN 2 THEN 'METHOD_ACCESS_NARROWED'
          WHEN 3 THEN 'FIELD_REMOVED' WHEN 4 THEN 'FIELD_DESCRIPTOR_CHANGED' WHEN 5 THEN 'CLASS_REMOVED' WHEN 6 THEN 'CLASS_ACCESS_NARROWED' WHEN 7 THEN 'METHOD_BODY_CHANGED' WHEN 8 THEN 'METHOD_ADDED' ELSE 'FIELD_ACCESS_NARROWED' END AS kind,

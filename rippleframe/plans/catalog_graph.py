@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.keys import jdk_excluded
 from ..operators import graph, impact, ownership, reactor, seeds, selection, topology
-from . import affected, catalog_facts, catalog_reports, report  # noqa: F401
+from . import affected, catalog_dataflow, catalog_facts, catalog_reports, report  # noqa: F401
 from .bindings import bound, bound_sql
 from .catalog import ORACLE_SQL, QUERIES, _flow, query
 
