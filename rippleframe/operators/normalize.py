@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import reach, validate_occurrence_graph
+from .steps import forget, step
 
 #: Scopes that a selected tree retains.
 RETAINED = ["compile", "runtime", "provided", "system"]
@@ -15,29 +15,24 @@ RETAINED = ["compile", "runtime", "provided", "system"]
 def selected_tree(nodes: DataFrame, retained: list[str] = RETAINED) -> DataFrame:
     """(module, node, parent): subtrees of other scopes are dropped, reactor nodes give their place to their children.
 
-    nodes: module, node, parent (null for the root), ord, scope, reactor.  The root stays whatever it is.
+    nodes: module, node, parent (null for the root), ord, scope, reactor.  The root stays whatever it is; what hangs on
+    a node that is not there, or on a circle, goes.  Every node looks up twice as far in each round, over all modules at once: whether
+    anything it has passed is dropped, and the nearest node there that keeps its place.
     """
-
-    def promote(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        place: dict = {}  # node to the node its children hang on; None where its subtree is dropped
-        rows = []
-        for node, parent, scope, reactor in zip(pdf["node"], pdf["parent"], pdf["scope"], pdf["reactor"], strict=True):
-            if pd.isna(parent):
-                place[node] = node
-                rows.append((pdf["module"].iloc[0], node, None))
-                continue
-            above = place.get(parent)
-            if above is None or scope not in retained:
-                place[node] = None
-            elif reactor:
-                place[node] = above
-            else:
-                place[node] = node
-                rows.append((pdf["module"].iloc[0], node, above))
-        return pd.DataFrame(rows, columns=["module", "node", "parent"]).astype({"parent": "Int64"})
-
-    return nodes.groupBy("module").applyInPandas(promote, f"module {nodes.schema['module'].dataType.simpleString()}, node long, parent long")
+    rows = nodes.select("module", "node", "parent", F.col("parent").isNull().alias("root"), (F.col("parent").isNotNull() & ~F.coalesce(F.col("scope").isin(*retained), F.lit(False))).alias("bad"), F.coalesce("reactor", F.lit(False)).alias("reactor"))
+    above = rows.select("module", F.col("node").alias("parent"), F.col("bad").alias("_bad"), (F.col("root") | ~F.col("reactor")).alias("_stays"), F.col("parent").alias("_up"))
+    joined = rows.join(above, ["module", "parent"], "left")
+    lost = F.col("parent").isNotNull() & F.col("_bad").isNull()
+    state = step(joined.select("module", "node", "root", "reactor", (F.col("bad") | lost | F.coalesce("_bad", F.lit(False))).alias("bad"), F.when(F.col("_stays"), F.col("parent")).alias("near"), F.when(~lost, F.col("parent")).alias("far")))
+    for _ in range(64):  # twice as far each time: what has still not met a root then is on a circle of parents
+        if state.where("far IS NOT NULL").isEmpty():
+            break
+        there = state.select("module", F.col("node").alias("far"), F.col("bad").alias("_bad"), F.col("near").alias("_near"), F.col("far").alias("_far"))
+        further = state.join(there, ["module", "far"], "left")
+        doubled = step(further.select("module", "node", "root", "reactor", (F.col("bad") | F.coalesce("_bad", F.lit(False))).alias("bad"), F.coalesce("near", "_near").alias("near"), F.col("_far").alias("far")))
+        forget(state)
+        state = doubled
+    return state.where("root OR NOT (bad OR reactor OR far IS NOT NULL)").select("module", "node", F.when(~F.col("root"), F.col("near")).alias("parent"))
 
 
 def normalised_occurrences(raw: DataFrame, winners: DataFrame, retained: list[str] = RETAINED) -> tuple[DataFrame, DataFrame]:

@@ -19,23 +19,21 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
 SELECT DISTINCT concat('c', l_partkey % 400) AS binary_name, CASE s_nationkey % 5 WHEN 0 THEN 'JDK' WHEN 1 THEN 'PROJECT' WHEN 2 THEN 'REACTOR_DEPENDENCY' WHEN 3 THEN 'DEPENDENCY' ELSE 'SYNTHETIC' END AS origin,
        concat('s', l_suppkey) AS source_key, concat('d', (l_partkey + l_suppkey) % 3) AS digest, concat('e', l_partkey % 7) AS entry_name, l_suppkey * 1000 + l_partkey % 7 AS scan_ord
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
+    # what a side has, and how, follows sums over its rows, so that the sides differ at every size
     "class_info": """
-SELECT side, owner, max(access) AS access FROM (
-  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 600) AS owner,
-         CASE (l_suppkey + l_linenumber) % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access FROM {lineitem}) x
-GROUP BY side, owner""",
+SELECT side, owner, CASE s % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access FROM (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 600) AS owner, CAST(sum(l_suppkey + l_linenumber) AS BIGINT) AS s FROM {lineitem} GROUP BY 1, 2) x
+WHERE s % 13 <> 0""",
     "method_info": """
-SELECT side, owner, name, descriptor, max(access) AS access, max(body_hash) AS body_hash FROM (
-  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 100) AS owner, concat('n', l_suppkey % 30) AS name, concat('(', l_linenumber % 2, ')') AS descriptor,
-         CASE l_linenumber % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE concat('h', l_orderkey % 3) END AS body_hash
-  FROM {lineitem}) x
-GROUP BY side, owner, name, descriptor""",
+SELECT side, owner, name, descriptor, CASE s % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access, CASE WHEN s % 9 = 0 THEN NULL ELSE concat('h', s % 3) END AS body_hash FROM (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 100) AS owner, concat('n', l_suppkey % 30) AS name, concat('(', l_linenumber % 2, ')') AS descriptor, CAST(sum(l_orderkey + l_linenumber) AS BIGINT) AS s
+  FROM {lineitem} GROUP BY 1, 2, 3, 4) x
+WHERE s % 11 <> 0""",
     "field_info": """
-SELECT side, owner, name, max(descriptor) AS descriptor, max(access) AS access FROM (
-  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 100) AS owner, concat('f', l_suppkey % 40) AS name, concat('T', l_linenumber % 3) AS descriptor,
-         CASE l_linenumber % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access
-  FROM {lineitem}) x
-GROUP BY side, owner, name""",
+SELECT side, owner, name, concat('T', s % 3) AS descriptor, CASE s % 4 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PACKAGE_PRIVATE' WHEN 2 THEN 'PROTECTED' ELSE 'PUBLIC' END AS access FROM (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('o', l_partkey % 100) AS owner, concat('f', l_suppkey % 40) AS name, CAST(sum(l_orderkey + l_suppkey) AS BIGINT) AS s
+  FROM {lineitem} GROUP BY 1, 2, 3) x
+WHERE s % 11 <> 0""",
     "registration": """
 SELECT DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24 00:00:00' THEN 'baseline' ELSE 'target' END AS side, concat('svc', l_suppkey % 20) AS service, concat('o', l_partkey % 600) AS provider FROM {lineitem}""",
     "edge": """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import diff, graph, impact, normalize, ownership, selection
+from ..operators.steps import step
 from ..sources import facts
 from . import report
 from .bindings import bound
@@ -257,18 +258,24 @@ FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)"""
 
 # --- orders, joins back, providers -----------------------------------------------------------------------------------
 @query("w09_first_changes", _FIRST + """, c AS (SELECT module_key, group_id, artifact_id, CASE WHEN NOT in_b THEN 0 WHEN NOT in_t THEN 1 ELSE 2 END AS change_order FROM j WHERE NOT in_b OR NOT in_t OR bv <> tv)
-SELECT * FROM c ORDER BY module_key, change_order, group_id, artifact_id LIMIT 200""", ("occ",))
+SELECT *, row_number() OVER (ORDER BY module_key, change_order, group_id, artifact_id) AS place FROM c""", ("occ",))
 def w09_first_changes(spark, sf):
+    """All changes with their place in the report's order."""
     b, t = _sides(spark, sf, "occ")
     changes = diff.dependency_changes(_first(b), _first(t), MODULE_KEY)
-    return diff.ordered_changes(changes, MODULE_KEY).limit(200).select(*MODULE_KEY, "change_order")
+    ordered = diff.ordered_changes(changes, MODULE_KEY).select(*MODULE_KEY, "change_order")
+    # rows of an ordered result are numbered within their partitions, and those follow each other
+    at = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return report.running_sums(at, ["_at"], {"place": F.lit(1)}).drop("_at")
 
 
-@query("w06_sorted_groups", """ SELECT group_id, artifact_id, count(*) AS n, string_agg(module_key, ',' ORDER BY module_key, seq) AS modules FROM occ GROUP BY ALL""", ("occ",))
+@query("w06_sorted_groups", """ SELECT group_id, artifact_id, module_key, seq, row_number() OVER (PARTITION BY group_id, artifact_id ORDER BY module_key, seq) AS nth FROM occ""", ("occ",))
 def w06_sorted_groups(spark, sf):
+    """Where the external sort has put each row of its group: the place among the rows as they come, not sorted again."""
     rows = report.sorted_groups(bound(spark, sf, "occ"), ["group_id", "artifact_id"], ["module_key", "seq"])
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("module_key", "seq"))), lambda x: x["module_key"])
-    return rows.groupBy("group_id", "artifact_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, ",").alias("modules"))
+    came = step(rows.select("group_id", "artifact_id", "module_key", "seq", F.monotonically_increasing_id().alias("_at")))
+    first = came.groupBy("group_id", "artifact_id").agg(F.min("_at").alias("_first"))
+    return came.join(first, ["group_id", "artifact_id"]).select("group_id", "artifact_id", "module_key", "seq", (F.col("_at") - F.col("_first") + 1).alias("nth"))
 
 
 @query("j12_pair_modules", _FIRST + """, c AS (SELECT module_key, concat(group_id, ':', artifact_id, ':', bv) AS old_coordinate, concat(group_id, ':', artifact_id, ':', tv) AS new_coordinate FROM j WHERE in_b AND in_t AND bv <> tv)

@@ -338,13 +338,13 @@ m AS (SELECT p_partkey AS member_id, CASE WHEN p_size % 2 = 0 THEN 'METHOD_REMOV
 """
 
 
-@query("q05_changed_members", _MEMBERS + "SELECT *, impact + structural AS total FROM m WHERE kind = 'METHOD_REMOVED' AND impact + structural > 0 AND source <> 'g2:a' AND contains(lower(concat(dependency, ' ', source, ' ', signature)), 'a') ORDER BY total DESC, impact DESC, structural DESC, member_id LIMIT 100")
+@query("q05_changed_members", _MEMBERS + "SELECT *, impact + structural AS total FROM m WHERE kind = 'METHOD_REMOVED' AND impact + structural > 0 AND source <> 'g2:a' AND contains(lower(concat(dependency, ' ', source, ' ', signature)), 'a') ")
 def q05_changed_members(spark, sf):
     n = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_if(F.col("l_returnflag") == "A").alias("impact"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 2)).alias("structural"))
     p = spark.read.parquet(f"{sf}/part.parquet").join(n, "p_partkey", "left").na.fill(0, ["impact", "structural"])
     source = F.concat(F.lit("g"), F.col("p_size") % 4, F.lit(":a"))
     members = p.select(F.col("p_partkey").alias("member_id"), F.when(F.col("p_size") % 2 == 0, "METHOD_REMOVED").otherwise("CLASS_REMOVED").alias("kind"), source.alias("source"), F.concat(source, F.lit(":1 → 2 (compile)")).alias("dependency"), F.concat(F.lit("o."), "p_name").alias("signature"), "impact", "structural")
-    return affected.changed_members(members, "METHOD_REMOVED", "has", exclude=["g2:a"], search="A").limit(100)
+    return affected.changed_members(members, "METHOD_REMOVED", "has", exclude=["g2:a"], search="A")
 
 
 @query("q08_candidates", """SELECT DISTINCT concat(p_brand, ' ', p_type) AS label FROM part WHERE contains(lower(concat(p_brand, ' ', p_type)), '1') ORDER BY label LIMIT 50""")

@@ -18,9 +18,14 @@ CLASSPATH_SCHEMA = f"""schemaVersion int, javaMajor int, module {COORDINATES}, m
 EVIDENCE_PROPERTIES = {"schemaVersion", "module", "moduleDirectory", "dependencies", "occurrenceGraph", "selectedReactorKeys", "artifacts"}
 CLASSPATH_PROPERTIES = {"schemaVersion", "javaMajor", "module", "moduleDirectory", "entries", "issues"}
 COORDINATE_PROPERTIES = sorted(["groupId", "artifactId", "type", "extension", "classifier", "version", "baseVersion"])
+RETAINED_SCOPES = ["compile", "runtime", "provided", "system"]
 NESTED_PROPERTIES = {"$.occurrenceGraph.occurrences": ["coordinates", "id", "moduleRoot", "reactor", "scope"], "$.occurrenceGraph.edges": ["childId", "parentId"], "$.artifacts": ["absolutePath", "coordinates"]}
 
 
+def _kept_scope(scope: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(scope)).isin(*RETAINED_SCOPES), F.lit(False))
+
+
 class InvalidDocument(ValueError):
     """A document that the strict readers reject."""
 
@@ -28,6 +33,10 @@ class InvalidDocument(ValueError):
 def _strict_json(spark: SparkSession, path: str, schema: str, properties: set[str], version: int) -> DataFrame:
     """One row for each document; unknown or missing properties and other schema versions stop the read."""
     raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    # the variant parser refuses an object that repeats a property, at any depth
+    unread = raw.where(F.try_parse_json("value").isNull()).select("file").limit(1).collect()
+    if unread:
+        raise InvalidDocument(f"{unread[0]['file']}: not a JSON document, or one that repeats a property")
     bad = raw.select("file", F.array_sort(F.json_object_keys("value")).alias("k")).where(F.col("k").isNull() | (F.col("k") != F.lit(sorted(properties)))).limit(1).collect()
     if bad:
         raise InvalidDocument(f"{bad[0]['file']}: properties {bad[0]['k']}")
@@ -71,6 +80,8 @@ def dependency_nodes(evidence: DataFrame) -> DataFrame:
             return found
         if not level.where(F.col("k").isNull() | (F.col("k") != F.lit(["children", "coordinates", "scope"])) | F.col("c").isNull() | (F.col("c") != F.lit(COORDINATE_PROPERTIES)) | F.col("n.scope").isNull() | F.col("n.children").isNull()).isEmpty():
             raise InvalidDocument("a dependency has unknown or missing properties")
+        if not level.where(~_kept_scope(F.col("n.scope"))).isEmpty():
+            raise InvalidDocument("a dependency's scope is not retained")
         rows = level.select("file", "path", "n.coordinates", "n.scope")
         found = rows if found is None else found.union(rows)
         level = level.select("file", F.col("path").alias("above"), F.posexplode("n.children").alias("pos", "text"))
@@ -80,13 +91,15 @@ def read_dependency_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Schema 3 documents; ``dependencies`` holds the nested trees as JSON texts (see ``dependency_nodes``).
 
     Paths must be absolute, the occurrence graph valid and its root the module, reactor keys distinct, and the artifacts
-    of the dependency trees exactly those that are bound, each once.
+    of the dependency trees exactly those that are bound, each once.  Scopes are retained ones; the module root has none
+    and is no reactor's.  No object may repeat a property.
     """
     rows = _strict_json(spark, path, EVIDENCE_SCHEMA, EVIDENCE_PROPERTIES, 3)
     required = ["module", "moduleDirectory", "dependencies", "occurrenceGraph.rootId", "occurrenceGraph.occurrences", "occurrenceGraph.edges", "selectedReactorKeys", "artifacts"]
     bound = rows.select("file", F.explode("artifacts").alias("a")).select("file", "a.*")
     graph = rows.select("file", "module", "occurrenceGraph.*")
-    nodes = graph.select(F.col("file").alias("module"), F.explode("occurrences").alias("o")).select("module", F.col("o.id").alias("node"), F.col("o.moduleRoot").alias("is_root"))
+    occurrences = graph.select(F.col("file").alias("module"), F.explode("occurrences").alias("o"))
+    nodes = occurrences.select("module", F.col("o.id").alias("node"), F.col("o.moduleRoot").alias("is_root"))
     edges = graph.select(F.col("file").alias("module"), F.explode("edges").alias("e")).select("module", F.col("e.parentId").alias("src"), F.col("e.childId").alias("dst"))
     root = F.exists("occurrences", lambda o: o["moduleRoot"] & (o["id"] == F.col("rootId")) & (_artifact(o["coordinates"]) == _artifact(F.col("module"))))
     selected, kept = (df.select("file", _artifact(F.col("coordinates")).alias("coordinates")) for df in (dependency_nodes(rows), bound))
@@ -98,6 +111,8 @@ def read_dependency_evidence(spark: SparkSession, path: str) -> DataFrame:
         (kept.groupBy("file", "coordinates").count().where("count > 1"), "an artifact is bound twice"),
         (nodes.where("node IS NULL OR is_root IS NULL"), "an occurrence is incomplete"),
         (nodes.groupBy("module", "node").count().where("count > 1"), "an occurrence id is repeated"),
+        (occurrences.where("o.moduleRoot AND (o.reactor OR o.scope <> '')"), "the module root's scope must be empty and not of a reactor"),
+        (occurrences.where(~F.col("o.moduleRoot") & ~_kept_scope(F.col("o.scope"))), "an occurrence's scope is not retained"),
         (graph.where(~F.coalesce(root, F.lit(False))), "the occurrence root is not the module"),
         (validate_occurrence_graph(nodes, edges).where("problem IS NOT NULL"), "the occurrence graph is not valid"),
         (rows.where("size(array_distinct(selectedReactorKeys)) < size(selectedReactorKeys)"), "a reactor key is repeated"),

@@ -41,3 +41,17 @@ def test_dependency_evidence(spark, tmp_path):
     ):
         with pytest.raises(facts.InvalidDocument):
             read(change)
+    for change in (
+        {"dependencies": [{"coordinates": coordinates("a"), "scope": "test", "children": [leaf]}]},
+        {"occurrenceGraph": graph | {"occurrences": [occurrence | {"scope": "compile"}, *more]}},
+        {"occurrenceGraph": graph | {"occurrences": [occurrence | {"reactor": True}, *more]}},
+        {"occurrenceGraph": graph | {"occurrences": [occurrence, more[0] | {"scope": "import"}, more[1]]}},
+    ):
+        with pytest.raises(facts.InvalidDocument, match="scope"):
+            read(change)
+    # a property twice, at the top and deep inside; a cut document
+    text = json.dumps(good)
+    for broken in (text.replace('"moduleDirectory": "/m"', '"moduleDirectory": "/m", "moduleDirectory": "/m"'), text.replace('"moduleRoot": false', '"moduleRoot": false, "moduleRoot": false', 1), text[:-1]):
+        (tmp_path / "e.json").write_text(broken)
+        with pytest.raises(facts.InvalidDocument, match="repeats a property"):
+            facts.read_dependency_evidence(spark, str(tmp_path / "e.json"))
