@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _Levels, follow
+from .graph import _Levels, follow, strong_components
 from .steps import step
 
 #: Fixed value: how many nodes and related methods a ranking shows.
@@ -39,11 +39,24 @@ def related_methods(edges: DataFrame, nodes: DataFrame, ranked: DataFrame, direc
     return groups.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+# --- fixed values: the kinds of nodes that paths begin at, in order -----------------------------------------------------
+ROOT_KINDS = ["DECLARED_ENTRYPOINT", "FAKE_ROOT", "FAKE_WORLD_CLINIT"]
+# ---------------------------------------------------------------------------------------------------------------------
+
+
+def path_roots(nodes: DataFrame) -> DataFrame:
+    """(module, node, root_kind) of the declared entry points of ``nodes`` (module, node, is_entrypoint, node_kind) and
+    of the synthetic nodes of a kind in ROOT_KINDS."""
+    kind = F.when(F.col("is_entrypoint"), ROOT_KINDS[0]).when(F.col("node_kind").isin(*ROOT_KINDS[1:]), F.col("node_kind"))
+    return nodes.select("module", "node", kind.alias("root_kind")).where("root_kind IS NOT NULL").distinct()
+
+
 def shortest_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
-    """(module, root, target, distance, path): the shortest path from each root to each target that it reaches.
+    """(module, root_kind, root, target, distance, path, cycles): the shortest path from each root to each target.
 
-    Distances come from a reverse walk of all targets at once; then each path takes, of the successors that are one step
-    nearer, the smallest.
+    ``roots`` (module, node, root_kind), ``targets`` (module, node).  Distances come from a reverse walk of all targets
+    at once; then each path takes, of the successors that are one step nearer, the smallest.  ``cycles`` tells of every
+    step whether its node is on a cycle of the whole graph.  Roots that do not reach a target have no path to it.
     """
     links = step(edges.select("module", "src", "dst").distinct())
     on = ["module", "target", "node"]
@@ -54,5 +67,9 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> Da
     near = levels.all()
     nearer = near.select("module", "target", F.col("node").alias("dst"), (F.col("distance") + 1).alias("distance"))
     pointers = step(near.join(links.withColumnRenamed("src", "node"), ["module", "node"]).join(nearer, ["module", "target", "dst", "distance"]).groupBy(*on).agg(F.min("dst").alias("next")))
-    started = step(near.join(roots.select("module", "node"), ["module", "node"], "left_semi"))
-    return started.join(follow(pointers, started, ["module", "target"]), on).select("module", F.col("node").alias("root"), "target", "distance", "path")
+    started = step(near.join(roots.select("module", "node", "root_kind"), ["module", "node"]))
+    paths = step(follow(pointers, started, ["module", "target"]))
+    cyclic = strong_components(links).where("cyclic").select("module", F.col("node").alias("_at"), F.lit(True).alias("_cycle"))
+    steps = paths.select(*on, F.posexplode("path").alias("_pos", "_at")).join(cyclic, ["module", "_at"], "left")
+    flags = steps.groupBy(*on).agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_cycle", F.lit(False)).alias("c")))), lambda x: x["c"]).alias("cycles"))
+    return started.join(paths, on).join(flags, on).select("module", "root_kind", F.col("node").alias("root"), "target", "distance", "path", "cycles")

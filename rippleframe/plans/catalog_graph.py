@@ -120,10 +120,12 @@ ORACLE_SQL["g10_seed_roots"] = _recursive(("flow", "flow_node"), ", " + _SEEDS)
 
 @query("g17_topology_paths")
 def g17_topology_paths(spark, sf):
-    """Shortest paths from the entry points to each module's smallest node."""
+    """Shortest paths from the roots to each module's smallest node; nodes on a cycle have an asterisk."""
     edges, nodes = _flow(spark, sf)
-    rows = topology.shortest_paths(edges, nodes.where("is_entrypoint").select("module", "node"), nodes.groupBy("module").agg(F.min("node").alias("node")))
-    return rows.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+    roots = topology.path_roots(nodes.withColumn("node_kind", F.when(F.col("synthetic"), F.when(F.col("node") % 2 == 0, "FAKE_ROOT").otherwise("FAKE_WORLD_CLINIT"))))
+    rows = topology.shortest_paths(edges, roots, nodes.groupBy("module").agg(F.min("node").alias("node")))
+    shown = F.zip_with("path", "cycles", lambda n, c: F.concat(n.cast("string"), F.when(c, "*").otherwise("")))
+    return rows.withColumn("path", F.array_join(shown, ">")).drop("cycles")
 
 
 ORACLE_SQL["g17_topology_paths"] = _recursive(
@@ -132,9 +134,11 @@ ORACLE_SQL["g17_topology_paths"] = _recursive(
 b(module, node, d) AS (SELECT module, target, 0 FROM t UNION SELECT e.module, e.src, b.d + 1 FROM b JOIN e ON e.module = b.module AND e.dst = b.node WHERE b.d < 40),
 n AS MATERIALIZED (SELECT module, node, min(d) AS d FROM b GROUP BY ALL),
 nx AS MATERIALIZED (SELECT x.module, x.node, min(e.dst) AS next FROM n x JOIN e ON e.module = x.module AND e.src = x.node JOIN n y ON y.module = e.module AND y.node = e.dst AND y.d = x.d - 1 GROUP BY ALL),
-p(module, root, distance, here, path) AS (SELECT n.module, n.node, n.d, n.node, CAST(n.node AS VARCHAR) FROM n JOIN flow_node g ON g.module = n.module AND g.node = n.node AND g.is_entrypoint
-  UNION ALL SELECT p.module, p.root, p.distance, nx.next, concat(p.path, '>', nx.next) FROM p JOIN nx ON nx.module = p.module AND nx.node = p.here)
-SELECT p.module, p.root, t.target, p.distance, p.path FROM p JOIN t ON t.module = p.module AND t.target = p.here""",
+r(module, a, b) AS (SELECT module, src, dst FROM e UNION SELECT r.module, r.a, e.dst FROM r JOIN e ON e.module = r.module AND e.src = r.b),
+cyc AS MATERIALIZED (SELECT module, a AS node FROM r WHERE a = b),
+p(module, root, distance, here, path) AS (SELECT n.module, n.node, n.d, n.node, concat(n.node, CASE WHEN k.node IS NOT NULL THEN '*' ELSE '' END) FROM n JOIN flow_node g ON g.module = n.module AND g.node = n.node AND (g.is_entrypoint OR g.synthetic) LEFT JOIN cyc k ON k.module = n.module AND k.node = n.node
+  UNION ALL SELECT p.module, p.root, p.distance, nx.next, concat(p.path, '>', nx.next, CASE WHEN k.node IS NOT NULL THEN '*' ELSE '' END) FROM p JOIN nx ON nx.module = p.module AND nx.node = p.here LEFT JOIN cyc k ON k.module = nx.module AND k.node = nx.next)
+SELECT p.module, CASE WHEN g.is_entrypoint THEN 'DECLARED_ENTRYPOINT' WHEN p.root % 2 = 0 THEN 'FAKE_ROOT' ELSE 'FAKE_WORLD_CLINIT' END AS root_kind, p.root, t.target, p.distance, p.path FROM p JOIN t ON t.module = p.module AND t.target = p.here JOIN flow_node g ON g.module = p.module AND g.node = p.root""",
 )
 
 # --- evidence --------------------------------------------------------------------------------------------------------

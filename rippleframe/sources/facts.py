@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,18 +139,30 @@ def read_classpath_evidence(spark: SparkSession, path: str) -> DataFrame:
 def parse_dependency_text(lines: DataFrame, scopes: list[str] = DEFAULT_SCOPES) -> DataFrame:
     """(file, line_no, line) to occurrences with depth, parts, annotations and the path of coordinates from the root.
 
-    The ancestor of each depth is the last line of that depth before; scopes are filtered after paths are known.
+    A line's parent is the last line before it that is one level higher, found within that level's lines alone; paths
+    grow from the top, each line joined to its parent once.  Scopes are filtered after paths are known.
     """
     body = F.regexp_replace("line", r"^\[INFO\] ", "")
     indent = F.regexp_extract(body, r"^((?:[|+\\ ][ \-] )*)", 1)
     text = F.substr(body, F.length(indent) + 1)
     coordinate = F.regexp_extract(text, r"^\(?([^ ()]+:[^ ()]+)", 1)
     rows = lines.withColumns({"_depth": (F.length(indent) / 3).cast("int"), "_coordinate": coordinate, "_notes": F.regexp_extract(text, r"\((?:version|scope|omitted|[^()]*optional)[^()]*\)|\(.*\)", 0)}).where(F.col("_coordinate") != "")
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    deepest = (rows.agg(F.max("_depth")).first()[0] or 0) + 1
-    ancestors = F.array(*(F.last(F.when(F.col("_depth") == d, F.col("_coordinate")), ignorenulls=True).over(w) for d in range(deepest)))
+    rows = step(rows)
+    places = rows.select("file", "line_no", F.col("_depth").alias("_level"), F.col("line_no").alias("_at")).union(rows.where("_depth > 0").select("file", "line_no", F.col("_depth") - 1, F.lit(None).cast(rows.schema["line_no"].dataType)))
+    so_far = Window.partitionBy("file", "_level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    parents = places.withColumn("_parent", F.last("_at", ignorenulls=True).over(so_far)).where("_at IS NULL").select("file", "line_no", "_parent")
+    placed = step(rows.select("file", "line_no", "_depth", "_coordinate").join(parents, ["file", "line_no"], "left"))
+    level = step(placed.where("_depth = 0").select("file", "line_no", F.array("_coordinate").alias("path")))
+    levels = [level]
+    for depth in range(1, (placed.agg(F.max("_depth")).first()[0] or 0) + 1):
+        above = level.select("file", F.col("line_no").alias("_parent"), F.col("path").alias("_above"))
+        nothing = F.array_repeat(F.lit(None).cast("string"), depth)
+        own = placed.where(F.col("_depth") == depth).join(above, ["file", "_parent"], "left")
+        level = step(own.select("file", "line_no", F.array_append(F.coalesce("_above", nothing), F.col("_coordinate")).alias("path")))
+        levels.append(level)
+    rows = rows.join(reduce(DataFrame.union, levels), ["file", "line_no"])
     note = lambda p: F.regexp_extract(F.col("_notes"), p, 1)
-    out = rows.withColumn("path", F.slice(ancestors, F.lit(1), F.col("_depth") + 1)).withColumn("_p", tree_coordinate_parts(F.col("_coordinate")))
+    out = rows.withColumn("_p", tree_coordinate_parts(F.col("_coordinate")))
     reason = F.when(note(r"omitted for (conflict)") != "", "conflict").when(note(r"omitted for (duplicate)") != "", "duplicate").when(note(r"omitted for (cycle)") != "", "cycle").otherwise("")
     out = out.select(
         "file", "line_no", F.col("_depth").alias("depth"), "_p.*", note(r"version managed from ([^;) ]+)").alias("managed_from_version"), note(r"scope managed from ([^;) ]+)").alias("managed_from_scope"),

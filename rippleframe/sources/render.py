@@ -108,14 +108,33 @@ class SpillStore:
 
 
 class Publication:
-    """An index that says RUNNING, pages that replace their own reactor alone, and the index with the final state."""
+    """An index that says RUNNING, pages that replace their own reactor alone, and the index with the final state.
+
+    Every index is a new numbered file that is written aside and renamed into its place; readers take the last one, so
+    they meet a whole index at any time.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path.rstrip("/")
+        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._fs_path(self._path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._index("RUNNING")
 
+    def _numbers(self) -> list[int]:
+        names = [s.getPath().getName() for s in self._fs.globStatus(self._fs_path(f"{self._path}/index/state-*.json")) or ()]
+        return sorted(int(n.removeprefix("state-").removesuffix(".json")) for n in names)
+
     def _index(self, state: str) -> None:
-        self._spark.createDataFrame([(json.dumps({"state": state}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self._path}/index")
+        known = self._numbers()
+        aside = self._fs_path(f"{self._path}/index/.{uuid.uuid4().hex}")
+        out = self._fs.create(aside, True)
+        out.write(bytearray(json.dumps({"state": state}), "utf-8"))
+        out.close()
+        target = self._fs_path(f"{self._path}/index/state-{(known[-1] if known else 0) + 1:09d}.json")
+        if not self._fs.rename(aside, target):
+            raise ValueError("another writer has published this index")
+        for old in known[:-1]:  # a reader may just have found the last one
+            self._fs.delete(self._fs_path(f"{self._path}/index/state-{old:09d}.json"), False)
 
     def publish(self, reactor: str, rows: DataFrame) -> None:
         """A page is there as a whole or not at all; pages of other reactors stay whatever happens."""
@@ -126,7 +145,7 @@ class Publication:
         self._index(state)
 
     def state(self) -> str:
-        return json.loads(self._spark.read.text(f"{self._path}/index").first()["value"])["state"]
+        return json.loads(self._spark.read.text(f"{self._path}/index/state-{self._numbers()[-1]:09d}.json", wholetext=True).first()["value"])["state"]
 
     def pages(self, schema) -> DataFrame:
         return self._spark.read.schema(schema).parquet(f"{self._path}/pages")
