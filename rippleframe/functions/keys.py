@@ -195,6 +195,10 @@ def search_text(*columns: Column) -> Column:
 # --- fixed values: how a resolution is told, by what was omitted ---------------------------------------------------------
 OMISSIONS = {"conflict": "Conflict mediation", "duplicate": "Duplicate mediation", "cycle": "Cycle omission"}
 OTHER_OMISSION, MANAGEMENT, DIRECT, ARROW = "Maven omission", "Dependency management", "Direct selection", " → "
+DETAIL = {
+    "conflict": ("effective ", " → selected "), "duplicate": ("resolved ", " reused from an earlier duplicate"), "cycle": ("reported ", "; cycle omitted"), "other": ("reported ", "; omitted", "; "),
+    "managed": ("requested ", " → effective "), "direct": ("requested ", " selected directly"), "selected": ("requested ", " → selected "), "reported": "reported resolved ",
+}
 # ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -212,18 +216,17 @@ def resolution_source(managed_from: Column, selected: Column, omitted: Column) -
 def resolution_detail(requested: Column, effective: Column, chosen: Column, managed_from: Column, selected: Column, omitted: Column) -> Column:
     managed = F.trim(managed_from) != ""
     r, e, s = _shown(requested), _shown(effective), _shown(chosen)
+    text = lambda kind, *parts: F.concat(F.lit(DETAIL[kind][0]), parts[0], F.lit(DETAIL[kind][1]), *parts[1:])
     left_out = (
-        F.when(omitted == "conflict", F.concat(F.lit("effective "), e, F.lit(" → selected "), s))
-        .when(omitted == "duplicate", F.concat(F.lit("resolved "), s, F.lit(" reused from an earlier duplicate")))
-        .when(omitted == "cycle", F.concat(F.lit("reported "), s, F.lit("; cycle omitted")))
-        .otherwise(F.concat(F.lit("reported "), s, F.when(F.trim(omitted) == "", "; omitted").otherwise(F.concat(F.lit("; "), omitted))))
-    )
+        F.when(omitted == "conflict", text("conflict", e, s)).when(omitted == "duplicate", text("duplicate", s)).when(omitted == "cycle", text("cycle", s))
+        .otherwise(F.concat(F.lit(DETAIL["other"][0]), s, F.when(F.trim(omitted) == "", DETAIL["other"][1]).otherwise(F.concat(F.lit(DETAIL["other"][2]), omitted))))
+    )
     return F.concat_ws(
         "; ",
-        F.when(managed, F.concat(F.lit("requested "), r, F.lit(" → effective "), e)),
-        F.when(selected & ~managed & (requested == chosen), F.concat(F.lit("requested "), r, F.lit(" selected directly"))),
-        F.when(selected & ~managed & (requested != chosen), F.concat(F.lit("requested "), r, F.lit(" → selected "), s)),
-        F.when(selected & managed & (effective != chosen), F.concat(F.lit("reported resolved "), s)),
+        F.when(managed, text("managed", r, e)),
+        F.when(selected & ~managed & (requested == chosen), text("direct", r)),
+        F.when(selected & ~managed & (requested != chosen), text("selected", r, s)),
+        F.when(selected & managed & (effective != chosen), F.concat(F.lit(DETAIL["reported"]), s)),
         F.when(~selected, left_out),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import ADDED_KINDS, COVERAGE_PRECEDENCE, package_of, ranked
@@ -184,8 +184,10 @@ def affected(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def scope_warnings(findings: DataFrame, examples: int = 5) -> DataFrame:
     """By artifact, findings, distinct excluded types and the first few examples."""
-    listed = F.slice(F.array_sort(F.collect_set(F.concat_ws(" -> ", "source", "excluded_type"))), 1, examples)
-    return findings.groupBy("artifact").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("excluded_type").alias("excluded_types"), F.array_join(listed, ", ").alias("examples"))
+    pairs = findings.select("artifact", F.concat_ws(" -> ", "source", "excluded_type").alias("_example")).distinct()
+    first = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy("artifact").orderBy("_example"))).where(F.col("_rn") <= examples)
+    listed = first.groupBy("artifact").agg(F.array_join(F.array_sort(F.collect_list("_example")), ", ").alias("examples"))
+    return findings.groupBy("artifact").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("excluded_type").alias("excluded_types")).join(listed, "artifact")
 
 
 def comparison_counters(comparisons: DataFrame, by: list[str]) -> DataFrame:
