@@ -67,7 +67,7 @@ _SYSTEMS = ["Linux", "Windows 98", "Mac OS X", "OpenVMS", "FreeBSD", "Windows 11
 _FAMILIES = ["unix", "Windows", "!unix", "win9x", "mac", "dos", " ", "bsd", "!win9x", None]
 
 
-@query("f18_systems", """, n AS (SELECT p_partkey, lower(['Linux', 'Windows 98', 'Mac OS X', 'OpenVMS', 'FreeBSD', 'Windows 11', 'OS/2', 'MS-DOS'][1 + p_partkey % 8]) AS s, p_size % 10 AS f, concat('10.', p_size % 4) AS v, p_retailprice::bigint % 5 AS k FROM part)
+@query("f18_systems", """, n AS (SELECT p_partkey, lower(['Linux', 'Windows 98', 'Mac OS X', 'OpenVMS', 'FreeBSD', 'Windows 11', 'OS/2', 'MS-DOS'][1 + p_partkey % 8]) AS s, p_size % 10 AS f, concat('10.', p_size % 4) AS v, cast(trunc(p_retailprice) AS BIGINT) % 5 AS k FROM part)
 SELECT p_partkey, CASE f WHEN 0 THEN s NOT LIKE '%windows%' AND s NOT IN ('openvms', 'os/2') WHEN 1 THEN s LIKE '%windows%' WHEN 2 THEN s LIKE '%windows%' OR s IN ('openvms', 'os/2') WHEN 3 THEN s = 'windows 98' WHEN 4 THEN s = 'mac os x' WHEN 5 THEN s = 'ms-dos' WHEN 7 THEN s = 'freebsd' WHEN 8 THEN s <> 'windows 98' ELSE true END AS of_family,
   CASE k WHEN 0 THEN s = 'linux' WHEN 1 THEN s <> 'linux' ELSE true END AS of_name, CASE k WHEN 0 THEN v = '10.1' WHEN 1 THEN v <> '10.1' WHEN 2 THEN v IN ('10.1', '10.2') WHEN 3 THEN v = '10.3' ELSE true END AS of_version FROM n""".replace(", n AS", "WITH n AS", 1))
 def f18_systems(spark, sf):
