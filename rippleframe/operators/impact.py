@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import ADDED_KINDS, COVERAGE_PRECEDENCE, package_of, ranked
+from .places import pairs_by_place
 
 #: Which reference kinds are evidence of which change kinds.
 EVIDENCE = {
@@ -37,8 +38,8 @@ def evidence(refs: DataFrame, points: DataFrame) -> DataFrame:
         r = refs.where(F.col("ref_kind") == ref_kind)
         on = ["owner"] if ref_kind == "type" else ["owner", "name", "descriptor"]
         p = (points if ref_kind == "type" else members).where(F.col("kind").isin(*kinds)).select("point_id", "kind", *on)
-        parts.append(r.select("node", "ref_kind", *on).join(p, on).select("point_id", "kind", "ref_kind", "node"))
-    return reduce(DataFrame.union, parts).distinct()
+        parts.append(pairs_by_place(p, r.select("node", "ref_kind", *on), on).select("point_id", "kind", "ref_kind", "node"))
+    return reduce(DataFrame.union, parts)  # each part has its own kinds of references
 
 
 def access_decision(caller: Column, declaring: Column, access: Column, instance: Column, receiver_kind: Column, caller_sub: Column, owner_related: Column, receiver_assignable: Column, caller_loader: Column | None = None, declaring_loader: Column | None = None) -> Column:
@@ -145,10 +146,10 @@ def constant_evidence(literals: DataFrame, points: DataFrame, registrations: Dat
     """
     own = literals.where("origin <> 'JDK'")
     removed = points.where("kind = 'CLASS_REMOVED'").select("point_id", F.replace("owner", F.lit("/"), F.lit(".")).alias("literal"))
-    named = own.where("call = 'forName'").join(removed, "literal").select("point_id", "node", F.lit("class_lookup").alias("mechanism"))
+    of = lambda things, facts, name: pairs_by_place(things, facts.select("node", "literal"), ["literal"]).select("point_id", "node", F.lit(name).alias("mechanism"))
     gone = points.where("kind = 'SERVICE_PROVIDER_REGISTRATION_REMOVED'").select("point_id", F.col("owner").alias("literal"))
     loads = own.where("call = 'load'").join(registrations.select(F.col("service").alias("literal")).distinct(), "literal", "left_semi")
-    return named.union(loads.join(gone, "literal").select("point_id", "node", F.lit("service_load").alias("mechanism"))).distinct()
+    return of(removed, own.where("call = 'forName'"), "class_lookup").union(of(gone, loads, "service_load"))
 
 
 def dynamic_evidence(calls: DataFrame, points: DataFrame) -> DataFrame:
@@ -161,19 +162,26 @@ def dynamic_evidence(calls: DataFrame, points: DataFrame) -> DataFrame:
     methods = of("METHOD_REMOVED", "METHOD_DESCRIPTOR_CHANGED", "METHOD_ACCESS_NARROWED").select("point_id", "owner", "name", F.col("old_descriptor").alias("descriptor"))
     fields = of("FIELD_ACCESS_NARROWED").select("point_id", "owner", "name", F.col("new_descriptor").alias("descriptor"))
     parts = [
-        (calls.join(methods, ["owner", "name", "descriptor"]), "METHOD_REFERENCE"),
-        (calls.join(of("CLASS_ACCESS_NARROWED").select("point_id", "owner"), "owner"), "TYPE_REFERENCE"),
-        (calls.where("field_handle").join(fields, ["owner", "name", "descriptor"]), "FIELD_REFERENCE"),
+        (methods, calls, ["owner", "name", "descriptor"], "METHOD_REFERENCE"),
+        (of("CLASS_ACCESS_NARROWED").select("point_id", "owner"), calls, ["owner"], "TYPE_REFERENCE"),
+        (fields, calls.where("field_handle"), ["owner", "name", "descriptor"], "FIELD_REFERENCE"),
     ]
-    return reduce(DataFrame.union, (x.select("point_id", "node", F.lit(kind).alias("evidence")) for x, kind in parts)).distinct()
+    return reduce(DataFrame.union, (pairs_by_place(p, c.select("node", *on), on).select("point_id", "node", F.lit(kind).alias("evidence")) for p, c, on, kind in parts))
 
 
 def structural_evidence(references: DataFrame, points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """References to removed or narrowed classes, bound to the member's node where it is a method, else to its class's."""
-    hit = references.join(points.where("kind IN ('CLASS_REMOVED', 'CLASS_ACCESS_NARROWED')").select("point_id", F.col("owner").alias("changed_class")), "changed_class")
-    method = hit.where(F.col("member").contains("(")).join(nodes.select("node", F.col("owner").alias("referencing_class"), F.concat("name", "descriptor").alias("member")), ["referencing_class", "member"])
-    whole = hit.where(~F.col("member").contains("(")).join(nodes.select("node", F.col("owner").alias("referencing_class")), "referencing_class")
-    return method.select("point_id", "node").union(whole.select("point_id", "node")).distinct()
+    """References to removed or narrowed classes, bound to the member's node where it is a method, else to its class's.
+
+    The nodes of a changed class are found once, whatever the number of points on it.
+    """
+    places = points.where("kind IN ('CLASS_REMOVED', 'CLASS_ACCESS_NARROWED')").select("point_id", F.col("owner").alias("changed_class"))
+    hit = references.join(places.select("changed_class").distinct(), "changed_class", "left_semi")
+    of_class = nodes.select("node", F.col("owner").alias("referencing_class"))
+    of_member = nodes.select("node", F.col("owner").alias("referencing_class"), F.concat("name", "descriptor").alias("member"))
+    method = hit.where(F.col("member").contains("(")).select("referencing_class", "member", "changed_class").distinct().join(of_member.distinct(), ["referencing_class", "member"])
+    whole = hit.where(~F.col("member").contains("(")).select("referencing_class", "changed_class").distinct().join(of_class.distinct(), "referencing_class")
+    bound = method.select("changed_class", "node").distinct().union(whole.select("changed_class", "node").distinct())
+    return pairs_by_place(places, bound, ["changed_class"]).select("point_id", "node")
 
 
 def affected(paths: DataFrame, nodes: DataFrame) -> DataFrame:
