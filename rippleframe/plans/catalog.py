@@ -379,8 +379,9 @@ SELECT point_id, CASE WHEN kind = 'METHOD_ADDED' THEN 'CHANGE_KIND_NOT_ANALYZED'
  WHEN kind LIKE '%\\_ACCESS\\_NARROWED' ESCAPE '\\' AND point_id % 2 = 0 THEN 'ACCESS_REMAINS_VALID' WHEN kind = 'METHOD_BODY_CHANGED' THEN 'TARGET_NOT_FOUND' ELSE 'DECLARED_REFERENCE_NOT_FOUND' END AS disposition FROM points LEFT JOIN e USING (point_id)""", ("points", "refs"))
 def g14_dispositions(spark, sf):
     points = bound(spark, sf, "points")
-    hit = points.select("point_id", "owner", "name").join(bound(spark, sf, "refs"), ["owner", "name"])
-    e = hit.groupBy("point_id").agg(F.bool_or(F.col("node") % 5 == 0).alias("path"), F.bool_or(F.col("node") % 5 == 1).alias("seeds"))
+    place = ["owner", "name"]
+    at = bound(spark, sf, "refs").groupBy(*place).agg(F.bool_or(F.col("node") % 5 == 0).alias("path"), F.bool_or(F.col("node") % 5 == 1).alias("seeds"))
+    e = points.select("point_id", *place).join(at, place).groupBy("point_id").agg(F.bool_or("path").alias("path"), F.bool_or("seeds").alias("seeds"))
     no = F.lit(False)
     value = impact.disposition(F.col("kind"), F.col("kind") != "METHOD_ADDED", F.col("point_id") % 17 == 0, F.coalesce("path", no), F.coalesce("seeds", no), F.col("point_id") % 5 == 0, F.col("point_id") % 2 == 0)
     return points.join(e, "point_id", "left").select("point_id", value.alias("disposition"))
