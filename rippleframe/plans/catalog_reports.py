@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.places import pairs_by_place
 from . import projections
 from .bindings import bound
 from .catalog import query
@@ -72,20 +73,23 @@ mth AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key) - 1 AS method_id, k
 def _affected(spark, sf):
     points = bound(spark, sf, "points")
     at = F.col("node") % 23
-    pairs = points.select("point_id", "owner", "name").join(bound(spark, sf, "refs").select("owner", "name", "node"), ["owner", "name"])
+    kind, key = F.when(F.col("node") % 3 == 0, "structural").otherwise("impact").alias("path_kind"), F.concat_ws(">", "owner", at.cast("string")).alias("path_key")
+    refs = bound(spark, sf, "refs").select("owner", "name", "node")
+    member = F.concat(F.lit("pt"), "point_id").alias("member_key")
+    leads = pairs_by_place(points.select(member, "owner", "name"), refs.select("owner", "name", kind, key), ["owner", "name"]).select("path_kind", "path_key", "member_key")
     node = lambda n: F.struct(F.concat(F.lit("k"), n).alias("key"), F.concat(F.lit("M"), n).alias("label"), (n % 2 == 0).alias("project"))
-    paths = pairs.select(
-        F.when(F.col("node") % 3 == 0, "structural").otherwise("impact").alias("path_kind"), F.concat_ws(">", "owner", at.cast("string")).alias("path_key"), F.concat(F.lit("pt"), "point_id").alias("member_key"),
+    paths = refs.join(points.select("owner", "name").distinct(), ["owner", "name"], "left_semi").select(
+        kind, key,
         F.when(at % 2 == 0, "DIRECT").otherwise("TRANSITIVE").alias("classification"), F.when(at % 7 == 0, "STRONGLY_CONNECTED_COMPONENT").otherwise("METHOD").alias("root_kind"),
         F.array(node(at % 11), node(at % 5), node(at)).alias("nodes"), F.array(F.concat(F.lit("M"), at % 11)).alias("affected_methods"), F.concat_ws(" ", "owner", at.cast("string")).alias("search_text"),
         F.lit("").alias("application_member"), F.lit("").alias("relation"), F.lit("").alias("changed_class"),
     ).distinct()
     new = F.col("point_id") % 13
     members = points.select(
-        F.concat(F.lit("pt"), "point_id").alias("member_key"), "kind", F.concat_ws("#", "owner", "name").alias("signature"), F.concat(F.lit("dep"), new).alias("dependency_key"), F.concat(F.lit("old"), new).alias("old_artifact"), F.concat(F.lit("new"), new).alias("new_artifact"),
+        member, "kind", F.concat_ws("#", "owner", "name").alias("signature"), F.concat(F.lit("dep"), new).alias("dependency_key"), F.concat(F.lit("old"), new).alias("old_artifact"), F.concat(F.lit("new"), new).alias("new_artifact"),
         F.lit("compile").alias("scope"), F.concat(F.lit("g"), F.col("point_id") % 4, F.lit(":a")).alias("source"), F.when(F.col("point_id") % 3 == 0, "AVAILABLE").when(F.col("point_id") % 3 == 1, "IDENTICAL").alias("status"), F.concat(F.lit("@@ "), "point_id").alias("diff"),
     )
-    return projections.affected_path_projection(paths, members)
+    return projections.affected_path_projection(paths, members, leads)
 
 
 @query("k04_rows", _AFFECTED + "SELECT row_id, path_id, member_id FROM rws", ("points", "refs"))
