@@ -2,24 +2,33 @@
 
 A body's values are rows (body, value, kind, type, text): ``kind`` is ``string``, ``class``, ``null``, ``param``,
 ``const``, ``new``, ``cast``, ``pi``, ``phi``, ``none`` (no definition) or the name of another instruction; casts, pis
-and phis have their inputs in (body, value, ord, input).  Facts flow from definitions to uses in rounds over all bodies
-at once: what has all its inputs is settled next, and what never gets them depends on a cycle.
+and phis have their inputs in (body, value, ord, input).  Facts flow from definitions to uses: what has all its inputs is
+settled next, and what never gets them depends on a cycle.  Bodies know nothing of each other: those of at most
+``SMALL_BODY`` rows are solved one after the other within tasks, after one shuffle; larger ones by rounds of joins over
+all of them at once.  Both ways are exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .graph import strong_components
+from .graph import _strong, strong_components
 from .steps import forget, step
 
 COMPOSED = ("cast", "pi", "phi")
 #: Fixed value: how many phis and pis a result is followed through.
 MAX_HOPS = 8
+#: Values, inputs and pairs of types of a body that one task holds (a few MB).
+SMALL_BODY = 20_000
 _KEY = ["body", "value"]
+_VALUE, _USE, _PAIR = range(3)
 
 
 def _rounds(composed: DataFrame, inputs: DataFrame, known: DataFrame, combine) -> tuple[DataFrame, DataFrame]:
@@ -46,6 +55,194 @@ def _rounds(composed: DataFrame, inputs: DataFrame, known: DataFrame, combine) -
     return settled, wanted.select("body", "value", "kind", "type")
 
 
+def _body_rows(values: DataFrame, uses: DataFrame) -> DataFrame:
+    """Values and uses in one table, told apart by ``tag``; a value has its own flag, a use its place and input."""
+    kinds = {f.name: f.dataType for f in uses.schema}
+    values = values.withColumn("value", F.col("value").cast(values.select("value").union(uses.select("input")).schema["value"].dataType))
+    flag = F.col("flag") if "flag" in values.columns else F.lit(False)
+    no = lambda kind: F.lit(None).cast(kind)
+    defined = values.select("body", F.lit(_VALUE).alias("tag"), "value", no(kinds["ord"]).alias("ord"), no(kinds["input"]).alias("input"), "kind", "type", "text", flag.alias("flag"))
+    used = uses.select("body", F.lit(_USE), "value", "ord", "input", no("string"), no("string"), no("string"), no("boolean"))
+    return defined.union(used).where("body IS NOT NULL AND value IS NOT NULL")
+
+
+def _by_body(rows: DataFrame, solve: Callable[[dict, dict, set], Iterable[tuple]], result: str) -> tuple[DataFrame, DataFrame]:
+    """(facts of all values of small bodies, the bodies that are larger): ``solve`` gets a body's values, value to (kind, type,
+    text, flag), its inputs, value to a list of (ord, input), and its pairs of types, and gives (value, *facts).
+
+    A task holds one body at a time; of a larger one it keeps the name alone.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"body {kinds['body']}, value {kinds['value']}, {result}"
+    types = to_arrow_schema(StructType.fromDDL(schema))
+    limit, names = SMALL_BODY, ["body", "tag", "value", "ord", "input", "kind", "type", "text", "flag"]
+
+    def run(batches):
+        here, n, found = None, 0, []
+        values: dict = {}
+        inputs: dict = {}
+        pairs: set = set()
+
+        def close():
+            if n > limit:
+                found.append((here, *[None] * (len(types) - 1)))
+            elif n:
+                found.extend((here, *x) for x in solve(values, inputs, pairs))
+
+        for batch in batches:
+            for body, tag, value, ord_, input_, kind, type_, text, flag in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if body != here:
+                    close()
+                    here, n, values, inputs, pairs = body, 0, {}, {}, set()
+                    if len(found) >= 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), types.types, strict=True)], schema=types)
+                        found = []
+                n += 1
+                if n > limit:
+                    values, inputs, pairs = {}, {}, set()
+                elif tag == _VALUE:
+                    values[value] = kind, type_, text, flag
+                elif tag == _USE:
+                    inputs.setdefault(value, []).append((ord_, input_))
+                else:
+                    pairs.add((type_, text))
+        close()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), types.types, strict=True)], schema=types)
+
+    solved = step(rows.repartition("body").sortWithinPartitions("body").mapInArrow(run, schema))
+    return solved.where("value IS NOT NULL"), solved.where("value IS NULL").select("body")
+
+
+def _settle(open_: Iterable, inputs: dict, facts: dict, combine: Callable) -> None:
+    """Facts of the open values that get all their inputs, into ``facts``; ``combine`` gets a value and its inputs' facts."""
+    left, users, ready = {}, {}, []
+    for value in open_:
+        waits = [i for _, i in inputs.get(value, ()) if i not in facts]
+        left[value] = len(waits)
+        if not waits:
+            ready.append(value)
+        for i in waits:
+            users.setdefault(i, []).append(value)
+    while ready:
+        value = ready.pop()
+        facts[value] = combine(value, [(o, facts[i]) for o, i in inputs.get(value, ())])
+        for user in users.get(value, ()):
+            left[user] -= 1
+            if not left[user]:
+                ready.append(user)
+
+
+def _in_order(given: list[tuple]) -> list:
+    """The facts by place, those of one place by themselves, nulls first: as Spark sorts them."""
+    if len(given) > 1:
+        nulls_first = lambda x: (x is not None, x if x is not None else 0)
+        given = sorted(given, key=lambda g: (nulls_first(g[0]), *map(nulls_first, g[1])))
+    return [fact for _, fact in given]
+
+
+def _solve_constants(expected: str) -> Callable:
+    unknown, circle = ("UNRESOLVED", None, "parameter-or-unknown-definition"), ("UNRESOLVED", None, "cyclic-definition")
+    plain = ("param", "const", "null", "none", "string", "class")
+
+    def merged(facts):
+        if not facts:
+            return "UNRESOLVED", None, "empty-phi"
+        for status, text, _ in facts:
+            if status != "RESOLVED":
+                return "UNRESOLVED", None, "phi-input-unresolved"
+            if text != facts[0][1]:
+                return "UNRESOLVED", None, "phi-inputs-differ"
+        return facts[0]
+
+    def solve(values, inputs, pairs):
+        facts = {}
+        composed = []
+        for value, (kind, _, text, _) in values.items():
+            if kind in COMPOSED:
+                composed.append(value)
+            elif kind == expected:
+                facts[value] = "RESOLVED", text, None
+            elif kind is not None:
+                facts[value] = unknown if kind in plain else ("UNRESOLVED", None, f"unsupported-definition={kind}")
+        for used in inputs.values():
+            for _, i in used:
+                if i is not None and i not in values:
+                    facts[i] = unknown
+
+        def combine(value, given):
+            listed = _in_order(given)
+            return merged(listed) if values[value][0] == "phi" else listed[0] if listed else unknown
+
+        _settle(composed, inputs, facts, combine)
+        still = [v for v in composed if v not in facts]
+        facts |= {v: merged(_in_order([(o, facts.get(i, circle)) for o, i in inputs[v]])) for v in still if values[v][0] == "phi"}
+        rest = [v for v in still if v not in facts]
+        _settle(rest, inputs, facts, combine)
+        facts |= {v: circle for v in rest if v not in facts}
+        return [(v, *facts[v]) for v in values if v in facts]
+
+    return solve
+
+
+def _solve_receivers(values: dict, inputs: dict, pairs: set) -> list[tuple]:
+    """The flag of an allocation or a cast tells that its type is known; pairs are the assignable ones (sub, super)."""
+    unknown, none = ("UNKNOWN", ()), ("NO_NORMAL_TARGET", ())
+    facts, composed, known = {}, [], set()
+    for value, (kind, type_, _, flag) in values.items():
+        if flag:
+            known.add(type_)
+        if kind in COMPOSED:
+            composed.append(value)
+        elif kind is not None:
+            facts[value] = none if kind == "null" else ("EXACT", (type_,)) if kind == "new" and type_ is not None else unknown
+    own = set(composed)
+    inputs = {v: [(o, i) for o, i in used if i is not None and i >= 1] for v, used in inputs.items() if v in own}
+    for used in inputs.values():
+        for _, i in used:
+            if i not in values:
+                facts[i] = unknown
+
+    def combine(value, given):
+        kind, type_, _, flag = values[value]
+        listed = _in_order(given)
+        if kind == "phi":
+            kinds = {k for k, _ in listed}
+            if "UNKNOWN" in kinds:
+                return unknown
+            if kinds <= {"NO_NORMAL_TARGET"}:
+                return none
+            return unknown if "UPPER_BOUND" in kinds else ("EXACT", tuple(sorted({t for _, types in listed for t in types})))
+        fact = listed[0] if listed else unknown
+        if kind == "pi" or (flag and fact == none):
+            return fact
+        if not flag:
+            return unknown
+        if fact[0] != "EXACT":
+            return "UPPER_BOUND", (type_,)
+        if not known.issuperset(fact[1]):
+            return unknown
+        kept = tuple(t for t in fact[1] if (t, type_) in pairs)
+        return ("EXACT", kept) if kept else none
+
+    _settle(composed, inputs, facts, combine)
+    still = [v for v in composed if v not in facts]
+    if still:
+        left = set(still)
+        onward: dict = {}
+        for v in still:
+            for _, i in inputs.get(v, ()):
+                if i in left:
+                    onward.setdefault(i, []).append(v)
+        names = _strong(onward, still)
+        members: dict = {}
+        for v in still:
+            members.setdefault(names[v], []).append(v)
+        facts |= {v: unknown for v in still if len(members[names[v]]) > 1 or v in onward.get(v, ())}
+        _settle([v for v in still if v not in facts], inputs, facts, combine)
+    return [(v, facts[v][0], list(facts[v][1])) for v in values if v in facts]
+
+
 def local_constants(values: DataFrame, uses: DataFrame, expected: str) -> DataFrame:
     """(body, value, status, text, reason) of every value, for constants of kind ``expected`` (``string``, ``class``).
 
@@ -55,6 +252,13 @@ def local_constants(values: DataFrame, uses: DataFrame, expected: str) -> DataFr
     """
     if expected not in ("string", "class"):
         raise ValueError(f"unknown kind of constant: {expected}")
+    found, large = _by_body(_body_rows(values, uses), _solve_constants(expected), "status string, text string, reason string")
+    if large.isEmpty():
+        return found
+    return found.union(_constants_by_rounds(values.join(large, "body", "left_semi"), uses.join(large, "body", "left_semi"), expected))
+
+
+def _constants_by_rounds(values: DataFrame, uses: DataFrame, expected: str) -> DataFrame:
     fact = lambda status, text, reason: F.struct(status.alias("status"), text.cast("string").alias("text"), reason.cast("string").alias("reason"))
     no = F.lit(None).cast("string")
     kind = F.col("kind")
@@ -94,6 +298,24 @@ def receiver_types(values: DataFrame, uses: DataFrame, types: DataFrame, assigna
     exact; a phi joins exact types and is unknown with an unknown or bounded input; inputs below 1 are none.  Values on
     a cycle of definitions are unknown.  ``types`` (type) are the known ones.
     """
+    known = types.select("type", F.lit(True).alias("flag")).distinct()
+    typed = F.col("kind").isin("new", "cast")
+    marked = values.where(typed).join(known, "type", "left").select("body", "value", "kind", "type", "text", "flag").union(values.where(~F.coalesce(typed, F.lit(False))).select("body", "value", "kind", "type", "text", F.lit(None).cast("boolean")))
+    # the assignable pairs of an allocation's and a cast's type that meet in a body
+    made = values.where("kind = 'new'").select("body", F.col("type").alias("sub")).distinct()
+    asked = values.where("kind = 'cast'").select("body", F.col("type").alias("super")).distinct()
+    pairs = made.join(asked, "body").join(assignable.select("sub", "super").distinct(), ["sub", "super"], "left_semi")
+    rows = _body_rows(marked, uses)
+    no = lambda c: F.lit(None).cast(rows.schema[c].dataType)
+    paired = pairs.select("body", F.lit(_PAIR).alias("tag"), no("value"), no("ord"), no("input"), no("kind"), F.col("sub"), F.col("super"), no("flag"))
+    found, large = _by_body(rows.union(paired), _solve_receivers, "kind string, types array<string>")
+    if large.isEmpty():
+        return found
+    inside = lambda table: table.join(large, "body", "left_semi")
+    return found.union(_receivers_by_rounds(inside(values), inside(uses), types, assignable))
+
+
+def _receivers_by_rounds(values: DataFrame, uses: DataFrame, types: DataFrame, assignable: DataFrame) -> DataFrame:
     fact = lambda kind, listed: F.struct(kind.alias("kind"), listed.cast("array<string>").alias("types"))
     none = F.array().cast("array<string>")
     unknown = fact(F.lit("UNKNOWN"), none)
@@ -141,7 +363,7 @@ def dispatch_verdicts(sites: DataFrame, receivers: DataFrame, types: DataFrame,
     Exact types must all be concrete and resolved, unless one of them reaches the candidate; of a bound all targets of
     its concrete subtypes are possible, and an abstract one, or none, leaves it open.
     """
-    own = sites.join(receivers.select("body", "value", F.col("kind").alias("_kind"), F.col("types").alias("_types")), _KEY, "left")
+    own = step(sites.join(receivers.select("body", "value", F.col("kind").alias("_kind"), F.col("types").alias("_types")), _KEY, "left"))
     plain = own.where(F.coalesce("_kind", F.lit("UNKNOWN")).isin("UNKNOWN", "NO_NORMAL_TARGET"))
     plain = plain.withColumn("verdict", F.when(F.col("_kind") == "NO_NORMAL_TARGET", "EXCLUDES").otherwise("UNKNOWN"))
     resolved = targets.join(types.where("concrete").select("type"), "type", "left_semi").select(F.col("type").alias("_type"), "selector", F.col("target").alias("_target"), F.col("abstract").alias("_abstract")).distinct()

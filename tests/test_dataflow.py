@@ -144,3 +144,35 @@ def test_checks_in_order(spark):
 def test_checks_that_are_refused(spark, checks, needs, why):
     with pytest.raises(dataflow.InvalidChecks, match=why):
         dataflow.check_results(spark.createDataFrame(checks, CHECKS), spark.createDataFrame(needs, NEEDS))
+
+
+@pytest.mark.parametrize("limit", [4, 20_000])
+def test_large_bodies_by_rounds_and_small_ones_in_tasks_agree(spark, monkeypatch, limit):
+    """Some bodies are above the limit, some below; both ways give what brute force does."""
+    monkeypatch.setattr(dataflow, "SMALL_BODY", limit)
+    values, uses = bodies(random.Random(5), 12)
+    values += [(99, 1, "string", None, "x"), (99, 2, "pi", None, None), (None, 1, "string", None, "x")]
+    uses += [(99, 2, 0, 1)]
+    facts = {(b, v): (k, t, x) for b, v, k, t, x in values if b is not None}
+    inputs = {}
+    for b, v, _, i in sorted(uses):
+        inputs.setdefault((b, v), []).append(i)
+    got = {(r["body"], r["value"]): (r["text"], r["reason"]) for r in dataflow.local_constants(spark.createDataFrame(values, VALUES), spark.createDataFrame(uses, USES), "string").collect()}
+    assert got == {key: constant(*key, facts, inputs, "string") for key in facts}
+    types = spark.createDataFrame([("A",), ("B",), ("C",)], "type string")
+    fits = spark.createDataFrame([("A", "A"), ("B", "B"), ("C", "C"), ("B", "A")], "sub string, super string")
+    known = lambda: {(r["body"], r["value"]): (r["kind"], tuple(r["types"])) for r in dataflow.receiver_types(spark.createDataFrame(values, VALUES), spark.createDataFrame(uses, USES), types, fits).collect()}
+    found = known()
+    monkeypatch.setattr(dataflow, "SMALL_BODY", 0)
+    assert found == known() and len(found) == len(facts)
+
+
+def test_long_chains_take_no_rounds(spark, monkeypatch):
+    """What is written does not grow with the length of a chain of definitions."""
+    written = []
+    plain = dataflow.step
+    monkeypatch.setattr(dataflow, "step", lambda df: written.append(1) or plain(df))
+    values = [(1, 1, "string", None, "x"), *((1, v, "pi", None, None) for v in range(2, 31))]
+    uses = [(1, v, 0, v - 1) for v in range(2, 31)]
+    got = dataflow.local_constants(spark.createDataFrame(values, VALUES), spark.createDataFrame(uses, USES), "string").collect()
+    assert {(r["value"], r["text"]) for r in got} == {(v, "x") for v in range(1, 31)} and len(written) <= 2
