@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _Levels, follow, strong_components
-from .steps import step
+from .steps import met, step
 
 #: Fixed value: how many nodes and related methods a ranking shows.
 RANK_LIMIT = 10
@@ -66,10 +66,10 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> Da
         levels.add(above.join(levels.all(), on, "left_anti"))
     near = levels.all()
     nearer = near.select("module", "target", F.col("node").alias("dst"), (F.col("distance") + 1).alias("distance"))
-    pointers = step(near.join(links.withColumnRenamed("src", "node"), ["module", "node"]).join(nearer, ["module", "target", "dst", "distance"]).groupBy(*on).agg(F.min("dst").alias("next")))
+    pointers = step(near.join(links.withColumnRenamed("src", "node"), ["module", "node"]).join(met(nearer), ["module", "target", "dst", "distance"]).groupBy(*on).agg(F.min("dst").alias("next")))
     started = step(near.join(roots.select("module", "node", "root_kind"), ["module", "node"]))
     paths = step(follow(pointers, started, ["module", "target"]))
     cyclic = strong_components(links).where("cyclic").select("module", F.col("node").alias("_at"), F.lit(True).alias("_cycle"))
-    steps = paths.select(*on, F.posexplode("path").alias("_pos", "_at")).join(cyclic, ["module", "_at"], "left")
+    steps = paths.select(*on, F.posexplode("path").alias("_pos", "_at")).join(met(cyclic), ["module", "_at"], "left")
     flags = steps.groupBy(*on).agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_cycle", F.lit(False)).alias("c")))), lambda x: x["c"]).alias("cycles"))
-    return started.join(paths, on).join(flags, on).select("module", "root_kind", F.col("node").alias("root"), "target", "distance", "path", "cycles")
+    return started.join(met(paths), on).join(met(flags), on).select("module", "root_kind", F.col("node").alias("root"), "target", "distance", "path", "cycles")
