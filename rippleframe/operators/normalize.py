@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import reach, validate_occurrence_graph
-from .steps import forget, step
+from .graph import reach, reached, validate_occurrence_graph
+from .steps import forget, met, step
 
+#: Nodes that may look at one node through an exchange; those that more look at are at most the nodes by this number.
+HOT = 50_000
 #: Scopes that a selected tree retains.
 RETAINED = ["compile", "runtime", "provided", "system"]
 
@@ -21,16 +23,24 @@ def selected_tree(nodes: DataFrame, retained: list[str] = RETAINED) -> DataFrame
     """
     rows = nodes.select("module", "node", "parent", F.col("parent").isNull().alias("root"), (F.col("parent").isNotNull() & ~F.coalesce(F.col("scope").isin(*retained), F.lit(False))).alias("bad"), F.coalesce("reactor", F.lit(False)).alias("reactor"))
     above = rows.select("module", F.col("node").alias("parent"), F.col("bad").alias("_bad"), (F.col("root") | ~F.col("reactor")).alias("_stays"), F.col("parent").alias("_up"))
-    joined = rows.join(above, ["module", "parent"], "left")
+    joined = rows.join(met(above), ["module", "parent"], "left")
     lost = F.col("parent").isNotNull() & F.col("_bad").isNull()
     state = step(joined.select("module", "node", "root", "reactor", (F.col("bad") | lost | F.coalesce("_bad", F.lit(False))).alias("bad"), F.when(F.col("_stays"), F.col("parent")).alias("near"), F.when(~lost, F.col("parent")).alias("far")))
     for _ in range(64):  # twice as far each time: what has still not met a root then is on a circle of parents
         if state.where("far IS NOT NULL").isEmpty():
             break
         there = state.select("module", F.col("node").alias("far"), F.col("bad").alias("_bad"), F.col("near").alias("_near"), F.col("far").alias("_far"))
-        further = state.join(there, ["module", "far"], "left")
+        # towards the end most nodes look at a few: those few are sent to every task, the others are met by a merge join
+        looking = state.where("far IS NOT NULL")
+        hot = step(looking.groupBy("module", "far").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("module", "far"))
+        few = step(there.join(F.broadcast(hot), ["module", "far"], "left_semi"))
+        at_few = looking.join(F.broadcast(few), ["module", "far"])
+        others = looking.join(F.broadcast(hot), ["module", "far"], "left_anti").join(met(there), ["module", "far"], "left")
+        names = ["module", "node", "root", "reactor", "bad", "near", "_bad", "_near", "_far"]
+        ended = state.where("far IS NULL").select("module", "node", "root", "reactor", "bad", "near")
+        further = at_few.select(*names).union(others.select(*names)).unionByName(ended, allowMissingColumns=True)
         doubled = step(further.select("module", "node", "root", "reactor", (F.col("bad") | F.coalesce("_bad", F.lit(False))).alias("bad"), F.coalesce("near", "_near").alias("near"), F.col("_far").alias("far")))
-        forget(state)
+        forget(state, hot, few)
         state = doubled
     return state.where("root OR NOT (bad OR reactor OR far IS NOT NULL)").select("module", "node", F.when(~F.col("root"), F.col("near")).alias("parent"))
 
@@ -69,9 +79,9 @@ def dependency_scopes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> D
     problems = validate_occurrence_graph(nodes.select("module", "node", "is_root"), edges)
     lacking = seeds.join(nodes.select("module", "node"), ["module", "node"], "left_anti").select("module").distinct().withColumn("_lacking", F.lit("SEED_MISSING"))
     state = problems.join(lacking, "module", "left").select("module", F.coalesce("problem", "_lacking").alias("reason"))
-    one = lambda df, *names: df.select(*(F.struct("module", F.col(n).alias("node")).alias(n) for n in names))
+    state = step(state)  # a row for each module
     usable = seeds.join(state.where("reason IS NULL"), "module", "left_semi")
-    on = reach(one(edges, "src", "dst"), one(usable, "node"), reverse=True).select("node.module", "node.node").distinct().withColumn("_on", F.lit(True))
-    external = nodes.where(~F.col("reactor") & ~F.col("is_root")).select("module", "node").join(state, "module").join(on, ["module", "node"], "left")
+    on = reached(edges, usable, ("module",), reverse=True).withColumn("_on", F.lit(True))
+    external = nodes.where(~F.col("reactor") & ~F.col("is_root")).select("module", "node").join(state, "module").join(met(on), ["module", "node"], "left")
     full = F.col("reason").isNotNull()
     return external.select("module", "node", F.when(full | F.col("_on"), "REAL_IR").otherwise("NO_OP").alias("body"), F.when(full, "FULL").otherwise("CHANGED_PATHS").alias("mode"), "reason")
