@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import resolution_detail, resolution_source
 from ..operators.steps import step
 from .affected import intersect_ranges
-from .report import dense_ids, running_sums
+from .report import dense_ids, numbered
 
 
 class Records(Mapping):
@@ -35,11 +35,6 @@ class Records(Mapping):
         return len(self._makers)
 
 
-def numbered(rows: DataFrame, order: list[str], id_column: str = "id") -> DataFrame:
-    """The rows with ids from 0 in the order of ``order``, which tells them apart."""
-    return running_sums(rows, order, {"_n": F.lit(1)}).withColumn(id_column, F.col("_n") - 1).drop("_n")
-
-
 def posting_ranges(postings: DataFrame, of: list[str], id_column: str = "id") -> DataFrame:
     """(range_id, *of, start, n): each list's runs of consecutive ids, numbered by list and start.
 
@@ -84,9 +79,11 @@ def tree_projection(occurrences: DataFrame) -> Records:
     ``dependencies``, ``scopes``, ``modules``: descriptors.  A dependency is one of many versions if more than one is
     selected for it in the reactor; modules count those that they select.  ``named`` are the dependencies' names.
     """
+    names = ["module_key", "seq", "dependency", "scope", "path", "requested_version", "effective_version", "selected_version", "managed_from_version", "omitted_reason", "selected"]
+    occurrences = step(occurrences.select(*names))  # numbers, ids and samples of the sort all read them
     ids = dense_ids(occurrences.select("dependency"), ["dependency"], "dependency_id")
     modules = dense_ids(occurrences.select("module_key"), ["module_key"], "module_id")
-    rows = step(numbered(occurrences.join(ids, "dependency").join(modules, "module_key"), ["module_id", "seq"], "row_id"))
+    rows = numbered(occurrences.join(ids, "dependency").join(modules, "module_key"), ["module_id", "seq"], "row_id")
     detail = resolution_detail(*map(F.col, ("requested_version", "effective_version", "selected_version", "managed_from_version", "selected", "omitted_reason")))
     source = resolution_source(*map(F.col, ("managed_from_version", "selected", "omitted_reason")))
     search = F.lower(F.concat_ws(" ", "dependency", "scope", "module_key", "path", "requested_version", "selected_version", source, detail))

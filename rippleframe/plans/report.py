@@ -12,6 +12,10 @@ from ..functions.keys import artifact_selected
 from ..operators.steps import forget, step
 
 
+#: Ids that one task of ``id_ranges`` sorts.
+TASK_IDS = 250_000
+
+
 @dataclass(frozen=True)
 class ReportQuery:
     """Q01 to Q08: conditions are conjunctive; a search is a disjunction over its columns; every method gives a new query."""
@@ -65,10 +69,18 @@ def change_filter(change: str) -> Column:
 
 
 def id_ranges(rows: DataFrame, by: list[str], id_column: str) -> DataFrame:
-    """Runs of consecutive ids as (start, count)."""
+    """Runs of consecutive ids as (start, count), repeated ids counted once.
+
+    Tasks grow in number with the rows (about ``TASK_IDS`` each), not in size.
+    """
+    ids = rows.select(*by, id_column)
+    least = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy(*by).orderBy(id_column)
-    island = F.col(id_column) - F.row_number().over(w)
-    return rows.select(*by, id_column).distinct().withColumn("_island", island).groupBy(*by, "_island").agg(F.min(id_column).alias("start"), F.count(F.lit(1)).alias("n")).drop("_island")
+    here = F.col(id_column)
+    # repeated ids lie beside each other once they are sorted, so nothing is hashed first
+    opens = F.when(here.isNull() | (here - F.lag(here).over(w) <= 1), 0).otherwise(1)
+    runs = ids.repartition(max(least, -(-ids.count() // TASK_IDS)), *by).withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return runs.groupBy(*by, "_run").agg(F.min(id_column).alias("start"), F.coalesce(F.max(id_column) - F.min(id_column) + 1, F.lit(1)).alias("n")).drop("_run")
 
 
 def merged_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
@@ -83,15 +95,22 @@ def merged_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
 def dense_ids(keys: DataFrame, order: list[str], id_column: str = "id") -> DataFrame:
     """Ids from 0 in the order of the distinct keys, without a single-partition sort.
 
-    A range partitioning sorts the keys; it is written once, so that counting and numbering see the same partitions.
-    Each partition's start is the sum of the counts before it.
     """
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = step(keys.select(*order).distinct().repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    counts = parts.groupBy("_part").count()
-    starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(F.broadcast(starts), "_part").select(*order, (F.col("_start") + local - 1).alias(id_column))
+    return numbered(keys.select(*order).distinct(), order, id_column)
+
+
+def numbered(rows: DataFrame, order: list[str], id_column: str = "id") -> DataFrame:
+    """The rows with ids from 0 in the order of ``order``, which tells them apart.
+
+    A range partitioning sorts the rows, which are written with their places: partition and row in one number.  Each
+    partition's start is the sum of the counts before it, so nothing is sorted or shuffled a second time.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = step(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row for each partition
+    return parts.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_start") + row).alias(id_column))
 
 
 def sorted_groups(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
