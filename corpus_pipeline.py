@@ -45,9 +45,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' token ids (doc_id, lang, source, n_tokens, ids)."""
-    encoded = bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), decode=False, memory=ENCODER_MEMORY)
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """All documents' token ids and the digest of what they decode to (doc_id, lang, source, n_tokens, ids, decoded_sha256)."""
+    encoded = bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), decode="digest", memory=ENCODER_MEMORY)
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

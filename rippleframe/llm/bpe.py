@@ -317,8 +317,9 @@ def codec(name_or_path: str, pattern: str | None = None, memory: int = MEMORY) -
     return _LOADED[key]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False, decode: bool = True, memory: int = MEMORY) -> DataFrame:
-    """Columns ``keep`` of every row, then ``ids`` (array<int>) and, unless ``decode`` is false, ``decoded`` (string).
+def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False, decode: bool | str = True, memory: int = MEMORY) -> DataFrame:
+    """Columns ``keep`` of every row, then ``ids`` (array<int>) and, unless ``decode`` is false, ``decoded`` (string); where
+    it is "digest", ``decoded_sha256`` stands for the decoded text, which then never leaves the worker.
 
     ``digests_only`` gives n_tokens, ids_sha256 and decoded_sha256 of the same ids and decoded bytes instead, so that
     the arrays never leave the worker.  A null or empty text has no ids; every other column may be null; repeated rows
@@ -326,7 +327,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tikt
     ``_input`` added.  Each row is worked on alone: no shuffle, and memory in proportion to one text beside ``memory``
     for what a worker remembers, on which results do not depend.
     """
-    results = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests_only else {"ids": pa.list_(pa.int32())} | ({"decoded": pa.string()} if decode else {})
+    results = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests_only else {"ids": pa.list_(pa.int32())} | ({"decoded_sha256" if decode == "digest" else "decoded": pa.string()} if decode else {})
     columns, names, schema = kept_columns(docs, keep, results)
     schema += "".join(f", {n} {'bigint' if k == pa.int64() else 'array<int>' if n == 'ids' else 'string'}" for n, k in results.items())
 
@@ -345,6 +346,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tikt
                 packed = [bpe.encode_packed(t or "") for t in part.column(len(names)).to_pylist()]
                 if digests_only:
                     made = list(zip(*(digests(bpe, p) for p in packed), strict=True))
+                elif decode == "digest":
+                    made = [[np.frombuffer(p, "<i4") for p in packed], [digests(bpe, p)[2] for p in packed]]
                 else:
                     made = [[np.frombuffer(p, "<i4") for p in packed]] + ([[bpe.decode(np.frombuffer(p, "<u4")) for p in packed]] if decode else [])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(list(m), k) for m, k in zip(made, results.values(), strict=True))], names=[*names, *results])
