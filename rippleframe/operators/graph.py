@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .places import pairs_by_place
+from .places import pairs_by_runs
 from .steps import forget, met, step
 
 #: Edges and nodes of a module whose components one task finds (a few MB).
@@ -508,7 +508,7 @@ def call_graph(sites: DataFrame, methods: DataFrame, subtypes: DataFrame, entryp
             asked.add(new.join(asked.all(), "_shape", "left_anti"))
         levels.add(targets.join(asked.last, "_shape", "left_semi").select(F.col("dst").alias("node")).distinct().join(levels.all(), "node", "left_anti"))
     live = calls.join(levels.all().withColumnRenamed("node", "src"), "src", "left_semi")
-    return pairs_by_place(live, targets, ["_shape"]).select("src", "dst")
+    return pairs_by_runs(live, targets, ["_shape"]).select("src", "dst")
 
 
 def closure(pairs: DataFrame) -> DataFrame:

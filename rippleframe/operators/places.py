@@ -10,6 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .steps import forget, step
+
+#: Things that a fact is spelled out with before the next fact comes.
+RUN = 1_024
+#: Pairs that a task spells out: at least, where there are enough tasks, and at most.
+TASK_PAIRS = 2_000_000, 50_000_000
+
 
 def classed(things: DataFrame, on: list[str]) -> DataFrame:
     """The distinct things, told by their columns beside ``on``, with the sorted set ``_places`` of their ``on``."""
@@ -28,3 +35,29 @@ def pairs_by_place(things: DataFrame, facts: DataFrame, on: list[str]) -> DataFr
     told = [c for c in facts.columns if c not in on]
     rows = classed(things, on)
     return rows.join(class_facts(rows, facts, on, told).hint("merge"), "_places").drop("_places")
+
+
+def pairs_by_runs(things: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """The pairs of ``pairs_by_place`` where they are so many that writing them is most of the work.
+
+    The things of a class are cut into runs, every run gets the facts of its class, and tasks get runs in proportion to
+    the pairs.  A task holds one run and spells it out for one fact after the other: a column of a fact is a run of one
+    value and those of things repeat soon, which files keep small.
+    """
+    n = int(things.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = [c for c in facts.columns if c not in on]
+    rows = step(classed(things, on))
+    own = [c for c in rows.columns if c != "_places"]
+    classes = step(rows.select("_places").distinct().withColumn("_class", F.monotonically_increasing_id()))
+    numbered = step(rows.join(classes.hint("merge"), "_places").select("_class", *own))
+    placed = numbered.repartitionByRange(n, "_class", *own).sortWithinPartitions("_class", *own)
+    placed = step(placed.withColumn("_run", F.floor(F.monotonically_increasing_id() / RUN)))
+    at = classes.select("_class", F.explode("_places").alias("_at")).select("_class", "_at.*")
+    known = step(at.join(facts.distinct().hint("merge"), on).select("_class", *told).distinct())
+    sizes = [of.groupBy("_class").agg(F.count(F.lit(1)).cast("double").alias(c)) for of, c in ((placed, "_a"), (known, "_b"))]
+    pairs = sizes[0].join(sizes[1].hint("merge"), "_class").agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+    forget(rows, classes, numbered)
+    tasks = max(1, min(n, -int(-pairs // TASK_PAIRS[0])), -int(-pairs // TASK_PAIRS[1]))
+    runs = placed.select("_class", "_run").distinct()
+    asked = known.join(runs.hint("merge"), "_class").repartition(tasks, "_class", "_run")
+    return asked.join(placed.repartition(tasks, "_class", "_run").hint("merge"), ["_class", "_run"]).select(*own, *told)
