@@ -77,7 +77,7 @@ def dependency_scopes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> D
     root to a seed; a module falls back to FULL, with every body, if its graph is not valid or has not every seed.
     """
     problems = validate_occurrence_graph(nodes.select("module", "node", "is_root"), edges)
-    lacking = seeds.join(nodes.select("module", "node"), ["module", "node"], "left_anti").select("module").distinct().withColumn("_lacking", F.lit("SEED_MISSING"))
+    lacking = seeds.join(met(nodes.select("module", "node")), ["module", "node"], "left_anti").select("module").distinct().withColumn("_lacking", F.lit("SEED_MISSING"))
     state = problems.join(lacking, "module", "left").select("module", F.coalesce("problem", "_lacking").alias("reason"))
     state = step(state)  # a row for each module
     usable = seeds.join(state.where("reason IS NULL"), "module", "left_semi")
